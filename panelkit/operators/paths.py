@@ -18,7 +18,11 @@ from panelkit.functions import scalar as S
 from panelkit.operators.core import with_ewm, with_halo
 from panelkit.schema import DATE, PATH, SYMBOL, TIME, WEIGHT
 
-PATH_WINDOW = Window.partitionBy(*PATH).orderBy(TIME)
+
+def path_window():
+    """Rows of one symbol's day in time order."""
+
+    return Window.partitionBy(*PATH).orderBy(TIME)
 
 
 def _positive(values: Sequence[int], what: str) -> None:
@@ -31,8 +35,8 @@ def _need(columns: Sequence[str]) -> None:
         raise ValueError("columns must not be empty")
 
 
-def _change(value: Column, window=PATH_WINDOW) -> Column:
-    return F.coalesce(value - F.lag(value, 1).over(window), F.lit(0.0))
+def _change(value: Column) -> Column:
+    return F.coalesce(value - F.lag(value, 1).over(path_window()), F.lit(0.0))
 
 
 def rolling_variation(df: DataFrame, columns: Sequence[str], windows: Sequence[int] = (5, 20)) -> DataFrame:
@@ -45,7 +49,7 @@ def rolling_variation(df: DataFrame, columns: Sequence[str], windows: Sequence[i
     for c in columns:
         step = S.dbl(f"{c}_tg_diff1")
         for n in windows:
-            frame = PATH_WINDOW.rowsBetween(-(n - 1), 0)
+            frame = path_window().rowsBetween(-(n - 1), 0)
             tv, qv = F.sum(F.abs(step)).over(frame), F.sum(step * step).over(frame)
             added[f"{c}_tg_tv_{n}"] = tv.cast("float")
             added[f"{c}_tg_qv_{n}"] = qv.cast("float")
@@ -127,7 +131,7 @@ def operational_time(df: DataFrame, columns: Sequence[str], windows: Sequence[in
     fraction = F.col(TIME).cast("double") / F.lit(float(max_time_id))
     angle = fraction * F.lit(2.0 * math.pi)
     activity = S.total([F.abs(S.filled(c)) for c in columns]) / F.lit(n)
-    running = PATH_WINDOW.rowsBetween(Window.unboundedPreceding, 0)
+    running = path_window().rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns(
         {
             "ot_time_frac": fraction.cast("float"),

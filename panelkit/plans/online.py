@@ -21,7 +21,10 @@ from panelkit.plans.walkforward import before, by_fold, fold_sums, folds_of, gra
 from panelkit.schema import DATE, FOLD, TARGET, WEIGHT
 
 DAY = (FOLD, DATE)
-_PAST_DAYS = Window.partitionBy(FOLD).orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _past_days():
+    return Window.partitionBy(FOLD).orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def daily_sums(df: DataFrame, **sums: Column) -> DataFrame:
@@ -35,7 +38,7 @@ def daily_sums(df: DataFrame, **sums: Column) -> DataFrame:
 def replay(value: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Fold ``step`` over the values of the earlier days. The list is as long as the calendar of a fold."""
 
-    return F.aggregate(F.collect_list(value).over(_PAST_DAYS), start.cast("double"), step)
+    return F.aggregate(F.collect_list(value).over(_past_days()), start.cast("double"), step)
 
 
 def decayed(value: Column, start: Column, forgetting: float) -> Column:
@@ -229,7 +232,7 @@ def with_model_average(df: DataFrame, experts: Sequence[str], *, eta: float, out
         past = before(folds, stats, f"l_{c}")
         start = by_fold({f: -eta * past[f] / yy[f] if yy[f] > 1e-12 else 0.0 for f in folds})
         ratio_today = F.when(F.col("yy") > 1e-12, F.col(f"l_{c}") / F.col("yy")).otherwise(0.0)
-        daily = daily.withColumn(f"g_{c}", start - F.lit(float(eta)) * F.coalesce(F.sum(ratio_today).over(_PAST_DAYS), F.lit(0.0)))
+        daily = daily.withColumn(f"g_{c}", start - F.lit(float(eta)) * F.coalesce(F.sum(ratio_today).over(_past_days()), F.lit(0.0)))
         logs[c] = F.col(f"g_{c}")
     daily = daily.withColumns({f"w_{c}": w for c, w in softmax(logs).items()})
     rows = attach(df, daily, [f"w_{c}" for c in experts])
