@@ -165,7 +165,7 @@ def stream_late_duplicates(spark, sf):
 
 @query(
     "stream_tumbling",
-    'SELECT CAST(date_id AS BIGINT)*86400 + time_id*30 AS start_s, count(*) AS "rows", sum(weight) AS batch_weight_sum, avg(CASE WHEN feature_03 IS NULL THEN 1e0 ELSE 0e0 END) AS batch_missing_frac FROM panel GROUP BY 1 --d:batch_weight_sum batch_missing_frac',
+    'SELECT 86400 + CAST(date_id AS BIGINT)*86400 + time_id*30 AS start_s, count(*) AS "rows", sum(weight) AS batch_weight_sum, avg(CASE WHEN feature_03 IS NULL THEN 1e0 ELSE 0e0 END) AS batch_missing_frac FROM panel GROUP BY 1 --d:batch_weight_sum batch_missing_frac',
     ctes=(PANEL,),
 )
 def stream_tumbling(spark, sf):

@@ -393,8 +393,9 @@ def correlation_spectrum(df: DataFrame, features: Sequence[str], sigma2: float =
     if not math.isfinite(sigma2) or sigma2 <= 0.0:
         raise ValueError("sigma2 must be finite and positive")
     means, scales = standardizer(df, features, impute="mean")
-    z = df.select(*[z_expr(c, means[c], scales[c]).alias(c) for c in features], F.lit(1.0).alias(WEIGHT), F.lit(0.0).alias(TARGET))
-    stats = normal_stats(z, features)
+    names = [f"z{i}" for i in range(len(features))]
+    z = df.select(*[z_expr(c, means[c], scales[c]).alias(n) for c, n in zip(features, names)], F.lit(1.0).alias("one"), F.lit(0.0).alias("none"))
+    stats = normal_stats(z, names, target="none", weight="one")
     if stats.rows <= 1:
         raise ValueError("at least two rows are required")
     values = np.linalg.eigvalsh(stats.g / (stats.rows - 1))

@@ -16,10 +16,14 @@ from panelkit.streaming.serving import TARGET_LAG
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def with_event_time(df: DataFrame, *, seconds_per_step: int = 30) -> DataFrame:
-    """Event time from the integer clock: one day per date, a fixed step per time."""
+def with_event_time(df: DataFrame, *, seconds_per_step: int = 30, origin: int = 86_400) -> DataFrame:
+    """Event time from the integer clock: one day per date, a fixed step per time.
 
-    return df.withColumn("event_time", F.timestamp_seconds(F.col(DATE).cast("long") * 86_400 + F.col(TIME).cast("long") * seconds_per_step))
+    ``origin`` keeps the first row after the epoch, where a fresh watermark would call it late.
+    """
+
+    seconds = F.lit(origin) + F.col(DATE).cast("long") * 86_400 + F.col(TIME).cast("long") * seconds_per_step
+    return df.withColumn("event_time", F.timestamp_seconds(seconds))
 
 
 def drop_late_duplicates(stream: DataFrame, *, delay: str = "1 day", keys: Sequence[str] = KEYS) -> DataFrame:
