@@ -436,7 +436,8 @@ def tail_policy_audit(spark, sf):
     """Policy summary and its equality with the fixed switch on later folds."""
     df, policy = advantage(spark, sf)
     val = policy.apply(df.where(VAL), "adv").withColumn("fixed", gates.tail_switch("base_prediction", "trail_prediction"))
-    return gates.policy_summary(policy).crossJoin(F.broadcast(gates.policy_equivalence(val, policy, fixed="fixed", advantage="adv")))
+    summary = gates.policy_summary(policy).first().asDict()
+    return gates.policy_equivalence(val, policy, fixed="fixed", advantage="adv").withColumns({n: F.lit(v) for n, v in summary.items()})
 
 
 def _diag_sql() -> str:

@@ -31,26 +31,26 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
+# Key columns of the data model are never null, so they join on plain equality and keep the
+# partitioning they already have; other group columns match null with null.
+NEVER_NULL = {"date_id", "time_id", "symbol_id", "fold"}
 
 
 def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Attach one row per group; null keys match null keys, and a keyless table is one literal row.
+    """Attach one row per group; null group values match null.
 
     No broadcast hint: AQE broadcasts the group table once its measured size is under the session
     threshold, and otherwise joins on the keys and splits a skewed key over several tasks.
     """
 
     if not keys:
-        return df.crossJoin(F.broadcast(groups))  # a global aggregate: exactly one row
+        raise ValueError("keys must not be empty")
+    if set(keys) <= NEVER_NULL:
+        return df.join(groups, list(keys), how)
     renamed = groups.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+        condition = condition & (F.col(k) == F.col(f"__key_{k}") if k in NEVER_NULL else F.col(k).eqNullSafe(F.col(f"__key_{k}")))
     return df.join(renamed, condition, how).drop(*[f"__key_{k}" for k in keys])
 
 
@@ -103,7 +103,7 @@ def exact_quantiles(
     names = list(values)
     entries = F.array(*[F.struct(F.lit(n).alias("name"), F.when(S.is_finite(c), S.dbl(c)).alias("v")) for n, c in values.items()])
     long = df.select(group.alias("__g"), F.explode(entries).alias("e")).select("__g", "e.name", "e.v").where("v is not null")
-    accuracy, margin = 10_000, 3e-4
+    accuracy, margin = 4_000, 7.5e-4
     padded = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
     sketch = long.groupBy("__g", "name").agg(
         F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", padded, accuracy).alias("q")
@@ -113,7 +113,8 @@ def exact_quantiles(
         columns[row["__g"], row["name"]] = _Ranks(row, probs, padded, margin, interpolation)
     if len(columns) > 1_000_000:
         raise ValueError("too many quantile groups")
-    small = sum(c.n for c in columns.values()) <= max_values
+    # rows expected inside the first brackets; few enough to list without counting them first
+    small = sum(c.n for c in columns.values()) * min(1.0, 2 * margin * len(probs) + 1e-9) <= max_values
     pending = dict(columns)
     while pending:
         table = _bracket_table(df.sparkSession, long, pending)
@@ -210,11 +211,17 @@ def _narrow(hit: DataFrame, pending: Mapping[tuple, _Ranks], max_values: int) ->
         F.count_if((F.col("v") == F.col("hi")) & (F.col("hi") > F.col("lo"))).alias("at_hi"),
         F.count_if((F.col("j") == 0) | (F.col("v") > F.col("hi"))).alias("between"),
         F.approx_count_distinct(inner).alias("distinct"),
-        F.percentile_approx(inner, [i / 64 for i in range(1, 64)], 10_000).alias("cuts"),
     )
     by_column: dict[tuple, dict[int, object]] = {}
     for r in cells.collect():
         by_column.setdefault((r["__g"], r["name"]), {})[r["j"]] = r
+    wide_cells = [(r["__g"], r["name"], r["j"]) for cells_ in by_column.values() for r in cells_.values() if r["j"] and r["distinct"] > max_values]
+    cuts_of = {}
+    if wide_cells:  # sketches only for the brackets that need narrowing
+        schema = T.StructType([hit.schema["__g"], hit.schema["name"], hit.schema["j"]])
+        some = hit.join(F.broadcast(hit.sparkSession.createDataFrame(wide_cells, schema)), ["__g", "name", "j"])
+        sketch = some.groupBy("__g", "name", "j").agg(F.percentile_approx(inner, [i / 64 for i in range(1, 64)], 2_000).alias("cuts"))
+        cuts_of = {(r["__g"], r["name"], r["j"]): r["cuts"] for r in sketch.collect()}
     for key, column in pending.items():
         running, brackets, wide = 0, [], False
         for j in range(len(column.brackets) + 1):
@@ -226,7 +233,7 @@ def _narrow(hit: DataFrame, pending: Mapping[tuple, _Ranks], max_values: int) ->
                 else:
                     wide = True
                     first = running + r["at_lo"]
-                    cuts = [lo, *r["cuts"], hi]
+                    cuts = [lo, *cuts_of[*key, j], hi]
                     for k in column.ranks:
                         if running <= k < first:
                             brackets.append((lo, lo))
@@ -265,64 +272,84 @@ def tercile_edges(q: Sequence[float | None], low: float | None, high: float | No
 # --------------------------------------------------------------------------- ranks
 
 
-def _hot_edges(df: DataFrame, keys: Sequence[str], value: str, block_rows: int, blocks: int) -> DataFrame | None:
-    """Value edges for groups larger than ``block_rows``; None when no group is.
-
-    At most rows/block_rows groups can be that large, so the edge list stays small.
-    """
+def hot_groups(df: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS) -> list[tuple]:
+    """Groups with more than ``block_rows`` rows. At most rows / block_rows groups can be that large."""
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows)
-    probs = [i / blocks for i in range(1, blocks)]
-    hot = sizes.select(*keys).collect() if keys else sizes.collect()
-    if not hot:
-        return None
+    return [tuple(r[k] for k in keys) for r in sizes.collect()]
+
+
+def _hot_edges(df: DataFrame, keys: Sequence[str], value: str, hot: Sequence[tuple], blocks: int) -> DataFrame:
+    """Value edges that cut each hot group into ``blocks`` parts of similar size."""
+
     spark = df.sparkSession
+    probs = [i / blocks for i in range(1, blocks)]
+    only = df
     if keys:
-        schema = T.StructType([df.schema[k] for k in keys])
-        only = join_groups(df, F.broadcast(spark.createDataFrame([tuple(r) for r in hot], schema)), keys, "left_semi")
-    else:
-        only = df
+        only = join_groups(df, F.broadcast(spark.createDataFrame(list(hot), T.StructType([df.schema[k] for k in keys]))), keys, "left_semi")
     edges = only.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("__edges"))
     # collected once so that every later use sees the same edges, also after a lost executor
     return spark.createDataFrame(edges.collect(), edges.schema)
 
 
 def ordered_counts(
-    df: DataFrame, keys: Sequence[str], value: str, *, counted: Column | None = None, block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS_PER_GROUP
+    df: DataFrame, keys: Sequence[str], value: str, *, counted: Column | None = None, block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS_PER_GROUP,
+    hot: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """Distinct values per group with ``n`` rows each and ``cum`` rows up to and including the value.
 
-    With ``counted`` only rows where it holds are counted, while every value gets a line.
+    With ``counted`` only rows where it holds are counted, while every value gets a line. Groups above
+    ``block_rows`` are cut into blocks of values whose totals are added up first.
     """
 
     rows = df.select(*keys, S.dbl(value).alias("__v"), (F.lit(True) if counted is None else counted).alias("__c")).where("__v is not null")
     counts = rows.groupBy(*keys, "__v").agg(F.count_if("__c").alias("n"))
-    edges = _hot_edges(rows, keys, "__v", block_rows, blocks)
-    if edges is None:
-        if not keys:
-            # one group that is known to be below block_rows
-            return counts.withColumn("cum", F.sum("n").over(Window.orderBy("__v")))
-        return counts.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys).orderBy("__v")))
-    block = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__v"))), F.lit(0))
-    cut = join_groups(counts, F.broadcast(edges), keys).withColumn("__block", block).drop("__edges")
+    hot = hot_groups(rows, keys, block_rows) if hot is None else hot
+    if not hot:
+        order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        return counts.withColumn("cum", F.sum("n").over(order.orderBy("__v")))
+    edges = _hot_edges(rows, keys, "__v", hot, blocks)
+    if keys:
+        block = F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__v"))), F.lit(0))
+        cut = join_groups(counts, F.broadcast(edges), keys).withColumn("__block", block).drop("__edges")
+    else:
+        cut = counts.withColumn("__block", S.total([F.lit(0), *[(F.col("__v") > F.lit(e)).cast("int") for e in edges.first()["__edges"]]]))
     within = cut.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys, "__block").orderBy("__v")))
-    prior = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    prior = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, "__block").agg(F.sum("n").alias("__t"))
     totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(prior), F.lit(0))).drop("__t")
     joined = join_groups(within, totals, [*keys, "__block"])
     return joined.withColumn("cum", F.col("cum") + F.col("__before")).drop("__before", "__block")
 
 
-def with_average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, output: str, *, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """1-based average rank of ``value`` inside its group; null values get a null rank."""
+def with_average_ranks(df: DataFrame, keys: Sequence[str], ranks: Mapping[str, str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """1-based average rank of each value column inside its group; null values get a null rank.
+
+    The group sizes are checked once. While every group fits a task this is one window exchange shared by
+    all columns; otherwise ranks come from value counts cut into blocks and are joined back.
+    """
 
-    ranks = ordered_counts(df, keys, value, block_rows=block_rows)
-    ranks = ranks.select(*keys, "__v", (F.col("cum") - (F.col("n") - 1) / 2).alias(output))
-    tagged = df.withColumn("__v", S.dbl(value))
-    matched = join_groups(tagged, ranks, [*keys, "__v"])
-    return matched.withColumn(output, F.when(F.col("__v").isNotNull(), F.col(output))).drop("__v")
+    if not ranks:
+        return df
+    hot = hot_groups(df, keys, block_rows)
+    if keys and not hot:
+        added = {}
+        for value, output in ranks.items():
+            v = S.dbl(value)
+            ties = F.count(v).over(Window.partitionBy(*keys, v))
+            place = F.rank().over(Window.partitionBy(*keys).orderBy(v.asc_nulls_last()))
+            added[output] = F.when(v.isNotNull(), place + (ties - 1) / 2)
+        return df.withColumns(added)
+    for value, output in ranks.items():
+        table = ordered_counts(df, keys, value, hot=hot)
+        table = table.select(*keys, "__v", (F.col("cum") - (F.col("n") - 1) / 2).alias(output))
+        matched = join_groups(df.withColumn("__v", S.dbl(value)), table, [*keys, "__v"])
+        df = matched.withColumn(output, F.when(F.col("__v").isNotNull(), F.col(output))).drop("__v")
+    return df
+
+
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, output: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return with_average_ranks(df, keys, {value: output}, block_rows=block_rows)
 
 
 # --------------------------------------------------------------------------- look-back windows

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.core import ratio, zsum
 from panelkit.schema import BATCH, DATE, KEYS, SYMBOL, WEIGHT
 
-# Symbols are compared pairwise, so their number is checked before the comparison is planned.
+# Largest profile table that is shared with every task.
 MAX_SYMBOLS = 20_000
 
 
@@ -27,8 +29,8 @@ def nearest_symbols(
 ) -> DataFrame:
     """Edges to the ``n_neighbors`` closest symbols by standardised profile.
 
-    Exact nearest neighbours compare every pair of symbols; the profile table is checked against
-    ``max_symbols`` first. Equal distances are ordered by symbol.
+    The profile table (one line per symbol) is checked against ``max_symbols`` and shared with the tasks;
+    each symbol keeps its nearest ones, so pairs are never emitted. Equal distances are ordered by symbol.
     """
 
     if not columns:
@@ -44,14 +46,27 @@ def nearest_symbols(
     if shape["n"] <= n_neighbors:
         raise ValueError("n_neighbors must be smaller than the number of symbols")
     if shape["n"] > max_symbols:
-        raise ValueError(f"{shape['n']} symbols exceed the pairwise limit of {max_symbols}")
-    scale = {c: shape[f"s_{c}"] if shape[f"s_{c}"] > 1e-12 else 1.0 for c in columns}
-    z = profiles.select(SYMBOL, F.array(*[(F.col(c) - F.lit(shape[f"m_{c}"])) / F.lit(scale[c]) for c in columns]).alias("z"))
-    others = F.broadcast(z.select(F.col(SYMBOL).alias("neighbor_id"), F.col("z").alias("o")))
-    square = F.aggregate(F.zip_with("z", "o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    pairs = z.join(others, F.col(SYMBOL) != F.col("neighbor_id")).select(SYMBOL, "neighbor_id", square.alias("distance"))
-    order = Window.partitionBy(SYMBOL).orderBy("distance", "neighbor_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_neighbors)
+        raise ValueError(f"{shape['n']} symbols exceed the limit of {max_symbols}")
+    mean = np.array([shape[f"m_{c}"] for c in columns])
+    scale = np.array([shape[f"s_{c}"] if shape[f"s_{c}"] > 1e-12 else 1.0 for c in columns])
+    names = list(columns)
+    table = profiles.toPandas()  # at most max_symbols rows, checked above
+    others = table[SYMBOL].to_numpy()
+    z = (table[names].to_numpy(dtype=np.float64) - mean) / scale
+    shared = profiles.sparkSession.sparkContext.broadcast((others, z))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, points = shared.value
+        for batch in batches:
+            out = []
+            for symbol, own in zip(batch[SYMBOL], (batch[names].to_numpy(dtype=np.float64) - mean) / scale):
+                gap = ((points - own) ** 2).sum(axis=1)
+                order = [i for i in np.lexsort((ids, gap)) if ids[i] != symbol][:n_neighbors]
+                out += [(symbol, ids[i], gap[i], r + 1) for r, i in enumerate(order)]
+            yield pd.DataFrame(out, columns=[SYMBOL, "neighbor_id", "distance", "rank"])
+
+    kind = df.schema[SYMBOL].dataType.simpleString()
+    return profiles.mapInPandas(nearest, f"{SYMBOL} {kind}, neighbor_id {kind}, distance double, rank int")
 
 
 def edge_frame(spark: SparkSession, neighbors: dict[int, Sequence[int]]) -> DataFrame:

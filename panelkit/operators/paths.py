@@ -176,7 +176,7 @@ def auxiliary_targets(df: DataFrame, specs: dict[str, dict]) -> DataFrame:
     return df
 
 
-def sequence_window(df: DataFrame, columns: Sequence[str], length: int, output: str = "sequence", *, dates_per_block: int = 64) -> DataFrame:
+def sequence_window(df: DataFrame, columns: Sequence[str], length: int, output: str = "sequence", *, dates_per_block: int = 8) -> DataFrame:
     """Last ``length`` rows of the symbol as an array of feature arrays, left-padded with zeros.
 
     A symbol's history is unbounded, so it is cut into date blocks that repeat the ``length - 1`` rows

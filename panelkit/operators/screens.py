@@ -310,9 +310,8 @@ def null_targets(indexed: DataFrame, kind: str, *, seed: int, rows: int, block_s
         short = blocks * block_size - rows
         table = indexed.sparkSession.range(blocks).withColumnRenamed("id", "block")
         placed = row_index(_hash_order(table, ["block"], seed), ["__b", "__h", "block"], "place", levels=1).select("block", "place")
-        tail = placed.where(F.col("block") == blocks - 1).select(F.col("place").alias("tail_place"))
-        placed = placed.crossJoin(F.broadcast(tail))  # the tail block is one row
-        start = F.col("place") * block_size - F.when(F.col("place") > F.col("tail_place"), short).otherwise(0)
+        tail_place = placed.where(F.col("block") == blocks - 1).first()["place"]
+        start = F.col("place") * block_size - F.when(F.col("place") > F.lit(tail_place), short).otherwise(0)
         moved = y.withColumn("block", number).join(placed, "block")
         return moved.select((start + F.pmod(F.col("i"), F.lit(block_size))).cast("long").alias("i"), "null_y")
     if kind == "date":
@@ -407,7 +406,7 @@ def correlation_spectrum(df: DataFrame, features: Sequence[str], sigma2: float =
     }
 
 
-def acf(df: DataFrame, lags: Sequence[int], *, value: Column | None = None, dates_per_block: int = 64) -> DataFrame:
+def acf(df: DataFrame, lags: Sequence[int], *, value: Column | None = None, dates_per_block: int = 8) -> DataFrame:
     """Autocorrelation of each symbol's series in key order at the given row lags.
 
     The series is unbounded in time, so look-back runs over date blocks that repeat the rows before them.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
-from panelkit.operators.core import ordered_counts, with_average_rank, with_group_stats
+from panelkit.operators.core import with_average_rank, with_average_ranks, with_group_stats
 from panelkit.operators.paths import Projection
 from panelkit.schema import BATCH, SYMBOL, TARGET, TIME, WEIGHT
 
@@ -124,8 +124,7 @@ def context_features(
     for c in ranked:
         stats |= {f"__m_{c}": F.avg(f"__x_{c}"), f"__s_{c}": F.stddev_pop(f"__x_{c}")}
     out = with_group_stats(out, BATCH, stats)
-    for c in ranked:
-        out = with_average_rank(out, BATCH, f"__x_{c}", f"__r_{c}")
+    out = with_average_ranks(out, BATCH, {f"__x_{c}": f"__r_{c}" for c in ranked})
     for c in ranked:
         scale = F.when(F.col(f"__s_{c}") > 1e-12, F.col(f"__s_{c}")).otherwise(1.0)
         out = out.withColumn(f"{c}_ctx_cs_rank", (F.col(f"__r_{c}") - 0.5) / F.col("__n") - 0.5)
@@ -164,8 +163,7 @@ def raw_modes(df: DataFrame, columns: Sequence[str], modes: Sequence[str], *, va
             stats |= {f"__n_{c}": F.count(F.lit(1) if filled else F.col(f"__x_{c}")), f"__m_{c}": F.avg(f"__x_{c}"), f"__s_{c}": deviation(f"__x_{c}")}
         out = with_group_stats(out, BATCH, stats)
     if {"batch_rank", "batch_top_bottom"} & set(batch):
-        for c in columns:
-            out = with_average_rank(out, BATCH, f"__x_{c}", f"__r_{c}")
+        out = with_average_ranks(out, BATCH, {f"__x_{c}": f"__r_{c}" for c in columns})
     for c in columns:
         name, x, n, m, s = safe_name(c), *[F.col(f"__{k}_{c}") for k in "xnms"]
         centred = F.when(n > 1, (F.col(f"__r_{c}") - 1.0) / (n - 1.0) - 0.5).otherwise(0.0)
@@ -215,8 +213,7 @@ def expert_expansions(df: DataFrame, experts: Sequence[str], modes: Sequence[str
             stats |= {f"__m_{c}": F.avg(S.dbl(c)), f"__s_{c}": F.stddev_samp(S.dbl(c))}
         out = with_group_stats(out, BATCH, stats)
         if "batch_rank" in batch:
-            for c in experts:
-                out = with_average_rank(out, BATCH, c, f"__r_{c}")
+            out = with_average_ranks(out, BATCH, {c: f"__r_{c}" for c in experts})
     for c in experts:
         name, m, s = safe_name(c), F.col(f"__m_{c}"), F.col(f"__s_{c}")
         for mode in modes:
@@ -286,12 +283,9 @@ def presample_batch(df: DataFrame, columns: Sequence[str], sample: Column) -> Da
     stats = {"__n": F.count(F.lit(1)), "batch_missing": F.avg(S.missing_count(columns) / F.lit(float(len(columns))))}
     for c in columns:
         stats |= {f"{c}_batch_mean": F.avg(f"__x_{c}"), f"{c}_batch_std": F.coalesce(F.stddev_pop(f"__x_{c}"), F.lit(0.0))}
-    stats_table = out.groupBy(*BATCH).agg(*[e.alias(n) for n, e in stats.items()])
-    ranked = {c: ordered_counts(out, BATCH, f"__x_{c}") for c in columns}
-    out = out.where(sample).join(stats_table, list(BATCH))
+    out = with_average_ranks(out, BATCH, {f"__x_{c}": f"__r_{c}" for c in columns})
+    out = with_group_stats(out, BATCH, stats).where(sample)
     for c in columns:
-        table = ranked[c].select(*BATCH, F.col("__v").alias(f"__x_{c}"), (F.col("cum") - (F.col("n") - 1) / 2).alias(f"__r_{c}"))
-        out = out.join(table, [*BATCH, f"__x_{c}"])
         out = out.withColumn(f"{c}_batch_rank", F.when(F.col("__n") > 1, (F.col(f"__r_{c}") - 1.0) / (F.col("__n") - 1.0) - 0.5).otherwise(0.0))
     return out.drop("__n", *[f"__{k}_{c}" for k in "xr" for c in columns])
 
@@ -303,8 +297,7 @@ def z_and_rank(df: DataFrame, columns: Sequence[str], groups: Sequence[str], suf
     for c in columns:
         stats |= {f"__m_{c}": F.avg(S.dbl(c)), f"__s_{c}": F.stddev_samp(S.dbl(c))}
     out = with_group_stats(df, list(groups), stats)
-    for c in columns:
-        out = with_average_rank(out, list(groups), c, f"__r_{c}")
+    out = with_average_ranks(out, list(groups), {c: f"__r_{c}" for c in columns})
     added = {}
     for c in columns:
         scale = F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0)
@@ -319,7 +312,7 @@ def global_rank_bucket(df: DataFrame, column: str, buckets: int, output: str) ->
 
     if buckets <= 1:
         raise ValueError("buckets must be greater than 1")
+    rows = df.count()
     ranked = with_average_rank(df, [], column, "__rank")
-    ranked = ranked.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__rows"))))
-    share = F.floor((F.col("__rank") - 1.0) / F.col("__rows") * F.lit(buckets))
-    return ranked.withColumn(output, S.clip(share.cast("double"), 0, buckets - 1).cast("int")).drop("__rank", "__rows")
+    share = F.floor((F.col("__rank") - 1.0) / F.lit(rows) * F.lit(buckets))
+    return ranked.withColumn(output, S.clip(share.cast("double"), 0, buckets - 1).cast("int")).drop("__rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.core import zsum
 from panelkit.operators.metrics import R2, r2
+from panelkit.plans.walkforward import TARGET_FOLD, calibration_copies, folds_of
 from panelkit.schema import FOLD
 
 # Fixed report categories: first match wins.
@@ -33,21 +34,18 @@ def nested_select(scores: DataFrame, *, first: str, metric: str = "global_r2", m
     if min_history < 1:
         raise ValueError("min_history must be at least 1")
     pool = scores.where(F.col("candidate_id").isin(list(candidates))) if candidates else scores
-    folds = pool.select(FOLD).distinct()
-    numbered = folds.withColumn("fold_index", F.row_number().over(Window.orderBy(FOLD)) - 1)  # distinct folds only
-    earlier = Window.partitionBy("candidate_id").orderBy(FOLD).rowsBetween(Window.unboundedPreceding, -1)
-    # a candidate may miss folds: history is counted per candidate, on a (candidate x fold) grid
-    grid = pool.select("candidate_id").distinct().crossJoin(F.broadcast(numbered))  # candidates x folds of the score table
-    full = grid.join(pool, ["candidate_id", FOLD], "left")
-    history = {
-        "global_r2": 1.0 - F.try_divide(F.sum("numerator").over(earlier), F.sum("denominator").over(earlier)),
-        "mean_fold_r2": F.avg(R2).over(earlier),
-        "min_fold_r2": F.min(R2).over(earlier),
-    }
-    ranked = full.withColumns({"history_folds": F.count(R2).over(earlier), "selection_score": history[metric]})
-    usable = (F.col("history_folds") >= min_history) & (F.col("fold_index") >= min_history)
-    best = ranked.where(usable).groupBy(FOLD).agg(F.min_by(F.struct("candidate_id", "selection_score", "history_folds"), F.struct(-F.col("selection_score"), F.col("candidate_id"))).alias("b"))
-    chosen = numbered.join(best, FOLD, "left").select(
+    folds = folds_of(pool)
+    past = calibration_copies(pool, folds).groupBy(TARGET_FOLD, "candidate_id").agg(
+        F.count(F.lit(1)).alias("history_folds"),
+        (1.0 - F.try_divide(F.sum("numerator"), F.sum("denominator"))).alias("global_r2"),
+        F.avg(R2).alias("mean_fold_r2"),
+        F.min(R2).alias("min_fold_r2"),
+    )
+    late = F.col(TARGET_FOLD).isin(folds[min_history:])
+    usable = past.where(late & (F.col("history_folds") >= min_history)).withColumn("selection_score", F.col(metric))
+    best = usable.groupBy(TARGET_FOLD).agg(F.min_by(F.struct("candidate_id", "selection_score", "history_folds"), F.struct(-F.col("selection_score"), F.col("candidate_id"))).alias("b"))
+    every = pool.select(FOLD).distinct()
+    chosen = every.join(best, every[FOLD] == best[TARGET_FOLD], "left").select(
         FOLD,
         F.coalesce("b.candidate_id", F.lit(first)).alias("candidate_id"),
         F.col("b.selection_score").alias("selection_score"),

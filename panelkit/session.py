@@ -18,7 +18,7 @@ def build_session(app_name: str = "panelkit", *, master: str | None = None, shuf
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
     )
     if master is not None:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        builder = builder.master(master).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -149,11 +149,11 @@ def scan_oof(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
 def write_oof(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Predictions partitioned by fold, zstd-compressed.
 
-    Partition names keep the fold out of the files; rows are spread over tasks by (fold, date), so a large
-    fold is written by many tasks.
+    The rebalance hint gathers the rows of a fold into few files and lets AQE split a fold that is too
+    large for one task.
     """
 
-    df.repartition(FOLD, DATE).write.mode(mode).option("compression", "zstd").partitionBy(FOLD).parquet(path)
+    df.hint("rebalance", FOLD).write.mode(mode).option("compression", "zstd").partitionBy(FOLD).parquet(path)
 
 
 def write_lag_cache(df: DataFrame, path: str, columns: Sequence[str] = RESPONDERS, *, lag: int = 1, daily: bool = False, mode: str = "overwrite") -> None:
@@ -161,7 +161,7 @@ def write_lag_cache(df: DataFrame, path: str, columns: Sequence[str] = RESPONDER
 
     joined = with_daily_last_lags(df, columns, lag) if daily else with_lags(df, columns, lag)
     names = lag_names(columns, lag, daily=daily)
-    joined.select(*KEYS, *names).repartition(DATE).write.mode(mode).option("compression", "zstd").partitionBy(DATE).parquet(path)
+    joined.select(*KEYS, *names).hint("rebalance", DATE).write.mode(mode).option("compression", "zstd").partitionBy(DATE).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, *, kind: str = "csv", mode: str = "overwrite") -> None:
