@@ -163,13 +163,20 @@ def frozen_rule_wf(spark, sf):
     return studies.frozen_rules(panel(spark, sf), [("feature_00", "z"), ("feature_03", "rank"), ("feature_03", "signed_tail05")])
 
 
-@query("top_features", """SELECT feature, max(valid_r2) AS valid_r2 FROM (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, 1 - sum(weight*(responder_6-a*{e})*(responder_6-a*{e}))/sum(weight*responder_6*responder_6) AS valid_r2 FROM (SELECT *, coalesce({c}, m) AS x FROM panel, (SELECT avg({c}) AS m FROM panel WHERE date_id < 60) WHERE date_id >= 60), (SELECT sum(weight*{e}*responder_6)/sum(weight*{e}*{e}) AS a FROM (SELECT *, coalesce({c}, m) AS x FROM panel, (SELECT avg({c}) AS m FROM panel WHERE date_id < 60) WHERE date_id < 60))"
-    for c in FEATURES for e in ("CAST(sign(x) AS DOUBLE)", "CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END")
-) + ") GROUP BY 1 ORDER BY 2 DESC LIMIT 2 --d:valid_r2", ctes=(PANEL,))
+def _top_sql() -> str:
+    parts = []
+    for c in FEATURES:
+        ms = f"(SELECT m, stddev_pop(coalesce({c}, m)) AS s FROM panel, (SELECT avg({c}) AS m FROM panel WHERE date_id < 60) WHERE date_id < 60 GROUP BY 1)"
+        for e in ("z", "abs(z)"):
+            rows = f"(SELECT date_id < 60 AS t, weight AS w, responder_6 AS y, {e} AS phi FROM (SELECT *, (coalesce({c}, m) - m)/s AS z FROM panel, {ms}))"
+            parts.append(f"SELECT '{c}' AS feature, 1 - sum(w*(y-a*phi)*(y-a*phi))/sum(w*y*y) AS valid_r2 FROM {rows}, (SELECT sum(w*phi*y)/sum(w*phi*phi) AS a FROM {rows} WHERE t) WHERE NOT t")
+    return "SELECT feature, max(valid_r2) AS valid_r2 FROM (" + " UNION ALL ".join(parts) + ") GROUP BY 1 ORDER BY 2 DESC LIMIT 2 --d:valid_r2"
+
+
+@query("top_features", _top_sql(), ctes=(PANEL,))
 def top_features(spark, sf):
     """Two best features by their best view."""
-    screen = SC.univariate_screen(split(spark, sf), FEATURES, ["sign", "positive_indicator"], details=False)
+    screen = SC.univariate_screen(split(spark, sf), FEATURES, ["z", "abs_z"], details=False)
     return selection.top_features(screen, 2).select("feature", "valid_r2")
 
 
