@@ -88,6 +88,9 @@ def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         text = "WITH " + EXPERTS_CTE.replace("FROM panel p LEFT JOIN panel q", "FROM {panel} p LEFT JOIN {panel} q") + " SELECT * FROM oof"
-        return spark.sql(text, panel=panel(spark, sf_dir))
+        rows = spark.sql(text, panel=panel(spark, sf_dir))
+        # the temporary view behind the named argument takes the cached panel with it when it is dropped
+        panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return rows
 
     return _remember(spark, sf_dir, "oof", build)
