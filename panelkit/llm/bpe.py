@@ -4,14 +4,17 @@ A token sequence is the BPE encoding of its bytes exactly when each two neighbou
 encoding of every prefix is fixed by its last token, and reading one more byte needs only the last tokens of the prefixes
 at which a token may still begin. The transducer's state is the token before the last settled boundary and the bytes
 after it; a boundary is settled, and the tokens before it are emitted, as soon as every token that could still begin
-leads through it. States and transitions are made when first met and then looked up.
+leads through it. States and transitions are made for what is met again and again and then looked up; the ends of rare
+pieces are read by the same steps without making states for them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 
 from panelkit.llm.text import document_columns, per_batch
 
-#: Learned states and pieces are forgotten beyond these counts; they bound memory and change no result.
+#: Learned states, pieces are forgotten beyond these counts; they bound memory and change no result.
 MAX_STATES = 200_000
-MAX_PIECES = 400_000
+MAX_PIECES = 250_000
 #: Longer pieces aren't remembered.
 PIECE_CHARS = 48
+#: So many times a state may miss a transition before it gets any.
+RARE = 8
 #: Characters that are split into pieces at once.
 BLOCK_CHARS = 1 << 20
 #: Token ids that are decoded at once.
@@ -39,15 +44,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The definition: join the neighbours of the lowest rank, the leftmost first, until none can be joined."""
+def merged(piece: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[bytes]:
+    """The definition: join the neighbours of the lowest rank (under `below`), the leftmost first, until none can be joined."""
 
+    none = max(ranks.values()) + 1 if below is None else below
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], len(ranks) * 2), i))
-        if parts[best] + parts[best + 1] not in ranks:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+        if rank >= none:
             break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
 
@@ -59,111 +65,204 @@ class BpeTransducer:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.begins = {token[:n] for token in ranks for n in range(1, len(token))}
+        #: Of each token and each beginning of one: 2 * (token or -1) + (1 if a longer token begins so).
+        self.parts = {token: 2 * rank for token, rank in ranks.items()}
+        for token in ranks:
+            for n in range(1, len(token)):
+                self.parts[token[:n]] = self.parts.get(token[:n], -2) | 1
         self.longest = max(map(len, ranks))
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.keys: list[tuple[int, bytes]] = [(-1, b"")]
-        self.known: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.ends: list[tuple[int, ...] | None] = [None]
+        self.known: dict[tuple[int, bytes], int] = {}
+        self.states: list[tuple[bytes, list[int], list[int], list[int]]] = []
+        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.ends: list[tuple[int, ...] | None] = []
+        self.missed: list[int] = []
+        self._state(b"", [-1], [0], [0])
+
+    def _split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose join makes this one last; (token, token) for a byte, None if no joins of lower ranks do."""
+
+        if token not in self._halves:
+            whole = self.tokens[token]
+            parts = merged(whole, self.ranks, below=token)
+            self._halves[token] = (token, token) if len(whole) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self._halves[token]
 
     def _fit(self, left: int, right: int) -> bool:
-        """May these tokens stand side by side? left -1: right begins the piece."""
+        """May these tokens stand side by side? left -1: right begins the piece.
+
+        The joins that made both are undone, the latest first: they stand unless, at some time, the neighbours across the
+        border could have been joined before the next of those joins.
+        """
 
         found = self._fits.get((left, right))
-        if found is None:
-            if len(self._fits) > 4 * MAX_STATES:
-                self._fits.clear()
-            pair = [self.tokens[right]] if left < 0 else [self.tokens[left], self.tokens[right]]
-            found = self._fits[left, right] = merged(b"".join(pair), self.ranks) == pair
+        if found is not None:
+            return found
+        if len(self._fits) > 4 * MAX_STATES:
+            self._fits.clear()
+        self._fits[left, right] = found = self._undo(left, right)
         return found
 
-    def _lattice(self, before: int, tail: bytes) -> tuple[list[int], list[int]]:
-        """For each prefix of tail, its last token and where that begins (-1 where a token would cross the base)."""
-
-        last, start = [before], [0]
-        for end in range(1, len(tail) + 1):
-            found = (-1, -1)
-            for begin in range(max(0, end - self.longest), end):
-                token = self.ranks.get(tail[begin:end])
-                if token is not None and (begin == 0 or start[begin] >= 0) and self._fit(last[begin], token):
-                    found = (token, begin)
-                    break
-            last.append(found[0])
-            start.append(found[1])
-        return last, start
-
-    @staticmethod
-    def _path(last: list[int], start: list[int], end: int) -> list[tuple[int, int]]:
-        """(boundary, token that ends there) from the base up to end."""
-
-        out = []
-        while end > 0:
-            out.append((end, last[end]))
-            end = start[end]
-        return out[::-1]
-
-    def _state(self, key: tuple[int, bytes]) -> int:
+    def _undo(self, left: int, right: int) -> bool:
+        a, b, before = left, right, len(self.tokens)
+        while True:
+            undo_a, undo_b = self._split(a) if left >= 0 else (a, a), self._split(b)
+            if undo_a is None or undo_b is None:  # made by joins of higher ranks, or not at all: follow the definition
+                pair = [self.tokens[t] for t in (left, right) if t >= 0]
+                return merged(b"".join(pair), self.ranks) == pair
+            if left < 0:
+                return True
+            across = self.ranks.get(self.tokens[a] + self.tokens[b])
+            # of equal ranks the leftmost join goes first: the border's comes before joins inside b, after those inside a
+            if across is not None and across < before:
+                return False
+            whole_a, whole_b = undo_a[0] == a, undo_b[0] == b
+            if whole_a and whole_b:
+                return True
+            if not whole_a and (whole_b or a > b):
+                a, before = undo_a[1], a
+            else:
+                b, before = undo_b[0], b + 1
+
+    def _state(self, tail: bytes, last: list[int], start: list[int], alive: list[int]) -> int:
+        """tail: bytes since the settled boundary; of each prefix of it, last token (last[0]: the one before the boundary)
+        and where that begins (-1: it can't be reached); alive: where a token may have begun that isn't ended."""
+
+        key = (last[0], tail)
         at = self.known.get(key)
         if at is None:
-            at = self.known[key] = len(self.keys)
-            self.keys.append(key)
+            at = self.known[key] = len(self.states)
+            self.states.append((tail, last, start, alive))
             self.arcs.append({})
             self.ends.append(None)
+            self.missed.append(0)
         return at
 
+    @staticmethod
+    def _path(last: list[int], start: list[int], end: int) -> tuple[int, ...]:
+        out = []
+        while end > 0:
+            out.append(last[end])
+            end = start[end]
+        return tuple(out[::-1])
+
+    def _read(self, tail: bytes, last: list[int], start: list[int], alive: list[int]) -> list[int]:
+        """Take one prefix more of tail into last and start; returns the new alive places."""
+
+        end, found, part_of = len(last), (-1, -1), self.parts.get
+        still = []
+        for begin in alive:
+            part = part_of(tail[begin:end], -2)
+            if part >= 0 and found[1] < 0:
+                token = part >> 1
+                fits = self._fits.get((last[begin], token))
+                if self._fit(last[begin], token) if fits is None else fits:
+                    found = (token, begin)
+            if part & 1:
+                still.append(begin)
+        last.append(found[0])
+        start.append(found[1])
+        if found[1] >= 0:
+            still.append(end)
+        return still
+
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, tail = self.keys[state]
-        tail += bytes((byte,))
-        last, start = self._lattice(before, tail)
-        alive = [p for p in range(len(tail) + 1) if (p == 0 or start[p] >= 0) and (p == len(tail) or tail[p:] in self.begins)]
-        paths = [self._path(last, start, p) for p in alive]
-        settled = max(set.intersection(*({b for b, _ in path} for path in paths)), default=0) if 0 not in alive else 0
-        emitted = tuple(t for b, t in paths[0] if b <= settled) if settled else ()
-        out = (self._state((emitted[-1] if emitted else before, tail[settled:])), emitted)
-        self.arcs[state][byte] = out
+        tail, last, start, alive = self.states[state]
+        tail, last, start = tail + bytes((byte,)), [*last], [*start]
+        alive = self._read(tail, last, start, alive)
+        heads = set(alive)
+        while len(heads) > 1:  # back to the last boundary that all of them come through
+            far = max(heads)
+            heads.remove(far)
+            heads.add(start[far])
+        settled = heads.pop()
+        emitted = self._path(last, start, settled)
+        if settled:
+            last, alive = last[settled:], [p - settled for p in alive]
+            start = [0, *(p - settled if p >= settled else -1 for p in start[settled + 1 :])]
+        out = self.arcs[state][byte] = (self._state(tail[settled:], last, start, alive), emitted)
         return out
 
-    def _end(self, state: int) -> tuple[int, ...]:
-        before, tail = self.keys[state]
-        last, start = self._lattice(before, tail)
-        found = self.ends[state] = tuple(t for _, t in self._path(last, start, len(tail)))
-        return found
+    def _rest(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """The ids from a state to the end of the piece: _read() again and again, without making states."""
+
+        tail, last, start, alive = self.states[state]
+        begun, tail, last, start = len(tail) + 1, tail + rest, [*last], [*start]
+        part_of, fit_of = self.parts.get, self._fits.get
+        for end in range(begun, len(tail) + 1):
+            token, at, still = -1, -1, []
+            for begin in alive:
+                part = part_of(tail[begin:end], -2)
+                if at < 0 and part >= 0:
+                    pair = (last[begin], part >> 1)
+                    fits = fit_of(pair)
+                    if self._fit(*pair) if fits is None else fits:
+                        token, at = part >> 1, begin
+                if part & 1:
+                    still.append(begin)
+            last.append(token)
+            start.append(at)
+            if at >= 0:
+                still.append(end)
+            alive = still
+        return self._path(last, start, len(tail))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.keys) > MAX_STATES:
+        if len(self.states) > MAX_STATES:
             self._forget()
         out: list[int] = []
         state, arcs = 0, self.arcs
-        for byte in piece:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
+        for at, byte in enumerate(piece):
+            arc = arcs[state].get(byte)
+            if arc is None:
+                self.missed[state] += 1
+                if self.missed[state] <= RARE and len(piece) <= PIECE_CHARS:
+                    out += self._rest(state, piece[at:])
+                    return out
+                arc = self._arc(state, byte)
             state = arc[0]
             if arc[1]:
                 out += arc[1]
         ends = self.ends[state]
-        out += self._end(state) if ends is None else ends
+        if ends is None:
+            tail, last, start, _ = self.states[state]
+            ends = self.ends[state] = self._path(last, start, len(tail))
+        out += ends
         return out
 
 
-class _Pieces(dict):
-    """Piece of text -> its ids as little-endian 32-bit integers."""
+def _pack(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+class _Remembered(dict):
+    """Results of a function by text. When it is full, what was not asked for since it was last full is forgotten."""
 
-    def __init__(self, transducer: BpeTransducer):
-        self.transducer = transducer
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.find(text)
+            if len(text) > PIECE_CHARS:
+                return found
+        if len(self) >= MAX_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[text] = found
+        return found
 
 
 _SAFE_CUT = regex.compile(r"\p{L}(?= \p{L})")
@@ -189,7 +288,7 @@ class Tokenizer:
         self.transducer = BpeTransducer(read_ranks(path))
         self.tokens = self.transducer.tokens
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Remembered(lambda piece: _pack(self.transducer.encode(piece.encode())))
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian 32-bit integers."""

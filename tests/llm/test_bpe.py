@@ -17,6 +17,12 @@ def known():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
 
 
+@pytest.fixture(autouse=True, params=[0, 4])
+def rare(request, monkeypatch):
+    """With and without states for what is met first."""
+    monkeypatch.setattr(bpe, "RARE", request.param)
+
+
 @pytest.fixture(scope="module")
 def coder():
     return Tokenizer(PATH, public_tokenizers.PATTERN)
@@ -61,17 +67,26 @@ def test_small_vocabularies_with_ties_and_unreachable_tokens():
 def test_lookahead_stays_bounded(coder):
     machine = BpeTransducer(coder.transducer.ranks)
     machine.encode(b"=" * 5000 + b"the" * 2000)
-    assert max(len(tail) for _, tail in machine.keys) <= 2 * machine.longest
+    assert max(len(tail) for tail, *_ in machine.states) <= 2 * machine.longest
 
 
 def test_forgetting_changes_nothing(known, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 20)
     monkeypatch.setattr(bpe, "MAX_PIECES", 5)
+    monkeypatch.setattr(bpe, "RARE", 0)
     small = Tokenizer(PATH, public_tokenizers.PATTERN)
     text = "Thntblere of then, edtioner in inea that esly " * 3
     assert np.frombuffer(small.encode(text), "<u4").tolist() == known.encode_ordinary(text)
 
 
+def test_words_and_white_space(coder, known):
+    rng = random.Random(3)
+    parts = ["a", "É", "9", " ", " ", "  ", "\n", "\x1c", "\xa0", "'s", "!", ".x", "\t", "東"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randrange(0, 12)))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == known.encode_ordinary(text), repr(text)
+
+
 def test_blocks_cut_where_pieces_end(known):
     text = "".join(random.Random(2).choices(["word", " ", "  ", "É", " x", "\n", "9", "!", "'s"], k=4000))
     parts = list(bpe.blocks(text, 50))
