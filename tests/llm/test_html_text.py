@@ -89,7 +89,7 @@ def test_edge_rows(spark):
 
 
 def test_fit_on_a_table(spark):
-    table = spark.createDataFrame([*sample_pages(60, seed=8), (None, "x"), ("", None)], "html string, main string")
-    model = html_text.fit_table(table, rounds=60)
+    table = spark.createDataFrame([*sample_pages(150, seed=8), (None, "x"), ("", None)], "html string, main string")
+    model = html_text.fit_table(table, rounds=150)
     page = blocks("<body><nav><a href=x>Home</a></nav><article><p>Here is a text, and it goes on for a while.</p></article><footer>c</footer>")
     assert main_text(page, model.decode([features(page)])[0]) == "Here is a text, and it goes on for a while."
