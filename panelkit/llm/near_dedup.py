@@ -30,6 +30,8 @@ BANDS, ROWS = 20, 5
 DARTS = 5
 #: Buckets of so many documents or fewer are compared in full.
 SMALL_BUCKET = 16
+#: Up to so many candidate ids are sent to the tasks that read the texts (16 MB of longs); beyond, the texts are shuffled.
+BROADCAST_IDS = 2_000_000
 #: Height of the lowest cell of the grid; each next cell is as high as all below it.
 CELL = 1 / 64
 
@@ -208,9 +210,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
     sketch = shared_table(sketches(source, weighted=weighted, bands=bands, rows=rows), "sketches")
     named = sketch.where("doc_id is not null and set_key is not null")
     folded = shared_table(named.groupBy("set_key").agg(F.min("doc_id").alias("head"), F.min("keys").alias("keys")), "heads")
-    heads = folded.groupBy(F.col("head").alias("doc_id")).agg(F.min("keys").alias("keys"))
+    heads = folded.select(F.col("head").alias("doc_id"), "keys")
     pairs = shared_table(candidate_pairs(heads, bands), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = shared_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to their ids
+        wanted = F.broadcast(wanted)
     sets = _shingle_sets(source.join(wanted, "doc_id", "left_semi"), weighted).dropDuplicates(["doc_id"])
     sets = shared_table(sets, "sets")
 

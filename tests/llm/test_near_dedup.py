@@ -118,6 +118,11 @@ def test_large_bucket_is_not_compared_pair_by_pair(documents):
     assert {r["class_id"] for r in near_duplicates(docs).collect()} == {0}
 
 
+def test_shuffled_texts_give_the_same(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    test_weights(documents, False)
+
+
 def test_edge_rows(documents):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, None), (3, "")]
     got = near_duplicates(documents(rows)).collect()
