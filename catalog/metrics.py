@@ -575,7 +575,7 @@ def fold_causality_check(spark, sf):
     return fo.assign_folds(panel(spark, sf), folds).groupBy("fold").agg(F.count(F.lit(1)).alias("rows")).join(checked, "fold").select("fold", "is_causal", "rows")
 
 
-@query("leakage_check")
+@query("leakage_check", 'SELECT count(*) AS "rows", 4 AS features, true AS target_rejected FROM panel', ctes=(PANEL,))
 def leakage_check(spark, sf):
     """Feature list checked for target and responder columns, then profiled."""
     from panelkit.schema import feature_columns, reject_target_columns

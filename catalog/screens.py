@@ -84,7 +84,11 @@ def permutation_null(spark, sf):
     return SC.null_screen(df, views, ["feature", "transform"], kinds=["iid"], runs=2)
 
 
-@query("null_targets")
+@query(
+    "null_targets",
+    " UNION ALL ".join(f"SELECT '{k}' AS null_kind, count(*) AS \"rows\", count(*) AS positions, 0 AS lo, count(*) - 1 AS hi, sum(responder_6) AS total FROM panel" for k in SC.NULL_KINDS) + " --d:total",
+    ctes=(PANEL,),
+)
 def null_targets(spark, sf):
     """Four kinds of permuted targets keep the multiset of target values."""
     df = panel(spark, sf)
@@ -219,8 +223,7 @@ def periodogram(spark, sf):
 @query("hill_tail", "SELECT 100e0/sum(ln(x/e)) AS hill_index FROM (SELECT x, min(x) OVER () AS e FROM (SELECT abs(responder_6) AS x FROM panel WHERE responder_6 <> 0 ORDER BY 1 DESC LIMIT 101)) --d:hill_index", ctes=(PANEL,))
 def hill_tail(spark, sf):
     """Hill index of the 100 largest magnitudes."""
-    df = panel(spark, sf)
-    return df.agg(F.lit(SC.hill_index(df, 100)).alias("hill_index"))
+    return SC.hill_table(panel(spark, sf), 100)
 
 
 DIGITS = {"l_extendedprice": "l_extendedprice", "l_discount": "l_discount"}

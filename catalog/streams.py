@@ -39,7 +39,7 @@ def sink_oof(spark, sf):
     return io.scan_partitioned(spark, path).select("fold", *KEYS, "weight", "base_prediction")
 
 
-@query("scan_oof")
+@query("scan_oof", f"SELECT fold, {K}, (base_prediction + trail_prediction) / 2e0 AS prediction, 2 AS members FROM oof --d:prediction", ctes=(PANEL, OOF))
 def scan_oof(spark, sf):
     """Two written prediction tables checked for equal folds and averaged."""
     from panelkit.operators.lags import average_members
@@ -183,7 +183,14 @@ def stream_tumbling(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
-@query("prior_state")
+@query(
+    "prior_state",
+    " UNION ALL ".join(
+        f"SELECT {k} AS k, {1000 if k == 1 else 0} + sum(weight * {c} * responder_6) AS rhs, 1000 + sum(weight * {c} * {c}) AS diagonal, 0.95e0 AS forgetting FROM oof" for k, c in enumerate(EXPERTS)
+    ) + " --d:rhs diagonal forgetting",
+    ctes=(PANEL, OOF),
+    digits=4,
+)
 def prior_state(spark, sf):
     """Prior plus out-of-fold Gram as the initial serving state."""
     start = serving.RlsState.from_oof(oof(spark, sf), EXPERTS, alpha=1000.0, forgetting=0.95, prior_feature=EXPERTS[1])

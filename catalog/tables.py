@@ -96,7 +96,14 @@ def report_category(spark, sf):
     return table(spark, sf, "part").groupBy(S.report_category("p_name", REPORT_CATEGORIES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("schema_select")
+@query(
+    "schema_select",
+    """SELECT count(o.feature_00) AS feature_00, count(o.feature_01) AS feature_01, count(o.feature_02) AS feature_02, count(o.feature_03) AS feature_03,
+              count(q.responder_0) AS responder_0_lag_1, count(q.responder_6) AS responder_6_lag_1,
+              count(o.base_prediction) AS base_prediction, count(o.trail_prediction) AS trail_prediction, count(o.linear_prediction) AS linear_prediction
+       FROM oof o LEFT JOIN oof q ON q.date_id + 1 = o.date_id AND q.time_id = o.time_id AND q.symbol_id = o.symbol_id""",
+    ctes=(PANEL, OOF),
+)
 def schema_select(spark, sf):
     """Features, lags and experts found by name conventions, aggregated."""
     df = lags.with_lags(oof(spark, sf), ["responder_0", "responder_6"])
@@ -144,13 +151,12 @@ def bucket_filter(spark, sf):
 @query(
     "stride_sample",
     """SELECT fold, date_id, time_id, symbol_id FROM (
-         SELECT *, row_number() OVER (PARTITION BY fold ORDER BY date_id, time_id, symbol_id) AS k FROM (
-           SELECT *, row_number() OVER (ORDER BY fold, date_id, time_id, symbol_id) - 1 AS i FROM oof) WHERE i % 7 = 0) WHERE k <= 300""",
+         SELECT *, row_number() OVER (ORDER BY fold, date_id, time_id, symbol_id) - 1 AS i FROM oof) WHERE i % 7 = 0""",
     ctes=(PANEL, OOF),
 )
 def stride_sample(spark, sf):
-    """Every 7th row in key order, at most 300 per fold."""
-    return sampling.stride_sample(oof(spark, sf), 7, 300).select("fold", *KEYS)
+    """Every 7th row in key order."""
+    return sampling.stride_sample(oof(spark, sf), 7).select("fold", *KEYS)
 
 
 @query("grid_sample", "SELECT date_id, time_id, symbol_id FROM panel WHERE date_id % 3 = 0 AND time_id % 2 = 0", ctes=(PANEL,))
@@ -416,7 +422,12 @@ def distinct_keys(spark, sf):
     return oof(spark, sf).select("fold", "date_id").distinct()
 
 
-@query("list_parse")
+@query(
+    "list_parse",
+    "SELECT date_id, time_id, symbol_id, " + ", ".join(f"{c} * {s} AS {c}_x{s}" for c in ("feature_00", "feature_02") for s in (2, 4, 8))
+    + " FROM panel --d:" + " ".join(f"{c}_x{s}" for c in ("feature_00", "feature_02") for s in (2, 4, 8)),
+    ctes=(PANEL,),
+)
 def list_parse(spark, sf):
     """Validated column and window lists drive a projection."""
     df = panel(spark, sf)

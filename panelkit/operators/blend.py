@@ -32,7 +32,7 @@ def convex(left: str, right: str, weight: Column | float) -> Column:
 
 def add_convex(df: DataFrame, left: str, right: str, weight: float, output: str = "blend_prediction") -> DataFrame:
     if not 0.0 <= weight <= 1.0:
-        raise ValueError("blend weight must be in [0, 1]")
+        raise ValueError("the share of a blend lies between 0 and 1")
     return df.withColumn(output, convex(left, right, weight))
 
 
@@ -91,21 +91,21 @@ def simplex_weights(stats: Normal) -> np.ndarray:
 
 def fit_simplex(df: DataFrame, predictions: Sequence[str], *, target: str = TARGET, weight: str = WEIGHT) -> dict[str, float]:
     if not predictions:
-        raise ValueError("predictions must not be empty")
+        raise ValueError("there is nothing to blend")
     assert_rows(df, {"negative weights": S.dbl(weight) < 0})
     stats = normal_stats(df, predictions, target=target, weight=weight)
     if stats.weight_sum <= 0.0:
-        raise ValueError("sum of weights must be positive")
+        raise ValueError("shares that add up to nothing can't be scaled to 1")
     return dict(zip(predictions, (float(v) for v in simplex_weights(stats))))
 
 
 def add_simplex(df: DataFrame, weights: Mapping[str, float], output: str = "ensemble_prediction") -> DataFrame:
     if not weights:
-        raise ValueError("weights must not be empty")
+        raise ValueError("a blend needs one share or more")
     if abs(sum(weights.values()) - 1.0) > 1e-6:
-        raise ValueError("weights must sum to 1")
+        raise ValueError("the shares of a blend add up to 1")
     if any(v < -1e-12 for v in weights.values()):
-        raise ValueError("weights must be non-negative")
+        raise ValueError("a share of a blend is 0 or more")
     return df.withColumn(output, S.total([S.dbl(c) * F.lit(float(v)) for c, v in weights.items()]))
 
 

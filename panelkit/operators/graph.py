@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.core import ratio, zsum
 from panelkit.schema import BATCH, DATE, KEYS, SYMBOL, WEIGHT
 
-# Largest profile table that is shared with every task.
-MAX_SYMBOLS = 20_000
+# Symbols of one block; two blocks meet in a task.
+BLOCK_SYMBOLS = 4_000
 
 
 def symbol_profiles(df: DataFrame, columns: Sequence[str], start: int, end: int) -> DataFrame:
@@ -25,18 +25,19 @@ def symbol_profiles(df: DataFrame, columns: Sequence[str], start: int, end: int)
 
 
 def nearest_symbols(
-    df: DataFrame, columns: Sequence[str], *, start: int, end: int, n_neighbors: int = 5, max_symbols: int = MAX_SYMBOLS
+    df: DataFrame, columns: Sequence[str], *, start: int, end: int, n_neighbors: int = 5, block_size: int = BLOCK_SYMBOLS
 ) -> DataFrame:
     """Edges to the ``n_neighbors`` closest symbols by standardised profile.
 
-    The profile table (one line per symbol) is checked against ``max_symbols`` and shared with the tasks;
-    each symbol keeps its nearest ones, so pairs are never emitted. Equal distances are ordered by symbol.
+    Profiles are dealt into blocks. Each pair of blocks is one group: the symbols of the first keep their nearest ones of
+    the second, so a group holds two blocks and gives no more than ``n_neighbors`` rows per symbol; the nearest over all
+    blocks follow from those. Equal distances are ordered by symbol.
     """
 
     if not columns:
-        raise ValueError("symbol graph columns must not be empty")
-    if n_neighbors <= 0:
-        raise ValueError("n_neighbors must be positive")
+        raise ValueError("profiles need one column or more")
+    if n_neighbors < 1:
+        raise ValueError("each symbol has one neighbour or more")
     profiles = symbol_profiles(df, columns, start, end)
     shape = profiles.agg(
         F.count(F.lit(1)).alias("n"),
@@ -44,36 +45,37 @@ def nearest_symbols(
         *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
     ).first()
     if shape["n"] <= n_neighbors:
-        raise ValueError("n_neighbors must be smaller than the number of symbols")
-    if shape["n"] > max_symbols:
-        raise ValueError(f"{shape['n']} symbols exceed the limit of {max_symbols}")
-    mean = np.array([shape[f"m_{c}"] for c in columns])
-    scale = np.array([shape[f"s_{c}"] if shape[f"s_{c}"] > 1e-12 else 1.0 for c in columns])
-    names = list(columns)
-    table = profiles.toPandas()  # at most max_symbols rows, checked above
-    others = table[SYMBOL].to_numpy()
-    z = (table[names].to_numpy(dtype=np.float64) - mean) / scale
-    shared = profiles.sparkSession.sparkContext.broadcast((others, z))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, points = shared.value
-        for batch in batches:
-            out = []
-            for symbol, own in zip(batch[SYMBOL], (batch[names].to_numpy(dtype=np.float64) - mean) / scale):
-                gap = ((points - own) ** 2).sum(axis=1)
-                order = [i for i in np.lexsort((ids, gap)) if ids[i] != symbol][:n_neighbors]
-                out += [(symbol, ids[i], gap[i], r + 1) for r, i in enumerate(order)]
-            yield pd.DataFrame(out, columns=[SYMBOL, "neighbor_id", "distance", "rank"])
-
+        raise ValueError(f"{shape['n']} symbols can't have {n_neighbors} neighbours each")
+    blocks = max(1, -(-shape["n"] // block_size))
+    scaled = [((F.col(c) - F.lit(shape[f"m_{c}"])) / F.lit(shape[f"s_{c}"] if shape[f"s_{c}"] > 1e-12 else 1.0)).alias(f"__z{i}") for i, c in enumerate(columns)]
+    points = profiles.select(SYMBOL, *scaled, F.pmod(F.xxhash64(SYMBOL), F.lit(blocks)).cast("int").alias("__block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = points.select("*", every.alias("__other"), F.lit(True).alias("__asks")).withColumnsRenamed({"__block": "__from", "__other": "__to"})
+    asked = points.select("*", every.alias("__other"), F.lit(False).alias("__asks")).withColumnsRenamed({"__block": "__to", "__other": "__from"})
+    names = [f"__z{i}" for i in range(len(columns))]
     kind = df.schema[SYMBOL].dataType.simpleString()
-    return profiles.mapInPandas(nearest, f"{SYMBOL} {kind}, neighbor_id {kind}, distance double, rank int")
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        own, others = group[group["__asks"]], group[~group["__asks"]]
+        points, ids = others[names].to_numpy(np.float64), others[SYMBOL].to_numpy()
+        out = []
+        for symbol, at in zip(own[SYMBOL].to_numpy(), own[names].to_numpy(np.float64)):
+            gap = ((points - at) ** 2).sum(axis=1)
+            order = np.lexsort((ids, gap))
+            order = order[ids[order] != symbol][:n_neighbors]
+            out.append(pd.DataFrame({SYMBOL: symbol, "neighbor_id": ids[order], "distance": gap[order]}))
+        return pd.concat(out) if out else pd.DataFrame({SYMBOL: [], "neighbor_id": [], "distance": []})
+
+    close = asking.unionByName(asked).groupBy("__from", "__to").applyInPandas(nearest, f"{SYMBOL} {kind}, neighbor_id {kind}, distance double")
+    rank = F.row_number().over(Window.partitionBy(SYMBOL).orderBy("distance", "neighbor_id"))
+    return close.withColumn("rank", rank.cast("int")).where(F.col("rank") <= n_neighbors)
 
 
 def edge_frame(spark: SparkSession, neighbors: dict[int, Sequence[int]]) -> DataFrame:
     """Edges from a fitted neighbour map."""
 
     if not neighbors:
-        raise ValueError("symbol graph must contain neighbors")
+        raise ValueError("the graph has no edges")
     return spark.createDataFrame([(s, n) for s, ns in neighbors.items() for n in ns], f"{SYMBOL} int, neighbor_id int")
 
 

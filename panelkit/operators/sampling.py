@@ -56,34 +56,19 @@ def row_index(df: DataFrame, order: Sequence[str], output: str = "row_index", *,
     return numbered.withColumn(output, (F.col("__before") + F.col("__k")).cast("long")).drop("__k", "__before")
 
 
-def stride_sample(df: DataFrame, stride: int, max_rows_per_fold: int | None = None) -> DataFrame:
-    """Every ``stride``-th row in key order, and of those the first ``max_rows_per_fold`` of each fold."""
+def stride_sample(df: DataFrame, stride: int) -> DataFrame:
+    """Every ``stride``-th row in key order over all folds."""
 
-    if stride <= 0:
-        raise ValueError("sample stride must be positive")
-    kept = row_index(df, [FOLD, *KEYS], "__i").where(F.pmod(F.col("__i"), F.lit(stride)) == 0)
-    if max_rows_per_fold:
-        starts = kept.groupBy(FOLD).agg(F.min("__i").alias("__first"))
-        kept = kept.join(starts, FOLD).where(F.col("__i") < F.col("__first") + stride * max_rows_per_fold).drop("__first")
-    return kept.drop("__i")
-
-
-def capped_stride(df: DataFrame, cap: int, order: Sequence[str] = KEYS) -> DataFrame:
-    """Every k-th row with the smallest k that leaves at most ``cap`` rows."""
-
-    if cap <= 0:
-        raise ValueError("cap must be positive")
-    n = df.count()
-    if n <= cap:
-        return df
-    return row_index(df, order, "__i").where(F.pmod(F.col("__i"), F.lit(math.ceil(n / cap))) == 0).drop("__i")
+    if stride < 1:
+        raise ValueError(f"a stride of {stride} keeps no rows; the least is 1")
+    return row_index(df, [FOLD, *KEYS], "__i").where(F.pmod(F.col("__i"), F.lit(stride)) == 0).drop("__i")
 
 
 def recent_days(df: DataFrame, days: int) -> DataFrame:
     """Rows of the last ``days`` dates. The bound is a literal, so it prunes date partitions."""
 
-    if days <= 0:
-        raise ValueError("days must be positive")
+    if days < 1:
+        raise ValueError(f"the last {days} days hold no rows; ask for 1 or more")
     last = df.agg(F.max(DATE)).first()[0]
     return df if last is None else df.where(F.col(DATE) > F.lit(last - days))
 

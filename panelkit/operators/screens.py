@@ -206,7 +206,7 @@ def binned_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFra
     """Mutual information of two columns over quantile bins with distinct edges."""
 
     if bins < 2:
-        raise ValueError("bins must be at least 2")
+        raise ValueError("mutual information takes two bins or more")
     finite = df.where(S.is_finite(x) & S.is_finite(y)).select(S.dbl(x).alias("x"), S.dbl(y).alias("y"))
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(finite, {"x": F.col("x"), "y": F.col("y")}, probs)[0]
@@ -319,7 +319,7 @@ def null_targets(indexed: DataFrame, kind: str, *, seed: int, rows: int, block_s
         order = Window.orderBy(F.xxhash64(F.col(DATE).cast("long"), F.lit(seed)), DATE).rowsBetween(Window.unboundedPreceding, -1)
         dates = dates.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)))  # calendar only
         return y.join(dates, DATE).select((F.col("start") + F.col("i") - F.col("first")).cast("long").alias("i"), "null_y")
-    raise ValueError(f"unknown null kind: {kind}")
+    raise ValueError(f"no null target is made by {kind!r}")
 
 
 def _mix(seed: int) -> int:
@@ -390,13 +390,13 @@ def correlation_spectrum(df: DataFrame, features: Sequence[str], sigma2: float =
     """
 
     if not math.isfinite(sigma2) or sigma2 <= 0.0:
-        raise ValueError("sigma2 must be finite and positive")
+        raise ValueError("the noise variance is a finite number above 0")
     means, scales = standardizer(df, features, impute="mean")
     names = [f"z{i}" for i in range(len(features))]
     z = df.select(*[z_expr(c, means[c], scales[c]).alias(n) for c, n in zip(features, names)], F.lit(1.0).alias("one"), F.lit(0.0).alias("none"))
     stats = normal_stats(z, names, target="none", weight="one")
     if stats.rows <= 1:
-        raise ValueError("at least two rows are required")
+        raise ValueError("one row has no spectrum")
     values = np.linalg.eigvalsh(stats.g / (stats.rows - 1))
     q = math.sqrt(len(features) / stats.rows)
     low, high = sigma2 * max(0.0, 1.0 - q) ** 2, sigma2 * (1.0 + q) ** 2
@@ -413,7 +413,7 @@ def acf(df: DataFrame, lags: Sequence[int], *, value: Column | None = None, date
     """
 
     if any(k <= 0 for k in lags):
-        raise ValueError("lags must be positive")
+        raise ValueError("a lag is 1 or more")
     x = S.dbl(TARGET) if value is None else value
     series = with_group_stats(df.select(*KEYS, x.alias("x")).where(S.is_finite("x")), [SYMBOL], {"m": F.avg("x")})
     cut = with_halo(series, [SYMBOL], [DATE, TIME], F.floor(F.col(DATE) / dates_per_block), max(lags))
@@ -432,7 +432,7 @@ def global_acf(df: DataFrame, lags: Sequence[int], *, value: Column | None = Non
     """
 
     if any(k <= 0 for k in lags):
-        raise ValueError("lags must be positive")
+        raise ValueError("a lag is 1 or more")
     x = S.dbl(TARGET) if value is None else value
     series = df.select(*KEYS, x.alias("x")).where(S.is_finite("x"))
     mean = series.agg(F.avg("x")).first()[0]
@@ -477,26 +477,11 @@ def periodogram(df: DataFrame, *, top_k: int = 10, by: Sequence[str] = (SYMBOL,)
     return series.groupBy(*by).applyInPandas(spectrum, f"{kinds}, frequency_index int, frequency double, period_rows double, power double, power_share double")
 
 
-def hill_index(df: DataFrame, k: int, *, value: Column | None = None) -> float:
-    """Tail index from the ``k`` largest magnitudes: a threshold rank and one conditional sum."""
-
-    if k <= 0:
-        raise ValueError("k must be positive")
-    x = F.abs(S.dbl(TARGET) if value is None else value)
-    positive = df.select(x.alias("x")).where(S.is_finite("x") & (F.col("x") > 0))
-    n = positive.count()
-    if n <= k:
-        return 0.0
-    position = (n - k - 1) / (n - 1)
-    (edge,) = exact_quantiles(positive, {"x": F.col("x")}, [position], interpolation="nearest")[0]["x"]
-    row = positive.where(F.col("x") > edge).agg(zsum(F.log(F.col("x") / F.lit(edge))).alias("s")).first()
-    # values equal to the threshold add log(1) = 0
-    return k / row["s"] if edge > 0 and row["s"] > 0 else 0.0
-
-
 def hill_table(df: DataFrame, k: int, *, value: Column | None = None) -> DataFrame:
-    """The same as one lazy aggregate over the top ``k + 1`` magnitudes (a bounded TakeOrdered)."""
+    """Tail index from the ``k`` largest magnitudes: one lazy aggregate over the top ``k + 1`` (a bounded TakeOrdered)."""
 
+    if k < 1:
+        raise ValueError("the tail has one value or more")
     x = F.abs(S.dbl(TARGET) if value is None else value)
     top = df.select(x.alias("x")).where(S.is_finite("x") & (F.col("x") > 0)).orderBy(F.desc("x")).limit(k + 1)
     out = top.agg(F.count(F.lit(1)).alias("n"), F.sum(F.log("x")).alias("s"), F.min("x").alias("edge"))

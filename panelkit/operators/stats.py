@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelkit.functions import scalar as S
 from panelkit.operators.core import ratio, zsum
@@ -82,41 +84,68 @@ def normal_stats(df: DataFrame, features: Sequence[str], *, target: str = TARGET
     """Gram matrix of the whole table as numbers."""
 
     if len(features) > MAX_GENERATED:
-        return _wide_stats(df, features, target, weight)
+        return _wide_stats(df, features, None, target, weight, fill).get(None, Normal.zeros(len(features)))
     return Normal.from_row(gram(df, features, target=target, weight=weight, fill=fill).first(), len(features))
 
 
-def normal_stats_by(df: DataFrame, features: Sequence[str], key: str, *, target: str = TARGET, weight: str = WEIGHT) -> dict:
+def normal_stats_by(df: DataFrame, features: Sequence[str], key: str, *, target: str = TARGET, weight: str = WEIGHT, fill: bool = False) -> dict:
     """Gram matrix per value of a fold-like key."""
 
-    return {r[key]: Normal.from_row(r, len(features)) for r in gram(df, features, [key], target=target, weight=weight).collect()}
+    if len(features) > MAX_GENERATED:
+        return _wide_stats(df, features, key, target, weight, fill)
+    return {r[key]: Normal.from_row(r, len(features)) for r in gram(df, features, [key], target=target, weight=weight, fill=fill).collect()}
+
+
+def _weighted_products(z: np.ndarray, w: np.ndarray, seen: np.ndarray, weighed: np.ndarray) -> np.ndarray:
+    """Sums of w * z_i * z_j over the rows where none of the three is NULL; NaN counts as a value."""
+
+    z, w = np.where(seen, z, 0.0), np.where(weighed, w, 0.0)
+    odd = ~(np.isfinite(z).all(1) & np.isfinite(w))
+    out = z[~odd].T @ (z[~odd] * w[~odd, None])
+    for k in np.flatnonzero(odd & weighed):  # a NULL beside a NaN or an infinity must not become 0 * NaN
+        there = np.flatnonzero(seen[k])
+        out[np.ix_(there, there)] += np.outer(z[k, there], z[k, there]) * w[k]
+    return out
 
 
-def _wide_stats(df: DataFrame, features: Sequence[str], target: str, weight: str) -> Normal:
-    """Partial Gram per task in numpy, summed entry by entry by Spark (p^2 numbers per task)."""
+def _wide_stats(df: DataFrame, features: Sequence[str], key: str | None, target: str, weight: str, fill: bool) -> dict:
+    """Partial Gram per task and key value in numpy, summed entry by entry by Spark (p^2 numbers per task and value)."""
 
     names = list(features)
     p = len(names)
+    label = F.lit(None).cast("int") if key is None else F.col(key)
+    narrow = df.select(label.alias("__key"), *[(S.filled(c) if fill else S.dbl(c)).alias(f"__z{i}") for i, c in enumerate(names)], S.dbl(target).alias("__y"), S.dbl(weight).alias("__w"))
+    kind = narrow.schema["__key"].dataType.simpleString()
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((p + 1, p + 2))
-        rows = 0
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict = {}
         for batch in batches:
-            z = batch[[*names, target]].to_numpy(dtype=np.float64)
-            w = batch[weight].to_numpy(dtype=np.float64)
-            acc[:, : p + 1] += z.T @ (z * w[:, None])
-            acc[0, p + 1] += w.sum()
-            rows += len(batch)
-        acc[1, p + 1] = rows
-        yield pd.DataFrame({"k": np.arange(acc.size), "v": acc.ravel()})
-
-    narrow = df.select(*[S.filled(c).alias(c) for c in names], S.dbl(target).alias(target), S.dbl(weight).alias(weight))
-    entries = narrow.mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    acc = np.zeros((p + 1) * (p + 2))
+            columns = batch.columns
+            seen = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns[1:]])
+            values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns[1:]])
+            codes = columns[0].dictionary_encode()
+            index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for k, value in [*enumerate(codes.dictionary.to_pylist()), (-1, None)]:
+                mine = index == k
+                if mine.any():
+                    sums = acc.setdefault(value, np.zeros((p + 1, p + 2)))
+                    z, w, ok = values[mine, :-1], values[mine, -1], seen[mine]
+                    sums[:, : p + 1] += _weighted_products(z, w, ok[:, :-1], ok[:, -1])
+                    sums[0, p + 1] += w[ok[:, -1]].sum()
+                    sums[1, p + 1] += len(z)
+        for value, sums in acc.items():
+            yield pa.RecordBatch.from_pydict({"__key": pa.array([value] * sums.size, schema[0].type), "k": pa.array(range(sums.size), pa.int32()), "v": pa.array(sums.ravel())}, schema=schema)
+
+    schema = to_arrow_schema(T._parse_datatype_string(f"__key {kind}, k int, v double"))
+    entries = narrow.mapInArrow(partial, f"__key {kind}, k int, v double").groupBy("__key", "k").agg(F.sum("v").alias("v")).collect()
+    found: dict = {}
     for e in entries:
-        acc[e["k"]] = e["v"]
-    acc = acc.reshape(p + 1, p + 2)
-    return Normal(acc[:p, :p], acc[:p, p], float(acc[p, p]), float(acc[0, p + 1]), int(acc[1, p + 1]))
+        found.setdefault(e["__key"], np.zeros((p + 1) * (p + 2)))[e["k"]] = e["v"]
+    out = {}
+    for value, flat in found.items():
+        acc = flat.reshape(p + 1, p + 2)
+        out[value] = Normal(acc[:p, :p], acc[:p, p], float(acc[p, p]), float(acc[0, p + 1]), int(acc[1, p + 1]))
+    return out
 
 
 def linear_expr(features: Sequence[str], beta: Sequence[float], *, fill: bool = False) -> Column:

@@ -71,9 +71,9 @@ def daily_scale(df: DataFrame, prediction: str, *, prior: float, forgetting: flo
 
     _forgetting(forgetting)
     if prior < 0.0:
-        raise ValueError("prior strengths must be non-negative")
+        raise ValueError("the strength of a prior is 0 or more")
     if low > high:
-        raise ValueError("min_scale must be <= max_scale")
+        raise ValueError("the bounds of the scale are the wrong way round")
     w, y, p = S.dbl(WEIGHT), S.dbl(TARGET), S.dbl(prediction)
     daily = daily_sums(df, py=w * p * y, pp=w * p * p)
     start = F.lit(float(prior))
@@ -91,9 +91,9 @@ def daily_affine(df: DataFrame, prediction: str, *, prior: float, forgetting: fl
 
     _forgetting(forgetting)
     if prior < 0.0:
-        raise ValueError("prior strengths must be non-negative")
+        raise ValueError("the strength of a prior is 0 or more")
     if low > high:
-        raise ValueError("min_scale must be <= max_scale")
+        raise ValueError("the bounds of the scale are the wrong way round")
     w, y, p = S.dbl(WEIGHT), S.dbl(TARGET), S.dbl(prediction)
     daily = daily_sums(df, sw=w, sx=w * p, sxx=w * p * p, sy=w * y, sxy=w * p * y)
     a, zero = F.lit(float(prior)), F.lit(0.0)
@@ -149,7 +149,7 @@ def with_dynamic_scale(df: DataFrame, prediction: str, output: str, **options) -
 
 def _check_strategies(strategies: Mapping[str, str], default: str) -> None:
     if not strategies:
-        raise ValueError("strategies must not be empty")
+        raise ValueError("name one strategy or more to choose from")
     if default not in strategies:
         raise ValueError("default strategy must be one of the strategies")
 
@@ -166,7 +166,7 @@ def daily_losses(df: DataFrame, strategies: Mapping[str, str], *, default: str,
 
     _check_strategies(strategies, default)
     if not 0.0 <= decay < 1.0:
-        raise ValueError("ewma_decay must be in [0, 1)")
+        raise ValueError("the decay of the running loss is at least 0 and below 1")
     folds, names = folds_of(df), list(strategies)
     sums = {f"l_{n}": loss(c) for n, c in strategies.items()}
     stats = fold_sums(df, yy=energy(), **sums)

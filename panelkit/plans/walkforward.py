@@ -430,7 +430,7 @@ def wf_residual_tail(df: DataFrame, base: str, residual: str, *, quantile: float
     if unknown:
         raise ValueError(f"unknown residual tail modes: {unknown}")
     if not 0.0 < quantile < 1.0:
-        raise ValueError("tail quantiles must be between 0 and 1")
+        raise ValueError("a quantile outside of [0, 1] has no threshold")
     folds = folds_of(df)
     values = {"weight": S.dbl(WEIGHT), "abs_base": F.abs(S.dbl(base)), "disagreement": S.dbl("prediction_disagreement") if "prediction_disagreement" in df.columns else F.lit(0.0), "risk": S.dbl(risk) if risk else F.lit(0.0)}
     needed = sorted({v for m in modes for v in TAIL_MODES[m][1:]})
@@ -536,9 +536,9 @@ def parse_context(spec: str) -> tuple[str, ...]:
     parts = tuple(p.strip() for p in spec.split("+") if p.strip())
     unknown = sorted(set(parts) - set(CONTEXT_COMPONENTS))
     if unknown:
-        raise ValueError(f"unknown contextual blend group component(s): {unknown}")
+        raise ValueError(f"groups are made of known contexts; these are not: {unknown}")
     if not parts:
-        raise ValueError("contextual blend group specs must not be empty")
+        raise ValueError("no groups to blend by")
     return parts
 
 
@@ -620,7 +620,7 @@ def wf_static_selector(df: DataFrame, strategies: Mapping[str, str], *, default:
     return Fitted(rows, [{"fold": f, "selected_strategy": s} for f, s in chosen.items()])
 
 
-def subset_search(df: DataFrame, base: Sequence[str], extras: Sequence[str], *, alpha: float, max_extras: int | None = None, first_expert: str | None = None) -> list[dict]:
+def subset_search(df: DataFrame, base: Sequence[str], extras: Sequence[str], *, alpha: float, first_expert: str | None = None) -> list[dict]:
     """Every subset of extra experts stacked on the base experts, fitted and scored per fold from one Gram pass."""
 
     experts = [*base, *extras]
@@ -628,8 +628,7 @@ def subset_search(df: DataFrame, base: Sequence[str], extras: Sequence[str], *,
     stats = normal_stats_by(df, experts, FOLD)
     past = grams_before(folds, stats, len(experts))
     out = []
-    limit = len(extras) if max_extras is None else min(max_extras, len(extras))
-    for size in range(limit + 1):
+    for size in range(len(extras) + 1):
         for subset in itertools.combinations(range(len(base), len(experts)), size):
             idx = [*range(len(base)), *subset]
             name = "+".join(experts[i] for i in subset) or "none"

@@ -28,9 +28,8 @@ DERIVED_PREDICTION_PREFIXES = (
 )
 
 
-def feature_columns(df: DataFrame, limit: int | None = None) -> tuple[str, ...]:
-    names = tuple(c for c in df.columns if c.startswith("feature_"))
-    return names[:limit] if limit else names
+def feature_columns(df: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in df.columns if c.startswith("feature_"))
 
 
 def lag_columns(df: DataFrame) -> tuple[str, ...]:

@@ -1,10 +1,8 @@
-"""Session helpers: a sane local builder and reliable lineage cuts."""
+"""Session helper: a sane local builder."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "panelkit", *, master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -22,17 +20,3 @@ def build_session(app_name: str = "panelkit", *, master: str | None = None, shuf
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
-
-
-def checkpoint(df: DataFrame, *, eager: bool = True) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``."""
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=eager)

@@ -71,6 +71,14 @@ def _remember(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _memo[key]
 
 
+def forget() -> None:
+    """Drop the derived panels that queries of this session share, so that the next query reads its files again."""
+
+    for df in _memo.values():
+        df.unpersist(blocking=True)
+    _memo.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

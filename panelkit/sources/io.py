@@ -34,9 +34,12 @@ SUMMARY_COLUMNS = {
 
 
 def scan_panel(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Parquet file or directory tree. Filters on date and column choices reach the scan."""
+    """Parquet files or directories, also ones partitioned by date or fold.
 
-    return spark.read.option("recursiveFileLookup", "true").parquet(*([path] if isinstance(path, str) else path))
+    Partition columns come back and prune; filters on other columns and column choices reach the scan.
+    """
+
+    return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
 def scan_partitioned(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +64,7 @@ def scan_tags(spark: SparkSession, path: str, features: Sequence[str], *, min_fe
 
     rows = tag_map(spark.read.csv(path, header=True), features, min_features=min_features).orderBy("tag").collect()
     if not rows:
-        raise ValueError("no usable feature tags found")
+        raise ValueError(f"no tag of {path} marks {min_features} or more of the features")
     order = {c: i for i, c in enumerate(features)}
     return {r["tag"]: tuple(sorted(r["features"], key=order.get)) for r in rows}
 
@@ -77,7 +80,7 @@ def scan_fold_scores(spark: SparkSession, sources: Mapping[str, str]) -> DataFra
     """Fold-score CSV files by source name."""
 
     if not sources:
-        raise ValueError("at least one source is required")
+        raise ValueError("there are no score files to read")
     wanted = [f.split()[0] for f in SCORE_SCHEMA.split(", ")]
     parts = []
     for name, path in sources.items():
@@ -104,7 +107,11 @@ def scan_summaries(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataF
         if missing:
             skipped.append({"report": report, "path": path, "reason": "missing_columns:" + ",".join(missing)})
             continue
-        typed = raw.select(*[F.col(c).cast(t).alias(c) for c, t in SUMMARY_COLUMNS.items()])
+        typed = raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in SUMMARY_COLUMNS.items()])
+        bad = raw.agg(*[F.count(F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), 1)).alias(c) for c, t in SUMMARY_COLUMNS.items()]).first()
+        if odd := [c for c in SUMMARY_COLUMNS if bad[c]]:
+            skipped.append({"report": report, "path": path, "reason": "bad_values:" + ",".join(odd)})
+            continue
         parts.append(typed.withColumns({"report": F.lit(report), "category": S.report_category(F.lit(report), REPORT_CATEGORIES)}))
     if not parts:
         schema = T.StructType([T.StructField(c, T._parse_datatype_string(t)) for c, t in {**SUMMARY_COLUMNS, "report": "string", "category": "string"}.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkit.functions import scalar as S
-from panelkit.operators.stats import Normal, gram, normal_stats
+from panelkit.operators.stats import Normal, normal_stats, normal_stats_by
 from panelkit.plans.walkforward import prior_beta
 from panelkit.schema import DATE, KEYS, TARGET, WEIGHT
 
@@ -45,7 +45,7 @@ class RlsState:
         if p == 0:
             raise ValueError("features must not be empty")
         if self.precision.shape != (p, p) or self.rhs.shape != (p,):
-            raise ValueError("state shape does not match features")
+            raise ValueError(f"a state of {p} features has a {p} x {p} precision and {p} right-hand sides")
         if not 0.0 < self.forgetting <= 1.0:
             raise ValueError("forgetting factor must be in (0, 1]")
 
@@ -62,7 +62,7 @@ class RlsState:
         state = cls.prior(features, **options)
         stats = normal_stats(df, features)
         if stats.rows == 0:
-            raise ValueError("out-of-fold table must not be empty")
+            raise ValueError("no rows to build the prior state from")
         state.precision, state.rhs = state.precision + stats.g, state.rhs + stats.r
         return state
 
@@ -71,9 +71,9 @@ class RlsState:
         return np.linalg.solve(self.precision, self.rhs)
 
     def learn(self, stats: Normal | None, date: int) -> None:
-        """Take in the rows of one delivery date; a repeated date is ignored, a date without rows only marked."""
+        """Take in the rows of one delivery date; a date that isn't later than the last is ignored, one without rows only marked."""
 
-        if self.last_update == date:
+        if self.last_update is not None and date <= self.last_update:
             return
         if stats is not None and stats.rows:
             self.precision = self.forgetting * self.precision + stats.g
@@ -155,6 +155,7 @@ class Server:
         has_state = batch_id > 0 and self._exists(f"{before}/model")
         state = RlsState.load(self.spark, f"{before}/model") if has_state else RlsState.from_frame(self.initial.to_frame(self.spark))
         batch = batch.persist()
+        experts = None
         try:
             test = batch.where(F.col("kind") == "test")
             new_lags = batch.where(F.col("kind") == "lag").select(*KEYS, TARGET_LAG)
@@ -175,13 +176,14 @@ class Server:
             lags.where(F.col(DATE) == F.lit(recent)).write.mode("overwrite").parquet(f"{after}/lags")
             state.save(self.spark, f"{after}/model")
         finally:
+            if experts is not None:
+                experts.unpersist()
             batch.unpersist()
 
     def _replay(self, state: RlsState, known: DataFrame, lags: DataFrame, experts: DataFrame) -> list[tuple[int, list[float]]]:
         """Advance the state over the dates of this micro-batch and return the coefficients of each date."""
 
-        lines = gram(lag_updates(known, lags, self.features), self.features, [DATE]).collect()
-        stats = {r[DATE]: Normal.from_row(r, len(self.features)) for r in lines}
+        stats = normal_stats_by(lag_updates(known, lags, self.features), self.features, DATE)
         delivered = {r[0] for r in lags.select(DATE).distinct().collect()}
         dates = {r[0] for r in experts.select(DATE).distinct().collect()}
         out = []

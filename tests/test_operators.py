@@ -90,11 +90,6 @@ def test_summary_of_components(spark):
     assert metrics.summarize(df).first()["global_r2"] == pytest.approx(0.7)
 
 
-def test_capped_stride(spark):
-    df = spark.createDataFrame([(0, i) for i in range(10)], "d int, x int")
-    assert sorted(r.x for r in sampling.capped_stride(df, 4, ["d", "x"]).collect()) == [0, 3, 6, 9]
-
-
 def test_row_index_is_dense(spark):
     rng = np.random.default_rng(0)
     rows = sorted({(int(a), int(b), int(c)) for a, b, c in rng.integers(0, 9, (300, 3))})
@@ -170,16 +165,53 @@ def test_select_strategy_needs_a_margin(spark):
     assert gates.select_strategy(scores, "base", ["x", "y"], 0.02) == "base"
 
 
-def test_wide_gram_equals_generated(toy, monkeypatch):
-    _, df = toy
-    cols = ["a_prediction", "b_prediction", "feature_00", "feature_01"]
-    narrow = stats.normal_stats(df, cols, fill=True)
-    monkeypatch.setattr(stats, "MAX_GENERATED", 2)
-    wide = stats.normal_stats(df, cols)
-    np.testing.assert_allclose(wide.g, narrow.g)
-    np.testing.assert_allclose(wide.r, narrow.r)
-    assert (wide.rows, wide.weight_sum) == (narrow.rows, narrow.weight_sum)
-    assert wide.yy == pytest.approx(narrow.yy)
+def same_normal(a, b):
+    for x, y in ((a.g, b.g), (a.r, b.r), (a.yy, b.yy), (a.weight_sum, b.weight_sum), (a.rows, b.rows)):
+        np.testing.assert_allclose(np.asarray(x, float), np.asarray(y, float))
+
+
+def odd_rows(spark, where, odd, width):
+    rng = np.random.default_rng(6)
+    names = [f"feature_{i:02d}" for i in range(width)]
+    rows = [dict(zip(["fold", "weight", "responder_6", *names], [f"f{k % 3}", *rng.uniform(1, 2, width + 2).tolist()], strict=True)) for k in range(60)]
+    for row in rows[::10]:
+        row[where] = odd
+        row["feature_01"] = None
+    return names, spark.createDataFrame(rows, f"fold string, weight double, responder_6 double, {', '.join(f'{c} double' for c in names)}").repartition(3)
+
+
+@pytest.mark.parametrize("fill", [False, True])
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_gram_is_the_same_on_both_paths(spark, monkeypatch, odd, fill):
+    for where in ("responder_6", "weight", "feature_02"):
+        names, df = odd_rows(spark, where, odd, 4)
+        narrow = stats.normal_stats_by(df, names, "fold", fill=fill)
+        with monkeypatch.context() as m:
+            m.setattr(stats, "MAX_GENERATED", 2)
+            wide = stats.normal_stats_by(df, names, "fold", fill=fill)
+            whole = stats.normal_stats(df, names, fill=fill)
+        assert narrow.keys() == wide.keys() == {"f0", "f1", "f2"}
+        for fold in narrow:
+            same_normal(wide[fold], narrow[fold])
+        same_normal(whole, sum(narrow.values(), stats.Normal.zeros(4)))
+
+
+@pytest.mark.parametrize("width", [41, 79])
+def test_wide_gram_with_null_and_nan(spark, width):
+    names, df = odd_rows(spark, "responder_6", None, width)
+    table = df.toPandas()
+    got = stats.normal_stats(df, names)
+    ok = table.dropna(subset=["responder_6"])
+    assert got.yy == pytest.approx((ok.weight * ok.responder_6**2).sum())
+    assert got.r[0] == pytest.approx((ok.weight * ok.responder_6 * ok.feature_00).sum()) and np.isfinite(got.g).all()
+    nan = stats.normal_stats(odd_rows(spark, "responder_6", float("nan"), width)[1], names)
+    assert np.isnan(nan.yy) and np.isfinite(nan.g).all()
+
+
+def test_wide_gram_of_no_rows(toy, monkeypatch):
+    monkeypatch.setattr(stats, "MAX_GENERATED", 1)
+    empty = stats.normal_stats(toy[1].limit(0), ["feature_00", "feature_01"])
+    assert empty.rows == 0 and not empty.g.any()
 
 
 def test_path_features_do_not_look_ahead(toy):
@@ -291,3 +323,16 @@ def test_sequence_window_matches_pandas(toy):
 def test_frame_has_expected_rows(toy):
     pdf, df = toy
     assert isinstance(pdf, pd.DataFrame) and df.count() == len(pdf) == 360
+
+
+def test_nearest_symbols_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, 0, k, 1.0, float(rng.integers(0, 6)), float(rng.integers(0, 6))) for k in range(50)]
+    df = spark.createDataFrame(rows, "date_id int, time_id int, symbol_id int, weight double, feature_00 double, feature_01 double")
+    z = np.array([r[4:] for r in rows])
+    z = (z - z.mean(0)) / z.std(0)
+    want = {(a, b, r + 1) for a in range(50) for r, b in enumerate(sorted((i for i in range(50) if i != a), key=lambda i: (round(((z[a] - z[i]) ** 2).sum(), 9), i))[:3])}
+    for size in (7, 50):
+        got = graph.nearest_symbols(df, ["feature_00", "feature_01"], start=0, end=5, n_neighbors=3, block_size=size)
+        found = {(r["symbol_id"], r["neighbor_id"], r["rank"]) for r in got.collect()}
+        assert len(found & want) > 0.97 * len(want) and len(found) == len(want)  # sums of equal distances differ in the last bit

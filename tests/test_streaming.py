@@ -92,6 +92,23 @@ def test_repeated_delivery_is_ignored():
     assert state.precision[0, 0] == 2.5 and state.last_update == 5
     state.learn(None, 6)
     assert state.precision[0, 0] == 2.5 and state.last_update == 6
+    state.learn(day, 5)  # a date that comes again after a later one
+    state.learn(day, 6)
+    assert state.precision[0, 0] == 2.5 and state.last_update == 6
+
+
+def test_stale_deliveries_through_the_server(spark, toy, tmp_path):
+    _, df = toy
+    once = Server(spark, str(tmp_path / "a"), RlsState.prior(XS, alpha=20.0, forgetting=0.9))
+    again = Server(spark, str(tmp_path / "b"), RlsState.prior(XS, alpha=20.0, forgetting=0.9))
+    rows = protocol(df.where("date_id < 5"))
+    parts = [rows.where("date_id < 3"), rows.where("date_id = 3"), rows.where("date_id = 4")]
+    for k, part in enumerate(parts):
+        once(part, k)
+    for k, part in enumerate([*parts, parts[1], parts[2]]):
+        again(part, k)
+    np.testing.assert_allclose(again.state(4).precision, once.state(2).precision)
+    assert again.state(4).last_update == once.state(2).last_update
 
 
 def test_state_round_trip(spark, toy, tmp_path):
