@@ -7,8 +7,8 @@ in a coordinate with the probability of their weighted Jaccard similarity. Only
 DARTS x coordinates / total weight are thrown, so a long document costs little more than a short one.
 
 Signatures are cut into bands. Documents with equal shingle sets are folded into one first; the others meet where a band
-agrees: all pairs in small buckets; in larger ones each with the bucket's first document, and again in the finer buckets
-of two and three bands. Exact similarity then decides, and linked documents form classes.
+agrees: all pairs in small buckets; in larger ones each with the bucket's first document and with its neighbour in the
+order of the next bands, and again in the finer buckets of two and three bands. Exact similarity then decides, and linked documents form classes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.components import components
@@ -30,6 +30,8 @@ BANDS, ROWS = 20, 5
 DARTS = 5
 #: Buckets of so many documents or fewer are compared in full.
 SMALL_BUCKET = 16
+#: Documents of a larger bucket that are put in order together.
+PART_ROWS = 1000
 #: Up to so many candidate ids are sent to the tasks that read the texts (16 MB of longs); beyond, the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Height of the lowest cell of the grid; each next cell is as high as all below it.
@@ -173,8 +175,9 @@ def _compare(batch: pa.RecordBatch) -> Iterator[dict]:
 def candidate_pairs(heads: DataFrame, bands: int = BANDS, small: int = SMALL_BUCKET) -> DataFrame:
     """Distinct (a, b), a < b, of (doc_id, keys) rows that meet in a band.
 
-    Buckets of up to `small` documents give all their pairs. Larger ones give each document with the bucket's first, and
-    are split by the next band, up to three bands together; so the pairs grow with the rows and not with their square.
+    Buckets of up to `small` documents give all their pairs. Larger ones give each document with the bucket's first and
+    with one neighbour, and are split by the next band, up to three bands together; so the pairs grow with the rows and
+    not with their square.
     """
 
     found = None
@@ -186,8 +189,13 @@ def candidate_pairs(heads: DataFrame, bands: int = BANDS, small: int = SMALL_BUC
         sized = shared_table(rows.join(sizes, "key"), "buckets")  # both sides are shuffled, so a hot bucket can be split
         little = sized.where(f"n <= {small}").groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
         pairs = little.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-        star = sized.where(f"n > {small} and doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-        found = pairs.union(star) if found is None else found.union(pairs).union(star)
+        large = sized.where(f"n > {small}")
+        star = large.where("doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        # parts of a bounded size, in the order of the next bands: likely similar documents stand side by side
+        order = Window.partitionBy("key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PART_ROWS))).orderBy(*(c for c in ("next1", "next2") if c in sized.columns), "doc_id")
+        beside = large.select("doc_id", F.lag("doc_id").over(order).alias("last")).where("last <> doc_id").select(F.least("last", "doc_id").alias("a"), F.greatest("last", "doc_id").alias("b"))
+        for part in (pairs, star, beside):
+            found = part if found is None else found.union(part)
         if level < 2:
             rows = sized.where(f"n > {small} and next{level + 1} is not null").select("doc_id", F.xxhash64("key", f"next{level + 1}").alias("key"), *(["next2"] if level == 0 else []))
     return found.distinct()
