@@ -113,6 +113,25 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+# Words that sites use in class and id names, by the part of the page they mark.
+SITE_NAMES = {
+    "menu": ("nav", "menu", "navbar", "navigation", "topnav", "breadcrumb", "breadcrumbs", "menu-main", "site-nav"),
+    "header": ("header", "site-header", "masthead", "page-header", "topbar", "branding", "logo"),
+    "footer": ("footer", "site-footer", "page-footer", "copyright", "bottom", "colophon"),
+    "sidebar": ("sidebar", "side", "aside", "widget", "widget-area", "related", "related-posts", "trending", "popular", "recommended"),
+    "notice": ("notice", "cookie", "cookie-notice", "cookie-banner", "consent", "banner", "alert", "popup", "modal", "gdpr", "message"),
+    "advert": ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "adbox", "sponsor"),
+    "form": ("form", "search-form", "newsletter", "subscribe", "signup", "login", "search"),
+    "comments": ("comments", "comment", "comment-list", "commentlist", "discussion", "replies", "responses", "disqus"),
+    "share": ("share", "social", "share-buttons", "social-links", "tags", "meta", "byline", "pagination", "pager"),
+    "article": ("article", "content", "post", "post-content", "entry", "entry-content", "article-body", "story", "main", "main-content", "text", "body-text"),
+}
+
+_PART_OF_TAG = {"nav": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "article": "article", "main": "article"}
+#: Telling words of the names; "main", "post", "body" and the like tell of an article only where nothing else does.
+_PART_OF_NAME = {word: part for part, all_names in reversed(SITE_NAMES.items()) for name in all_names for word in name.split("-") if len(word) > 1 and word not in ("site", "page", "box", "area", "buttons", "links", "list", "slot", "top")}
+
+
 _NOTED = re.compile("©|\\bcookies?\\b|\\bcomments?\\b|\\brepl(?:y|ies)\\b|\\bsubscribe\\b|\\bsign up\\b|\\bnewsletter\\b|\\brelated\\b|\\bshare\\b|\\bprivacy\\b|\\badvertisement\\b|\\bsponsored\\b|\\ball rights reserved\\b|\\bread more\\b", re.I)
 
 
@@ -120,6 +139,18 @@ def _step(x: float, cuts: tuple[float, ...]) -> int:
     return sum(x >= c for c in cuts)
 
 
+def _part(around: list[tuple[str, tuple[str, ...]]]) -> tuple[str, set[str]]:
+    """The part of the page that the innermost telling element marks (its names before its tag), and all other parts around."""
+
+    now, seen = "none", set()
+    for tag, names in around:
+        found = next((k for k in (_PART_OF_NAME.get(w) for w in names) if k), None) or _PART_OF_TAG.get(tag)
+        if found:
+            now = found
+            seen.add(found)
+    return now, seen - {"article"}
+
+
 def features(page: list[Block]) -> list[list[str]]:
     out = []
     for block in page:
@@ -130,6 +161,9 @@ def features(page: list[Block]) -> list[list[str]]:
         found = [f"own:{own}", f"words:{_step(words, (2, 4, 8, 15, 30, 60))}", f"links:{_step(block.linked / len(text), (0.01, 0.3, 0.7))}"]
         found += [f"in:{t}" for t in dict.fromkeys(tags)]
         found += [f"name:{w}" for w in dict.fromkeys(w for _, names in block.around for w in names)]
+        part, others = _part(block.around)
+        found += [f"part:{part}", f"part:{part}:{own}", f"part:{part}:{words >= 8}", f"clear:{part == 'article' and not others}"]
+        found += [f"under:{other}" for other in others]
         inner = next((t for t in reversed(tags) if t not in ("p", "li", "ul", "ol", "td", "tr", "table", "tbody", "blockquote", "pre", "div") and t[:1] != "h"), "")
         found += [f"inner:{inner}", f"sentence:{text[-1] in '.!?…。'}", f"long:{inner}:{words >= 8}", f"marks:{_step(sum(text.count(c) for c in ',;:') / words, (0.01, 0.1))}"]
         found += [f"says:{w.lower()}" for w in dict.fromkeys(_NOTED.findall(text))]
@@ -156,7 +190,7 @@ def fit(labelled: list[tuple[str, str]], **options) -> LinearChainCrf:
     """Train on (html, main text) pairs."""
 
     pages = [blocks(page or "") for page, _ in labelled]
-    return LinearChainCrf.fit([features(p) for p in pages], [labels_of(p, main or "") for p, (_, main) in zip(pages, labelled, strict=True)], 2, **({"penalty": 1e-4, "rounds": 250} | options))
+    return LinearChainCrf.fit([features(p) for p in pages], [labels_of(p, main or "") for p, (_, main) in zip(pages, labelled, strict=True)], 2, **({"penalty": 3e-4, "rounds": 250} | options))
 
 
 def fit_table(labelled: DataFrame, max_rows: int = 2000, **options) -> LinearChainCrf:
@@ -186,21 +220,6 @@ def extract(pages: DataFrame, model: LinearChainCrf) -> DataFrame:
 
 # --- a small labelled table -------------------------------------------------------------------------------------------
 
-# Words that sites use in class and id names, by the part of the page they mark.
-SITE_NAMES = {
-    "menu": ("nav", "menu", "navbar", "navigation", "topnav", "breadcrumb", "breadcrumbs", "menu-main", "site-nav"),
-    "header": ("header", "site-header", "masthead", "page-header", "topbar", "branding", "logo"),
-    "footer": ("footer", "site-footer", "page-footer", "copyright", "bottom", "colophon"),
-    "sidebar": ("sidebar", "side", "aside", "widget", "widget-area", "related", "related-posts", "trending", "popular", "recommended"),
-    "notice": ("notice", "cookie", "cookie-notice", "cookie-banner", "consent", "banner", "alert", "popup", "modal", "gdpr", "message"),
-    "advert": ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "adbox", "sponsor"),
-    "form": ("form", "search-form", "newsletter", "subscribe", "signup", "login", "search"),
-    "comments": ("comments", "comment", "comment-list", "commentlist", "discussion", "replies", "responses", "disqus"),
-    "share": ("share", "social", "share-buttons", "social-links", "tags", "meta", "byline", "pagination", "pager"),
-    "article": ("article", "content", "post", "post-content", "entry", "entry-content", "article-body", "story", "main", "main-content", "text", "body-text"),
-}
-
-
 def sample_pages(n: int = 450, seed: int = 17) -> list[tuple[str, str]]:
     """A labelled table: n (html, main text) pairs of pages laid out in many ways, with invented words."""
 
@@ -292,7 +311,10 @@ def sample_pages(n: int = 450, seed: int = 17) -> list[tuple[str, str]]:
         rng.shuffle(above)
         rng.shuffle(below)
         parts += [(part(k), None) for k in above]
-        if rng.random() > 0.03:
+        layout = rng.random()
+        if layout < 0.08:
+            parts += body()
+        elif layout < 0.97:
             tag = rng.choice(["article", "article", "article", "main", "div", "div", "section"])
             outer = rng.choice(["", "", "main", "div"])
             name = named("article") if tag in ("div", "section") or rng.random() < 0.3 else ""
