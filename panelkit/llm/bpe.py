@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 
 from panelkit.llm.text import document_columns, per_batch
 
-#: Learned states, pieces are forgotten beyond these counts; they bound memory and change no result.
-MAX_STATES = 200_000
-MAX_PIECES = 250_000
+#: What is learned of states, pairs and pieces is forgotten beyond these counts; they bound memory and change no result.
+MAX_STATES = 150_000
+MAX_PAIRS = 250_000
+MAX_PIECES = 200_000
 #: Longer pieces aren't remembered.
 PIECE_CHARS = 48
 #: So many times a state may miss a transition before it gets any.
@@ -102,7 +103,7 @@ class BpeTransducer:
         found = self._fits.get((left, right))
         if found is not None:
             return found
-        if len(self._fits) > 4 * MAX_STATES:
+        if len(self._fits) > MAX_PAIRS:
             self._fits.clear()
         self._fits[left, right] = found = self._undo(left, right)
         return found
