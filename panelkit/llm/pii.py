@@ -7,7 +7,6 @@ run, with a token on either side, is one sequence. Runs of whole batches are dec
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
