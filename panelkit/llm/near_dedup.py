@@ -7,17 +7,19 @@ in a coordinate with the probability of their weighted Jaccard similarity. Only
 DARTS x coordinates / total weight are thrown, so a long document costs little more than a short one.
 
 Signatures are cut into bands. Documents with equal shingle sets are folded into one first; the others meet where a band
-agrees: all pairs in small buckets; in larger ones each with the bucket's first document and with its neighbour in the
-order of the next bands, and again in the finer buckets of two and three bands. Exact similarity then decides, and linked documents form classes.
+agrees. Small buckets give all their pairs. Documents that are chained by larger buckets form a group, and in a group every
+document is compared with every other whose length allows the similarity, block by block, whether they share a bucket or
+not. Exact similarity decides, and linked documents form classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.components import components
@@ -28,10 +30,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 #: Darts per coordinate thrown at least; a coordinate without any (1 in 148) leaves its band out.
 DARTS = 5
-#: Buckets of so many documents or fewer are compared in full.
+#: Buckets of so many documents or fewer are compared pair by pair; those of larger ones are compared as blocks.
 SMALL_BUCKET = 16
-#: Documents of a larger bucket that are put in order together.
-PART_ROWS = 1000
+#: Shingles in a block of a group (8 bytes each); a task compares two blocks.
+BLOCK_SHINGLES = 1 << 19
+#: Cells and index entries that a task counts in one step.
+STEP_CELLS = 1 << 21
 #: Up to so many candidate ids are sent to the tasks that read the texts (16 MB of longs); beyond, the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Height of the lowest cell of the grid; each next cell is as high as all below it.
@@ -152,9 +156,10 @@ def _shingle_sets(docs: DataFrame, weighted: bool) -> DataFrame:
             bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
             packed = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             counts = [copies[a:b].astype("<u4").tobytes() if weighted else b"" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield {"doc_id": ids, "grams": packed, "copies": counts}
+            size = np.r_[0, np.cumsum(copies)][bounds] if weighted else bounds
+            yield {"doc_id": ids, "grams": packed, "copies": counts, "size": np.diff(size)}
 
-    return per_batch(docs, make, "doc_id long, grams binary, copies binary")
+    return per_batch(docs, make, "doc_id long, grams binary, copies binary, size long")
 
 
 def _similarity(a: bytes, b: bytes, a_copies: bytes, b_copies: bytes) -> float:
@@ -172,33 +177,150 @@ def _compare(batch: pa.RecordBatch) -> Iterator[dict]:
     yield {"a": a, "b": b, "similarity": [_similarity(*x) for x in zip(*sets, strict=True)]}
 
 
-def candidate_pairs(heads: DataFrame, bands: int = BANDS, small: int = SMALL_BUCKET) -> DataFrame:
-    """Distinct (a, b), a < b, of (doc_id, keys) rows that meet in a band.
+def _elements(grams: bytes, copies: bytes) -> np.ndarray:
+    """The shingles of a set; of a multiset, an element of its own for each copy."""
 
-    Buckets of up to `small` documents give all their pairs. Larger ones give each document with the bucket's first and
-    with one neighbour, and are split by the next band, up to three bands together; so the pairs grow with the rows and
-    not with their square.
+    x = np.frombuffer(grams, np.uint64)
+    if not copies:
+        return x
+    n = np.frombuffer(copies, "<u4").astype(np.int64)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(x, n) + nth.astype(np.uint64) * _SALT)
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give nodes that are linked the smallest label among them, in place."""
+
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _similar_in_blocks(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the sets that are similar: one of either side, or any two if there is one side only.
+
+    Shared elements are counted for all pairs of a step at once: a matrix product for elements that an eighth of the
+    right-hand sets hold, lists of their holders for the rest.
+    """
+
+    size = np.array([len(x) for x in sets])
+    doc = np.repeat(np.arange(len(sets)), size)
+    _, col, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[col] > 1
+    doc, col = doc[shared], col[shared]
+    col = np.unique(col, return_inverse=True)[1]
+    width = int(col.max(initial=-1)) + 1
+    one_side = not side.any()
+    left, right = np.flatnonzero(side == 0), np.arange(len(sets)) if one_side else np.flatnonzero(side == 1)
+    m = len(right)
+    place = np.full(len(sets), -1)
+    place[right] = np.arange(m)
+    of_right = np.flatnonzero(place[doc] >= 0)
+    of_right = of_right[np.argsort(col[of_right], kind="stable")]
+    holders = place[doc[of_right]]
+    held = np.bincount(col[of_right], minlength=width)
+    first = np.cumsum(held) - held
+    hot = held * 8 >= m
+    at_hot = np.cumsum(hot) - 1
+    n_hot = int(hot.sum())
+    dense = np.zeros((m, n_hot), np.float32)
+    is_hot = hot[col[of_right]]
+    dense[holders[is_hot], at_hot[col[of_right][is_hot]]] = 1
+    bounds = np.searchsorted(doc, np.arange(len(sets) + 1))
+    work = np.r_[0, np.cumsum(np.where(hot, 0, held)[col])][bounds]
+    step = np.cumsum(np.diff(work)[left] + m + n_hot) // STEP_CELLS
+    for rows in np.split(left, np.flatnonzero(np.diff(step)) + 1):
+        inside = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
+        c, r = col[inside], np.repeat(np.arange(len(rows)), np.diff(bounds)[rows])
+        some = np.zeros((len(rows), n_hot), np.float32)
+        some[r[hot[c]], at_hot[c[hot[c]]]] = 1
+        both = (some @ dense.T).astype(np.int64)
+        r, c = r[~hot[c]], c[~hot[c]]
+        n = held[c]
+        entry = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both += np.bincount(np.repeat(r, n) * m + holders[entry], minlength=both.size).reshape(both.shape)
+        similar = both / np.maximum(1, size[rows][:, None] + size[right][None, :] - both) >= threshold
+        i, j = np.nonzero(similar)
+        i, j = rows[i], right[j]
+        yield (i[i < j], j[i < j]) if one_side else (i, j)
+
+
+def _compare_blocks(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        ids, side = rows["doc_id"].to_numpy(), rows["side"].to_numpy()
+        sets = [_elements(g, c) for g, c in zip(rows["grams"].to_pylist(), rows["copies"].to_pylist(), strict=True)]
+        label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        if len(np.unique(side)) == 2 or rows["same"][0].as_py():
+            for i, j in _similar_in_blocks(sets, side, threshold):
+                links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                _unite(label, i, j)
+        some = links > 0
+        return pa.table({"a": ids[label[some]], "b": ids[some], "links": links[some]})
+
+    return run
+
+
+def buckets(heads: DataFrame) -> DataFrame:
+    """The documents of (doc_id, keys) rows by band, where it agrees: doc_id, key, n (of the bucket), head (smallest doc_id)."""
+
+    rows = heads.select("doc_id", F.explode("keys").alias("key")).where("key is not null")
+    sizes = shared_table(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"), "sizes")
+    return shared_table(rows.join(sizes, "key"), "buckets")  # both sides are shuffled, so a hot bucket can be split
+
+
+def _small_pairs(sized: DataFrame, small: int) -> DataFrame:
+    little = sized.where(f"n <= {small}").groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    pairs = little.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p"))
+    return pairs.select("p.a", "p.b").distinct()
+
+
+def candidate_pairs(heads: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
+    """Distinct (a, b), a < b, of (doc_id, keys) rows that meet in a bucket of up to `small` documents.
+
+    Those of larger buckets are not paired here: large_groups() says which are compared as blocks.
+    """
+
+    return _small_pairs(buckets(heads), small)
+
+
+def large_groups(sized: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
+    """(doc_id, grp) of the documents in buckets() of more than `small`; those of one bucket are in one group."""
+
+    star = sized.where(f"n > {small} and doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    return components(star).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
+
+
+def links_in_groups(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Similar documents of each group of (doc_id, grp): rows (a, b, links), a in the class of b, links parts of b's number.
+
+    A group is cut by length into classes of a factor 1 / threshold, so that similar documents are in the same or in
+    neighbouring ones, and a class into blocks of a bounded size. Every two blocks of those classes meet in one task, which
+    tells a row for each document with links: the smallest one it is linked with there and how many there are.
     """
 
-    found = None
-    # a document's own band keys, and those of the next two bands for finer buckets
-    rows = heads.select("doc_id", "keys").select("doc_id", F.posexplode("keys").alias("band", "key"), "keys").where("key is not null")
-    rows = rows.select("doc_id", "key", *(F.get("keys", (F.col("band") + k) % bands).alias(f"next{k}") for k in (1, 2)))
-    for level in range(3):
-        sizes = shared_table(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"), "sizes")
-        sized = shared_table(rows.join(sizes, "key"), "buckets")  # both sides are shuffled, so a hot bucket can be split
-        little = sized.where(f"n <= {small}").groupBy("key").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-        pairs = little.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-        large = sized.where(f"n > {small}")
-        star = large.where("doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-        # parts of a bounded size, in the order of the next bands: likely similar documents stand side by side
-        order = Window.partitionBy("key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PART_ROWS))).orderBy(*(c for c in ("next1", "next2") if c in sized.columns), "doc_id")
-        beside = large.select("doc_id", F.lag("doc_id").over(order).alias("last")).where("last <> doc_id").select(F.least("last", "doc_id").alias("a"), F.greatest("last", "doc_id").alias("b"))
-        for part in (pairs, star, beside):
-            found = part if found is None else found.union(part)
-        if level < 2:
-            rows = sized.where(f"n > {small} and next{level + 1} is not null").select("doc_id", F.xxhash64("key", f"next{level + 1}").alias("key"), *(["next2"] if level == 0 else []))
-    return found.distinct()
+    width = max(1e-9, -math.log(max(threshold, 1e-9))) * (1 + 1e-9)
+    members = groups.join(sets.select("doc_id", "size"), "doc_id").withColumn("cls", F.floor(F.log("size") / width))
+    members = shared_table(members, "members")
+    cells = members.groupBy("grp", "cls").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("parts"))
+    above = cells.select("grp", (F.col("cls") - 1).alias("cls"), F.col("parts").alias("above"))
+    below = cells.select("grp", (F.col("cls") + 1).alias("cls"), F.col("parts").alias("below"))
+    placed = members.join(cells, ["grp", "cls"]).join(above, ["grp", "cls"], "left").join(below, ["grp", "cls"], "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    meetings = F.expr("""concat(
+        transform(sequence(0L, parts - 1), x -> struct(cls as c, least(part, x) as p, cls as d, greatest(part, x) as q, if(part <= x, 0, 1) as side)),
+        if(above is null, array(), transform(sequence(0L, above - 1), x -> struct(cls as c, part as p, cls + 1 as d, x as q, 0 as side))),
+        if(below is null, array(), transform(sequence(0L, below - 1), x -> struct(cls - 1 as c, x as p, cls as d, part as q, 1 as side))))""")
+    tasks = placed.select("doc_id", "grp", F.explode(meetings).alias("t")).select("doc_id", "grp", "t.*", F.expr("t.c = t.d and t.p = t.q").alias("same"))
+    return tasks.join(sets.drop("size"), "doc_id").groupBy("grp", "c", "p", "d", "q").applyInArrow(_compare_blocks(threshold), "a long, b long, links long")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -206,8 +328,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
 
     Documents are linked when the Jaccard similarity of their sets of five-word shingles (words: runs of letters, digits,
     underscores and non-ASCII characters, lower-cased) is threshold or more; weighted compares multisets. Texts under five
-    words are one shingle. Classes are the connected documents; the smallest doc_id is kept. links counts the differing
-    shingle sets that the document's own was compared with and found similar to.
+    words are one shingle. Documents that agree in no band and are in no common group of large buckets are not compared.
+    Classes are the connected documents; the smallest doc_id is kept. links counts the differing shingle sets that the
+    document's own was compared with and found similar to.
     Null, empty and wordless texts have no shingles: each is a class of its own. Rows with equal doc_id are taken as one
     document for the class and keep a row each. Rows without doc_id are always kept; they have the class of the documents
     with an equal shingle set if there are any, else a class of their own (class_id null).
@@ -219,8 +342,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
     named = sketch.where("doc_id is not null and set_key is not null")
     folded = shared_table(named.groupBy("set_key").agg(F.min("doc_id").alias("head"), F.min("keys").alias("keys")), "heads")
     heads = folded.select(F.col("head").alias("doc_id"), "keys")
-    pairs = shared_table(candidate_pairs(heads, bands), "pairs")
-    wanted = shared_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    sized = buckets(heads)
+    groups = shared_table(large_groups(sized), "groups")
+    of_a, of_b = groups.select(F.col("doc_id").alias("a"), F.col("grp").alias("grp_a")), groups.select(F.col("doc_id").alias("b"), F.col("grp").alias("grp_b"))
+    pairs = _small_pairs(sized, SMALL_BUCKET).join(of_a, "a", "left").join(of_b, "b", "left")
+    pairs = shared_table(pairs.where("grp_a is null or grp_b is null or grp_a <> grp_b").select("a", "b"), "pairs")  # the rest meet in blocks
+    wanted = shared_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(groups.select("doc_id")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to their ids
         wanted = F.broadcast(wanted)
     sets = _shingle_sets(source.join(wanted, "doc_id", "left_semi"), weighted).dropDuplicates(["doc_id"])
@@ -230,9 +357,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
         return sets.select(F.col("doc_id").alias(name), F.col("grams").alias(f"{name}_grams"), F.col("copies").alias(f"{name}_copies"))
 
     compared = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_grams", "b_grams", "a_copies", "b_copies")
-    links = shared_table(per_batch(compared, _compare, "a long, b long, similarity double").where(F.col("similarity") >= threshold), "links")
-    label = components(links.select("a", "b"))
-    degree = links.select(F.col("a").alias("head")).union(links.select("b")).groupBy("head").agg(F.count("*").alias("links"))
+    links = per_batch(compared, _compare, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    links = links.select("a", "b", F.explode(F.array("a", "b")).alias("head"), F.lit(1).cast("long").alias("links"))
+    in_groups = links_in_groups(groups, sets, threshold).select("a", "b", F.col("b").alias("head"), "links")
+    links = shared_table(links.union(in_groups), "links")
+    label = components(links.where("a <> b").select("a", "b"))
+    degree = links.groupBy("head").agg(F.sum("links").alias("links"))
     of_head = folded.join(label.withColumnRenamed("node", "head"), "head", "left").join(degree, "head", "left")
     of_head = of_head.select("set_key", F.coalesce("label", "head").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     rows_ = sketch.select("doc_id", "set_key").join(of_head, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

@@ -135,3 +135,55 @@ def test_edge_rows(documents):
 def test_weights(documents, weighted):
     rows = [(1, "a b c d e f " * 9 + "x y z"), (2, "a b c d e f " * 3 + "x y z")]
     assert (len({r["class_id"] for r in near_duplicates(documents(rows), weighted=weighted).collect()}) == 2) == weighted
+
+
+def brute_links(sets, threshold):
+    n = {i: 0 for i in sets}
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        x = sets[i]
+        for j in ids[:k]:
+            both = len(x & sets[j])
+            if both / max(1, len(x) + len(sets[j]) - both) >= threshold:
+                n[i] += 1
+                n[j] += 1
+    return n
+
+
+@pytest.mark.parametrize(("size", "block"), [(1000, None), (200, 2500)])
+def test_original_of_many_copies_is_not_the_smallest(documents, monkeypatch, size, block):
+    if block:
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(near_dedup, "STEP_CELLS", 300)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(size):
+        words = list(base)
+        for at in rng.sample(range(100), 2):
+            words[at] = f"new{rng.randrange(10**9)}"
+        if i % 10 == 0:  # other lengths too
+            words += [f"end{i}_{k}" for k in range(rng.randrange(12))]
+        rows.append((i, " ".join(words)))
+    rows.append((size, " ".join(base)))
+    sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    got = near_duplicates(documents(rows)).collect()
+    assert {r["doc_id"]: r["links"] for r in got} == brute_links(sets, 0.8)
+    assert {r["class_id"] for r in got if r["links"]} == {min(r["doc_id"] for r in got if r["links"])}
+    assert all(r["class_id"] == r["doc_id"] for r in got if not r["links"])
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_blocks_like_brute_force(weighted):
+    rng = np.random.default_rng(3)
+    sets, copies = [], []
+    for _ in range(60):
+        x = rng.choice(40, rng.integers(10, 40), replace=False).astype(np.uint64)
+        sets.append(np.sort(x))
+        copies.append(rng.integers(1, 4, len(x)).astype("<u4").tobytes() if weighted else b"")
+    elements = [near_dedup._elements(x.tobytes(), c) for x, c in zip(sets, copies, strict=True)]
+    for side in (np.zeros(60, int), np.arange(60) % 2):
+        got = [(int(a), int(b)) for i, j in near_dedup._similar_in_blocks(elements, side, 0.5) for a, b in zip(i, j, strict=True)]
+        pairs = [(a, b) for a in range(60) for b in range(60) if (side[a] < side[b] if side.any() else a < b)]
+        want = [(a, b) for a, b in pairs if near_dedup._similarity(sets[a].tobytes(), sets[b].tobytes(), copies[a], copies[b]) >= 0.5]
+        assert sorted(got) == want and want
