@@ -92,160 +92,59 @@ def exact_quantiles(
 ) -> dict:
     """Exact quantiles as ``{group: {name: [q, ...]}}`` without gathering a group anywhere.
 
-    A mergeable sketch brackets the wanted order statistics; a second pass counts the rows between the
-    brackets and lists the distinct values inside. While a bracket still holds more than ``max_values``
-    distinct values it is narrowed by another sketch, so what reaches the driver is bounded.
+    A mergeable sketch cuts each column's values into cells, narrow ones around the wanted order statistics.
+    Spark counts the rows of every cell and adds the counts up, which says what cells hold the wanted ranks
+    however good the sketch is; only the values of these are put in order, in blocks where a cell has more than
+    ``max_values`` rows. The driver gets cut points, cells and values in proportion to groups x probabilities.
     """
 
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("quantiles must be between 0 and 1")
+    spark = df.sparkSession
     group = F.col(by) if by else F.lit(0)
     names = list(values)
     entries = F.array(*[F.struct(F.lit(n).alias("name"), F.when(S.is_finite(c), S.dbl(c)).alias("v")) for n, c in values.items()])
     long = df.select(group.alias("__g"), F.explode(entries).alias("e")).select("__g", "e.name", "e.v").where("v is not null")
     accuracy, margin = 4_000, 7.5e-4
     padded = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
-    sketch = long.groupBy("__g", "name").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", padded, accuracy).alias("q")
-    )
-    columns: dict[tuple, _Ranks] = {}
-    for row in sketch.limit(1_000_001).collect():
-        columns[row["__g"], row["name"]] = _Ranks(row, probs, padded, margin, interpolation)
-    if len(columns) > 1_000_000:
-        raise ValueError("too many quantile groups")
-    # rows expected inside the first brackets; few enough to list without counting them first
-    small = sum(c.n for c in columns.values()) * min(1.0, 2 * margin * len(probs) + 1e-9) <= max_values
-    pending = dict(columns)
-    while pending:
-        table = _bracket_table(df.sparkSession, long, pending)
-        # the bracket list is as long as groups x columns, checked above
-        hit = long.join(F.broadcast(table), ["__g", "name"]).withColumn("j", F.size(F.filter("los", lambda x: x <= F.col("v"))))
-        hit = hit.select("__g", "name", "j", "v", F.get("los", F.col("j") - 1).alias("lo"), F.get("his", F.col("j") - 1).alias("hi"))
-        if not small:
-            _narrow(hit, pending, max_values)
-        inside = F.when(F.col("v").between(F.col("lo"), F.col("hi")), F.col("v"))
-        ready = [k for k, c in pending.items() if c.ready]
-        if ready:
-            keep = hit if len(ready) == len(pending) else hit.join(F.broadcast(_bracket_table(df.sparkSession, long, {k: pending[k] for k in ready}).select("__g", "name")), ["__g", "name"])
-            for r in keep.groupBy("__g", "name", "j", inside.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect():
-                pending[r["__g"], r["name"]].add(r["j"], r["v"], r["n"])
-            for k in ready:
-                if pending[k].finish():
-                    del pending[k]
+    keys = ["__g", "name"]
+    sketch = long.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", padded, accuracy).alias("q"))
+    # collected once so that every later use sees the same cuts, also after a lost executor
+    columns = [(r["__g"], r["name"], r["q"], _wanted_ranks(r["n"], probs, interpolation)) for r in sketch.collect()]
+    if not columns:
+        return {} if by else {0: {n: [None] * len(probs) for n in names}}
+    key_fields = [long.schema["__g"], T.StructField("name", T.StringType())]
+    ranks_field = T.StructField("ranks", T.ArrayType(T.LongType()))
+    cuts = spark.createDataFrame([(g, name, q) for g, name, q, _ in columns], T.StructType([*key_fields, T.StructField("cuts", T.ArrayType(T.DoubleType()))]))
+    ranks = spark.createDataFrame([(g, name, sorted({k for w in wanted for k in w[:2]})) for g, name, _, wanted in columns], T.StructType([*key_fields, ranks_field]))
+    placed = join_groups(long, cuts, keys, "inner").select(*keys, "v", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("cell"))
+    cells = placed.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("cell")) - F.col("n"))
+    held = F.filter("ranks", lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))
+    held = join_groups(cells, ranks, keys, "inner").withColumn("ranks", held).where(F.size("ranks") > 0).collect()
+    cell_field = placed.schema["cell"]
+    chosen = spark.createDataFrame([(r["__g"], r["name"], r["cell"], r["before"], r["ranks"]) for r in held], T.StructType([*key_fields, cell_field, T.StructField("before", T.LongType()), ranks_field]))
+    hot = [(r["__g"], r["name"], r["cell"]) for r in held if r["n"] > max_values]
+    inside = join_groups(placed, chosen.select(*keys, "cell"), [*keys, "cell"], "left_semi")
+    counts = join_groups(ordered_counts(inside, [*keys, "cell"], "v", hot=hot), chosen, [*keys, "cell"], "inner")
+    at = F.filter("ranks", lambda k: (k >= F.col("before") + F.col("cum") - F.col("n")) & (k < F.col("before") + F.col("cum")))
+    found = {(r["__g"], r["name"], r["k"]): r["v"] for r in counts.select(*keys, F.col("__v").alias("v"), F.explode(at).alias("k")).collect()}
     result: dict = {}
-    for (g, name), c in columns.items():
-        result.setdefault(g, {n: [None] * len(probs) for n in names})[name] = c.quantiles()
-    if by is None and not result:
-        result[0] = {n: [None] * len(probs) for n in names}
+    for g, name, _, wanted in columns:
+        low_high = [(found[g, name, k], found[g, name, k2], frac) for k, k2, frac in wanted]
+        result.setdefault(g, {n: [None] * len(probs) for n in names})[name] = [lo + (hi - lo) * frac for lo, hi, frac in low_high]
     return result
 
 
-class _Ranks:
-    """Brackets around the order statistics one column of one group needs."""
-
-    def __init__(self, row, probs, padded, margin, interpolation) -> None:
-        self.n, self.min, self.max = row["n"], row["lo"], row["hi"]
-        edge = dict(zip(padded, row["q"]))
-        self.wanted: list[tuple[int, int, float]] = []
-        brackets = []
-        for p in probs:
-            h = p * (self.n - 1)
-            k = math.floor(h + 0.5) if interpolation == "nearest" else math.floor(h)
-            k2, frac = (k, 0.0) if interpolation == "nearest" else (min(k + 1, self.n - 1), h - k)
-            self.wanted.append((k, k2, frac))
-            below = [edge[q] for q in padded if q <= p - margin / 2]
-            above = [edge[q] for q in padded if q >= p + margin / 2]
-            brackets.append((below[-1] if below and p > margin else self.min, above[0] if above and p < 1 - margin else self.max))
-        self.ranks = sorted({k for w in self.wanted for k in w[:2]})
-        self.found: dict[int, float] = {}
-        self.set(brackets)
-
-    def set(self, brackets) -> None:
-        merged: list[list[float]] = []
-        for lo, hi in sorted(brackets):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        self.brackets, self.ready, self.seen = merged, True, {}
-
-    def add(self, j: int, v, n: int) -> None:
-        self.seen.setdefault(j, []).append((v, n))
-
-    def finish(self) -> bool:
-        """Read the wanted ranks off the counts; widen where a rank fell between brackets."""
-
-        running, gaps = 0, []
-        todo = [k for k in self.ranks if k not in self.found]
-        for j in range(len(self.brackets) + 1):
-            cells = self.seen.get(j, [])
-            for v, n in sorted(c for c in cells if c[0] is not None):
-                self.found.update({k: v for k in todo if running <= k < running + n})
-                running += n
-            between = sum(n for v, n in cells if v is None)
-            if any(running <= k < running + between for k in todo):
-                gaps.append((self.brackets[j - 1][1] if j else self.min, self.brackets[j][0] if j < len(self.brackets) else self.max))
-            running += between
-        if gaps:
-            self.set([*map(tuple, self.brackets), *gaps])
-        return not gaps
-
-    def quantiles(self) -> list[float]:
-        return [self.found[k] + (self.found[k2] - self.found[k]) * frac for k, k2, frac in self.wanted]
-
-
-def _bracket_table(spark, long: DataFrame, columns: Mapping[tuple, _Ranks]) -> DataFrame:
-    rows = [(g, name, [b[0] for b in c.brackets], [b[1] for b in c.brackets]) for (g, name), c in columns.items()]
-    doubles = T.ArrayType(T.DoubleType())
-    schema = T.StructType([long.schema["__g"], T.StructField("name", T.StringType()), T.StructField("los", doubles), T.StructField("his", doubles)])
-    return spark.createDataFrame(rows, schema)
-
-
-def _narrow(hit: DataFrame, pending: Mapping[tuple, _Ranks], max_values: int) -> None:
-    """Count every bracket and shrink those with too many distinct values strictly inside."""
-
-    inner = F.when((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")), F.col("v"))
-    cells = hit.groupBy("__g", "name", "j").agg(
-        F.count_if(F.col("v") == F.col("lo")).alias("at_lo"),
-        F.count(inner).alias("mid"),
-        F.count_if((F.col("v") == F.col("hi")) & (F.col("hi") > F.col("lo"))).alias("at_hi"),
-        F.count_if((F.col("j") == 0) | (F.col("v") > F.col("hi"))).alias("between"),
-        F.approx_count_distinct(inner).alias("distinct"),
-    )
-    by_column: dict[tuple, dict[int, object]] = {}
-    for r in cells.collect():
-        by_column.setdefault((r["__g"], r["name"]), {})[r["j"]] = r
-    wide_cells = [(r["__g"], r["name"], r["j"]) for cells_ in by_column.values() for r in cells_.values() if r["j"] and r["distinct"] > max_values]
-    cuts_of = {}
-    if wide_cells:  # sketches only for the brackets that need narrowing
-        schema = T.StructType([hit.schema["__g"], hit.schema["name"], hit.schema["j"]])
-        some = hit.join(F.broadcast(hit.sparkSession.createDataFrame(wide_cells, schema)), ["__g", "name", "j"])
-        sketch = some.groupBy("__g", "name", "j").agg(F.percentile_approx(inner, [i / 64 for i in range(1, 64)], 2_000).alias("cuts"))
-        cuts_of = {(r["__g"], r["name"], r["j"]): r["cuts"] for r in sketch.collect()}
-    for key, column in pending.items():
-        running, brackets, wide = 0, [], False
-        for j in range(len(column.brackets) + 1):
-            r = by_column.get(key, {}).get(j)
-            if j:
-                lo, hi = column.brackets[j - 1]
-                if r is None or r["distinct"] <= max_values:
-                    brackets.append((lo, hi))
-                else:
-                    wide = True
-                    first = running + r["at_lo"]
-                    cuts = [lo, *cuts_of[*key, j], hi]
-                    for k in column.ranks:
-                        if running <= k < first:
-                            brackets.append((lo, lo))
-                        elif first <= k < first + r["mid"]:
-                            at = (k - first) / r["mid"] * 64
-                            brackets.append((cuts[max(0, math.floor(at) - 1)], cuts[min(64, math.ceil(at) + 1)]))
-                        elif first + r["mid"] <= k < first + r["mid"] + r["at_hi"]:
-                            brackets.append((hi, hi))
-            if r is not None:
-                running += (r["at_lo"] + r["mid"] + r["at_hi"] if j else 0) + r["between"]
-        column.set(brackets)
-        column.ready = not wide
+def _wanted_ranks(n: int, probs: Sequence[float], interpolation: str) -> list[tuple[int, int, float]]:
+    """(rank, next rank, weight of the next) of each quantile among n rows, from 0."""
+
+    wanted = []
+    for p in probs:
+        h = p * (n - 1)
+        k = math.floor(h + 0.5) if interpolation == "nearest" else math.floor(h)
+        wanted.append((k, k, 0.0) if interpolation == "nearest" else (k, min(k + 1, n - 1), h - k))
+    return wanted
 
 
 def quantile(df: DataFrame, value: Column, probs: Sequence[float], interpolation: str = "linear") -> list[float]:

@@ -35,6 +35,32 @@ def test_exact_quantiles(values, max_values, interpolation):
                 assert found[g][c] == want
 
 
+def test_quantiles_of_many_groups_collect_little(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": np.arange(60_000) % 20, "v": rng.normal(size=60_000)})
+    df = spark.createDataFrame(pdf)
+    probs = [0.1, 0.3, 0.5, 0.7, 0.9]
+    sizes, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    found = core.exact_quantiles(df, {"v": F.col("v")}, probs, by="g")
+    assert max(sizes) <= 20 * len(probs) * 2
+    for g, part in pdf.groupby("g"):
+        np.testing.assert_allclose(found[g]["v"], np.quantile(part.v, probs), rtol=1e-12)
+
+
+def test_quantiles_with_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert core.exact_quantiles(df, {"v": F.col("v")}, [0.5], by="g") == {None: {"v": [2.0]}, "a": {"v": [5.0]}}
+
+
 def test_quantiles_ignore_non_finite(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
     assert core.quantile(df, F.col("v"), [0.5]) == [2.0]
