@@ -111,3 +111,13 @@ def test_empty_tables(documents, spark):
     assert leaks(documents([]), some).count() == 0
     assert drop_leaks(documents([(1, "a b c d e f g h"), (2, "c")]), some).count() == 1
     assert decontaminate.ITEMS_AT_ONCE > 0
+
+
+def test_all_windows_are_verified_where_samples_miss_the_recall():
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(2000)]
+    items = Items.of([(k, " ".join(words[200 * k : 200 * k + 200])) for k in range(10)], share=0.9)
+    at = rng.integers(0, 10, 300)
+    windows = [edited(items.words[k], items.edits[k], rng) for k in at]
+    assert items.verify_all and items.meet(items._table(windows)[0], at).all()
+    assert not Items.of([(k, " ".join(words[200 * k : 200 * k + 200])) for k in range(10)]).verify_all
