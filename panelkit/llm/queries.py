@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, pii, quality, secret_scan, substring_dedup, token_counts
+from panelkit.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, pii, quality, secret_scan, substring_dedup, token_counts, token_files
 from panelkit.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

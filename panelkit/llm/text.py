@@ -154,19 +154,25 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped_id"]), "left_anti")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet under the folder that spark.checkpoint.dir names, and read it back.
-
-    The files survive the loss of executors and keep column pruning; they go when that folder is cleared.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine without that setting, a new temporary one."""
 
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write df as Parquet under the folder that spark.checkpoint.dir names, and read it back.
+
+    The files survive the loss of executors and keep column pruning; they go when that folder is cleared.
+    """
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
