@@ -19,6 +19,8 @@ _BYTE_CODES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators of plain words: ASCII other than letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Separators of normalised words: ASCII other than letters, digits and underscore.
 NOT_WORD = np.array([b < 128 and not (chr(b).isalnum() or b == 0x5F) for b in range(256)])
 
@@ -43,12 +45,18 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def word_runs(data: np.ndarray, separators: np.ndarray = WHITESPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (bytes) of each maximal run of bytes that are not separators."""
+
+    edge = np.diff((~separators[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def hash_words(data: np.ndarray, separators: np.ndarray = WHITESPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes) and 64-bit hash of each maximal run of bytes that are not separators."""
 
     inside = ~separators[data]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = word_runs(data, separators)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     sizes = ends - starts
