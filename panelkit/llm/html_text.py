@@ -26,7 +26,13 @@ BLOCK_TAGS = frozenset(
     "label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style template iframe noembed noframes xmp svg math object".split())
+RAW_TAGS = frozenset("script style iframe noembed noframes xmp".split())
+#: Elements that are left out with all inside. A drawing ends at a tag that can't be in one, but not inside its parts for HTML.
+HIDDEN_TAGS = frozenset(["svg", "template"])
+DRAWING_PARTS = frozenset(["foreignobject", "desc", "title"])
+ENDS_DRAWING = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: An open element of the first kind is closed by any of the second.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()),
@@ -56,11 +62,18 @@ def _name_words(attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order: references decoded, white space runs made one space, ends trimmed."""
+    """Leaf blocks with text, in page order: references decoded, white space runs made one space, ends trimmed.
+
+    Scripts, styles and frames are left out up to their end tag, or to the end of the page if there is none, as browsers do.
+    Drawings (svg) are left out up to the end that matches, or up to the next tag that can't be in one; a self-closed one
+    holds nothing. Texts of formulas (math) and what an object offers instead of itself are text. A tag without its ">"
+    goes on to the next ">" or the end of the page.
+    """
 
     out: list[Block] = []
     open_: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    hidden: list[str] = []
     linked = links = 0
 
     def flush() -> None:
@@ -75,7 +88,7 @@ def blocks(page: str) -> list[Block]:
     while True:
         token = _TOKEN.search(page, at)
         piece = page[at : token.start() if token else len(page)]
-        if piece:
+        if piece and not hidden:
             parts.append(piece)
             if links:
                 linked += len(piece)
@@ -85,7 +98,25 @@ def blocks(page: str) -> list[Block]:
         tag = (token[2] or token[5] or "").lower()
         if not tag:
             continue
-        if token[1] or token[4]:
+        closing, attributes = token[1] or token[4], token[3] or token[6] or ""
+        if hidden:
+            if hidden[-1] == "svg" and not closing and tag in ENDS_DRAWING:
+                hidden.clear()
+            elif closing and tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
+            else:
+                inside = HIDDEN_TAGS | DRAWING_PARTS if "svg" in hidden else HIDDEN_TAGS
+                if not closing and tag in inside and not (attributes.endswith("/") and (tag == "svg" or hidden[-1] == "svg")):
+                    hidden.append(tag)
+                if closing or tag not in RAW_TAGS:
+                    continue
+        elif tag in HIDDEN_TAGS and not closing:
+            if tag != "svg" or not attributes.endswith("/"):
+                hidden.append(tag)
+            continue
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK_TAGS:
@@ -97,6 +128,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if tag == "xmp" and not hidden:
+                parts.append(html.escape(page[at : end.start() if end else len(page)]))
             at = end.end() if end else len(page)
             continue
         if tag == "br":
@@ -106,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             while open_ and tag in CLOSED_BY.get(open_[-1][0], ()):
                 open_.pop()
             if tag not in VOID_TAGS:
-                open_.append((tag, _name_words(token[3] or token[6] or "")))
+                open_.append((tag, _name_words(attributes)))
         elif tag == "a":
             links += 1
     flush()

@@ -93,3 +93,40 @@ def test_fit_on_a_table(spark):
     model = html_text.fit_table(table, rounds=150)
     page = blocks("<body><nav><a href=x>Home</a></nav><article><p>Here is a text, and it goes on for a while.</p></article><footer>c</footer>")
     assert main_text(page, model.decode([features(page)])[0]) == "Here is a text, and it goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # drawings: closed, nested, self-closed, never closed
+        ("<p>A first.</p><svg viewBox='0 0 1 1'><text>no</text></svg><p>B second.", ["A first.", "B second."]),
+        ("<p>A <svg><svg><text>no</text></svg><text>no</text></svg> b", ["A b"]),
+        ('<p>A first.</p><svg viewBox="0 0 1 1"/><p>B second.</p>', ["A first.", "B second."]),
+        ("<p>A first.</p><svg><g/><text>no<p>B second.</p>tail", ["A first.", "B second.", "tail"]),
+        ("<p>A</p><svg><title>no</title><desc>no<b>no</b></desc><foreignObject><p>no</p><div>no</div></foreignObject><text>no</text></svg>B", ["A", "B"]),
+        ("<p>A <svg><script>if (a < '<p>') b</script><path d='x'></svg>b", ["A b"]),
+        ("A<svg>no", ["A"]),
+        ("A</svg> b", ["A b"]),
+        # formulas
+        ("Let <math><mi>x</mi></math> be real", ["Let x be real"]),
+        ("Let <math/> be", ["Let be"]),
+        ("Let <math><mi>x<p>next", ["Let x", "next"]),
+        # objects with something instead
+        ("<object data=x><p>instead</p></object><p>B", ["instead", "B"]),
+        ("<object data=x><p>instead<p>B", ["instead", "B"]),
+        ("A<object data=x />b", ["Ab"]),
+        # templates
+        ("A<template><p>no<template>no</template>no</template>b", ["Ab"]),
+        ("A<template><svg/><p>no</p></template>b", ["Ab"]),
+        # left out to the end of the page, as browsers do
+        ("A<style>p{}", ["A"]),
+        ("<p>A<iframe src=x>no</iframe>b<noframes><p>no</noframes>c", ["Abc"]),
+        ("<p>A <xmp><b>shown &amp; as it is</xmp> b", ["A <b>shown &amp; as it is b"]),
+        # a tag without its end
+        ("if a<b then c", ["if a"]),
+        ("if a<b then c</p>d", ["if ad"]),
+        ("if a < b then c", ["if a < b then c"]),
+    ],
+)
+def test_elements_that_are_left_out(page, want):
+    assert [b.text for b in blocks(page)] == want
