@@ -13,7 +13,9 @@ at each attempt, and only the manifest table, written by Spark from the tasks th
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,8 +38,15 @@ RANK_BITS = 512
 END_ID = 1
 #: A file is closed once it holds so many tokens (it takes whole documents, so a long one may go beyond).
 FILE_TOKENS = 1 << 23
-#: Words and bytes of words whose ids a worker remembers before it starts anew.
-MEMO_WORDS, MEMO_BYTES = 1 << 18, 1 << 24
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 22
+#: Words (and pieces of words) that a worker remembers at least, and not more than twice as many beside those of a batch.
+MEMO_KEYS = 150_000
+#: Fixed value: the pattern of word tokenizers of this kind, and the same for lower-case ASCII text without white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A sign that the pattern keeps apart from words when white space is around it.
+_SIGN = b"\x01"
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Tokens that a scan of a file decodes at once, at most (more only if a single document is longer).
 SCAN_TOKENS = 1 << 20
 
@@ -158,29 +167,89 @@ def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
+def _parts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[x:y] for x, y in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
+
+class Memo:
+    """Values of keys in two generations: what isn't asked for while MEMO_KEYS others are is forgotten."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Keys without a value; the others are in `young` from now on."""
+
+        if len(self.young) > MEMO_KEYS:
+            self.young, self.old = {}, self.young
+        out = []
+        for key in keys - self.young.keys():
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.young[key] = value
+        return out
+
+
 class Encoder:
     """Token ids of whole texts, as bytes of unsigned 32-bit integers.
 
     For tokenizers to which white space is a border that leaves no trace, as for word tokenizers: a text's ids are then
-    those of its words. Each word that differs goes through the tokenizer once while it is remembered.
+    those of its words, and a word that comes again isn't encoded again while it is remembered. Where the tokenizer's file
+    lower-cases and has the pattern PATTERN, words of ASCII characters are cut by that pattern too, since their pieces come
+    again far more often; pieces go to the tokenizer in one text, and the ends of words in its tokens tell them apart.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are text
-        self.memo: dict[bytes, bytes] = {}
-        self.held = 0
+        self.words, self.pieces = Memo(), Memo()
+        made = json.loads(self.tokenizer.to_str())
+        parts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = made["model"].get("end_of_word_suffix")
+        self.cuts = parts[0].get("pattern") == {"Regex": PATTERN} and "Lowercase" in str(made.get("normalizer")) and bool(suffix)
+        vocabulary = self.tokenizer.get_vocab()
+        alone = self._ids(_SIGN)
+        self.sign = int(alone[0]) if len(alone) == 1 else None
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _alone(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that the pattern doesn't cut: in the ids of all of them, each ends with a token that ends a word."""
+
+        ids = self._ids(b" ".join(pieces))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return _parts(ids, np.r_[0, ends[:-1]], ends) if len(ends) == len(pieces) else self._alone(pieces)
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of any words: encoded in one text, with a sign between them that none of them holds and that has one id."""
+
+        if self.sign is None or not words or any(_SIGN in w for w in words):
+            return self._alone(words)
+        ids = self._ids((b" " + _SIGN + b" ").join(words))
+        signs = np.flatnonzero(ids == self.sign)
+        return _parts(ids, np.r_[0, signs + 1], np.r_[signs, len(ids)]) if len(signs) == len(words) - 1 else self._alone(words)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]  # of bytes, this splits at ASCII white space alone
-        distinct = set().union(*words)
-        new = distinct - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS or self.held > MEMO_BYTES:
-            self.memo, self.held, new = {}, 0, distinct
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.memo.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-        self.held += sum(map(len, new))
-        return [b"".join(map(self.memo.__getitem__, some)) for some in words]
+        new = self.words.missing(set().union(*words))
+        cut = {w: _PIECES.findall(w.lower()) for w in new if w.isascii()} if self.cuts else {}
+        pieces = self.pieces.missing(set().union(*cut.values()))
+        if pieces:
+            self.pieces.young.update(zip(pieces, self._pieces(pieces), strict=True))
+        whole, piece, known = [w for w in new if w not in cut], self.pieces.young.__getitem__, self.words.young
+        known.update(zip(whole, self._words(whole), strict=True))
+        known.update((w, b"".join(map(piece, some))) for w, some in cut.items())
+        return [b"".join(map(known.__getitem__, some)) for some in words]
 
 
 @lru_cache(maxsize=1)
@@ -223,7 +292,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
         held, coded, ends = [], [], []
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            for some, texts in chunks(keys, batch.column(1).to_pylist()):
+            for some, texts in chunks(keys, batch.column(1).to_pylist(), TEXT_BYTES):
                 for key, ids in zip(some, tool.encode(texts), strict=True):
                     held.append(key)
                     coded.append(ids + end)

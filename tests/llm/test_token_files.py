@@ -99,9 +99,25 @@ def test_empty_table(documents):
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(tf, "MEMO_WORDS", 20)
+    monkeypatch.setattr(tf, "MEMO_KEYS", 20)
     tool = tf.Encoder(PATH)
-    texts = [t or "" for _, t in ROWS]
-    for text, (_, ids) in zip(texts, expected(ROWS), strict=True):
-        assert np.frombuffer(tool.encode([text.encode()])[0], "<u4").tolist() + [1] == ids
-        assert len(tool.memo) <= 20 + len(text.split())
+    assert tool.cuts
+    for _ in range(2):
+        for (_, text), (_, ids) in zip(ROWS, expected(ROWS), strict=True):
+            assert np.frombuffer(tool.encode([(text or "").encode()])[0], "<u4").tolist() + [1] == ids
+            assert all(len(m.young) + len(m.old) <= 2 * (20 + len((text or "").split())) + 600 for m in (tool.words, tool.pieces))
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+def test_words_and_pieces_like_whole_texts(cuts):
+    rng = np.random.default_rng(8)
+    signs = ["a", "B", "it's", "'", "'S", "'ll", "12", "x9", ",", ".", "--", " ", " ", "\n", "\x1f", "\x00", "\x01", "\x7f", "é", "É", "\u0301", "h\u0331", "H\u0331", "İ", "Σ", "ß", "\u00a0", "\u2003", "中", "\u212a", "<|endoftext|>", "</w>", "…", "٣"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(1, 40)))) for _ in range(4000)]
+    tool = tf.Encoder(PATH)
+    tool.cuts = cuts
+    assert tool.sign is not None
+    want = [ids[:-1] for _, ids in expected(list(enumerate(texts)))]
+    got = [np.frombuffer(x, "<u4").tolist() for k in range(0, 4000, 200) for x in tool.encode([t.encode() for t in texts[k : k + 200]])]
+    clean = [t.replace("\x01", "\x02") for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode([t.encode() for t in clean])] == [ids[:-1] for _, ids in expected(list(enumerate(clean)))]
+    assert [(t, g) for t, g in zip(texts, got, strict=True)] == [(t, w) for t, w in zip(texts, want, strict=True)]
