@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from catalog.registry import OOF, PANEL, oof, panel, query
 from panelkit.operators import metrics as M
+from panelkit.session import new_folder
 from panelkit.sources import fixtures as fx
 from panelkit.sources import io
 from panelkit.streaming import serving, state
@@ -19,13 +19,7 @@ EXPERTS = list(fx.EXPERTS)
 
 
 def work_dir(spark) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only in local mode without the setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/panelkit-{uuid.uuid4().hex}"
+    return new_folder(spark, "panelkit")
 
 
 # --------------------------------------------------------------------------- sinks
@@ -132,54 +126,102 @@ def stream_lag_attach(spark, sf):
     return spark.read.parquet(f"{root}/out").select(*KEYS, serving.TARGET_LAG)
 
 
+@contextmanager
+def rocksdb(spark):
+    """Keyed state of the streams inside is kept in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, state.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def run_into(out, root: str) -> None:
+    """Drain an append stream into a folder."""
+    sink = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def deliver(spark, parts, root: str):
+    """Append delivery after delivery and yield the stream after each."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/source")
+        yield spark.readStream.schema(part.schema).parquet(f"{root}/source")
+
+
 @query(
     "stream_feature_cache",
     f"SELECT CAST(p.date_id + 1 AS BIGINT) AS date_id, CAST(p.time_id AS BIGINT) AS time_id, CAST(p.symbol_id AS BIGINT) AS symbol_id, p.weight, p.base_prediction, p.trail_prediction, p.linear_prediction, p.responder_6 FROM oof p --d:weight base_prediction trail_prediction linear_prediction responder_6",
     ctes=(PANEL, OOF),
 )
 def stream_feature_cache(spark, sf):
-    """Training rows from keyed state: features of one date joined to the next date's lags."""
+    """Training rows from keyed state: features of one date joined to the next date's lags.
+
+    Every lag is sent twice, and test rows of an older date come again with other values; neither changes the result.
+    """
     root = work_dir(spark)
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
-    try:
-        for source in feed(spark, protocol_rows(oof(spark, sf)), root, [60]):
-            out = state.training_rows(source.drop("row_id"), EXPERTS)
-            out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    rows = protocol_rows(oof(spark, sf)).drop("row_id")
+    last = rows.agg(F.max("date_id")).first()[0]
+    first, second = rows.where(F.col("date_id") < last - 22), rows.where(F.col("date_id") >= last - 22)
+    old = rows.where((F.col("kind") == "test") & (F.col("date_id") == last - 25)).withColumn("weight", F.col("weight") * 3)
+    again = rows.where((F.col("kind") == "lag") & F.col("date_id").between(last - 24, last - 10))
+    with rocksdb(spark):
+        for source in deliver(spark, [first, second.unionByName(old).unionByName(again), again.unionByName(old)], root):
+            run_into(state.training_rows(state.with_event_time(source), EXPERTS, delay="30 days"), root)
     return spark.read.parquet(f"{root}/out")
 
 
-@query("stream_late_duplicates", f"SELECT {K}, weight FROM panel --d:weight", ctes=(PANEL,))
+#: Dates before the last one: the first delivery ends before FIRST, the second at SECOND; AGAIN come twice, HELD_BACK a
+#: delivery later than due, and LOST after the watermark has passed it.
+FIRST, SECOND, AGAIN, HELD_BACK, LOST = 43, 22, (44, 24), 25, 32
+
+
+@query(
+    "stream_late_duplicates",
+    """SELECT date_id, time_id, symbol_id, weight, CASE WHEN prior < date_id - 1 THEN 'gap' ELSE 'taken' END AS verdict FROM taken
+       UNION ALL SELECT date_id, time_id, symbol_id, weight, 'repeated' FROM marked WHERE again
+       UNION ALL SELECT date_id, time_id, symbol_id, weight, CASE WHEN late THEN 'late' ELSE 'stale' END FROM marked WHERE late OR stale --d:weight""",
+    ctes=(
+        PANEL,
+        "bound AS (SELECT max(date_id) AS last FROM panel)",
+        f"known AS (SELECT time_id, symbol_id, max(date_id) AS latest FROM panel, bound WHERE date_id <= last - {SECOND} AND date_id NOT IN (last - {HELD_BACK}, last - {LOST}) GROUP BY 1, 2)",
+        f"""marked AS (SELECT p.date_id, time_id, symbol_id, weight, date_id = last - {LOST} AS late, date_id = last - {HELD_BACK} AND coalesce(latest, -1) > date_id AS stale, date_id IN (last - {AGAIN[0]}, last - {AGAIN[1]}) AS again
+          FROM panel p JOIN bound ON true LEFT JOIN known USING (time_id, symbol_id))""",
+        "taken AS (SELECT *, lag(date_id) OVER (PARTITION BY time_id, symbol_id ORDER BY date_id) AS prior FROM marked WHERE NOT late AND NOT stale)",
+    ),
+)
 def stream_late_duplicates(spark, sf):
-    """Every row delivered twice, kept once."""
+    """Three deliveries with repeated, stale, late and missing dates; each row comes out with its verdict."""
     root = work_dir(spark)
     rows = panel(spark, sf).select(*KEYS, "weight")
-    rows.unionByName(rows).write.parquet(f"{root}/source")
-    source = state.with_event_time(spark.readStream.schema(rows.schema).parquet(f"{root}/source"))
-    out = state.drop_late_duplicates(source, delay="100 days")
-    out.drop("event_time").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    last = rows.agg(F.max("date_id")).first()[0]
+    date = F.col("date_id")
+    due = rows.where(~date.isin(last - HELD_BACK, last - LOST))
+    first = due.where(date < last - FIRST)
+    second = due.where(date.between(last - FIRST, last - SECOND)).unionByName(rows.where(date == last - AGAIN[0]))
+    third = due.where(date > last - SECOND).unionByName(rows.where(date.isin(last - HELD_BACK, last - LOST, last - AGAIN[1])))
+    with rocksdb(spark):
+        for source in deliver(spark, [first, second, third], root):
+            run_into(state.delivery_verdicts(state.with_event_time(source), delay="5 days"), root)
     return spark.read.parquet(f"{root}/out")
 
 
 @query(
     "stream_tumbling",
-    'SELECT 86400 + CAST(date_id AS BIGINT)*86400 + time_id*30 AS start_s, count(*) AS "rows", sum(weight) AS batch_weight_sum, avg(CASE WHEN feature_03 IS NULL THEN 1e0 ELSE 0e0 END) AS batch_missing_frac FROM panel GROUP BY 1 --d:batch_weight_sum batch_missing_frac',
+    """SELECT start_s, count(*) AS "rows", sum(weight) AS batch_weight_sum, avg(CASE WHEN feature_03 IS NULL THEN 1e0 ELSE 0e0 END) AS batch_missing_frac
+       FROM (SELECT *, 86400 + CAST(date_id AS BIGINT)*86400 + time_id*30 AS start_s FROM panel) WHERE start_s + 30 <= (SELECT max(CAST(date_id AS BIGINT)*86400 + time_id*30) FROM panel) GROUP BY 1 --d:batch_weight_sum batch_missing_frac""",
     ctes=(PANEL,),
 )
 def stream_tumbling(spark, sf):
-    """Batch state on a live stream through tumbling windows (complete output)."""
+    """Batch state on a live stream through tumbling windows: those that the watermark, a day behind, has closed."""
     root = work_dir(spark)
     rows = panel(spark, sf).select(*KEYS, "weight", "feature_03")
-    rows.write.parquet(f"{root}/source")
-    totals = state.batch_totals(state.with_event_time(spark.readStream.schema(rows.schema).parquet(f"{root}/source")), missing=["feature_03"])
-    flat = totals.select(F.unix_timestamp("window.start").alias("start_s"), "rows", "batch_weight_sum", "batch_missing_frac")
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out")
-
-    flat.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/ck").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    last = rows.agg(F.max("date_id")).first()[0]
+    for source in deliver(spark, [rows.where(F.col("date_id") < last - 20), rows.where(F.col("date_id") >= last - 20)], root):
+        totals = state.batch_totals(state.with_event_time(source), missing=["feature_03"])
+        run_into(totals.select(F.unix_timestamp("window.start").alias("start_s"), "rows", "batch_weight_sum", "batch_missing_frac"), root)
     return spark.read.parquet(f"{root}/out")
 
 

@@ -10,6 +10,7 @@ from panelkit.functions import scalar as S
 from panelkit.operators import graph, lags, sampling
 from panelkit.operators.core import with_group_stats
 from panelkit.plans.selection import REPORT_CATEGORIES
+from panelkit.session import new_folder
 from panelkit.sources import fixtures as fx
 from panelkit.sources import io
 
@@ -22,12 +23,22 @@ FEATURES = ["feature_00", "feature_01", "feature_02", "feature_03"]
 
 @query(
     "scan_panel",
-    "SELECT l_returnflag, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS qty FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
+    """SELECT layout, l_returnflag, CAST(l_linenumber AS INTEGER) AS l_linenumber, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS qty
+       FROM lineitem, (SELECT unnest(['keys', 'plain']) AS layout) WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_linenumber <= 3 GROUP BY 1, 2, 3""",
 )
 def scan_panel(spark, sf):
-    """Recursive Parquet scan with a pushed filter and three read columns."""
-    rows = io.scan_panel(spark, f"{sf}/lineitem.parquet").where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp"))
-    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).cast("double").alias("qty"))
+    """Nested trees of folders, with and without partition keys below plain ones, read with a pushed filter and few columns."""
+    root, items = new_folder(spark, "trees"), table(spark, sf, "lineitem")
+    for k in range(3):
+        part = items.where(F.coalesce(F.pmod("l_orderkey", F.lit(3)), F.lit(0)) == k)
+        part.write.partitionBy("l_linenumber").parquet(f"{root}/keys/part_{k}")
+        part.write.parquet(f"{root}/plain/some/part_{k}")
+    out = []
+    for layout in ("keys", "plain"):
+        rows = io.scan_panel(spark, f"{root}/{layout}").where((F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")) & (F.col("l_linenumber") <= 3))
+        counts = rows.groupBy("l_returnflag", F.col("l_linenumber").cast("int").alias("l_linenumber")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).cast("double").alias("qty"))
+        out.append(counts.withColumn("layout", F.lit(layout)))
+    return io.union_all(out)
 
 
 @query(
@@ -36,15 +47,18 @@ def scan_panel(spark, sf):
          SELECT p_brand AS feature, 'small' AS tag FROM part GROUP BY 1 HAVING min(p_size) <= 1
          UNION ALL SELECT p_brand, 'large' FROM part GROUP BY 1 HAVING max(p_size) >= 50
          UNION ALL SELECT p_brand, 'dear' FROM part GROUP BY 1 HAVING max(p_retailprice) > 1500)
-       GROUP BY 1 HAVING count(*) >= 2""",
+       WHERE feature IN (SELECT p_brand FROM part WHERE p_size = 7) GROUP BY 1 HAVING count(*) >= 2""",
 )
 def scan_tags(spark, sf):
-    """Tag matrix (brands as features) to tag -> features."""
-    matrix = table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(
+    """Tag matrix (brands as features) written as CSV and read to tag -> known features, in order of name."""
+    path = f"{new_folder(spark, 'tags')}/matrix.csv"
+    part = table(spark, sf, "part")
+    matrix = part.groupBy(F.col("p_brand").alias("feature")).agg(
         (F.min("p_size") <= 1).alias("tag_small"), (F.max("p_size") >= 50).alias("tag_large"), (F.max("p_retailprice") > 1500).alias("tag_dear")
     )
-    known = [r[0] for r in matrix.select("feature").collect()]  # brand names
-    return io.tag_map(matrix, known, min_features=2).select("tag", F.array_join("features", ",").alias("features"))
+    io.write_report(matrix, path)
+    known = part.where("p_size = 7").select(F.col("p_brand").alias("feature")).distinct()
+    return io.tag_map(io.read_tags(spark, path), known, min_features=2).select("tag", F.array_join("features", ",").alias("features"))
 
 
 @query(
@@ -57,43 +71,53 @@ def scan_tags(spark, sf):
     ctes=(PANEL, OOF), digits=3,
 )
 def scan_fold_scores(spark, sf):
-    """Namespaced union of fold scores of two sources."""
+    """Fold scores of two sources written as CSV, read and joined under their sources' names."""
     from panelkit.operators.metrics import candidate_scores
 
-    df, parts = oof(spark, sf), []
+    df, root, sources = oof(spark, sf), new_folder(spark, "scores"), {}
     for source, name in (("run_a", "base"), ("run_b", "trail")):
-        parts.append(io.name_scores(candidate_scores(df, {name: f"{name}_prediction"}, family="naive"), source))
-    return io.union_all(parts).select("fold", "candidate", "source", "candidate_id", "source_family", "rows", "numerator")
+        sources[source] = f"{root}/{source}.csv"
+        io.write_report(candidate_scores(df, {name: f"{name}_prediction"}, family="naive"), sources[source])
+    return io.scan_fold_scores(spark, sources).select("fold", "candidate", "source", "candidate_id", "source_family", "rows", "numerator")
+
+
+def _summary_sql(report: str, category: str, where: str) -> str:
+    return f"""SELECT p_brand AS candidate, p_type AS family, '{report}' AS report, '{category}' AS category, count(*) AS "rows", max(p_retailprice) AS global_r2, min(p_retailprice) AS min_fold_r2
+      FROM part WHERE {where} GROUP BY 1, 2"""
+
+
+SUMMARIES = {"hist_small": ("historical", "p_size <= 12"), "smoke_run": ("smoke", "p_size BETWEEN 13 AND 25"), "stage3_run": ("stage3", "p_size BETWEEN 26 AND 38"), "stride_8": ("sampled", "p_size BETWEEN 39 AND 44"), "last": ("other", "p_size > 44")}
 
 
 @query(
     "scan_summaries",
-    """SELECT p_brand AS candidate, lower(p_type) AS report,
-         CASE WHEN lower(p_type) LIKE '%promo%' THEN 'promo' WHEN lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%tin%' THEN 'metal' ELSE 'other' END AS category,
-         CAST(NULL AS DOUBLE) AS min_fold_r2, max(p_retailprice) AS global_r2 FROM part WHERE p_size <= 25 GROUP BY 1, 2
-       UNION ALL
-       SELECT p_brand, lower(p_type),
-         CASE WHEN lower(p_type) LIKE '%promo%' THEN 'promo' WHEN lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%tin%' THEN 'metal' ELSE 'other' END,
-         min(p_retailprice), max(p_retailprice) FROM part WHERE p_size > 25 GROUP BY 1, 2""",
+    " UNION ALL ".join(_summary_sql(r, c, w) for r, (c, w) in SUMMARIES.items())
+    + """ UNION ALL SELECT NULL, NULL, 'narrow', 'missing_columns:global_r2', NULL, NULL, NULL UNION ALL SELECT NULL, NULL, 'words', 'bad_values:rows', NULL, NULL, NULL --d:global_r2 min_fold_r2""",
 )
 def scan_summaries(spark, sf):
-    """Diagonal union of summaries with different columns, tagged with a category."""
-    rules = (("promo", ("promo",)), ("metal", ("steel", "tin")))
-    part = table(spark, sf, "part").withColumn("report", F.lower("p_type"))
-    keys = [F.col("p_brand").alias("candidate"), "report", S.report_category("p_type", rules).alias("category")]
-    narrow = part.where("p_size <= 25").groupBy(*keys).agg(F.max("p_retailprice").alias("global_r2"))
-    wide = part.where("p_size > 25").groupBy(*keys).agg(F.min("p_retailprice").alias("min_fold_r2"), F.max("p_retailprice").alias("global_r2"))
-    return io.union_widest([narrow, wide])
+    """Summaries of several reports written as CSV and read with their category; unfit files are listed with the reason."""
+    root, part, paths = new_folder(spark, "summaries"), table(spark, sf, "part"), {}
+    for report, (_, where) in SUMMARIES.items():
+        price = S.dbl("p_retailprice")
+        numbers = {"weight_sum": F.sum(price), "numerator": F.sum(price), "denominator": F.sum(price), "mean_fold_r2": F.avg(price), "min_fold_r2": F.min(price), "std_fold_r2": F.lit(0.0), "global_r2": F.max(price)}
+        summary = part.where(where).groupBy(F.col("p_brand").alias("candidate"), F.col("p_type").alias("family")).agg(F.count(F.lit(1)).alias("rows"), *[e.alias(c) for c, e in numbers.items()])
+        paths[report] = f"{root}/{report}.csv"
+        io.write_report(summary, paths[report])
+    for report, odd in (("narrow", summary.drop("global_r2")), ("words", summary.withColumn("rows", F.lit("many")))):
+        paths[report] = f"{root}/{report}.csv"
+        io.write_report(odd, paths[report])
+    found, skipped = io.scan_summaries(spark, paths)
+    listed = spark.createDataFrame([(s["report"], s["reason"]) for s in skipped], "report string, category string")
+    return io.union_widest([found.select("candidate", "family", "report", "category", "rows", "global_r2", "min_fold_r2"), listed])
 
 
 @query("report_category",
-       """SELECT CASE WHEN contains(lower(p_name), 'hist') OR contains(lower(p_name), 'max1398') THEN 'historical'
-                      WHEN contains(lower(p_name), 'smoke') THEN 'smoke' WHEN contains(lower(p_name), 'stage3') THEN 'stage3'
-                      WHEN contains(lower(p_name), 'family_artifacts') OR contains(lower(p_name), 'stride') THEN 'sampled' ELSE 'other' END AS category,
-             count(*) AS n FROM part GROUP BY 1""")
+       f"""SELECT category, count(*) AS n FROM (SELECT CASE p_size % 5 WHEN 0 THEN 'historical' WHEN 1 THEN 'smoke' WHEN 2 THEN 'stage3' WHEN 3 THEN 'sampled' ELSE 'other' END AS category FROM part) GROUP BY 1""")
 def report_category(spark, sf):
-    """Report names classified by substrings."""
-    return table(spark, sf, "part").groupBy(S.report_category("p_name", REPORT_CATEGORIES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """Report names, made of part names and a telling word, classified by substrings."""
+    words = F.array(*[F.lit(w) for w in ("Max1398", "SMOKE", "stage3", "family_artifacts", "plain")])
+    named = table(spark, sf, "part").select(F.concat_ws("_", "p_name", F.get(words, F.col("p_size") % 5), F.col("p_partkey").cast("string")).alias("report"))
+    return named.groupBy(S.report_category("report", REPORT_CATEGORIES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -397,11 +421,11 @@ def batch_observability(spark, sf):
 # --------------------------------------------------------------------------- set operations
 
 
-@query("union_vertical", "SELECT date_id, count(*) AS n FROM panel WHERE date_id < 20 OR date_id >= 60 GROUP BY 1", ctes=(PANEL,))
+@query("union_vertical", "SELECT date_id, count(*) AS n FROM panel GROUP BY 1", ctes=(PANEL,))
 def union_vertical(spark, sf):
-    """Concatenation of two date ranges."""
+    """Concatenation of the two halves of the panel."""
     df = panel(spark, sf)
-    return io.union_all([df.where("date_id < 20"), df.where("date_id >= 60")]).groupBy("date_id").agg(F.count(F.lit(1)).alias("n"))
+    return io.union_all([df.where("date_id < 40"), df.where("date_id >= 40")]).groupBy("date_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,46 @@ SUMMARY_COLUMNS = {
 }
 
 
+def _layout(files: Sequence[str], root: str) -> tuple[set[tuple[str, ...]], dict[str, str]]:
+    """Partition keys of the folders that hold files, and of the plain folders above them one file each as an example."""
+
+    base = urlsplit(root).path.rstrip("/").split("/")
+    base = base[: next((i for i, part in enumerate(base) if set(part) & set("*?[{")), len(base))]
+    keys, tops = set(), {}
+    for file in files:
+        whole = unquote(urlsplit(file).path).split("/")[:-1]
+        inside = whole[len(base) :]
+        first = next((i for i, part in enumerate(inside) if "=" in part), len(inside))
+        keys.add(tuple(part.split("=", 1)[0] for part in inside if "=" in part))
+        tops.setdefault("/".join(inside[:first]), file)
+    return keys, tops
+
+
 def scan_panel(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Parquet files or directories, also ones partitioned by date or fold.
+    """All Parquet files of trees of folders, however deep: plain folders, ``key=value`` folders, or these below plain ones.
 
-    Partition columns come back and prune; filters on other columns and column choices reach the scan.
+    Partition columns come back and prune; filters on other columns and column choices reach the scan. Only names are
+    listed to find the layout. Trees whose files differ in their partition keys have no one table and raise.
     """
 
-    return spark.read.parquet(*([path] if isinstance(path, str) else path))
+    parts = []
+    for root in [path] if isinstance(path, str) else path:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).inputFiles()
+        if not listed:
+            raise ValueError(f"no Parquet file is under {root}")
+        keys, tops = _layout(listed, root)
+        if len(keys) > 1:
+            named = sorted("/".join(f"{k}=" for k in some) or "no key" for some in keys)
+            raise ValueError(f"the files under {root} differ in their partition keys: {', '.join(named)}")
+        reader = spark.read.option("pathGlobFilter", "*.parquet")
+        if not next(iter(keys)):
+            parts.append(reader.option("recursiveFileLookup", True).parquet(root))
+        elif set(tops) == {""}:
+            parts.append(reader.parquet(root))
+        else:
+            # one scan per plain folder above the keys
+            parts += [reader.parquet(f"{root.rstrip('/')}/{top}" if top else root) for top in sorted(tops)]
+    return parts[0] if len(parts) == 1 else union_widest(parts)
 
 
 def scan_partitioned(spark: SparkSession, path: str) -> DataFrame:
@@ -48,25 +82,37 @@ def scan_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def tag_map(tags: DataFrame, features: Sequence[str], *, min_features: int = 1) -> DataFrame:
-    """Tag matrix to one row per tag with its known features in file order."""
+def read_tags(spark: SparkSession, path: str) -> DataFrame:
+    """Tag matrix from CSV: feature and its ``tag_*`` marks."""
+
+    rows = spark.read.csv(path, header=True)
+    if "feature" not in rows.columns or not any(c.startswith("tag_") for c in rows.columns):
+        raise ValueError(f"{path} has no column feature, or no tags")
+    return rows
+
+
+def tag_map(tags: DataFrame, known: DataFrame, *, min_features: int = 1) -> DataFrame:
+    """Tag matrix to one row per tag with its known features, by ``place`` if ``known`` has one, else by name."""
 
     if min_features <= 0:
         raise ValueError("min_features must be positive")
     columns = [c for c in tags.columns if c.startswith("tag_")]
     entries = F.array(*[F.when(F.col(c).cast("boolean"), F.lit(c.removeprefix("tag_"))) for c in columns])
-    known = tags.where(F.col("feature").isin(list(features))).select("feature", F.explode(F.filter(entries, lambda t: t.isNotNull())).alias("tag"))
-    return known.groupBy("tag").agg(F.sort_array(F.collect_list("feature")).alias("features")).where(F.size("features") >= min_features)
+    order = [c for c in ("place",) if c in known.columns]
+    met = tags.join(known.select("feature", *order).dropDuplicates(["feature"]), "feature")
+    marked = met.select("feature", *order, F.explode(F.filter(entries, lambda t: t.isNotNull())).alias("tag"))
+    features = F.sort_array(F.collect_list(F.struct(*order, "feature")))
+    return marked.groupBy("tag").agg(F.transform(features, lambda e: e["feature"]).alias("features")).where(F.size("features") >= min_features)
 
 
 def scan_tags(spark: SparkSession, path: str, features: Sequence[str], *, min_features: int = 1) -> dict[str, tuple[str, ...]]:
-    """Tags with at least ``min_features`` known features, from a CSV tag matrix."""
+    """Tags with at least ``min_features`` known features, in the order of these, from a CSV tag matrix."""
 
-    rows = tag_map(spark.read.csv(path, header=True), features, min_features=min_features).orderBy("tag").collect()
+    known = spark.createDataFrame(list(enumerate(features)), "place int, feature string")
+    rows = tag_map(read_tags(spark, path), known, min_features=min_features).orderBy("tag").collect()
     if not rows:
         raise ValueError(f"no tag of {path} marks {min_features} or more of the features")
-    order = {c: i for i, c in enumerate(features)}
-    return {r["tag"]: tuple(sorted(r["features"], key=order.get)) for r in rows}
+    return {r["tag"]: tuple(r["features"]) for r in rows}
 
 
 def name_scores(scores: DataFrame, source: str) -> DataFrame:
@@ -94,7 +140,10 @@ def scan_fold_scores(spark: SparkSession, sources: Mapping[str, str]) -> DataFra
 
 
 def scan_summaries(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame, list[dict[str, str]]]:
-    """Candidate summaries by report name; unreadable or incomplete files are listed, not fatal."""
+    """Candidate summaries by report name; unreadable or incomplete files are listed, not fatal.
+
+    Files are opened one by one for their heads only; the values of all fit files are checked in one scan.
+    """
 
     parts, skipped = [], []
     for report, path in sorted(paths.items()):
@@ -107,16 +156,19 @@ def scan_summaries(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataF
         if missing:
             skipped.append({"report": report, "path": path, "reason": "missing_columns:" + ",".join(missing)})
             continue
-        typed = raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in SUMMARY_COLUMNS.items()])
-        bad = raw.agg(*[F.count(F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), 1)).alias(c) for c, t in SUMMARY_COLUMNS.items()]).first()
-        if odd := [c for c in SUMMARY_COLUMNS if bad[c]]:
-            skipped.append({"report": report, "path": path, "reason": "bad_values:" + ",".join(odd)})
-            continue
-        parts.append(typed.withColumns({"report": F.lit(report), "category": S.report_category(F.lit(report), REPORT_CATEGORIES)}))
+        parts.append(raw.select(*SUMMARY_COLUMNS, F.lit(report).alias("report")))
     if not parts:
         schema = T.StructType([T.StructField(c, T._parse_datatype_string(t)) for c, t in {**SUMMARY_COLUMNS, "report": "string", "category": "string"}.items()])
         return spark.createDataFrame([], schema), skipped
-    return union_all(parts), skipped
+    rows = union_all(parts)
+    counts = [F.count(F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), 1)).alias(c) for c, t in SUMMARY_COLUMNS.items()]
+    odd = {}
+    for bad in rows.groupBy("report").agg(*counts).collect():
+        if wrong := [c for c in SUMMARY_COLUMNS if bad[c]]:
+            odd[bad["report"]] = wrong
+    skipped += [{"report": r, "path": paths[r], "reason": "bad_values:" + ",".join(wrong)} for r, wrong in sorted(odd.items())]
+    typed = rows.where(~F.col("report").isin(list(odd))).select(*[F.col(c).try_cast(t).alias(c) for c, t in SUMMARY_COLUMNS.items()], "report")
+    return typed.withColumn("category", S.report_category("report", REPORT_CATEGORIES)), sorted(skipped, key=lambda s: s["report"])
 
 
 def union_all(parts: Sequence[DataFrame], *, allow_missing: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ def drop_late_duplicates(stream: DataFrame, *, delay: str = "1 day", keys: Seque
 
 
 def batch_totals(stream: DataFrame, *, width: str = "30 seconds", delay: str = "1 day", missing: Sequence[str] = ()) -> DataFrame:
-    """Tumbling batch state of a live stream: rows, weight, mean activity and missingness."""
+    """Tumbling batch state of a live stream: rows, weight, mean activity and missingness.
+
+    In append mode each window comes out once, when the watermark has passed its end, and its state is freed.
+    """
 
     fraction = S.missing_count(missing) / float(len(missing)) if missing else F.lit(0.0)
     return (
@@ -43,40 +47,125 @@ def batch_totals(stream: DataFrame, *, width: str = "30 seconds", delay: str = "
     )
 
 
+def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    """The stream under a watermark that drives timers but doesn't drop late rows: the processor sees and marks them."""
+
+    return stream.withWatermark("event_time", delay).withColumn("event_ms", F.unix_millis("event_time")).drop("event_time")
+
+
+class DeliveryRules(StatefulProcessor):
+    """Verdict on each delivered date of one (time, symbol).
+
+    State is the latest date and, while the watermark has not passed them, the dates taken; a timer at a date's event time
+    forgets it, since later copies of it are late anyway.
+    """
+
+    def __init__(self, columns: Sequence[str]) -> None:
+        self.columns = list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "date long")
+        self.taken = handle.getMapState("taken", "event_ms long", "date long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        todo = pd.concat(list(rows)).sort_values([DATE, "event_ms"], kind="stable")
+        dates, times = todo[DATE].to_numpy(np.int64), todo["event_ms"].to_numpy(np.int64)
+        late = times < timers.getCurrentWatermarkInMs()
+        known = np.fromiter((v[0] for _, v in self.taken.iterator()), np.int64)
+        last = self.latest.get()[0] if self.latest.exists() else None
+        again = np.isin(dates, known) | pd.Series(np.where(late, -1 - np.arange(len(dates)), dates)).duplicated().to_numpy()
+        stale = np.zeros(len(dates), bool) if last is None else dates < last
+        new = np.flatnonzero(~(late | again | stale))
+        before = np.r_[-1 if last is None else last, dates[new][:-1]] if len(new) else dates[:0]
+        gap = np.zeros(len(dates), bool)
+        gap[new] = (dates[new] > before + 1) & (before >= 0)
+        verdict = np.select([late, again, stale, gap], ["late", "repeated", "stale", "gap"], "taken")
+        for k in new:
+            self.taken.updateValue((int(times[k]),), (int(dates[k]),))
+            self.handle.registerTimer(int(times[k]))
+        if len(new):
+            self.latest.update((int(dates[new[-1]]),))
+        yield todo[self.columns].assign(verdict=verdict)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.taken.removeKey((expiredTimerInfo.getExpiryTimeInMs(),))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def delivery_verdicts(stream: DataFrame, *, delay: str = "1 day") -> DataFrame:
+    """Every row of a stream of panel rows with ``event_time``, and a ``verdict`` on its date for its (time, symbol).
+
+    ``taken``: the first delivery of a date later than all before; ``gap``: the same, but not the day after the last one;
+    ``repeated``: a date taken before (or earlier in this micro-batch); ``stale``: a date never taken, but not later than
+    the last one taken; ``late``: its event time is behind the watermark. Nothing is dropped: rows that are not taken are a
+    side output, told apart by the verdict. Needs the RocksDB state store.
+    """
+
+    timed = _timed(stream, delay)
+    columns = [c for c in stream.columns if c != "event_time"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema if f.name != "event_time")
+    return timed.groupBy(TIME, SYMBOL).transformWithStateInPandas(DeliveryRules(columns), outputStructType=f"{kinds}, verdict string", outputMode="Append", timeMode="EventTime")
+
+
 class FeatureCache(StatefulProcessor):
-    """Latest features of one (time, symbol); a lag of exactly the next date turns them into a training row."""
+    """Features of one (time, symbol) by date, until the lag of exactly the next date turns them into a training row.
+
+    A date's first row stays and a lag counts once, so repeated rows change nothing; a timer drops features that no lag
+    has asked for when the watermark passes the next date.
+    """
 
-    def __init__(self, features: Sequence[str]) -> None:
-        self.features = list(features)
+    def __init__(self, features: Sequence[str], day_ms: int = 86_400_000) -> None:
+        self.features, self.day_ms = list(features), day_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         fields = ", ".join(f"f{i} double" for i in range(len(self.features)))
-        self.latest = handle.getValueState("latest", f"date long, weight double, {fields}")
+        self.cache = handle.getMapState("cache", "event_ms long", f"date long, weight double, {fields}")
+        self.done = handle.getValueState("done", "date long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        # a key sees one test and one lag row per date
-        todo = pd.concat(list(rows)).assign(order=lambda d: d["kind"].map({"lag": 0, "test": 1})).sort_values([DATE, "order"])
-        out = []
-        held = self.latest.get() if self.latest.exists() else None
-        for row in todo.to_dict("records"):
-            if row["kind"] == "test":
-                held = (int(row[DATE]), float(row[WEIGHT]), *(float(row[c]) for c in self.features))
-            elif held is not None and held[0] + 1 == int(row[DATE]):
-                out.append((int(row[DATE]), int(key[0]), int(key[1]), held[1], *held[2:], float(row[TARGET_LAG])))
-        if held is not None:
-            self.latest.update(held)
-        if out:
-            yield pd.DataFrame(out, columns=[*KEYS, WEIGHT, *self.features, TARGET])
+        todo = pd.concat(list(rows))
+        names = ["event_ms", DATE, WEIGHT, *self.features]
+        held = pd.DataFrame([(k[0], *v) for k, v in self.cache.iterator()], columns=names)
+        done = self.done.get()[0] if self.done.exists() else -(2**62)
+        mark = timers.getCurrentWatermarkInMs()
+        fresh = todo.loc[(todo["kind"] == "test") & (todo["event_ms"] + self.day_ms > mark) & (todo[DATE] >= done), names]
+        known = pd.concat([held, fresh]).drop_duplicates(DATE).astype({DATE: "int64", "event_ms": "int64"}) if len(held) else fresh.drop_duplicates(DATE)
+        lags = todo.loc[(todo["kind"] == "lag") & (todo[DATE] > done), [DATE, TARGET_LAG]].drop_duplicates(DATE)
+        met = known.assign(**{DATE: known[DATE] + 1}).merge(lags, on=DATE)
+        reached = max(done, int(lags[DATE].max())) if len(lags) else done
+        # a lag of date d uses up all features before d
+        left = known[known[DATE] >= reached]
+        for k in set(held["event_ms"]) - set(left["event_ms"]):
+            self.cache.removeKey((int(k),))
+        for row in left[~left["event_ms"].isin(held["event_ms"])].itertuples(index=False):
+            self.cache.updateValue((int(row[0]),), (int(row[1]), *map(float, row[2:])))
+            self.handle.registerTimer(int(row[0]) + self.day_ms)
+        if reached > done:
+            self.done.update((reached,))
+        if len(met):
+            met = met.assign(**{TIME: int(key[0]), SYMBOL: int(key[1])}).rename(columns={TARGET_LAG: TARGET}).sort_values(DATE)
+            yield met[[*KEYS, WEIGHT, *self.features, TARGET]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.cache.removeKey((expiredTimerInfo.getExpiryTimeInMs() - self.day_ms,))
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def training_rows(stream: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Training rows from interleaved test and lag rows, state per (time, symbol) in RocksDB.
+def training_rows(stream: DataFrame, features: Sequence[str], *, delay: str = "1 day") -> DataFrame:
+    """Training rows from interleaved test and lag rows with ``event_time``, state per (time, symbol) in RocksDB.
 
-    Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider.
+    A lag of date d meets the features of date d - 1. Lags sent twice give one row, a lag older than the last one none;
+    older or repeated test rows don't overwrite. Needs ``spark.sql.streaming.stateStore.providerClass`` set to the
+    RocksDB provider.
     """
 
     schema = f"{DATE} long, {TIME} long, {SYMBOL} long, {WEIGHT} double, " + ", ".join(f"{c} double" for c in features) + f", {TARGET} double"
-    return stream.groupBy(TIME, SYMBOL).transformWithStateInPandas(FeatureCache(features), outputStructType=schema, outputMode="Append", timeMode="None")
+    return _timed(stream, delay).groupBy(TIME, SYMBOL).transformWithStateInPandas(FeatureCache(features), outputStructType=schema, outputMode="Append", timeMode="EventTime")

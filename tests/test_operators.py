@@ -337,3 +337,63 @@ def test_nearest_symbols_over_blocks(spark):
         got = graph.nearest_symbols(df, ["feature_00", "feature_01"], start=0, end=5, n_neighbors=3, block_size=size)
         found = {(r["symbol_id"], r["neighbor_id"], r["rank"]) for r in got.collect()}
         assert found == want
+
+
+@pytest.fixture(scope="module")
+def tree(spark, tmp_path_factory):
+    """15 rows (date 0..4, three each) as nested plain folders, as keys, and as keys below plain folders."""
+    root = tmp_path_factory.mktemp("tree")
+    df = spark.range(15).select((F.col("id") % 5).cast("int").alias("date_id"), F.col("id").alias("x"), (F.col("id") * 2).alias("y"))
+    df.where("x < 3").coalesce(1).write.parquet(str(root / "plain"))
+    df.where("x >= 3 and x < 9").coalesce(1).write.parquet(str(root / "plain" / "y2020" / "m1"))
+    df.where("x >= 9").coalesce(1).write.parquet(str(root / "plain" / "y2021"))
+    df.write.partitionBy("date_id").parquet(str(root / "keys"))
+    df.where("x < 8").write.partitionBy("date_id").parquet(str(root / "both" / "a"))
+    df.where("x >= 8").write.partitionBy("date_id").parquet(str(root / "both" / "b" / "c"))
+    df.write.partitionBy("date_id").parquet(str(root / "mixed"))
+    df.write.parquet(str(root / "mixed" / "more"))
+    (root / "none").mkdir()
+    return root
+
+
+@pytest.mark.parametrize("kind", ["plain", "keys", "both"])
+def test_scan_panel_reads_every_folder(spark, tree, kind):
+    df = io.scan_panel(spark, str(tree / kind))
+    assert sorted((r.date_id, r.x, r.y) for r in df.collect()) == [(d, x, 2 * x) for d in range(5) for x in range(d, 15, 5)]
+    assert sorted((r.x for r in io.scan_panel(spark, f"file://{tree / kind}").where("date_id = 3").collect())) == [3, 8, 13]
+
+
+@pytest.mark.parametrize("kind", ["keys", "both"])
+def test_scan_panel_prunes(spark, tree, kind):
+    plan = io.scan_panel(spark, str(tree / kind)).where("date_id = 3 and x > 5").select("x")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == (1 if kind == "keys" else 2)
+    assert all("PartitionFilters: [isnotnull(date_id" in s and "GreaterThan(x,5)" in s and "ReadSchema: struct<x:bigint>" in s for s in scans)
+
+
+def test_scan_panel_several_roots(spark, tree):
+    assert io.scan_panel(spark, [str(tree / "plain" / "y2021"), str(tree / "plain" / "y2020")]).count() == 12
+
+
+def test_scan_panel_rejects_mixed_and_empty_trees(spark, tree):
+    with pytest.raises(ValueError, match="differ in their partition keys: date_id=, no key"):
+        io.scan_panel(spark, str(tree / "mixed"))
+    with pytest.raises(ValueError, match="no Parquet file"):
+        io.scan_panel(spark, str(tree / "none"))
+
+
+def test_summaries_list_values_that_are_no_numbers(spark, tmp_path):
+    head = ",".join(io.SUMMARY_COLUMNS) + "\n"
+    (tmp_path / "a.csv").write_text(head + "c,f,3,1,1,2,0.5,0.4,0.1,0.5\nd,f,,1,1,2,0.5,0.4,0.1,\n")
+    (tmp_path / "b.csv").write_text(head + "c,f,many,1,1,2,0.5,x,0.1,0.5\n")
+    frame, skipped = io.scan_summaries(spark, {"a": str(tmp_path / "a.csv"), "b": str(tmp_path / "b.csv")})
+    assert {(r.report, r.rows) for r in frame.collect()} == {("a", 3), ("a", None)}
+    assert [s["reason"] for s in skipped] == ["bad_values:rows,min_fold_r2"]
+
+
+def test_tags_keep_the_order_of_known_features(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("feature,tag_a,tag_b\nf1,true,false\nf2,true,true\nf3,true,true\nother,true,true\n")
+    assert io.scan_tags(spark, str(tmp_path / "t.csv"), ["f3", "f1", "f2"], min_features=2) == {"a": ("f3", "f1", "f2"), "b": ("f3", "f2")}
+    (tmp_path / "u.csv").write_text("name,tag_a\nf1,true\n")
+    with pytest.raises(ValueError):
+        io.scan_tags(spark, str(tmp_path / "u.csv"), ["f1"])

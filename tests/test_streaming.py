@@ -128,3 +128,89 @@ def test_state_round_trip(spark, toy, tmp_path):
 def test_lags_are_null_before_the_first_delivery(spark, toy):
     _, df = toy
     assert serving.attach_lags(df, None).where(F.col(TARGET_LAG).isNotNull()).count() == 0
+
+
+# --------------------------------------------------------------------------- keyed state
+
+
+@pytest.fixture
+def rocksdb(spark):
+    from panelkit.streaming.state import ROCKSDB
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    yield
+    spark.conf.set(name, old)
+
+
+def drain(spark, make, deliveries, schema, root):
+    """Rows that come out of each delivery, and the state rows after it."""
+    from panelkit.streaming.state import with_event_time
+
+    seen, held = [], []
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/source")
+        source = with_event_time(spark.readStream.schema(schema).parquet(f"{root}/source"))
+        query = make(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        now = sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").collect())
+        before = list(sum(seen, []))
+        for r in before:
+            now.remove(r)
+        seen.append(now)
+    return seen, held
+
+
+def test_verdicts_on_repeated_stale_late_and_missing_dates(spark, rocksdb, tmp_path):
+    from panelkit.streaming.state import delivery_verdicts
+
+    rows = lambda *dates: [(d, 0, 1, float(d)) for d in dates]
+    other = [(10, 0, 2, 1.0), (10, 0, 2, 2.0)]
+    seen, held = drain(
+        spark, lambda s: delivery_verdicts(s, delay="3 days"), [rows(10, 11, 11) + other, rows(11, 13, 14), rows(12, 14, 9, 15), rows(30), rows(14, 31)],
+        "date_id int, time_id int, symbol_id int, weight double", str(tmp_path),
+    )
+    told = [[(r[0], r[2], r[4]) for r in part] for part in seen]
+    assert sorted(told[0]) == [(10, 1, "taken"), (10, 2, "repeated"), (10, 2, "taken"), (11, 1, "repeated"), (11, 1, "taken")]
+    assert sorted(told[1]) == [(11, 1, "repeated"), (13, 1, "gap"), (14, 1, "taken")]
+    # the watermark is at date 11: date 12 was never taken but is in time, date 9 is not
+    assert sorted(told[2]) == [(9, 1, "late"), (12, 1, "stale"), (14, 1, "repeated"), (15, 1, "taken")]
+    assert told[3] == [(30, 1, "gap")]
+    assert sorted(told[4]) == [(14, 1, "late"), (31, 1, "taken")]
+    assert held[-1] < held[2]  # dates behind the watermark are forgotten
+
+
+def test_feature_cache_takes_lags_once_and_expires(spark, rocksdb, tmp_path):
+    from panelkit.streaming.state import training_rows
+
+    schema = f"date_id int, time_id int, symbol_id int, weight double, a double, kind string, {TARGET_LAG} double"
+    test = lambda d, a, s=1: (d, 0, s, 1.0, float(a), "test", None)
+    lag = lambda d, y, s=1: (d, 0, s, None, None, "lag", float(y))
+    seen, held = drain(
+        spark, lambda s: training_rows(s, ["a"], delay="3 days"),
+        [
+            [test(5, 50), lag(5, 1), *[test(5, 7, s) for s in range(2, 9)]],  # no features of date 4 yet
+            [lag(6, 60), lag(6, 61), test(6, 66), test(5, 99)],  # the lag counts once; an older test row changes nothing
+            [lag(6, 62), test(8, 80), lag(8, 1)],  # repeated lag; a gap: date 7 is missing
+            [test(9, 90), lag(9, 81), test(8, 99)],
+            [test(40, 1)],
+            [test(41, 2)],
+        ],
+        schema, str(tmp_path),
+    )
+    assert [[(r[0], r[4], r[5]) for r in part] for part in seen] == [[], [(6, 50.0, 60.0)], [], [(9, 80.0, 81.0)], [], []]
+    assert held[0] > held[-1]  # symbols without a lag are dropped with the watermark
+
+
+def test_tumbling_windows_close_with_the_watermark(spark, tmp_path):
+    from panelkit.streaming.state import batch_totals
+
+    make = lambda s: batch_totals(s, delay="2 days").selectExpr("unix_timestamp(window.start) div 86400 - 1 as date_id", "rows", "batch_weight_sum")
+    rows = lambda *dates: [(d, t, 1, float(t)) for d in dates for t in range(3)]
+    seen, held = drain(spark, make, [rows(0, 1, 2, 3, 4), rows(4, 5), rows(20, 1)], "date_id int, time_id int, symbol_id int, weight double", str(tmp_path))
+    closed = lambda part: sorted({r[0] for r in part})
+    assert [closed(p) for p in seen] == [[0, 1, 2], [2, 3], [3, 4, 5]]
+    assert {(r[0], r[1]) for r in seen[2]} == {(3, 1), (4, 2), (5, 1)}
+    assert held[-1] <= 3 < held[0]
