@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkit.session import new_folder
+
 #: Bytes of text that one vectorised step takes at most (more only if a single document is longer).
 CHUNK_BYTES = 1 << 20
 
@@ -52,18 +52,22 @@ def word_runs(data: np.ndarray, separators: np.ndarray = WHITESPACE) -> tuple[np
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def hash_runs(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the runs of bytes that follow one another in data."""
+
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    position = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    values = _BYTE_CODES[data] * _powers(int(sizes.max()))[position]
+    return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
+
+
 def hash_words(data: np.ndarray, separators: np.ndarray = WHITESPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes) and 64-bit hash of each maximal run of bytes that are not separators."""
 
-    inside = ~separators[data]
     starts, ends = word_runs(data, separators)
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
-    sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    position = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    values = _BYTE_CODES[data[inside]] * _powers(int(sizes.max()))[position]
-    return starts, ends, mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
+    return starts, ends, hash_runs(data[~separators[data]], ends - starts)
 
 
 def hash_ngrams(words: np.ndarray, n: int) -> np.ndarray:
@@ -162,25 +166,12 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped_id"]), "left_anti")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; on one machine without that setting, a new temporary one."""
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet under the folder that spark.checkpoint.dir names, and read it back.
 
     The files survive the loss of executors and keep column pruning; they go when that folder is cleared.
     """
 
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -29,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelkit.llm.text import chunks, document_columns, per_batch, shared_folder
+from panelkit.llm.text import WHITESPACE, chunks, document_columns, hash_runs, per_batch, word_runs
+from panelkit.session import shared_folder
 
 MAGIC = b"DACTOKS1"
 #: Bits between two counts of a rank directory.
@@ -40,13 +40,15 @@ END_ID = 1
 FILE_TOKENS = 1 << 23
 #: Bytes of text that are encoded at once.
 TEXT_BYTES = 1 << 22
-#: Words (and pieces of words) that a worker remembers at least, and not more than twice as many beside those of a batch.
-MEMO_KEYS = 150_000
-#: Fixed value: the pattern of word tokenizers of this kind, and the same for lower-case ASCII text without white space.
+#: Words and pieces of words that a worker remembers (beside those of a batch), about 50 bytes each.
+MEMO = 1 << 20
+#: Fixed value: the pattern of word tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A sign that the pattern keeps apart from words when white space is around it.
 _SIGN = b"\x01"
-_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Kinds of bytes: white space, letters, digits, other signs, and those of words that aren't cut.
+_DIGIT, _ODD = 2, 4
+_KINDS = np.array([0 if WHITESPACE[c] else _ODD if c >= 128 or c == 0x27 else _DIGIT if 48 <= c <= 57 else 1 if chr(c).isalpha() else 3 for c in range(256)], np.uint8)
 #: Tokens that a scan of a file decodes at once, at most (more only if a single document is longer).
 SCAN_TOKENS = 1 << 20
 
@@ -167,46 +169,22 @@ def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
-def _parts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    raw = ids.tobytes()
-    return [raw[x:y] for x, y in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
-
-
-class Memo:
-    """Values of keys in two generations: what isn't asked for while MEMO_KEYS others are is forgotten."""
-
-    def __init__(self):
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Keys without a value; the others are in `young` from now on."""
-
-        if len(self.young) > MEMO_KEYS:
-            self.young, self.old = {}, self.young
-        out = []
-        for key in keys - self.young.keys():
-            value = self.old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                self.young[key] = value
-        return out
+def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [ids[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class Encoder:
-    """Token ids of whole texts, as bytes of unsigned 32-bit integers.
+    """Token ids of whole texts.
 
     For tokenizers to which white space is a border that leaves no trace, as for word tokenizers: a text's ids are then
-    those of its words, and a word that comes again isn't encoded again while it is remembered. Where the tokenizer's file
-    lower-cases and has the pattern PATTERN, words of ASCII characters are cut by that pattern too, since their pieces come
-    again far more often; pieces go to the tokenizer in one text, and the ends of words in its tokens tell them apart.
+    those of its words. Where the tokenizer's file lower-cases and has the pattern PATTERN, words of ASCII characters
+    without apostrophes are cut at the pattern's borders too, since their pieces come again far more often. Distinct words
+    and pieces go to the tokenizer once while they are remembered (by a 64-bit hash), many in one text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are text
-        self.words, self.pieces = Memo(), Memo()
         made = json.loads(self.tokenizer.to_str())
         parts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         suffix = made["model"].get("end_of_word_suffix")
@@ -216,40 +194,101 @@ class Encoder:
         self.sign = int(alone[0]) if len(alone) == 1 else None
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-
-    def _alone(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        #: What is remembered, sorted by hash: the ids of entry k are store[starts[k]:starts[k] + sizes[k]]; used counts calls.
+        self.hashes, self.starts, self.sizes, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store, self.calls = np.zeros(0, np.uint32), 0
 
     def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+    def _alone(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of pieces that the pattern doesn't cut: in the ids of all of them, each ends with a token that ends a word."""
 
         ids = self._ids(b" ".join(pieces))
         ends = np.flatnonzero(self.last[ids]) + 1
-        return _parts(ids, np.r_[0, ends[:-1]], ends) if len(ends) == len(pieces) else self._alone(pieces)
+        return _cut(ids, np.r_[0, ends[:-1]], ends) if len(ends) == len(pieces) else self._alone(pieces)
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of any words: encoded in one text, with a sign between them that none of them holds and that has one id."""
 
         if self.sign is None or not words or any(_SIGN in w for w in words):
             return self._alone(words)
         ids = self._ids((b" " + _SIGN + b" ").join(words))
         signs = np.flatnonzero(ids == self.sign)
-        return _parts(ids, np.r_[0, signs + 1], np.r_[signs, len(ids)]) if len(signs) == len(words) - 1 else self._alone(words)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]  # of bytes, this splits at ASCII white space alone
-        new = self.words.missing(set().union(*words))
-        cut = {w: _PIECES.findall(w.lower()) for w in new if w.isascii()} if self.cuts else {}
-        pieces = self.pieces.missing(set().union(*cut.values()))
-        if pieces:
-            self.pieces.young.update(zip(pieces, self._pieces(pieces), strict=True))
-        whole, piece, known = [w for w in new if w not in cut], self.pieces.young.__getitem__, self.words.young
-        known.update(zip(whole, self._words(whole), strict=True))
-        known.update((w, b"".join(map(piece, some))) for w, some in cut.items())
-        return [b"".join(map(known.__getitem__, some)) for some in words]
+        return _cut(ids, np.r_[0, signs + 1], np.r_[signs, len(ids)]) if len(signs) == len(words) - 1 else self._alone(words)
+
+    def _units(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of each word or piece, whether it is a word that isn't cut, and the bytes (pieces lower-cased)."""
+
+        kind = _KINDS[data]
+        starts, ends = word_runs(data)
+        odd = np.r_[0, np.cumsum(kind >= _ODD)]
+        whole = odd[ends] > odd[starts] if self.cuts else np.ones(len(starts), bool)
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[whole]] += 1
+        step[ends[whole]] -= 1
+        uncut = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        begins = (kind > 0) & ~uncut & ((kind != np.r_[np.uint8(0), kind[:-1]]) | (kind == _DIGIT))
+        begins[starts] = True
+        at = np.flatnonzero(begins)
+        word = np.searchsorted(starts, at, side="right") - 1
+        sizes = np.minimum(np.r_[at[1:], len(data)], ends[word]) - at
+        upper = (data >= 0x41) & (data <= 0x5A) & ~uncut
+        return at, sizes, whole[word], np.where(upper, data | 0x20, data)
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes], whole: np.ndarray) -> None:
+        """Remember new entries; beyond MEMO the half that was used longest ago is forgotten."""
+
+        coded: list = [None] * len(units)
+        for mine, code in ((np.flatnonzero(whole), self._words), (np.flatnonzero(~whole), self._pieces)):
+            if len(mine):
+                for k, ids in zip(mine.tolist(), code([units[k] for k in mine.tolist()]), strict=True):
+                    coded[k] = ids
+        keep = np.ones(len(self.hashes), bool)
+        if len(self.hashes) > MEMO:
+            keep = (self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]) | (self.used == self.calls)
+            self.store, self.starts = gather(self.store, self.starts[keep], self.sizes[keep]), np.cumsum(self.sizes[keep]) - self.sizes[keep]
+        else:
+            self.starts = self.starts[keep]
+        sizes = np.array([len(c) for c in coded], np.int64)
+        every = np.r_[self.hashes[keep], hashes]
+        order = np.argsort(every)
+        self.hashes = every[order]
+        self.starts = np.r_[self.starts, len(self.store) + np.cumsum(sizes) - sizes][order]
+        self.sizes = np.r_[self.sizes[keep], sizes][order]
+        self.used = np.r_[self.used[keep], np.full(len(sizes), self.calls)][order]
+        self.store = np.concatenate([self.store, *coded])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many of them each text has."""
+
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        lengths = np.array([len(t) + 1 for t in texts])
+        at, sizes, whole, data = self._units(data)
+        hashes, first, unit = np.unique(hash_runs(data[_KINDS[data] > 0], sizes), return_index=True, return_inverse=True)
+        self.calls += 1
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.used[place[known]] = self.calls
+        if not known.all():
+            new = first[~known]
+            raw = data.tobytes()
+            self._learn(hashes[~known], [raw[a : a + n] for a, n in zip(at[new].tolist(), sizes[new].tolist(), strict=True)], whole[new])
+            place = np.searchsorted(self.hashes, hashes)
+        place = place[unit]
+        counts = np.r_[0, np.cumsum(self.sizes[place])]
+        texts_at = np.searchsorted(at, np.r_[np.cumsum(lengths) - lengths, len(data) + 1])
+        return gather(self.store, self.starts[place], self.sizes[place]), np.diff(counts[texts_at])
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start:start + size], one after the other."""
+
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 @lru_cache(maxsize=1)
@@ -275,10 +314,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
     ordered = document_columns(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
     ordered = ordered.repartitionByRange(F.asc_nulls_first("doc_id"), "h", "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "row")
 
-    def close(fs: pyarrow.fs.FileSystem, path: str, held: list[tuple], coded: list[bytes], ends: list[int]) -> pa.RecordBatch:
+    def close(fs: pyarrow.fs.FileSystem, path: str, held: list[tuple], coded: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
         name = f"{uuid.uuid4().hex}.dac"
         with fs.open_output_stream(f"{path}/{name}") as out:
-            out.write(pack([h[0] for h in held], ends, np.frombuffer(b"".join(coded), "<u4")))
+            out.write(pack([h[0] for h in held], ends, np.concatenate(coded)))
         first = held[0]
         return pa.RecordBatch.from_pylist(
             [{"file": f"{folder}/{name}", "first_id": first[0], "first_hash": first[1], "first_row": first[2], "n_docs": len(held), "n_tokens": ends[-1]}],
@@ -288,15 +327,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = store(folder)
         fs.create_dir(path, recursive=True)
-        end, tool = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
+        tool = encoder(tokenizer)
         held, coded, ends = [], [], []
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             for some, texts in chunks(keys, batch.column(1).to_pylist(), TEXT_BYTES):
-                for key, ids in zip(some, tool.encode(texts), strict=True):
-                    held.append(key)
-                    coded.append(ids + end)
-                    ends.append((ends[-1] if ends else 0) + len(coded[-1]) // 4)
+                ids, counts = tool.encode(texts)
+                stops = np.cumsum(counts)
+                ids, begin = np.insert(ids, stops, np.uint32(end_id)), 0
+                stops += np.arange(1, len(some) + 1)
+                while begin < len(some):
+                    # documents up to the one that fills the file
+                    room, done = file_tokens - (ends[-1] if ends else 0), int(stops[begin - 1]) if begin else 0
+                    stop = min(len(some), int(np.searchsorted(stops, done + room)) + 1)
+                    ends += ((ends[-1] if ends else 0) + stops[begin:stop] - done).tolist()
+                    held += some[begin:stop]
+                    coded.append(ids[done : int(stops[stop - 1])])
+                    begin = stop
                     if ends[-1] >= file_tokens:
                         yield close(fs, path, held, coded, ends)
                         held, coded, ends = [], [], []
