@@ -78,10 +78,8 @@ def reference_rank(spark, sf):
 
 @query("permutation_null")
 def permutation_null(spark, sf):
-    """Best view under permuted targets."""
-    df = split(spark, sf)
-    views = SC.transform_views(df, ["feature_00", "feature_03"], ["z", "sign", "square_z"])
-    return SC.null_screen(df, views, ["feature", "transform"], kinds=["iid"], runs=2)
+    """Best view under permuted targets: all features and views, four kinds of null, ten runs each."""
+    return SC.null_screen(split(spark, sf), FEATURES)
 
 
 @query(
@@ -109,9 +107,8 @@ def interaction_screen(spark, sf):
 
 @query("interaction_nulls")
 def interaction_nulls(spark, sf):
-    """Best interaction under block and circular nulls."""
-    df = split(spark, sf)
-    return SC.null_screen(df, SC.interaction_views(df, ["feature_00", "feature_03"]), ["left", "right", "interaction"], kinds=["block", "circular", "date"], runs=1)
+    """Best interaction of all pairs under four kinds of null, ten runs each."""
+    return SC.null_screen(split(spark, sf), FEATURES, pairs=True)
 
 
 def _xs_sql() -> str:

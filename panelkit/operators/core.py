@@ -259,6 +259,8 @@ def with_halo(
 ) -> DataFrame:
     """Cut long ordered groups into blocks and repeat in each block the ``rows`` rows before it.
 
+    Row counts of the blocks say which blocks look back on a row; it is sent to those alone, as it is.
+
     Repeated rows carry ``__halo = true``. A window partitioned by ``keys + block`` that looks back at
     most ``rows`` rows sees exactly what the window over the whole group would; drop the halo after.
     ``block`` must not decrease along ``order``.
@@ -269,18 +271,18 @@ def with_halo(
     columns = df.columns
     own = df.withColumn(block_name, block)
     recent = Window.partitionBy(*keys, block_name).orderBy(*[F.desc(c) for c in order])
-    tail = (
-        own.withColumn("__r", F.row_number().over(recent))
-        .where(F.col("__r") <= rows)
-        .groupBy(*keys, block_name)
-        .agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("row")))).alias("__tail"))
-    )
-    # every non-empty block adds at least one row, so `rows` earlier blocks always suffice
-    earlier = Window.partitionBy(*keys).orderBy(block_name).rowsBetween(-rows, -1)
-    carried = tail.select(*keys, block_name, F.flatten(F.collect_list("__tail").over(earlier)).alias("__before"))
-    carried = carried.select(block_name, F.explode(F.slice("__before", F.greatest(F.size("__before") - rows + 1, F.lit(1)), rows)).alias("__e"))
-    carried = carried.select(*[F.col(f"__e.row.{c}").alias(c) for c in columns], block_name, F.lit(True).alias("__halo"))
-    return own.withColumn("__halo", F.lit(False)).unionByName(carried)
+    # rows up to and including each block, and the block that begins there
+    blocks = Window.partitionBy(*keys).orderBy(block_name)
+    ends = own.groupBy(*keys, block_name).agg(F.count(F.lit(1)).alias("__n"))
+    ends = ends.withColumns({"__e": F.sum("__n").over(blocks.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.lead(block_name).over(blocks)})
+    # of each block, the later ones that begin fewer than `rows` rows after its end
+    near = Window.partitionBy(*keys).orderBy("__e").rangeBetween(0, rows - 1)
+    begun = F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("b"), F.col("__e").alias("at")))
+    routes = ends.select(*keys, block_name, "__e", F.collect_list(begun).over(near).alias("__to"))
+    tail = own.withColumn("__r", F.row_number().over(recent)).where(F.col("__r") <= rows)
+    reached = F.filter("__to", lambda t: F.col("__r") - 1 + t["at"] - F.col("__e") < rows)
+    routed = join_groups(tail, routes, [*keys, block_name]).select(*columns, F.explode(F.transform(reached, lambda t: t["b"])).alias(block_name))
+    return own.withColumn("__halo", F.lit(False)).unionByName(routed.withColumn("__halo", F.lit(True)))
 
 
 def with_ewm(

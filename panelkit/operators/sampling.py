@@ -56,6 +56,36 @@ def row_index(df: DataFrame, order: Sequence[str], output: str = "row_index", *,
     return numbered.withColumn(output, (F.col("__before") + F.col("__k")).cast("long")).drop("__k", "__before")
 
 
+#: Rounds of a seeded bijection.
+ROUNDS = 4
+#: Steps that bring an image back into range: each is needed with a chance of about 1 / sqrt(n), and fewer than sqrt(n) in all.
+WALKS = 64
+
+
+def permuted(i: Column, n: Column, seed: Column) -> Column:
+    """Image of ``i`` under a seeded bijection of 0..n-1, computed row by row: no sort and no shuffle.
+
+    The range is laid out as a grid just large enough; rounds of a Feistel network shift the grid's rows and columns by
+    hashes of each other, and an image that falls outside the range goes through again until it is inside.
+    """
+
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def step(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
+        for k in range(ROUNDS):
+            if k % 2:
+                right = F.pmod(right + F.pmod(F.xxhash64(left, seed, F.lit(k)), b), b)
+            else:
+                left = F.pmod(left + F.pmod(F.xxhash64(right, seed, F.lit(k)), a), a)
+        return left * b + right
+
+    once = step(i.cast("long"))
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    return F.when(once < n, once).otherwise(inside)
+
+
 def stride_sample(df: DataFrame, stride: int) -> DataFrame:
     """Every ``stride``-th row in key order over all folds."""
 

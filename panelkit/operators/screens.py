@@ -6,7 +6,6 @@ fits and scores follow from the sums, so every screen is one pass over the rows.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -17,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
+from panelkit.operators.blocks import pair_views, single_views, view_sums
 from panelkit.operators.core import exact_quantiles, ordered_counts, ratio, with_group_stats, with_halo, zsum
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
-from panelkit.operators.sampling import row_index
+from panelkit.operators.sampling import permuted, row_index
 from panelkit.operators.stats import normal_stats, standardizer, z_expr
 from panelkit.operators.xsection import z_and_rank
 from panelkit.schema import DATE, KEYS, SYMBOL, TARGET, TIME, WEIGHT
@@ -239,36 +239,64 @@ def reference_rank(df: DataFrame, column: str, output: str = "reference_rank") -
     return ranked.drop("feature", "x", "z")
 
 
-def interaction_screen(df: DataFrame, features: Sequence[str], *, details: bool = True) -> DataFrame:
-    """Six views of every feature pair: fit on train, score on validation."""
+#: The six views of a feature pair as products, differences and distances of signs, ranks and z-scores.
+_PAIRS = dict(zip(INTERACTIONS, ("product:sign", "difference:rank", "difference:z", "distance:z", "product:z", "product:rank"), strict=True))
 
-    views = interaction_views(df, features)
-    out = with_fit(fit_sums(views, ["left", "right", "interaction"]))
-    return out.select("left", "right", "interaction", "alpha", "valid_r2", "valid_corr") if details else out
 
+def feature_arrays(df: DataFrame, features: Sequence[str], *columns: str) -> DataFrame:
+    """One row per key with arrays ``x``, ``z`` and ``rank`` of the features, in their order, for block products.
 
-def interaction_views(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Long table ``left, right, interaction, phi``; pairs come from the feature list, not from rows."""
+    Rows whose target or weight can't count are left out.
+    """
 
-    keep = [*KEYS, WEIGHT, TARGET, IS_TRAIN]
-    base = base_views(df.select(*keep, *features), features)
-    wide = base.groupBy(*KEYS).agg(
-        *[F.first(c).alias(c) for c in (WEIGHT, TARGET, IS_TRAIN)],
-        *[F.max(F.when(F.col("feature") == f, F.struct("x", "z", "rank"))).alias(f"__{i}") for i, f in enumerate(features)],
-    )
-    entries = []
-    for (i, a), (j, b) in itertools.combinations(enumerate(features), 2):
-        p, q = F.col(f"__{i}"), F.col(f"__{j}")
-        exprs = {
-            "sign_product": S.sign(p["x"]) * S.sign(q["x"]),
-            "rank_diff": p["rank"] - q["rank"],
-            "z_diff": p["z"] - q["z"],
-            "abs_z_diff": F.abs(p["z"] - q["z"]),
-            "z_product": p["z"] * q["z"],
-            "rank_product": p["rank"] * q["rank"],
-        }
-        entries += [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(n).alias("interaction"), e.alias("phi")) for n, e in exprs.items()]
-    return wide.select(*keep, F.explode(F.array(*entries)).alias("__e")).select(*keep, "__e.*")
+    keep = [*KEYS, WEIGHT, TARGET, IS_TRAIN, *columns]
+    base = base_views(df.where(valid_rows([TARGET])).select(*keep, *features), features)
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    wide = base.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in keep[len(KEYS) :]], F.sort_array(F.collect_list(F.struct(place.alias("k"), "x", "z", "rank"))).alias("__v"))
+    return wide.select(*keep, *[F.col(f"__v.{c}").alias(c) for c in ("x", "z", "rank")])
+
+
+def _single(features: Sequence[str], views: Sequence[str], edges: Mapping[str, dict]):
+    """The univariate views as functions of matrices."""
+
+    if unknown := sorted(set(views) - set(VIEWS)):
+        raise ValueError(f"unknown transform: {unknown}")
+    low, high = (np.array([edges[f]["x"][k] if f in edges else math.nan for f in features]) for k in (0, 1))
+    known = {
+        "z": lambda x, z, r: z, "rank": lambda x, z, r: r, "sign": lambda x, z, r: np.sign(x), "abs_z": lambda x, z, r: np.abs(z), "square_z": lambda x, z, r: z * z,
+        "positive_indicator": lambda x, z, r: (x > 0).astype(float), "top05_indicator": lambda x, z, r: (x >= high).astype(float),
+        "bottom05_indicator": lambda x, z, r: (x <= low).astype(float), "signed_tail05": lambda x, z, r: (x >= high).astype(float) - (x <= low),
+    }
+    return [known[v] for v in views]
+
+
+def _edges(rows: DataFrame, features: Sequence[str]) -> dict:
+    """5 % and 95 % quantiles of each feature's train values."""
+
+    long = rows.where(F.col(IS_TRAIN)).select(F.posexplode("x").alias("k", "x"))
+    found = exact_quantiles(long, {"x": F.col("x")}, [0.05, 0.95], by="k")
+    return {features[k]: v for k, v in found.items()}
+
+
+def _named(sums: DataFrame, features: Sequence[str], kinds: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Names in place of the numbers of features and kinds: (feature, kind) or (first, second, kind)."""
+
+    feature, kind = F.array(*[F.lit(f) for f in features]), F.array(*[F.lit(k) for k in kinds])
+    parts = [F.col("a"), F.col("b")][: len(names) - 1]
+    return sums.select(*[feature[p].alias(n) for p, n in zip(parts, names, strict=False)], kind[F.col("code")].alias(names[-1]), "*").drop("a", "b", "code")
+
+
+def interaction_screen(df: DataFrame, features: Sequence[str], *, details: bool = True) -> DataFrame:
+    """Six views of every feature pair: fit on train, score on validation.
+
+    Sums of all pairs are products of blocks of rows inside the tasks; the plan doesn't grow with the pairs.
+    """
+
+    rows = feature_arrays(df, features).withColumn("ys", F.array(S.dbl(TARGET)))
+    sums, alone = view_sums(rows, IS_TRAIN, WEIGHT, "ys", 1, pair_views(_PAIRS))
+    one = {f"{t}_swxy": F.col(f"{t}_swxy")[0] for t in "tv"} | {f"{t}_sw": F.lit(alone[f"{t}_sw"]) for t in "tv"} | {f"{t}_{n}": F.lit(alone[f"{t}_{n}"][0]) for t in "tv" for n in ("swy", "swyy")}
+    out = with_fit(_named(sums, features, INTERACTIONS, ["left", "right", "interaction"]).withColumns(one))
+    return out.select("left", "right", "interaction", "alpha", "valid_r2", "valid_corr") if details else out
 
 
 def xs_screen(df: DataFrame, features: Sequence[str], groupings: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -290,68 +318,89 @@ def xs_screen(df: DataFrame, features: Sequence[str], groupings: Mapping[str, Se
 # --------------------------------------------------------------------------- null targets
 
 
+def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], size: Column, *, split: str | None = None, block_size: int = 2048) -> DataFrame:
+    """Where each null target sends each row: ``slot, p, null_y`` for rows with a position ``i`` among ``size``.
+
+    A slot is (number, kind, seed). Positions come from seeded bijections of the row, its block or the start of its date,
+    so that any number of slots is one plan without a sort of rows; only the calendar is ordered, once per slot.
+    """
+
+    if unknown := sorted({k for _, k, _ in slots} - set(NULL_KINDS)):
+        raise ValueError(f"no null target is made by {', '.join(unknown)}")
+    by = [split] if split else []
+    y = rows.select(*by, "i", DATE, S.dbl(TARGET).alias("null_y"), size.cast("long").alias("n"))
+    table = [F.struct(F.lit(k).alias("slot"), F.lit(kind).alias("kind"), F.lit(int(seed)).cast("long").alias("seed")) for k, kind, seed in slots]
+    each = y.select("*", F.explode(F.array(*table)).alias("s")).select(*by, "i", DATE, "null_y", "n", "s.*")
+    n, i, seed = F.col("n"), F.col("i"), F.col("seed")
+    blocks = F.ceil(n / block_size).cast("long")
+    short = blocks * block_size - n
+    place, tail = permuted(F.floor(i / block_size), blocks, seed), permuted(blocks - 1, blocks, seed)
+    by_kind = {
+        "iid": permuted(i, n, seed),
+        "circular": F.pmod(i + 1 + F.pmod(F.xxhash64(seed), F.greatest(n - 1, F.lit(1))), n),
+        "block": place * block_size - F.when(place > tail, short).otherwise(0) + F.pmod(i, F.lit(block_size)),
+    }
+    p = reduce(lambda acc, k: acc.when(F.col("kind") == k, by_kind[k]), by_kind, F.when(F.lit(False), F.lit(0)))
+    out = each.where(F.col("kind") != "date").select(*by, "slot", p.cast("long").alias("p"), "null_y")
+    if any(k == "date" for _, k, _ in slots):
+        dates = rows.groupBy(*by, DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("__m"))
+        own = F.array(*[t for t, (_, kind, _) in zip(table, slots, strict=True) if kind == "date"])
+        order = Window.partitionBy(*by, "slot").orderBy(F.xxhash64(F.col(DATE).cast("long"), "seed"), DATE).rowsBetween(Window.unboundedPreceding, -1)
+        starts = dates.select("*", F.explode(own).alias("s")).select(*by, DATE, "first", "__m", "s.slot", "s.seed").withColumn("start", F.coalesce(F.sum("__m").over(order), F.lit(0)))
+        moved = each.where(F.col("kind") == "date").join(starts.select(*by, DATE, "slot", "first", "start"), [*by, DATE, "slot"])
+        out = out.unionByName(moved.select(*by, "slot", (F.col("start") + F.col("i") - F.col("first")).cast("long").alias("p"), "null_y"))
+    return out
+
+
 def null_targets(indexed: DataFrame, kind: str, *, seed: int, rows: int, block_size: int = 2048) -> DataFrame:
     """Target values moved to other positions: table ``(i, null_y)`` for positions ``0..rows-1``.
 
-    ``indexed`` carries the position ``i``. Permutations order a seeded hash with ``row_index``, so no
-    step sorts the table in one place.
+    ``indexed`` carries the position ``i``.
     """
 
-    y = indexed.select("i", DATE, S.dbl(TARGET).alias("null_y"))
-    if kind == "circular":
-        shift = 1 + _mix(seed) % max(1, rows - 1)
-        return y.select(F.pmod(F.col("i") + F.lit(shift), F.lit(rows)).alias("i"), "null_y")
-    if kind == "iid":
-        order = _hash_order(y, ["i"], seed)
-        return row_index(order, ["__b", "__h", "i"], "__p", levels=1).select(F.col("__p").alias("i"), "null_y")
-    if kind == "block":
-        number = F.floor(F.col("i") / block_size).cast("long")
-        blocks = -(-rows // block_size)
-        short = blocks * block_size - rows
-        table = indexed.sparkSession.range(blocks).withColumnRenamed("id", "block")
-        placed = row_index(_hash_order(table, ["block"], seed), ["__b", "__h", "block"], "place", levels=1).select("block", "place")
-        tail_place = placed.where(F.col("block") == blocks - 1).first()["place"]
-        start = F.col("place") * block_size - F.when(F.col("place") > F.lit(tail_place), short).otherwise(0)
-        moved = y.withColumn("block", number).join(placed, "block")
-        return moved.select((start + F.pmod(F.col("i"), F.lit(block_size))).cast("long").alias("i"), "null_y")
-    if kind == "date":
-        dates = indexed.groupBy(DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
-        order = Window.orderBy(F.xxhash64(F.col(DATE).cast("long"), F.lit(seed)), DATE).rowsBetween(Window.unboundedPreceding, -1)
-        dates = dates.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0)))  # calendar only
-        return y.join(dates, DATE).select((F.col("start") + F.col("i") - F.col("first")).cast("long").alias("i"), "null_y")
-    raise ValueError(f"no null target is made by {kind!r}")
-
-
-def _mix(seed: int) -> int:
-    return int(np.random.default_rng(seed).integers(0, 2**31))
-
-
-def _hash_order(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    h = F.xxhash64(*[F.col(k).cast("long") for k in keys], F.lit(int(seed)))
-    return df.withColumn("__h", h).withColumn("__b", F.shiftright("__h", 52))
-
-
-def null_screen(df: DataFrame, views: DataFrame, by: Sequence[str], *, kinds: Sequence[str], runs: int, seed: int = 17) -> DataFrame:
-    """Best validation R2 over all views when the target is replaced by each null target.
-
-    ``views`` is any long view table with the panel key; train and validation positions are permuted
-    separately.
+    return null_positions(indexed, [(0, kind, seed)], F.lit(rows), block_size=block_size).select(F.col("p").alias("i"), "null_y")
+
+
+def with_null_targets(df: DataFrame, slots: Sequence[tuple[int, str, int]], *, block_size: int = 2048) -> DataFrame:
+    """df with an array ``null_ys`` of null targets, one per slot; train and validation rows are permuted separately."""
+
+    # train rows come first in the index, so that validation positions are the rest
+    valid = (~F.col(IS_TRAIN)).cast("int")
+    indexed = row_index(df.withColumn("__s", valid), ["__s", *KEYS], "i")
+    n_train = df.where(F.col(IS_TRAIN)).count()
+    n_valid = df.where(~F.col(IS_TRAIN)).count()
+    rows = indexed.withColumn("i", F.when(F.col(IS_TRAIN), F.col("i")).otherwise(F.col("i") - n_train))
+    moved = null_positions(rows, slots, F.when(F.col(IS_TRAIN), F.lit(n_train)).otherwise(F.lit(n_valid)), split="__s", block_size=block_size)
+    held = moved.groupBy("__s", F.col("p").alias("i")).agg(F.sort_array(F.collect_list(F.struct("slot", "null_y"))).alias("__y"))
+    return rows.join(held, ["__s", "i"]).withColumn("null_ys", F.transform("__y", lambda e: e["null_y"])).drop("__y", "__s", "i")
+
+
+def null_screen(
+    df: DataFrame, features: Sequence[str], *, pairs: bool = False, views: Sequence[str] = VIEWS, kinds: Sequence[str] = NULL_KINDS, runs: int = 10, seed: int = 17, block_size: int = 2048
+) -> DataFrame:
+    """Best validation R2 over all views when the target is replaced by each null target, per kind and run.
+
+    Views are those of single features, or with ``pairs`` the six of each pair. One plan holds all kinds and runs: the null
+    targets of a row are one array, and the sums of a view against all of them come from the same block products. Rows whose
+    target or weight can't count are left out before.
     """
 
-    indexed = {}
-    for flag in (True, False):
-        part = df.where(F.col(IS_TRAIN) == flag)
-        indexed[flag] = (row_index(part, list(KEYS), "i"), part.count())
-    parts = []
-    for kind in kinds:
-        for run in range(runs):
-            for flag, (rows, n) in indexed.items():
-                moved = null_targets(rows, kind, seed=seed + 1000 * run + (0 if flag else 1), rows=n)
-                parts.append(rows.select(*KEYS, "i").join(moved, "i").select(*KEYS, "null_y", F.lit(kind).alias("null_kind"), F.lit(run).alias("run")))
-    targets = reduce(lambda a, b: a.unionByName(b), parts)
-    joined = views.drop(TARGET).join(targets, list(KEYS))
-    fits = with_fit(fit_sums(joined, ["null_kind", "run", *by], y="null_y"))
-    best = F.max_by(F.struct(*by), F.struct("valid_r2", *by)).alias("b")
+    slots = [(k * runs + run, kind, seed + 1000 * run + k) for k, kind in enumerate(kinds) for run in range(runs)]
+    rows = feature_arrays(with_null_targets(df.where(valid_rows([TARGET])), slots, block_size=block_size), features, "null_ys")
+    if pairs:
+        make, names, shown = pair_views(_PAIRS), ["left", "right", "interaction"], INTERACTIONS
+    else:
+        edges = _edges(rows, features) if any("05" in v for v in views) else {}
+        make, names, shown = single_views(_single(features, views, edges)), ["feature", "transform"], tuple(views)
+    sums, alone = view_sums(rows, IS_TRAIN, WEIGHT, "null_ys", len(slots), make)
+    labels = F.array(*[F.struct(F.lit(kind).alias("null_kind"), F.lit(k % runs).alias("run"), F.lit(alone["v_swyy"][k]).alias("swyy")) for k, kind, _ in slots])
+    scored = _named(sums, features, shown, names).select(*names, "t_swxx", "v_swxx", F.posexplode(F.arrays_zip("t_swxy", "v_swxy", labels.alias("label"))).alias("k", "e"))
+    e = F.col("e")
+    alpha = F.when(F.col("t_swxx") > 0, F.try_divide(e["t_swxy"], F.col("t_swxx"))).otherwise(0.0)
+    numerator = e["label"]["swyy"] - 2 * alpha * e["v_swxy"] + alpha * alpha * F.col("v_swxx")
+    fit = F.when(e["label"]["swyy"] > 0, 1.0 - F.try_divide(numerator, e["label"]["swyy"])).otherwise(0.0)
+    fits = scored.select(*names, e["label"]["null_kind"].alias("null_kind"), e["label"]["run"].alias("run"), fit.alias("valid_r2"))
+    best = F.max_by(F.struct(*names), F.struct("valid_r2", *names)).alias("b")
     return fits.groupBy("null_kind", "run").agg(F.max("valid_r2").alias("best_valid_r2"), best).select("null_kind", "run", "best_valid_r2", "b.*")
 
 

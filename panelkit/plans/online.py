@@ -6,7 +6,8 @@ the resulting coefficients are joined back by (fold, date).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,16 +36,33 @@ def daily_sums(df: DataFrame, **sums: Column) -> DataFrame:
     return daily.withColumns({"update_source_date": F.lag(DATE).over(order), "update_rows": F.coalesce(F.lag("day_rows").over(order), F.lit(0))})
 
 
-def replay(value: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Fold ``step`` over the values of the earlier days. The list is as long as the calendar of a fold."""
+def with_decayed(daily: DataFrame, states: Mapping[str, tuple[Column, Column]], keep: float, gain: float = 1.0) -> DataFrame:
+    """States ``s <- keep s + gain v`` over the earlier days of each fold: name -> (value of a day, start of the fold).
 
-    return F.aggregate(F.collect_list(value).over(_past_days()), start.cast("double"), step)
-
-
-def decayed(value: Column, start: Column, forgetting: float) -> Column:
-    """``s <- f s + v`` over earlier days."""
+    Days are cut into blocks short enough that the powers of ``keep`` stay inside double range. Inside a block the state is
+    a running sum of scaled values; what the days of a block do together is one affine map, and a block begins with the maps
+    of the blocks before it (all but the last two have decayed below 1e-200). Linear in the days.
+    """
 
-    return replay(value, start, lambda s, v: F.lit(float(forgetting)) * s + v)
+    past = _past_days()
+    if keep in (0.0, 1.0):
+        seen = {n: F.lag(v).over(Window.partitionBy(FOLD).orderBy(DATE)) if keep == 0.0 else F.sum(v).over(past) for n, (v, _) in states.items()}
+        return daily.withColumns({n: F.coalesce((0.0 if keep == 0.0 else s) + F.lit(gain) * seen[n], s) for n, (_, s) in states.items()})
+    days = max(1, int(100 * math.log(10) / -math.log(keep)))
+    i = F.row_number().over(Window.partitionBy(FOLD).orderBy(DATE)) - 1
+    out = daily.withColumn("__i", i).withColumns({"__j": F.pmod("__i", F.lit(days)), "__b": F.floor(F.col("__i") / days)})
+    inside, j, whole = Window.partitionBy(FOLD, "__b").orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1), F.col("__j"), keep**days
+    ends = j == days - 1
+    for n, (v, start) in states.items():
+        s = start.cast("double")
+        local = F.lit(gain) * F.pow(F.lit(keep), j - 1) * F.coalesce(F.sum(v * F.pow(F.lit(keep), -j)).over(inside), F.lit(0.0))
+        out = out.withColumn("__local", local)
+        out = out.withColumn("__end", F.when(ends, F.lit(keep) * F.col("__local") + F.lit(gain) * v))
+        before = F.last("__end", ignorenulls=True).over(past)
+        out = out.withColumn("__end", F.col("__end") + F.lit(whole) * F.coalesce(before, s))
+        carried = F.last("__end", ignorenulls=True).over(past)
+        out = out.withColumn(n, F.col("__local") + F.pow(F.lit(keep), j) * F.coalesce(carried, s))
+    return out.drop("__i", "__j", "__b", "__local", "__end")
 
 
 def _forgetting(value: float) -> None:
@@ -77,7 +95,7 @@ def daily_scale(df: DataFrame, prediction: str, *, prior: float, forgetting: flo
     w, y, p = S.dbl(WEIGHT), S.dbl(TARGET), S.dbl(prediction)
     daily = daily_sums(df, py=w * p * y, pp=w * p * p)
     start = F.lit(float(prior))
-    daily = daily.withColumns({"num": decayed(F.col("py"), start, forgetting), "den": decayed(F.col("pp"), start, forgetting)})
+    daily = with_decayed(daily, {"num": (F.col("py"), start), "den": (F.col("pp"), start)}, forgetting)
     return daily.withColumn("scale", S.clip(F.when(F.col("den") > 1e-18, F.col("num") / F.col("den")).otherwise(1.0), low, high))
 
 
@@ -98,7 +116,7 @@ def daily_affine(df: DataFrame, prediction: str, *, prior: float, forgetting: fl
     daily = daily_sums(df, sw=w, sx=w * p, sxx=w * p * p, sy=w * y, sxy=w * p * y)
     a, zero = F.lit(float(prior)), F.lit(0.0)
     starts = {"sw": a, "sx": zero, "sxx": a, "sy": zero, "sxy": a}
-    daily = daily.withColumns({f"c_{n}": decayed(F.col(n), s, forgetting) for n, s in starts.items()})
+    daily = with_decayed(daily, {f"c_{n}": (F.col(n), s) for n, s in starts.items()}, forgetting)
     det = F.col("c_sw") * F.col("c_sxx") - F.col("c_sx") * F.col("c_sx")
     empty = F.greatest(F.abs("c_sw"), F.abs("c_sx"), F.abs("c_sxx")) <= 1e-18
     # a singular system has the least-squares solution along its only direction
@@ -133,9 +151,8 @@ def dynamic_scale(df: DataFrame, prediction: str, *, alpha: float, forgetting: f
     stats = fold_sums(df, py=w * p * y, pp=w * p * p)
     py, pp = before(folds, stats, "py"), before(folds, stats, "pp")
     daily = daily_sums(df, py=w * p * y, pp=w * p * p)
-    num = decayed(F.col("py"), by_fold({f: alpha * prior_scale + py[f] for f in folds}), forgetting)
-    den = decayed(F.col("pp"), by_fold({f: alpha + pp[f] for f in folds}), forgetting)
-    daily = daily.withColumns({"num": num, "den": den})
+    starts = {"num": by_fold({f: alpha * prior_scale + py[f] for f in folds}), "den": by_fold({f: alpha + pp[f] for f in folds})}
+    daily = with_decayed(daily, {"num": (F.col("py"), starts["num"]), "den": (F.col("pp"), starts["den"])}, forgetting)
     return daily.withColumn("scale", F.when(F.col("den") > 1e-12, F.col("num") / F.col("den")).otherwise(float(prior_scale)))
 
 
@@ -172,11 +189,12 @@ def daily_losses(df: DataFrame, strategies: Mapping[str, str], *, default: str,
     stats = fold_sums(df, yy=energy(), **sums)
     yy = before(folds, stats, "yy")
     daily = daily_sums(df, yy=energy(), **sums)
+    states = {}
     for n in names:
         past = before(folds, stats, f"l_{n}")
         start = {f: (0.0 if n == default else 1e-9) if i == 0 else (past[f] / yy[f] if yy[f] > 1e-12 else 1.0) for i, f in enumerate(folds)}
-        daily = daily.withColumn(f"state_{n}", replay(_loss_ratio(n), by_fold(start), lambda s, v: F.lit(decay) * s + F.lit(1.0 - decay) * v))
-    return daily
+        states[f"state_{n}"] = (_loss_ratio(n), by_fold(start))
+    return with_decayed(daily, states, decay, 1.0 - decay)
 
 
 def argmin_name(columns: Mapping[str, Column]) -> Column:

@@ -262,11 +262,68 @@ def test_null_targets_permute(toy, kind):
         assert {tuple(np.round(c, 9)) for c in np.split(moved.null_y.to_numpy(), 20)} == days
 
 
-def test_null_screen_reports_every_run(toy):
-    _, df = toy
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 100, 101, 4097])
+def test_permuted_is_a_bijection(spark, n):
+    from panelkit.operators.sampling import permuted
+
+    df = spark.range(n).select("id", *[permuted(F.col("id"), F.lit(n), F.lit(s)).alias(f"p{s}") for s in (1, 2)]).toPandas()
+    for s in (1, 2):
+        assert sorted(df[f"p{s}"]) == list(range(n))
+    if n > 50:
+        assert (df.p1 != df.p2).mean() > 0.9 and (df.p1 != df.id).mean() > 0.9
+        assert abs(np.corrcoef(df.id, df.p1)[0, 1]) < 0.35
+
+
+def arrays(pdf, features):
+    """Values, z-scores and ranks of train and validation rows, as in views_of, side by side."""
+    train, valid = pdf[pdf.date_id < 14], pdf[pdf.date_id >= 14]
+    views = {f: views_of(train[f].to_numpy(), valid[f].to_numpy()) for f in features}
+    return train, valid, views
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_null_screen_against_numpy(toy, pairs):
+    pdf, df = toy
+    features = ["feature_00", "feature_01", "a_prediction"]
     df = screens.split_frame(df, 14)
-    out = screens.null_screen(df, screens.transform_views(df, ["feature_00"], ["z", "sign"]), ["feature", "transform"], kinds=["iid", "circular"], runs=2).collect()
-    assert {(r.null_kind, r.run) for r in out} == {(k, i) for k in ("iid", "circular") for i in (0, 1)}
+    runs = 2
+    got = {(r.null_kind, r.run): r for r in screens.null_screen(df, features, pairs=pairs, runs=runs, block_size=50).collect()}
+    assert set(got) == {(k, i) for k in screens.NULL_KINDS for i in range(runs)}
+    slots = [(k * runs + run, kind, 17 + 1000 * run + k) for k, kind in enumerate(screens.NULL_KINDS) for run in range(runs)]
+    ys = screens.with_null_targets(df, slots, block_size=50).select(*KEYS, "null_ys").toPandas()
+    pdf = pdf.merge(ys, on=KEYS)
+    train, valid, views = arrays(pdf, features)
+    y = {name: np.stack(part.null_ys) for name, part in (("t", train), ("v", valid))}
+    for name, part in (("t", train), ("v", valid)):
+        for k in range(len(slots)):
+            np.testing.assert_allclose(np.sort(y[name][:, k]), np.sort(part.responder_6))
+    if pairs:
+        combos = {"sign_product": ("sign", np.multiply), "rank_diff": ("rank", np.subtract), "z_diff": ("z", np.subtract), "abs_z_diff": ("z", lambda a, b: abs(a - b)), "z_product": ("z", np.multiply), "rank_product": ("rank", np.multiply)}
+        phis = {(a, b, n): [f(views[a][v][s], views[b][v][s]) for s in (0, 1)] for i, a in enumerate(features) for b in features[i + 1 :] for n, (v, f) in combos.items()}
+    else:
+        phis = {(f, v): views[f][v] for f in features for v in screens.VIEWS}
+    for k, kind, _ in slots:
+        best = {}
+        for name, (pt, pv) in phis.items():
+            alpha = (train.weight * pt * y["t"][:, k]).sum() / (train.weight * pt * pt).sum()
+            best[name] = 1 - (valid.weight * (y["v"][:, k] - alpha * pv) ** 2).sum() / (valid.weight * y["v"][:, k] ** 2).sum()
+        row = got[kind, k % runs]
+        assert row.best_valid_r2 == pytest.approx(max(best.values()))
+        assert best[tuple(row)[3:]] == pytest.approx(row.best_valid_r2)
+
+
+def test_like_features_make_no_view(spark, toy):
+    _, df = toy
+    twin = screens.split_frame(df.withColumn("feature_02", F.col("feature_00")), 14)
+    got = {r.interaction: r for r in screens.interaction_screen(twin, ["feature_00", "feature_02"]).collect()}
+    assert all(got[k].alpha == 0 and got[k].valid_r2 == 0 for k in ("rank_diff", "z_diff", "abs_z_diff"))
+
+
+def test_interactions_of_many_features_are_one_small_plan(spark, toy):
+    _, df = toy
+    wide = screens.split_frame(df.select("*", *[(F.col("feature_00") * k + F.col("a_prediction")).alias(f"feature_{k + 10}") for k in range(20)]), 14)
+    names = [f"feature_{k + 10}" for k in range(20)]
+    assert screens.interaction_screen(wide, names).count() == 190 * 6
 
 
 def test_spectrum_periodogram_hill(toy):
@@ -345,3 +402,21 @@ def test_pipeline_and_latent_models(toy):
     train = t[t.is_train]
     z = np.column_stack([np.ones(len(train)), train[["rank_feature_00", "rank_feature_01"]].to_numpy()])
     np.testing.assert_allclose(fitted["pls_rank_k2"], np.linalg.lstsq(z, train.responder_6.to_numpy(), rcond=None)[0], rtol=1e-6)
+
+
+@pytest.mark.parametrize("keep, gain", [(0.0, 1.0), (0.3, 0.7), (0.9, 1.0), (0.995, 0.005), (1.0, 1.0)])
+def test_decayed_states_of_many_days(spark, keep, gain):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"fold": np.repeat(["a", "b"], [10_000, 300]), "date_id": np.r_[np.arange(10_000) * 2, np.arange(300)], "v": rng.normal(size=10_300) * 10.0 ** rng.integers(-3, 4, 10_300)})
+    df = spark.createDataFrame(pdf).repartition(4)
+    start = F.when(F.col("fold") == "a", 3.0).otherwise(-5.0)
+    got = O.with_decayed(df, {"s": (F.col("v"), start), "t": (F.abs("v"), F.lit(1.0))}, keep, gain).toPandas().sort_values(["fold", "date_id"])
+    assert list(got.columns) == ["fold", "date_id", "v", "s", "t"]
+    for name, value, begin in (("s", pdf.v, {"a": 3.0, "b": -5.0}), ("t", pdf.v.abs(), {"a": 1.0, "b": 1.0})):
+        want = []
+        for fold in "ab":
+            s = begin[fold]
+            for v in value[pdf.fold == fold]:
+                want.append(s)
+                s = keep * s + gain * v
+        np.testing.assert_allclose(got[name], want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
