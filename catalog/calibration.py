@@ -57,6 +57,7 @@ def _grid_sql() -> str:
     base = "SELECT *, " + CLIPPED + " AS p FROM gb"
     alpha = "least(greatest(sum(weight*responder_6*p)/sum(weight*p*p), 0e0), 1e0)"
     parts = [f"SELECT 'clip_only' AS candidate, sum(weight*(responder_6-p)*(responder_6-p)) AS numerator, count(*) AS \"rows\" FROM ({base}) WHERE {VAL}"]
+    parts.append(f"SELECT 'raw', sum(weight*(responder_6-trail_prediction)*(responder_6-trail_prediction)), count(*) FROM gb WHERE {VAL}")
     for name, groups in calibrate.SHRINKAGE_GRID.items():
         fit = f"SELECT {alpha} AS fa FROM ({base}) WHERE {CAL}"
         if not groups:

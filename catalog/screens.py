@@ -9,10 +9,12 @@ from panelkit.functions import scalar as S
 from panelkit.operators import folds as fo
 from panelkit.operators import metrics as M
 from panelkit.operators import screens as SC
+from panelkit.operators.gates import CLOCKS
 from panelkit.operators.sampling import grid_sample, row_index
 from panelkit.plans import experts as E
 from panelkit.plans import selection, studies
 from panelkit.sources import fixtures as fx
+from panelkit.sources.io import union_all
 
 KEYS = ["date_id", "time_id", "symbol_id"]
 K = "date_id, time_id, symbol_id"
@@ -115,17 +117,18 @@ def _xs_sql() -> str:
     z = "(x - avg(x) OVER g)/CASE WHEN stddev_samp(x) OVER g > 0 THEN stddev_samp(x) OVER g ELSE 1e0 END"
     rank = "CASE WHEN x IS NOT NULL THEN (rank() OVER (PARTITION BY {p} ORDER BY x) + (count(*) OVER (PARTITION BY {p}, x) - 1)/2e0 - 1e0)/CASE WHEN count(*) OVER g > 1 THEN count(*) OVER g - 1 ELSE 1 END - 0.5e0 END"
     parts = []
-    for name, p in (("date", "date_id"), ("date_time", "date_id, time_id")):
-        for t, e in (("cs_z", z), ("cs_rank", rank.format(p=p))):
-            rows = f"SELECT date_id < 60 AS t, weight AS w, responder_6 AS y, coalesce({e}, 0e0) AS phi FROM (SELECT *, feature_03 AS x FROM panel) WINDOW g AS (PARTITION BY {p})"
-            parts.append(f"SELECT 'feature_03' AS feature, '{name}' AS grouping, '{t}' AS transform, a AS alpha, 1 - sum(w*(y-a*phi)*(y-a*phi))/sum(w*y*y) AS valid_r2 FROM ({rows}), (SELECT sum(w*phi*y)/sum(w*phi*phi) AS a FROM ({rows}) WHERE t) WHERE NOT t GROUP BY a")
+    for feature in FEATURES:
+        for name, p in (("date", "date_id"), ("date_time", "date_id, time_id")):
+            for t, e in (("cs_z", z), ("cs_rank", rank.format(p=p))):
+                rows = f"SELECT date_id < 60 AS t, weight AS w, responder_6 AS y, coalesce({e}, 0e0) AS phi FROM (SELECT *, {feature} AS x FROM panel) WINDOW g AS (PARTITION BY {p})"
+                parts.append(f"SELECT '{feature}' AS feature, '{name}' AS grouping, '{t}' AS transform, a AS alpha, 1 - sum(w*(y-a*phi)*(y-a*phi))/sum(w*y*y) AS valid_r2 FROM ({rows}), (SELECT sum(w*phi*y)/sum(w*phi*phi) AS a FROM ({rows}) WHERE t) WHERE NOT t GROUP BY a")
     return " UNION ALL ".join(parts) + " --d:alpha valid_r2"
 
 
 @query("xs_screen", _xs_sql(), ctes=(PANEL,))
 def xs_screen(spark, sf):
-    """Cross-sectional z-scores and ranks as views."""
-    out = SC.xs_screen(split(spark, sf), ["feature_03"], {"date": ["date_id"], "date_time": ["date_id", "time_id"]})
+    """Cross-sectional z-scores and ranks of all features as views."""
+    out = SC.xs_screen(split(spark, sf), FEATURES, {"date": ["date_id"], "date_time": ["date_id", "time_id"]})
     return out.select("feature", "grouping", "transform", "alpha", "valid_r2")
 
 
@@ -154,8 +157,8 @@ def latent_models(spark, sf):
 
 @query("residual_mining")
 def residual_mining(spark, sf):
-    """Views on the residual of the best latent model."""
-    return studies.residual_mining(split(spark, sf), FEATURES, ["z", "rank", "sign", "abs_z", "square_z"])
+    """All views on the residual of the best latent model."""
+    return studies.residual_mining(split(spark, sf), FEATURES)
 
 
 @query("frozen_rule_wf")
@@ -242,13 +245,19 @@ def digit_audit(spark, sf):
 # --------------------------------------------------------------------------- experts
 
 
-FOLDS = fo.rolling_folds(0, 82, n_folds=2, train_window=40, valid_window=12)
+LAYOUT = dict(n_folds=2, train_window=40, valid_window=12)
+
+
+def fold_list(spark, sf):
+    """Two rolling folds up to the panel's last date."""
+    low, high = panel(spark, sf).agg(F.min("date_id"), F.max("date_id")).first()
+    return fo.rolling_folds(low, high, **LAYOUT)
 
 
 def _ridge_sql() -> str:
-    parts = []
-    for f in FOLDS:
-        tr, va = f"date_id BETWEEN {f.train_start} AND {f.train_end}", f"date_id BETWEEN {f.valid_start} AND {f.valid_end}"
+    parts, last = [], "(SELECT max(date_id) FROM panel)"
+    for f in fo.rolling_folds(-10_000, 0, **LAYOUT):  # dates counted back from the last one
+        tr, va = f"date_id - {last} BETWEEN {f.train_start} AND {f.train_end}", f"date_id - {last} BETWEEN {f.valid_start} AND {f.valid_end}"
         for a in ("10", "1000"):
             parts.append(
                 f"""SELECT '{f.name}' AS fold, 'ridge_alpha{a}' AS candidate, count(*) AS "rows", sum(weight) AS weight_sum, sum(weight*pow(responder_6 - (b0 + b1*(coalesce(feature_03,0e0)-m)/s), 2)) AS numerator, sum(weight*responder_6*responder_6) AS denominator FROM panel, (
@@ -261,34 +270,43 @@ def _ridge_sql() -> str:
 @query("ridge_single", _ridge_sql(), ctes=(PANEL,), numerator=3, denominator=3)
 def ridge_single(spark, sf):
     """Alpha sweep of a one-feature ridge (closed form in SQL)."""
-    return E.ridge_fold_scores(panel(spark, sf), FOLDS, ["feature_03"], [10.0, 1000.0])
+    return E.ridge_fold_scores(panel(spark, sf), fold_list(spark, sf), ["feature_03"], [10.0, 1000.0])
 
 
 @query("ridge")
 def ridge(spark, sf):
     """Alpha sweep of a four-feature ridge."""
-    return E.ridge_fold_scores(panel(spark, sf), FOLDS, FEATURES, [10.0, 1000.0])
+    return E.ridge_fold_scores(panel(spark, sf), fold_list(spark, sf), FEATURES, [10.0, 1000.0])
 
 
-def train_valid(spark, sf):
-    df = panel(spark, sf)
-    return df.where(FOLDS[0].train_filter()), df.where(FOLDS[0].valid_filter())
+def by_folds(spark, sf, fit):
+    """Validation rows of every fold with what fit(train, valid) makes of them."""
+    df, parts = panel(spark, sf), []
+    for f in fold_list(spark, sf):
+        parts.append(fit(df.where(f.train_filter()), df.where(f.valid_filter())).withColumn("fold", F.lit(f.name)))
+    return union_all(parts)
 
 
 @query("rank_ridge")
 def rank_ridge(spark, sf):
-    """Ridge on rank codes."""
-    train, valid = train_valid(spark, sf)
-    encoder, model = E.rank_ridge(train, FEATURES, alpha=1000.0)
-    return encoder.transform(valid).select(*KEYS, model.predict().alias("prediction"))
+    """Ridge on rank codes, fold by fold."""
+
+    def fit(train, valid):
+        encoder, model = E.rank_ridge(train, FEATURES, alpha=1000.0)
+        return encoder.transform(valid).select(*KEYS, model.predict().alias("prediction"))
+
+    return by_folds(spark, sf, fit)
 
 
 @query("pls")
 def pls(spark, sf):
-    """Two-component PLS on rank codes."""
-    train, valid = train_valid(spark, sf)
-    encoder, model = E.pls(train, FEATURES, components=2)
-    return encoder.transform(valid).select(*KEYS, model.predict().alias("prediction"))
+    """Two-component PLS on rank codes, fold by fold."""
+
+    def fit(train, valid):
+        encoder, model = E.pls(train, FEATURES, components=2)
+        return encoder.transform(valid).select(*KEYS, model.predict().alias("prediction"))
+
+    return by_folds(spark, sf, fit)
 
 
 @query("linear_stacker")
@@ -304,35 +322,34 @@ def linear_stacker(spark, sf):
 @query("expert_pipeline")
 def expert_pipeline(spark, sf):
     """Fold loop of rank ridge, PLS, stack, residual, risk and regime layers."""
-    out = E.expert_pipeline(panel(spark, sf), FOLDS, FEATURES, ridge_alpha=1000.0, pls_components=2, residual_features=["feature_03"], regime_rows=200, time_bucket_size=4)
+    out = E.expert_pipeline(panel(spark, sf), fold_list(spark, sf), FEATURES, ridge_alpha=1000.0, pls_components=2, residual_features=["feature_03"], regime_rows=200, time_bucket_size=4)
     return M.candidate_scores(out, {c: c for c in E.pipeline_candidates(out)})
 
 
 @query("gbt_expert")
 def gbt_expert(spark, sf):
-    """Boosted trees on a hash sample, two seeds."""
-    train, valid = train_valid(spark, sf)
-    out = E.gbt_expert(train, valid, FEATURES, seeds=[17, 18], fraction=0.5, trees=5)
-    return out.select(*KEYS, "gbt_prediction")
+    """Boosted trees on a hash sample, two seeds, fold by fold."""
+    return by_folds(spark, sf, lambda train, valid: E.gbt_expert(train, valid, FEATURES, seeds=[17, 18], fraction=0.5).select(*KEYS, "gbt_prediction"))
 
 
 @query("pca_geometry")
 def pca_geometry(spark, sf):
-    """Three principal components of a date and time grid."""
-    out, _ = E.pca_geometry(grid_sample(panel(spark, sf), 1, 1), FEATURES)
+    """Three principal components of all rows, fitted on a grid of dates and times."""
+    df = panel(spark, sf)
+    out, _ = E.pca_geometry(df, FEATURES, fit_on=grid_sample(df, 2, 2))
     return out.select(*KEYS, *[F.abs(f"pc{i}").alias(f"abs_pc{i}") for i in (1, 2, 3)])
 
 
 @query("oof_collect")
 def oof_collect(spark, sf):
     """Inner out-of-fold ridge predictions."""
-    out = E.oof_collect(panel(spark, sf), FOLDS[0], FEATURES, n_folds=3, valid_window=8, alpha=100.0)
+    out = E.oof_collect(panel(spark, sf), fold_list(spark, sf)[0], FEATURES, n_folds=3, valid_window=8, alpha=100.0)
     return out.select("fold", *KEYS, "prediction")
 
 
 @query("clock_tournament")
 def clock_tournament(spark, sf):
-    """Strategies under two clocks, by weight bucket."""
-    inputs = studies.clock_inputs(panel(spark, sf), ["feature_00", "feature_03"], windows=[4], max_time_id=6)
-    df = oof(spark, sf).join(inputs.select(*KEYS, "ot_source_activity", "batch_missing_frac"), KEYS)
-    return studies.clock_tournament(df.where("fold <= 'rw_03'"), df.where("fold > 'rw_03'"), list(fx.EXPERTS), "trail_prediction", clocks=["clock_time", "batch_missing"], buckets=4, min_rows=100, max_time_id=6)
+    """Strategies under all seven clocks, by weight bucket."""
+    inputs = studies.clock_inputs(panel(spark, sf), ["feature_00", "feature_03"], windows=[64], max_time_id=6)
+    df = oof(spark, sf).join(inputs.select(*KEYS, *sorted({c for c, _ in CLOCKS.values()} - set(KEYS))), KEYS)
+    return studies.clock_tournament(df.where("fold <= 'rw_03'"), df.where("fold > 'rw_03'"), list(fx.EXPERTS), "trail_prediction", buckets=4, min_rows=100, max_time_id=6)

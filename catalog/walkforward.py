@@ -202,18 +202,19 @@ RES = f"res AS (SELECT d.*, r.resid FROM dis d JOIN ({_residual_sql('1000e0')})
 TAIL_SQL = {
     "weight": "weight >= w0", "abs_base": f"abs({B_}) >= a0", "disagreement": "prediction_disagreement >= d0", "weight_or_abs": f"weight >= w0 OR abs({B_}) >= a0",
     "weight_and_abs": f"weight >= w0 AND abs({B_}) >= a0", "weight_or_disagreement": "weight >= w0 OR prediction_disagreement >= d0",
+    "risk": "feature_00 >= r0", "abs_base_or_risk": f"abs({B_}) >= a0 OR feature_00 >= r0",
 }
 
 
 @query(
     "wf_residual_tail",
     f"SELECT {K}, " + ", ".join(f"CASE WHEN {c} THEN resid ELSE {B_} END AS {B_}_residual_{m}_tail_prediction" for m, c in TAIL_SQL.items())
-    + f" FROM res LEFT JOIN {linear_cols({'w': 'weight', 'a': f'abs({B_})', 'd': 'prediction_disagreement'}, (0.8,), 'res')} USING (fold) --d:" + " ".join(f"{B_}_residual_{m}_tail_prediction" for m in TAIL_SQL),
+    + f" FROM res LEFT JOIN {linear_cols({'w': 'weight', 'a': f'abs({B_})', 'd': 'prediction_disagreement', 'r': 'feature_00'}, (0.8,), 'res')} USING (fold) --d:" + " ".join(f"{B_}_residual_{m}_tail_prediction" for m in TAIL_SQL),
     ctes=(PANEL, OOF, DIS, RES),
 )
 def wf_residual_tail(spark, sf):
-    """Residual only in past-fold tails, six modes."""
-    out = WF.wf_residual_tail(residualised(spark, sf), B_, "resid", quantile=0.8, modes=list(TAIL_SQL))
+    """Residual only in past-fold tails, all modes."""
+    out = WF.wf_residual_tail(residualised(spark, sf), B_, "resid", quantile=0.8, modes=list(WF.TAIL_MODES), risk="feature_00")
     return pick(out, *[f"{B_}_residual_{m}_tail_prediction" for m in TAIL_SQL])
 
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,32 +59,36 @@ def row_index(df: DataFrame, order: Sequence[str], output: str = "row_index", *,
 
 #: Rounds of a seeded bijection.
 ROUNDS = 4
-#: Steps that bring an image back into range: each is needed with a chance of about 1 / sqrt(n), and fewer than sqrt(n) in all.
-WALKS = 64
 
 
-def permuted(i: Column, n: Column, seed: Column) -> Column:
-    """Image of ``i`` under a seeded bijection of 0..n-1, computed row by row: no sort and no shuffle.
+def _scramble(x: np.ndarray, key: int) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def bijection(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Images of x under a seeded bijection of 0..n-1, each by itself: no sort and no shuffle.
 
     The range is laid out as a grid just large enough; rounds of a Feistel network shift the grid's rows and columns by
-    hashes of each other, and an image that falls outside the range goes through again until it is inside.
+    hashes of each other, and an image that falls outside the range (about one in sqrt(n)) goes through again until it is
+    inside.
     """
 
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
-
-    def step(x: Column) -> Column:
-        left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
-        for k in range(ROUNDS):
+    rows = math.isqrt(max(0, n - 1)) + 1
+    columns = -(-n // rows)
+    keys = np.random.default_rng(seed).integers(0, 2**63, ROUNDS)
+    out, todo = x.astype(np.int64), np.arange(len(x))
+    while len(todo):
+        row, column = np.divmod(out[todo], columns)
+        for k, key in enumerate(keys.tolist()):
             if k % 2:
-                right = F.pmod(right + F.pmod(F.xxhash64(left, seed, F.lit(k)), b), b)
+                column = (column + (_scramble(row, key) % np.uint64(columns)).astype(np.int64)) % columns
             else:
-                left = F.pmod(left + F.pmod(F.xxhash64(right, seed, F.lit(k)), a), a)
-        return left * b + right
-
-    once = step(i.cast("long"))
-    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
-    return F.when(once < n, once).otherwise(inside)
+                row = (row + (_scramble(column, key) % np.uint64(rows)).astype(np.int64)) % rows
+        out[todo] = row * columns + column
+        todo = todo[out[todo] >= n]
+    return out
 
 
 def stride_sample(df: DataFrame, stride: int) -> DataFrame:

@@ -7,11 +7,12 @@ fits and scores follow from the sums, so every screen is one pass over the rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from panelkit.operators.blocks import pair_views, single_views, view_sums
 from panelkit.operators.core import exact_quantiles, ordered_counts, ratio, with_group_stats, with_halo, zsum
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
-from panelkit.operators.sampling import permuted, row_index
+from panelkit.operators.sampling import bijection, row_index
 from panelkit.operators.stats import normal_stats, standardizer, z_expr
 from panelkit.operators.xsection import z_and_rank
 from panelkit.schema import DATE, KEYS, SYMBOL, TARGET, TIME, WEIGHT
@@ -270,12 +271,11 @@ def _single(features: Sequence[str], views: Sequence[str], edges: Mapping[str, d
     return [known[v] for v in views]
 
 
-def _edges(rows: DataFrame, features: Sequence[str]) -> dict:
-    """5 % and 95 % quantiles of each feature's train values."""
+def _edges(df: DataFrame, features: Sequence[str]) -> dict:
+    """5 % and 95 % quantiles of each feature's train values, missing ones filled in."""
 
-    long = rows.where(F.col(IS_TRAIN)).select(F.posexplode("x").alias("k", "x"))
-    found = exact_quantiles(long, {"x": F.col("x")}, [0.05, 0.95], by="k")
-    return {features[k]: v for k, v in found.items()}
+    long = base_views(df.where(valid_rows([TARGET])).select(IS_TRAIN, *features), features, ranks=False)
+    return exact_quantiles(long.where(F.col(IS_TRAIN)).select("feature", "x"), {"x": F.col("x")}, [0.05, 0.95], by="feature")
 
 
 def _named(sums: DataFrame, features: Sequence[str], kinds: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -318,38 +318,48 @@ def xs_screen(df: DataFrame, features: Sequence[str], groupings: Mapping[str, Se
 # --------------------------------------------------------------------------- null targets
 
 
-def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], size: Column, *, split: str | None = None, block_size: int = 2048) -> DataFrame:
-    """Where each null target sends each row: ``slot, p, null_y`` for rows with a position ``i`` among ``size``.
+def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes: Mapping[int, int], *, split: str, block_size: int = 2048) -> DataFrame:
+    """Where each null target sends each row: ``split, slot, p, null_y`` for rows with a position ``i`` in their split.
 
-    A slot is (number, kind, seed). Positions come from seeded bijections of the row, its block or the start of its date,
-    so that any number of slots is one plan without a sort of rows; only the calendar is ordered, once per slot.
+    A slot is (number, kind, seed); ``sizes`` has the rows of each split. Positions come from seeded bijections of the row,
+    its block or its date, so that any number of slots is one plan without a sort of rows; only the calendar is ordered.
     """
 
     if unknown := sorted({k for _, k, _ in slots} - set(NULL_KINDS)):
         raise ValueError(f"no null target is made by {', '.join(unknown)}")
-    by = [split] if split else []
-    y = rows.select(*by, "i", DATE, S.dbl(TARGET).alias("null_y"), size.cast("long").alias("n"))
-    table = [F.struct(F.lit(k).alias("slot"), F.lit(kind).alias("kind"), F.lit(int(seed)).cast("long").alias("seed")) for k, kind, seed in slots]
-    each = y.select("*", F.explode(F.array(*table)).alias("s")).select(*by, "i", DATE, "null_y", "n", "s.*")
-    n, i, seed = F.col("n"), F.col("i"), F.col("seed")
-    blocks = F.ceil(n / block_size).cast("long")
-    short = blocks * block_size - n
-    place, tail = permuted(F.floor(i / block_size), blocks, seed), permuted(blocks - 1, blocks, seed)
-    by_kind = {
-        "iid": permuted(i, n, seed),
-        "circular": F.pmod(i + 1 + F.pmod(F.xxhash64(seed), F.greatest(n - 1, F.lit(1))), n),
-        "block": place * block_size - F.when(place > tail, short).otherwise(0) + F.pmod(i, F.lit(block_size)),
-    }
-    p = reduce(lambda acc, k: acc.when(F.col("kind") == k, by_kind[k]), by_kind, F.when(F.lit(False), F.lit(0)))
-    out = each.where(F.col("kind") != "date").select(*by, "slot", p.cast("long").alias("p"), "null_y")
-    if any(k == "date" for _, k, _ in slots):
-        dates = rows.groupBy(*by, DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("__m"))
-        own = F.array(*[t for t, (_, kind, _) in zip(table, slots, strict=True) if kind == "date"])
-        order = Window.partitionBy(*by, "slot").orderBy(F.xxhash64(F.col(DATE).cast("long"), "seed"), DATE).rowsBetween(Window.unboundedPreceding, -1)
-        starts = dates.select("*", F.explode(own).alias("s")).select(*by, DATE, "first", "__m", "s.slot", "s.seed").withColumn("start", F.coalesce(F.sum("__m").over(order), F.lit(0)))
-        moved = each.where(F.col("kind") == "date").join(starts.select(*by, DATE, "slot", "first", "start"), [*by, DATE, "slot"])
-        out = out.unionByName(moved.select(*by, "slot", (F.col("start") + F.col("i") - F.col("first")).cast("long").alias("p"), "null_y"))
-    return out
+    y = rows.select(split, F.col("i").cast("long").alias("i"), DATE, S.dbl(TARGET).alias("null_y"))
+    dated, free = ([s for s in slots if (s[1] == "date") == own] for own in (True, False))
+
+    def place(i: np.ndarray, kind: str, seed: int, n: int) -> np.ndarray:
+        if kind == "iid":
+            return bijection(i, n, seed)
+        if kind == "circular":
+            return (i + 1 + seed * 7919 % max(1, n - 1)) % n
+        blocks = -(-n // block_size)
+        to = bijection(np.arange(blocks), blocks, seed)
+        # the last block is short: those placed after it move up
+        return to[i // block_size] * block_size - np.where(to[i // block_size] > to[-1], blocks * block_size - n, 0) + i % block_size
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, i, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            for which, n in sizes.items():
+                mine = part == which
+                for slot, kind, seed in free if mine.any() else ():
+                    p, held = place(i[mine], kind, seed + which, n), int(mine.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(held, which, np.int32)), pa.array(np.full(held, slot, np.int32)), pa.array(p), pa.array(value[mine])], names=[split, "slot", "p", "null_y"])
+
+    schema = f"{split} int, slot int, p long, null_y double"
+    parts = [y.withColumn(split, F.col(split).cast("int")).mapInArrow(move, schema)] if free else []
+    if dated:
+        dates = rows.groupBy(split, DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("__m"))
+        own = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(int(seed)).alias("seed")) for k, _, seed in dated])
+        order = Window.partitionBy(split, "slot").orderBy(F.xxhash64(F.col(DATE).cast("long"), "seed"), DATE).rowsBetween(Window.unboundedPreceding, -1)
+        starts = dates.select(split, DATE, "first", "__m", F.explode(own).alias("s")).select(split, DATE, "first", "__m", "s.slot", "s.seed")
+        starts = starts.withColumn("shift", F.coalesce(F.sum("__m").over(order), F.lit(0)) - F.col("first"))
+        moved = y.join(starts.select(split, DATE, "slot", "shift"), [split, DATE])
+        parts.append(moved.select(F.col(split).cast("int").alias(split), "slot", (F.col("i") + F.col("shift")).cast("long").alias("p"), "null_y"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def null_targets(indexed: DataFrame, kind: str, *, seed: int, rows: int, block_size: int = 2048) -> DataFrame:
@@ -358,7 +368,8 @@ def null_targets(indexed: DataFrame, kind: str, *, seed: int, rows: int, block_s
     ``indexed`` carries the position ``i``.
     """
 
-    return null_positions(indexed, [(0, kind, seed)], F.lit(rows), block_size=block_size).select(F.col("p").alias("i"), "null_y")
+    whole = indexed.withColumn("__s", F.lit(0))
+    return null_positions(whole, [(0, kind, seed)], {0: rows}, split="__s", block_size=block_size).select(F.col("p").alias("i"), "null_y")
 
 
 def with_null_targets(df: DataFrame, slots: Sequence[tuple[int, str, int]], *, block_size: int = 2048) -> DataFrame:
@@ -370,7 +381,7 @@ def with_null_targets(df: DataFrame, slots: Sequence[tuple[int, str, int]], *, b
     n_train = df.where(F.col(IS_TRAIN)).count()
     n_valid = df.where(~F.col(IS_TRAIN)).count()
     rows = indexed.withColumn("i", F.when(F.col(IS_TRAIN), F.col("i")).otherwise(F.col("i") - n_train))
-    moved = null_positions(rows, slots, F.when(F.col(IS_TRAIN), F.lit(n_train)).otherwise(F.lit(n_valid)), split="__s", block_size=block_size)
+    moved = null_positions(rows, slots, {0: n_train, 1: n_valid}, split="__s", block_size=block_size)
     held = moved.groupBy("__s", F.col("p").alias("i")).agg(F.sort_array(F.collect_list(F.struct("slot", "null_y"))).alias("__y"))
     return rows.join(held, ["__s", "i"]).withColumn("null_ys", F.transform("__y", lambda e: e["null_y"])).drop("__y", "__s", "i")
 
@@ -390,7 +401,7 @@ def null_screen(
     if pairs:
         make, names, shown = pair_views(_PAIRS), ["left", "right", "interaction"], INTERACTIONS
     else:
-        edges = _edges(rows, features) if any("05" in v for v in views) else {}
+        edges = _edges(df, features) if any("05" in v for v in views) else {}
         make, names, shown = single_views(_single(features, views, edges)), ["feature", "transform"], tuple(views)
     sums, alone = view_sums(rows, IS_TRAIN, WEIGHT, "null_ys", len(slots), make)
     labels = F.array(*[F.struct(F.lit(kind).alias("null_kind"), F.lit(k % runs).alias("run"), F.lit(alone["v_swyy"][k]).alias("swyy")) for k, kind, _ in slots])

@@ -221,10 +221,10 @@ def pls_coefficients(xx: np.ndarray, xy: np.ndarray, components: int) -> np.ndar
     return q @ solve(q.T @ xx @ q, q.T @ xy)
 
 
-def pls(df: DataFrame, features: Sequence[str], *, components: int, bins: int = 255, target: str = TARGET) -> tuple[RankEncoder, Ridge]:
-    """Unweighted PLS on rank codes from one Gram pass."""
+def pls(df: DataFrame, features: Sequence[str], *, components: int, bins: int = 255, target: str = TARGET, encoder: RankEncoder | None = None) -> tuple[RankEncoder, Ridge]:
+    """Unweighted PLS on rank codes from one Gram pass; ``encoder`` hands in codes that are already fitted."""
 
-    encoder = RankEncoder.fit(df, features, bins)
+    encoder = encoder or RankEncoder.fit(df, features, bins)
     names = [f"{c}__rank" for c in features]
     coded = encoder.transform(df).select(*[S.dbl(c).alias(c) for c in names], S.dbl(target).alias(target), F.lit(1.0).alias(WEIGHT), F.lit(1.0).alias("__one"))
     stats = normal_stats(coded, ["__one", *names], target=target)
@@ -260,7 +260,7 @@ def expert_pipeline(
     for fold in folds:
         train, valid = df.where(fold.train_filter()), df.where(fold.valid_filter())
         encoder, ridge = rank_ridge(train, features, alpha=ridge_alpha, bins=bins)
-        _, latent = pls(train, features, components=pls_components, bins=bins)
+        _, latent = pls(train, features, components=pls_components, encoder=encoder)
         first = {f"ridge_rank_alpha{number_tag(ridge_alpha)}": ridge.predict(), f"pls_rank_k{pls_components}": latent.predict()}
 
         def score(rows: DataFrame) -> DataFrame:
@@ -334,13 +334,16 @@ def gbt_expert(
     return out.withColumn(output, base + mean).drop("__x", *[f"__f_{c}" for c in features], *[f"__m{s}" for s in seeds])
 
 
-def pca_geometry(df: DataFrame, features: Sequence[str], *, k: int = 3) -> tuple[DataFrame, list[float]]:
-    """First ``k`` principal components of standardised null-filled features and their variance shares."""
+def pca_geometry(df: DataFrame, features: Sequence[str], *, k: int = 3, fit_on: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """First ``k`` principal components of standardised null-filled features and their variance shares.
+
+    Scales and components come from ``fit_on`` (a sample, say) if it is given; all rows of ``df`` are placed.
+    """
 
-    filled = df.withColumns({f"__f_{c}": S.filled(c) for c in features})
-    vectors = VectorAssembler(inputCols=[f"__f_{c}" for c in features], outputCol="__raw").transform(filled)
-    scaled = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    model = PCA(k=k, inputCol="__z", outputCol="__pc").fit(scaled)
+    assembler = VectorAssembler(inputCols=[f"__f_{c}" for c in features], outputCol="__raw")
+    placed, sample = (assembler.transform(t.withColumns({f"__f_{c}": S.filled(c) for c in features})) for t in (df, df if fit_on is None else fit_on))
+    scaler = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True).fit(sample)
+    model = PCA(k=k, inputCol="__z", outputCol="__pc").fit(scaler.transform(sample))
     parts = vector_to_array("__pc")
-    out = model.transform(scaled).withColumns({f"pc{i + 1}": parts[i] for i in range(k)})
+    out = model.transform(scaler.transform(placed)).withColumns({f"pc{i + 1}": parts[i] for i in range(k)})
     return out.drop("__raw", "__z", "__pc", *[f"__f_{c}" for c in features]), model.explainedVariance.toArray().tolist()

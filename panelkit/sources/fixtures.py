@@ -8,7 +8,8 @@ are plain SQL that both Spark and the oracle run as they stand.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
+
+from panelkit.session import new_folder
 
 PANEL_SQL = """
 SELECT CAST((year(l_shipdate)-1995)*12 + month(l_shipdate)-1 AS INT) AS date_id,
@@ -40,9 +41,10 @@ SELECT CAST(day(ts)-1 AS INT) AS date_id,
 FROM events GROUP BY 1, 2, 3
 """
 
-# Rolling folds over the 83 ship months: five validation blocks of ten dates.
-N_FOLDS, VALID_WINDOW, TRAIN_WINDOW, FIRST_VALID, LAST_DATE = 5, 10, 30, 33, 82
-FOLD_EXPR = f"concat('rw_0', CAST(CAST(floor((date_id-{FIRST_VALID})/{VALID_WINDOW}.0) AS INT)+1 AS STRING))"
+# Rolling folds up to the panel's last date: five validation blocks of ten dates.
+N_FOLDS, VALID_WINDOW, TRAIN_WINDOW = 5, 10, 30
+_LAST = "(SELECT max(date_id) FROM panel)"
+FOLD_EXPR = f"concat('rw_0', CAST({N_FOLDS} - CAST(floor(({_LAST} - date_id)/{VALID_WINDOW}.0) AS INT) AS STRING))"
 
 EXPERTS_CTE = f"""
 experts_all AS (
@@ -55,7 +57,7 @@ experts_all AS (
   FROM panel p LEFT JOIN panel q
     ON q.date_id = p.date_id - 1 AND q.time_id = p.time_id AND q.symbol_id = p.symbol_id
   WINDOW w AS (PARTITION BY p.time_id, p.symbol_id ORDER BY p.date_id)),
-oof AS (SELECT {FOLD_EXPR} AS fold, * FROM experts_all WHERE date_id BETWEEN {FIRST_VALID} AND {LAST_DATE})
+oof AS (SELECT {FOLD_EXPR} AS fold, * FROM experts_all WHERE date_id > {_LAST} - {N_FOLDS * VALID_WINDOW})
 """
 
 EXPERTS = ("base_prediction", "trail_prediction", "linear_prediction")
@@ -64,18 +66,19 @@ _memo: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _remember(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived panel, written once per session as Parquet, so that each query reads only the columns and rows it needs."""
+
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _memo:
-        # several queries and the two-pass fits read the same derived panel
-        _memo[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        df, path = build(), new_folder(spark, name)
+        df.write.parquet(path)
+        _memo[key] = spark.read.schema(df.schema).parquet(path)
     return _memo[key]
 
 
 def forget() -> None:
-    """Drop the derived panels that queries of this session share, so that the next query reads its files again."""
+    """Let the next query derive its panels anew."""
 
-    for df in _memo.values():
-        df.unpersist(blocking=True)
     _memo.clear()
 
 
@@ -95,10 +98,7 @@ def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold table: keys, fold, weight, target and three causal naive experts."""
 
     def build() -> DataFrame:
-        text = "WITH " + EXPERTS_CTE.replace("FROM panel p LEFT JOIN panel q", "FROM {panel} p LEFT JOIN {panel} q") + " SELECT * FROM oof"
-        rows = spark.sql(text, panel=panel(spark, sf_dir))
-        # the temporary view behind the named argument takes the cached panel with it when it is dropped
-        panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-        return rows
+        text = "WITH " + EXPERTS_CTE.replace("FROM panel", "FROM {panel}").replace("LEFT JOIN panel", "LEFT JOIN {panel}") + " SELECT * FROM oof"
+        return spark.sql(text, panel=panel(spark, sf_dir))
 
     return _remember(spark, sf_dir, "oof", build)
