@@ -255,7 +255,11 @@ def item_blocks(benchmark: DataFrame, share: float, recall: float, items_at_once
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = EDIT_SHARE, recall: float = RECALL, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """docs without the rows that hold a benchmark item, as leaks() finds them; no shuffle, columns as they are."""
+    """docs without the rows that hold a benchmark item, as leaks() finds them; no shuffle, columns as they are.
+
+    Null and empty texts hold nothing and stay. Repeated rows stay or go together; rows without doc_id are judged like
+    others. An empty table stays empty, and an empty benchmark drops nothing.
+    """
 
     place = docs.columns.index("text")
     for ready in item_blocks(benchmark, share, recall, items_at_once):

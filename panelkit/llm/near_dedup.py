@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
     Classes are the connected documents; the smallest doc_id is kept. links counts the differing shingle sets that the
     document's own was compared with and found similar to.
     Null, empty and wordless texts have no shingles: each is a class of its own. Rows with equal doc_id are taken as one
-    document for the class and keep a row each. Rows without doc_id are always kept; they have the class of the documents
+    document for the class and keep a row each; where they have several texts, the smallest shingle set is compared. Rows without doc_id are always kept; they have the class of the documents
     with an equal shingle set if there are any, else a class of their own (class_id null).
     An empty table gives no rows. Columns other than doc_id and text aren't read.
     """
@@ -350,7 +350,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
     wanted = shared_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(groups.select("doc_id")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:  # else the texts are shuffled to their ids
         wanted = F.broadcast(wanted)
-    sets = _shingle_sets(source.join(wanted, "doc_id", "left_semi"), weighted).dropDuplicates(["doc_id"])
+    found = _shingle_sets(source.join(wanted, "doc_id", "left_semi"), weighted)
+    # where a doc_id has several texts, the smallest set counts, on every run
+    sets = found.groupBy("doc_id").agg(F.min(F.struct("grams", *[c for c in found.columns if c not in ("doc_id", "grams")])).alias("s")).select("doc_id", "s.*").select(*found.columns)
     sets = shared_table(sets, "sets")
 
     def side(name: str) -> DataFrame:
@@ -372,6 +374,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY, weighted:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; rows without doc_id stay."""
+    """docs without the rows that near_duplicates() doesn't keep, columns as they are.
+
+    Of a class the smallest doc_id stays. Rows without doc_id stay, as do null, empty and wordless texts. Rows that repeat a
+    doc_id stay or go together. An empty table stays empty.
+    """
 
     return drop_ids(docs, near_duplicates(docs, **options).where("not kept").select("doc_id"))

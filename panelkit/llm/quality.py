@@ -209,13 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "quality", max_ro
     """Fit on at most max_rows labelled documents outside the held-out part, the same ones on every run.
 
     Labels without doc_id or target are not used; a doc_id that is labelled more than once counts once, with its largest
-    label. Only doc_id, target and text are read.
+    label, and one with several texts with the text of the smallest features. Only doc_id, target and text are read.
     """
 
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).dropna()
     rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = document_columns(docs).join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi")  # max_rows ids
-    seen = per_batch(texts, _features, "doc_id long, features array<double>").dropDuplicates(["doc_id"])
+    seen = per_batch(texts, _features, "doc_id long, features array<double>").groupBy("doc_id").agg(F.min("features").alias("features"))
     got = seen.join(F.broadcast(rows), "doc_id").toPandas().sort_values("doc_id")
     x = np.array(got.features.tolist()).reshape(-1, len(FEATURES))
     return AdditiveModel.fit(x, (got.label > 0).to_numpy(float))
@@ -237,7 +237,11 @@ def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = TH
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores threshold or more, with all columns as they are and no shuffle."""
+    """The rows of docs whose text scores threshold or more, with all columns as they are and no shuffle.
+
+    Null texts are scored like empty ones. Rows are independent, so repeated rows stay or go together; a score equal to the
+    threshold stays. An empty table stays empty.
+    """
 
     place = docs.columns.index("text")
 

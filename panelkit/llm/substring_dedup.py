@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_contexts: int =
     """
 
     rows = _rows(docs)
-    lists = repeated_spans(docs, window, shard_contexts).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    lists = repeated_spans(docs, window, shard_contexts).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     a, b = rows.alias("a"), lists.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row_key") == F.col("b.row_key")), "left").select("a.doc_id", "a.text", "b.spans")
 

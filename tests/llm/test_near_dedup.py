@@ -187,3 +187,26 @@ def test_blocks_like_brute_force(weighted):
         pairs = [(a, b) for a in range(60) for b in range(60) if (side[a] < side[b] if side.any() else a < b)]
         want = [(a, b) for a, b in pairs if near_dedup._similarity(sets[a].tobytes(), sets[b].tobytes(), copies[a], copies[b]) >= 0.5]
         assert sorted(got) == want and want
+
+
+def test_two_texts_under_one_doc_id_give_the_same_result_in_any_order(spark, documents):
+    words = [f"w{k}" for k in range(40)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a + " more"), (5, b + " more")]
+    got = {tuple(sorted(map(tuple, near_dedup.near_duplicates(documents(rows[::s], parts=p)).select("doc_id", "class_id", "kept", "links").collect()))) for s in (1, -1) for p in (1, 3)}
+    assert len(got) == 1
+
+
+def test_recall_of_the_bands_at_the_threshold():
+    """Pairs at a similarity of exactly 0.8 agree in a band (the README has the figure)."""
+
+    rng, pairs = np.random.default_rng(12), 1500
+    met = []
+    for size, common in ((9, 8), (90, 80)):
+        pools = rng.integers(1, 2**63, (pairs, 2 * size - common), dtype=np.uint64)
+        sets = np.stack([pools[:, :size], np.concatenate([pools[:, :common], pools[:, size:]], axis=1)], axis=1).reshape(2 * pairs, size)
+        doc = np.repeat(np.arange(2 * pairs), size)
+        signature = dart_signatures(doc, np.sort(sets, axis=1).ravel(), np.ones(len(doc)), 2 * pairs, near_dedup.BANDS * near_dedup.ROWS)
+        keys = near_dedup._band_keys(signature, near_dedup.BANDS, near_dedup.ROWS)
+        met += [bool((set(a) & set(b)) - {None}) for a, b in zip(keys[::2], keys[1::2], strict=True)]
+    assert np.mean(met) >= 0.999

@@ -76,3 +76,13 @@ def test_edge_rows(documents, spark):
     assert by[3] == by[4] and len(by[2]) == 1
     assert quality.score_documents(documents([]), model).count() == 0 and quality.keep_good(documents([]), model).count() == 0
     assert quality.train(documents([]), labels.limit(0)).score(np.zeros((1, len(FEATURES))))[0] == pytest.approx(0.5)
+
+
+def test_training_is_the_same_where_a_doc_id_has_two_texts(spark, documents):
+    rows = [(i, f"word{i % 7} " * (5 + i % 11) + "and. So it is." * (i % 3)) for i in range(60)] + [(i, "x1 y2 z3 " * (3 + i % 4)) for i in range(0, 60, 2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = []
+    for order in (1, -1):
+        model = quality.train(documents(rows[::order], parts=1 + (order > 0) * 4), labels)
+        scores.append([r.score for r in quality.score_documents(documents(rows), model).orderBy("doc_id", "score").collect()])
+    assert scores[0] == scores[1]

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelkit.llm import substring_dedup
-from panelkit.llm.substring_dedup import SuffixAutomaton, remove_repeats
+from panelkit.llm.substring_dedup import SuffixAutomaton, remove_repeats, repeated_spans
 
 
 def brute(rows, window):
@@ -69,3 +70,14 @@ def test_empty_table_and_no_repeats(documents):
     text = " ".join(map(str, range(100)))
     assert [tuple(r) for r in remove_repeats(documents([(1, text)])).collect()] == [(1, 100, 0, text)]
     assert substring_dedup.WINDOW == 35
+
+
+def test_a_row_repeated_very_often(spark, documents):
+    """Lists of spans don't grow with the copies."""
+
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = documents([(1, text)] * 2000 + [(2, "other words " * 3)])
+    longest = repeated_spans(docs, 20).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("s")).select(F.max(F.size("s"))).first()[0]
+    assert longest <= 60
+    got = remove_repeats(docs, 20).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 60, 60, 2000), (2, 6, 0, 1)]
