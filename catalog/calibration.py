@@ -135,7 +135,28 @@ def simplex_blend(spark, sf):
     return pick(blend.add_simplex(val, blend.fit_simplex(cal, ["base_prediction", "trail_prediction"])), "ensemble_prediction")
 
 
-@query("grouped_simplex")
+def simplex3_sql(groups: str, experts: tuple[str, ...]) -> str:
+    """Weights of three experts on the simplex: the inner solution where it is one, else the best edge."""
+    sums = ", ".join(f"sum(weight*{experts[i]}*{experts[j]}) AS g{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(weight*{e}*responder_6) AS r{i}" for i, e in enumerate(experts))
+    by = f"{groups}, " if groups else ""
+    source = f"(SELECT {by}count(*) AS \"rows\", {sums} FROM {C}" + (f" GROUP BY {groups})" if groups else ")")
+    inner = f"""(SELECT *, (b0*a11 - b1*a01)/(a00*a11 - a01*a01) AS w0, (a00*b1 - a01*b0)/(a00*a11 - a01*a01) AS w1 FROM (SELECT *, g00 - 2*g02 + g22 AS a00, g01 - g02 - g12 + g22 AS a01, g11 - 2*g12 + g22 AS a11, r0 - r2 - g02 + g22 AS b0, r1 - r2 - g12 + g22 AS b1 FROM {source}))"""
+    parts = [f"SELECT {by}\"rows\", g00, g01, g02, g11, g12, g22, r0, r1, r2, w0, w1, 1 - w0 - w1 AS w2 FROM {inner} WHERE w0 >= 0 AND w1 >= 0 AND w0 + w1 <= 1"]
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        lam = f"least(greatest((r{i} - r{j} - g{i}{j} + g{j}{j})/(g{i}{i} - 2*g{i}{j} + g{j}{j}), 0e0), 1e0)"
+        w = {i: lam, j: f"1 - {lam}"}
+        parts.append(f"SELECT {by}\"rows\", g00, g01, g02, g11, g12, g22, r0, r1, r2, " + ", ".join(f"{w.get(k, '0e0')} AS w{k}" for k in range(3)) + f" FROM {source}")
+    loss = "w0*w0*g00 + w1*w1*g11 + w2*w2*g22 + 2*(w0*w1*g01 + w0*w2*g02 + w1*w2*g12) - 2*(w0*r0 + w1*r1 + w2*r2)"
+    best = ", ".join(f"arg_min(w{k}, loss) AS w{k}" for k in range(3))
+    return f"SELECT {by}any_value(\"rows\") AS \"rows\", {best} FROM (SELECT *, {loss} AS loss FROM ({' UNION ALL '.join(parts)}))" + (f" GROUP BY {groups}" if groups else "")
+
+
+@query(
+    "grouped_simplex",
+    f"SELECT {K}, " + " + ".join(f"coalesce(g.w{k}, f.w{k})*{e}" for k, e in enumerate(fx.EXPERTS))
+    + f" AS simplex_prediction FROM (SELECT * FROM oof WHERE {VAL}) CROSS JOIN ({simplex3_sql('', fx.EXPERTS)}) f LEFT JOIN (SELECT * FROM ({simplex3_sql('time_id', fx.EXPERTS)}) WHERE \"rows\" >= 200) g USING (time_id) --d:simplex_prediction",
+    ctes=(PANEL, OOF),
+)
 def grouped_simplex(spark, sf):
     """Simplex weights of three experts per time step."""
     cal, val = cal_val(spark, sf)

@@ -214,12 +214,25 @@ def acf_global(spark, sf):
     return SC.global_acf(panel(spark, sf), [1, 2, 10])
 
 
-@query("periodogram")
+def _periodogram_sql(series: str, order: str, top: int) -> str:
+    return f"""SELECT symbol_id, CAST(k AS INT) AS frequency_index, CAST(k AS DOUBLE)/n AS frequency, CAST(n AS DOUBLE)/k AS period_rows, power, power/total AS power_share FROM (
+      SELECT *, sum(power) OVER (PARTITION BY symbol_id) AS total, row_number() OVER (PARTITION BY symbol_id ORDER BY power DESC, k) AS r FROM (
+        SELECT symbol_id, k, n, (pow(sum(c*cos(2*pi()*k*j/n)), 2) + pow(sum(c*sin(2*pi()*k*j/n)), 2))/n AS power FROM (
+          SELECT symbol_id, x - avg(x) OVER g AS c, count(*) OVER g AS n, row_number() OVER (PARTITION BY symbol_id ORDER BY {order}) - 1 AS j FROM ({series}) WINDOW g AS (PARTITION BY symbol_id)), LATERAL (SELECT unnest(range(1, n//2 + 1)) AS k) GROUP BY 1, 2, 3)) WHERE r <= {top} --d:frequency period_rows power power_share"""
+
+
+@query("periodogram", _periodogram_sql("SELECT symbol_id, date_id, avg(responder_6) AS x FROM panel GROUP BY 1, 2", "date_id", 3), ctes=(PANEL,))
 def periodogram(spark, sf):
     """Strongest frequencies of each symbol's daily mean."""
     return SC.periodogram(panel(spark, sf), top_k=3)
 
 
+@query("periodogram_rows", _periodogram_sql("SELECT symbol_id, date_id, time_id, responder_6 AS x FROM panel", "date_id, time_id", 2), ctes=(PANEL,))
+def periodogram_rows(spark, sf):
+    """Strongest frequencies of each symbol's raw rows, added up over blocks of rows."""
+    return SC.periodogram(panel(spark, sf), top_k=2, order=["date_id", "time_id"], block=64, dates_per_part=16)
+
+
 @query("hill_tail", "SELECT 100e0/sum(ln(x/e)) AS hill_index FROM (SELECT x, min(x) OVER () AS e FROM (SELECT abs(responder_6) AS x FROM panel WHERE responder_6 <> 0 ORDER BY 1 DESC LIMIT 101)) --d:hill_index", ctes=(PANEL,))
 def hill_tail(spark, sf):
     """Hill index of the 100 largest magnitudes."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.blocks import pair_views, single_views, view_sums
-from panelkit.operators.core import exact_quantiles, ordered_counts, ratio, with_group_stats, with_halo, zsum
+from panelkit.operators.core import exact_quantiles, join_groups, ordered_counts, ratio, with_group_stats, with_halo, zsum
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
 from panelkit.operators.sampling import bijection, row_index
@@ -505,36 +505,48 @@ def global_acf(df: DataFrame, lags: Sequence[int], *, value: Column | None = Non
     return sums.select(F.explode(entries).alias("e")).select("e.*")
 
 
-def periodogram(df: DataFrame, *, top_k: int = 10, by: Sequence[str] = (SYMBOL,), order: Sequence[str] = (DATE,), value: Column | None = None) -> DataFrame:
+#: Rows of a series that one task transforms at once.
+FOURIER_BLOCK = 1 << 16
+
+
+def periodogram(df: DataFrame, *, top_k: int = 10, by: Sequence[str] = (SYMBOL,), order: Sequence[str] = (DATE,), value: Column | None = None, block: int = FOURIER_BLOCK, dates_per_part: int = 64) -> DataFrame:
     """Strongest nonzero frequencies of each group's series.
 
-    The series is the mean per ``order`` value (a date by default), summed by Spark first, so the transform
-    of a group handles one number per date however many rows the group has.
+    The series is the mean per ``order`` value (a date by default; date and time give the raw rows of a unique key). Fourier
+    sums are additive: a task transforms a block of consecutive rows, padded and turned to its place in the series, and
+    Spark adds up the blocks, so that no group has to fit a task. Series under four values have none.
     """
 
     if top_k <= 0:
         raise ValueError("top_k must be positive")
+    by, order = list(by), list(order)
     x = S.dbl(TARGET) if value is None else value
     series = df.select(*by, *order, x.alias("x")).where(S.is_finite("x")).groupBy(*by, *order).agg(F.avg("x").alias("x"))
-
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "frequency_index", "frequency", "period_rows", "power", "power_share"]
-        values = pdf.sort_values(list(order))["x"].to_numpy(dtype=np.float64)
-        if values.size < 4:
-            return pd.DataFrame(columns=names)
-        f = np.fft.rfft(values - values.mean())
-        power = np.abs(f) ** 2 / values.size
-        power[0] = 0.0
-        total = power.sum()
-        best = np.argsort(-power, kind="stable")[: min(top_k, power.size - 1)]
-        out = [(int(i), i / values.size, values.size / i if i else 0.0, power[i], power[i] / total if total > 0 else 0.0) for i in best]
-        frame = pd.DataFrame(out, columns=names[len(by):])
-        for c in reversed(list(by)):
-            frame.insert(0, c, pdf[c].iloc[0])
-        return frame
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return series.groupBy(*by).applyInPandas(spectrum, f"{kinds}, frequency_index int, frequency double, period_rows double, power double, power_share double")
+    # numbered by parts of the first order column, so that a long series isn't numbered in one task
+    parts = row_index(series.withColumn("__part", F.floor(F.col(order[0]) / dates_per_part)), [*by, "__part", *order], "__i", levels=len(by) + 1)
+    numbered = with_group_stats(parts, by, {"__n": F.count(F.lit(1)), "__mean": F.avg("x"), "__first": F.min("__i")})
+    rows = numbered.where("__n >= 4").select(*by, (F.col("x") - F.col("__mean")).alias("x"), (F.col("__i") - F.col("__first")).alias("j"), F.col("__n").alias("n"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, start = int(pdf["n"].iloc[0]), int(pdf["j"].min())
+        held = np.zeros(min(block, n - start))
+        held[pdf["j"].to_numpy() - start] = pdf["x"].to_numpy()
+        k = np.arange(n // 2 + 1)
+        f = np.fft.rfft(held, n) * np.exp(-2j * np.pi * (k * start % n) / n)
+        out = pd.DataFrame({"k": k[1:].astype(np.int32), "re": f.real[1:], "im": f.imag[1:], "n": n})
+        for c in reversed(by):
+            out.insert(0, c, [pdf[c].iloc[0]] * len(out))
+        return out
+
+    pieces = rows.withColumn("__block", F.floor(F.col("j") / block)).groupBy(*by, "__block").applyInPandas(transform, f"{kinds}, k int, re double, im double, n long")
+    sums = pieces.groupBy(*by, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.first("n").alias("n"))
+    power = sums.select(*by, "k", "n", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
+    total = power.groupBy(*by).agg(F.sum("power").alias("__all"))
+    strongest = Window.partitionBy(*by).orderBy(F.desc("power"), "k")
+    best = power.withColumn("__r", F.row_number().over(strongest)).where(F.col("__r") <= top_k)
+    share = F.when(F.col("__all") > 0, F.col("power") / F.col("__all")).otherwise(0.0)
+    return join_groups(best, total, by).select(*by, F.col("k").alias("frequency_index"), (F.col("k") / F.col("n")).alias("frequency"), (F.col("n") / F.col("k")).alias("period_rows"), "power", share.alias("power_share"))
 
 
 def hill_table(df: DataFrame, k: int, *, value: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ stage and collapse in the map-side aggregate.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -620,23 +620,54 @@ def wf_static_selector(df: DataFrame, strategies: Mapping[str, str], *, default:
     return Fitted(rows, [{"fold": f, "selected_strategy": s} for f, s in chosen.items()])
 
 
+def pivot(a: np.ndarray, k: int) -> None:
+    """Principal pivot on entry k, in place: variable k enters the solution, or leaves it again."""
+
+    d, row, column = a[k, k], a[k].copy(), a[:, k].copy()
+    a -= np.outer(column, row / d)
+    a[k], a[:, k], a[k, k] = row / d, -column / d, 1.0 / d
+
+
+def sweep_subsets(g: np.ndarray, r: np.ndarray, fixed: int, fresh: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(bits of the free variables in use, coefficients of all) for every subset beside the first ``fixed`` variables.
+
+    Subsets come in Gray-code order, so that each takes a single pivot after the one before; the matrix is made anew every
+    ``fresh`` subsets, which keeps rounding errors from adding up.
+    """
+
+    p, before = len(r), 0
+    for number in range(1 << (p - fixed)):
+        bits = number ^ (number >> 1)
+        if number % fresh == 0:
+            a = np.column_stack([g, r])
+            turned = [*range(fixed), *(fixed + j for j in range(p - fixed) if bits >> j & 1)]
+        else:
+            turned = [fixed + (bits ^ before).bit_length() - 1]
+        for k in turned:
+            pivot(a, k)
+        before = bits
+        inside = np.array([j < fixed or bool(bits >> (j - fixed) & 1) for j in range(p)])
+        yield bits, np.where(inside, a[:, p], 0.0)
+
+
 def subset_search(df: DataFrame, base: Sequence[str], extras: Sequence[str], *, alpha: float, first_expert: str | None = None) -> list[dict]:
     """Every subset of extra experts stacked on the base experts, fitted and scored per fold from one Gram pass."""
 
+    if alpha <= 0.0:
+        raise ValueError("alpha must be positive")
     experts = [*base, *extras]
+    p, b = len(experts), len(base)
     folds = folds_of(df)
     stats = normal_stats_by(df, experts, FOLD)
-    past = grams_before(folds, stats, len(experts))
-    out = []
-    for size in range(len(extras) + 1):
-        for subset in itertools.combinations(range(len(base), len(experts)), size):
-            idx = [*range(len(base)), *subset]
-            name = "+".join(experts[i] for i in subset) or "none"
-            for k, f in enumerate(folds):
-                part = past[f].take(idx)
-                beta = prior_beta([experts[i] for i in idx], first_expert or experts[0]) if k == 0 else solve(part.g + alpha * np.eye(len(idx)), part.r)
-                own = stats[f].take(idx)
-                out.append({"subset": name, "fold": f, "rows": own.rows, "weight_sum": own.weight_sum, "numerator": own.loss(beta), "denominator": own.yy})
-    return out
-
-
+    past = grams_before(folds, stats, p)
+    sizes = sorted(range(1 << len(extras)), key=lambda s: (s.bit_count(), [j for j in range(len(extras)) if s >> j & 1]))
+    names = {s: "+".join(extras[j] for j in range(len(extras)) if s >> j & 1) or "none" for s in sizes}
+    losses: dict[tuple[int, str], float] = {}
+    for k, f in enumerate(folds):
+        if k == 0:
+            beta = np.asarray(prior_beta(experts, first_expert or experts[0]))
+            swept = ((s, np.where([j < b or bool(s >> (j - b) & 1) for j in range(p)], beta, 0.0)) for s in sizes)
+        else:
+            swept = sweep_subsets(past[f].g + alpha * np.eye(p), past[f].r, b)
+        losses |= {(s, f): stats[f].loss(coefficients) for s, coefficients in swept}
+    return [{"subset": names[s], "fold": f, "rows": stats[f].rows, "weight_sum": stats[f].weight_sum, "numerator": losses[s, f], "denominator": stats[f].yy} for s in sizes for f in folds]

@@ -421,3 +421,80 @@ def test_decayed_states_of_many_days(spark, keep, gain):
                 want.append(s)
                 s = keep * s + gain * v
         np.testing.assert_allclose(got[name], want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+
+
+def test_sweeps_equal_direct_solves():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 12))
+    g, r = x.T @ x + 5.0 * np.eye(12), x.T @ (x @ rng.normal(size=12) + rng.normal(size=400))
+    seen = {}
+    for bits, beta in WF.sweep_subsets(g, r, 2):
+        inside = [0, 1, *[2 + j for j in range(10) if bits >> j & 1]]
+        want = np.zeros(12)
+        want[inside] = np.linalg.solve(g[np.ix_(inside, inside)], r[inside])
+        np.testing.assert_allclose(beta, want, rtol=1e-8, atol=1e-10)
+        seen[bits] = True
+    assert len(seen) == 1024
+
+
+def enumerated_simplex(g, r):
+    import itertools
+
+    best = (np.inf, None)
+    for size in range(1, len(r) + 1):
+        for s in map(list, itertools.combinations(range(len(r)), size)):
+            system = np.ones((size + 1, size + 1))
+            system[:size, :size], system[size, size] = g[np.ix_(s, s)], 0.0
+            w = np.linalg.lstsq(system, np.append(r[s], 1.0), rcond=None)[0][:size]
+            if w.min() >= -1e-9:
+                full = np.zeros(len(r))
+                full[s] = np.clip(w, 0, None) / np.clip(w, 0, None).sum()
+                best = min(best, (full @ g @ full - 2 * full @ r, tuple(full)))
+    return best
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 10])
+def test_simplex_weights_against_enumeration(k):
+    from panelkit.operators.blend import simplex_weights
+    from panelkit.operators.stats import Normal
+
+    rng = np.random.default_rng(k)
+    for trial in range(40 if k < 10 else 8):
+        x = rng.normal(size=(60, k)) + rng.normal(size=(60, 1)) * (trial % 3)
+        if trial % 4 == 1 and k > 2:
+            x[:, 1] = x[:, 0]  # twins
+        y = x @ rng.normal(size=k) * 0.4 + rng.normal(size=60)
+        g, r = x.T @ x, x.T @ y
+        w = simplex_weights(Normal(g, r))
+        assert w.min() >= 0 and w.sum() == pytest.approx(1)
+        least = enumerated_simplex(g, r)[0]
+        assert w @ g @ w - 2 * w @ r <= least + 1e-8 * abs(least)
+
+
+def test_simplex_weights_of_many_experts():
+    from panelkit.operators.blend import simplex_weights
+    from panelkit.operators.stats import Normal
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 60))
+    y = x[:, :7] @ np.full(7, 1 / 7) + 0.1 * rng.normal(size=500)
+    g, r = x.T @ x, x.T @ y
+    w = simplex_weights(Normal(g, r))
+    slope = g @ w - r
+    assert (slope >= slope[w > 0].max() - 1e-6).all() and slope[w > 0].std() < 1e-6  # no exchange of weight lowers the loss
+
+
+@pytest.mark.parametrize("block", [5, 64])
+def test_periodogram_in_blocks(toy, block):
+    pdf, df = toy
+    got = screens.periodogram(df, top_k=4, order=["date_id", "time_id"], block=block, dates_per_part=3).toPandas()
+    for s, rows in pdf.sort_values(["date_id", "time_id"]).groupby("symbol_id"):
+        x = rows.responder_6.to_numpy()
+        power = np.abs(np.fft.rfft(x - x.mean())) ** 2 / len(x)
+        power[0] = 0
+        mine = got[got.symbol_id == s].sort_values("power", ascending=False)
+        best = np.argsort(-power)[:4]
+        assert mine.frequency_index.tolist() == best.tolist()
+        np.testing.assert_allclose(mine.power, power[best])
+        np.testing.assert_allclose(mine.power_share, power[best] / power.sum())
+        np.testing.assert_allclose(mine.period_rows, len(x) / best)
