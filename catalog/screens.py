@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import OOF, PANEL, oof, panel, query, table
+from catalog.walkforward import TRIO, dot3, gram3, ridge3, solved3
 from panelkit.functions import scalar as S
 from panelkit.operators import folds as fo
 from panelkit.operators import metrics as M
@@ -101,7 +102,28 @@ def null_targets(spark, sf):
     return out
 
 
-@query("interaction_screen")
+def _interaction_sql() -> str:
+    """All pairs of imputed features: signs, z-scores and ranks from train rows."""
+    filled = "SELECT *, date_id < 60 AS t, " + ", ".join(f"coalesce({c}, (SELECT avg({c}) FROM panel WHERE date_id < 60)) AS x{i}" for i, c in enumerate(FEATURES)) + " FROM panel"
+    own = "(rank() OVER (PARTITION BY t ORDER BY x{i}) + (count(*) OVER (PARTITION BY t, x{i}) - 1)/2e0 - 1)/(nt - 1) - 0.5e0"
+    marks = ", ".join(
+        f"(x{i} - avg(x{i}) FILTER (t) OVER ())/stddev_pop(x{i}) FILTER (t) OVER () AS z{i}, CASE WHEN t THEN {own.format(i=i)} ELSE count(*) FILTER (t) OVER (ORDER BY x{i})/CAST(nt AS DOUBLE) - 0.5e0 END AS k{i}, CAST(sign(x{i}) AS DOUBLE) AS s{i}"
+        for i in range(len(FEATURES))
+    )
+    base = f"(SELECT *, {marks} FROM ({filled}), (SELECT CAST(count(*) AS DOUBLE) AS nt FROM panel WHERE date_id < 60))"
+    forms = {"sign_product": "s{i}*s{j}", "rank_diff": "k{i} - k{j}", "z_diff": "z{i} - z{j}", "abs_z_diff": "abs(z{i} - z{j})", "z_product": "z{i}*z{j}", "rank_product": "k{i}*k{j}"}
+    views = " UNION ALL ".join(
+        f"SELECT '{FEATURES[i]}' AS l, '{FEATURES[j]}' AS r, '{n}' AS interaction, t, weight AS w, responder_6 AS y, {e.format(i=i, j=j)} AS phi FROM base"
+        for i in range(len(FEATURES)) for j in range(i + 1, len(FEATURES)) for n, e in forms.items()
+    )
+    fits = "SELECT l, r, interaction, sum(w*phi*y) FILTER (t)/sum(w*phi*phi) FILTER (t) AS alpha, " + ", ".join(f"sum({e}) FILTER (NOT t) AS {n}" for n, e in {"vw": "w", "vx": "w*phi", "vy": "w*y", "vxx": "w*phi*phi", "vyy": "w*y*y", "vxy": "w*phi*y"}.items()) + " FROM views GROUP BY 1, 2, 3"
+    return base, views, f"""SELECT l AS "left", r AS "right", interaction, alpha, 1 - (vyy - 2*alpha*vxy + alpha*alpha*vxx)/vyy AS valid_r2, CASE WHEN vxx - vx*vx/vw <= 1e-13*vxx OR vyy - vy*vy/vw <= 1e-13*vyy THEN 0e0 ELSE (vxy - vx*vy/vw)/sqrt((vxx - vx*vx/vw)*(vyy - vy*vy/vw)) END AS valid_corr FROM ({fits}) --d:alpha valid_r2 valid_corr"""
+
+
+_BASE, _VIEWS, _FITS = _interaction_sql()
+
+
+@query("interaction_screen", _FITS, ctes=(PANEL, f"base AS {_BASE}", f"views AS ({_VIEWS})"))
 def interaction_screen(spark, sf):
     """Six views of every feature pair."""
     return SC.interaction_screen(split(spark, sf), FEATURES)
@@ -322,7 +344,12 @@ def pls(spark, sf):
     return by_folds(spark, sf, fit)
 
 
-@query("linear_stacker")
+@query(
+    "linear_stacker",
+    f"SELECT {K}, {dot3(TRIO)} AS prediction FROM (SELECT * FROM oof WHERE fold > 'rw_03') CROSS JOIN "
+    + solved3(ridge3("(SELECT 1 AS one, " + ", ".join(f"sum({e}) AS {n}" for n, e in gram3(TRIO).items()) + " FROM oof WHERE fold <= 'rw_03')", "one", 1000), "one") + " --d:prediction",
+    ctes=(PANEL, OOF),
+)
 def linear_stacker(spark, sf):
     """No-intercept stack of the experts."""
     from panelkit.operators.stats import linear_expr

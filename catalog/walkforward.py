@@ -148,7 +148,45 @@ def deadband(spark, sf):
     return pick(WF.wf_deadband(oof(spark, sf), B_), "deadband_prediction")
 
 
-@query("wf_static_ridge")
+def gram3(experts) -> dict[str, str]:
+    """Products of three experts with each other and with the target."""
+    out = {f"g{i}{j}": f"weight*{experts[i]}*{experts[j]}" for i in range(3) for j in range(i, 3)}
+    return out | {f"r{i}": f"weight*{e}*responder_6" for i, e in enumerate(experts)}
+
+
+# Inverse of a symmetric 3 x 3 matrix: cofactors over the determinant.
+COFACTORS = {"00": "(g11*g22 - g12*g12)", "01": "(g02*g12 - g01*g22)", "02": "(g01*g12 - g02*g11)", "11": "(g00*g22 - g02*g02)", "12": "(g01*g02 - g00*g12)", "22": "(g00*g11 - g01*g01)"}
+DET = f"(g00*{COFACTORS['00']} + g01*{COFACTORS['01']} + g02*{COFACTORS['02']})"
+
+
+def inverse3(i: int, j: int) -> str:
+    return f"{COFACTORS[f'{min(i, j)}{max(i, j)}']}/{DET}"
+
+
+def solved3(source: str, keep: str) -> str:
+    """Coefficients b0, b1, b2 and inverse entries h00 ... h22 of the systems in a table."""
+    beta = ", ".join("(" + " + ".join(f"{COFACTORS[f'{min(i, j)}{max(i, j)}']}*r{j}" for j in range(3)) + f")/{DET} AS b{i}" for i in range(3))
+    inverse = ", ".join(f"{inverse3(i, j)} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+    return f"(SELECT {keep}, {beta}, {inverse} FROM {source})"
+
+
+def ridge3(source: str, keep: str, alpha: float, prior: int | None = None) -> str:
+    """The systems with alpha on the diagonal, centred on one expert if given; missing sums are 0."""
+    cells = [f"coalesce(g{i}{j}, 0e0)" + (f" + {alpha}e0" if i == j else "") + f" AS g{i}{j}" for i in range(3) for j in range(i, 3)]
+    cells += [f"coalesce(r{i}, 0e0)" + (f" + {alpha}e0" if i == prior else "") + f" AS r{i}" for i in range(3)]
+    return f"(SELECT {keep}, {', '.join(cells)} FROM {source})"
+
+
+def dot3(experts) -> str:
+    return " + ".join(f"b{i}*{e}" for i, e in enumerate(experts))
+
+
+TRIO = list(fx.EXPERTS)
+WEAK = [B_, "linear_prediction", "feature_01"]
+PAST3 = prefix(gram3(TRIO))
+
+
+@query("wf_static_ridge", f"SELECT {K}, {dot3(TRIO)} AS static_ridge_prediction FROM oof JOIN {solved3(ridge3(PAST3, 'fold', 1000, TRIO.index(B_)), 'fold')} USING (fold) --d:static_ridge_prediction", ctes=(PANEL, OOF))
 def wf_static_ridge(spark, sf):
     """Prior-centred ridge refitted on earlier folds."""
     return pick(WF.wf_static_ridge(oof(spark, sf), list(fx.EXPERTS), alpha=1000.0, prior_feature=B_), "static_ridge_prediction")
@@ -163,13 +201,18 @@ def wf_ridge_stack_single(spark, sf):
     return pick(WF.wf_ridge_stack(oof(spark, sf), [B_], {"stack_a100": 100.0, "stack_a5000": 5000.0}), "stack_a100", "stack_a5000")
 
 
-@query("wf_ridge_stack")
+@query(
+    "wf_ridge_stack",
+    f"SELECT {K}, " + ", ".join(f"CASE WHEN fold = 'rw_01' THEN {TRIO[0]} ELSE s{a} END AS stack_a{a}" for a in (100, 5000)) + " FROM oof "
+    + " ".join(f"JOIN (SELECT {K}, {dot3(TRIO)} AS s{a} FROM oof JOIN {solved3(ridge3(PAST3, 'fold', a), 'fold')} USING (fold)) USING ({K})" for a in (100, 5000)) + " --d:stack_a100 stack_a5000",
+    ctes=(PANEL, OOF),
+)
 def wf_ridge_stack(spark, sf):
     """Ridge stack of three experts for two alphas."""
     return pick(WF.wf_ridge_stack(oof(spark, sf), list(fx.EXPERTS), {"stack_a100": 100.0, "stack_a5000": 5000.0}), "stack_a100", "stack_a5000")
 
 
-@query("wf_alpha_stack")
+@query("wf_alpha_stack", f"SELECT {K}, CASE WHEN fold = 'rw_01' THEN {B_} ELSE {dot3(WEAK)} END AS strong_family_alpha_stack_prediction FROM oof JOIN {solved3(ridge3(prefix(gram3(WEAK)), 'fold', 1000), 'fold')} USING (fold) --d:strong_family_alpha_stack_prediction", ctes=(PANEL, OOF))
 def wf_alpha_stack(spark, sf):
     """Base plus weak signals from earlier folds."""
     out = WF.wf_alpha_stack(oof(spark, sf), B_, ["linear_prediction", "feature_01"], alpha=1000.0)
@@ -356,26 +399,54 @@ def dynamic_rls_single(spark, sf):
     return pick(O.with_rls(oof(spark, sf), [B_], alpha=1000.0, forgetting=0.95, prior_feature=B_), "rls_prediction")
 
 
-@query("online_ridge")
+DAYS3 = f"days3 AS (SELECT fold, date_id, {', '.join(f'sum({e}) AS {n}' for n, e in gram3(TRIO).items())} FROM oof GROUP BY 1, 2)"
+
+
+def states3(alpha: float, f: str) -> str:
+    """Systems of three experts in force on each day: earlier folds undecayed, earlier days of the fold by powers of f."""
+    names = list(gram3(TRIO))
+    cells = ", ".join(f"any_value(p.{n})*pow({f}, a.n) + coalesce(sum(b.{n}*pow({f}, a.n - 1 - b.m)), 0e0) AS {n}" for n in names)
+    start = ridge3(PAST3, "fold", alpha, TRIO.index(B_))
+    numbered = "SELECT *, row_number() OVER (PARTITION BY fold ORDER BY date_id) - 1 AS"
+    return f"(SELECT a.fold, a.date_id, {cells} FROM ({numbered} n FROM days3) a JOIN {start} p ON p.fold = a.fold LEFT JOIN ({numbered} m FROM days3) b ON b.fold = a.fold AND b.m < a.n GROUP BY a.fold, a.date_id, a.n)"
+
+
+def online3(f: str, outputs: dict[str, str], doubles: str) -> str:
+    return f"SELECT {K}, {', '.join(f'{e} AS {n}' for n, e in outputs.items())} FROM (SELECT *, {dot3(TRIO)} AS p, greatest({LEVERAGE3}, 0e0) AS lev FROM oof JOIN {solved3(states3(1000, f), 'fold, date_id')} USING (fold, date_id)) --d:{doubles}"
+
+
+LEVERAGE3 = " + ".join(f"h{min(i, j)}{max(i, j)}*{a}*{b}" for i, a in enumerate(TRIO) for j, b in enumerate(TRIO))
+
+
+@query("online_ridge", online3("1e0", {"rls_prediction": "p"}, "rls_prediction"), ctes=(PANEL, OOF, DAYS3))
 def online_ridge(spark, sf):
     """After-day ridge over three experts."""
     return pick(O.with_rls(oof(spark, sf), list(fx.EXPERTS), alpha=1000.0, prior_feature=B_), "rls_prediction")
 
 
-@query("dynamic_rls")
+@query("dynamic_rls", online3("0.95e0", {"rls_prediction": "p"}, "rls_prediction"), ctes=(PANEL, OOF, DAYS3))
 def dynamic_rls(spark, sf):
     """Recursive least squares with forgetting over three experts."""
     return pick(O.with_rls(oof(spark, sf), list(fx.EXPERTS), alpha=1000.0, forgetting=0.95, prior_feature=B_), "rls_prediction")
 
 
-@query("rls_posterior_shrink")
+@query("rls_posterior_shrink", online3("0.95e0", {"post_s1": "p/sqrt(1 + lev)", "post_s100": "p/sqrt(1 + 100*lev)"}, "post_s1 post_s100"), ctes=(PANEL, OOF, DAYS3))
 def rls_posterior_shrink(spark, sf):
     """Predictions shrunk by their leverage."""
     out = O.with_posterior_shrink(oof(spark, sf), list(fx.EXPERTS), {"post_s1": 1.0, "post_s100": 100.0}, alpha=1000.0, forgetting=0.95, prior_feature=B_)
     return pick(out, "post_s1", "post_s100")
 
 
-@query("rls_risk_shrink")
+MAGNITUDE = "(" + " + ".join(f"abs({e})" for e in TRIO) + ")/3e0"
+MIDDLE = "(" + " + ".join(TRIO) + ")/3e0"
+RISKS3 = {
+    "disagreement": f"least(greatest(sqrt(({' + '.join(f'pow({e} - {MIDDLE}, 2)' for e in TRIO)})/3e0)/greatest({MAGNITUDE}, 1e-8), 0e0), 5e0)",
+    "abs_pred": "least(abs(p), 5e0)", "weight": "least(greatest(ln(1 + greatest(weight, 0e0)), 0e0), 5e0)",
+}
+RISK_OUT = {f"risk_rls_{n}_s50_prediction": f"p/sqrt(1 + 50e0*lev*(1 + {' + '.join(RISKS3[r] for r in risks)}))" for n, risks in O.RISK_PROFILES.items()}
+
+
+@query("rls_risk_shrink", online3("0.95e0", RISK_OUT, " ".join(RISK_OUT)), ctes=(PANEL, OOF, DAYS3))
 def rls_risk_shrink(spark, sf):
     """Leverage shrinkage modulated by risk profiles."""
     out = O.with_risk_shrink(oof(spark, sf), list(fx.EXPERTS), [50.0], list(O.RISK_PROFILES), alpha=1000.0, forgetting=0.95, prior_feature=B_)
