@@ -320,10 +320,10 @@ def described(spark, sf):
 def gate_policies(spark, sf):
     """All named blend and shrink gates, scored on later folds."""
     cal, val = described(spark, sf)
-    policies = gates.fit_gate_policies(cal, [*gates.BLEND_GATES, *gates.SHRINK_GATES], base="base_prediction", candidate="trail_prediction", min_rows=100)
-    for p in policies:
-        val = p.apply(val)
-    return M.candidate_scores(val, {p.name: p.output for p in policies})
+    named = gates.fit_named_gates(cal, [*gates.BLEND_GATES, *gates.SHRINK_GATES], base="base_prediction", candidate="trail_prediction", min_rows=100)
+    for put in named.values():
+        val = put(val)
+    return M.candidate_scores(val, {name: f"{name}_prediction" for name in named})
 
 
 GQ = {"base_prediction": "e", "greatest(base_prediction,trail_prediction,linear_prediction)-least(base_prediction,trail_prediction,linear_prediction)": "d", "trail_prediction-base_prediction": "c"}

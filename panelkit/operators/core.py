@@ -99,7 +99,7 @@ def exact_quantiles(
     """
 
     if any(not 0.0 <= p <= 1.0 for p in probs):
-        raise ValueError("quantiles must be between 0 and 1")
+        raise ValueError("a quantile is a share of the rows, from 0 to 1")
     spark = df.sparkSession
     group = F.col(by) if by else F.lit(0)
     names = list(values)

@@ -15,7 +15,7 @@ from panelkit.schema import BATCH, DATE, FOLD, KEYS, PATH, RESPONDERS, SYMBOL, T
 
 def _positive(lag: int) -> None:
     if lag <= 0:
-        raise ValueError("date_lag must be positive")
+        raise ValueError("a lag is one date or more")
 
 
 def lag_names(columns: Sequence[str] = RESPONDERS, lag: int = 1, *, daily: bool = False) -> tuple[str, ...]:

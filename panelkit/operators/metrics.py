@@ -152,7 +152,7 @@ def slice_scores(df: DataFrame, by: str | Sequence[str], *, prediction: str = "p
 
     by = [by] if isinstance(by, str) else list(by)
     if not by:
-        raise ValueError("by must contain at least one column")
+        raise ValueError("slices need a column to cut by")
     return (
         df.groupBy(*by)
         .agg(

@@ -80,7 +80,7 @@ def ewm_bands(df: DataFrame, columns: Sequence[str], spans: Sequence[int] = (4,
     _need(columns)
     _positive(spans, "spans")
     if len(spans) < 2 or list(spans) != sorted(spans):
-        raise ValueError("spans must contain at least two values in ascending order")
+        raise ValueError("bands lie between two spans or more, the shorter first")
     out = with_ewm(df, [(S.filled(c), s, f"__ms_{c}_{s}") for c in columns for s in spans], PATH, [TIME])
     added = {}
     for c in columns:

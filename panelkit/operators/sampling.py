@@ -23,7 +23,7 @@ def key_hash(seed: int, buckets: int, keys: Sequence[str] = KEYS) -> Column:
 
 def hash_sample(df: DataFrame, fraction: float, seed: int = 17) -> DataFrame:
     if not 0.0 <= fraction <= 1.0:
-        raise ValueError("fraction must be between 0 and 1")
+        raise ValueError("a sample is a share of the rows, from 0 to 1")
     return df.where(key_hash(seed, 1_000_000) < int(fraction * 1_000_000))
 
 

@@ -144,7 +144,7 @@ def raw_modes(df: DataFrame, columns: Sequence[str], modes: Sequence[str], *, va
         raise ValueError(f"unknown variant: {variant}")
     unsafe = [c for c in columns if c == TARGET or c.startswith("responder_")]
     if unsafe:
-        raise ValueError(f"raw columns cannot include target/responder columns: {unsafe}")
+        raise ValueError(f"these columns tell the target: {unsafe}")
     modes = _known(modes, RAW_MODES)
     columns = list(dict.fromkeys(columns))
     if variant == "nulls":
@@ -240,7 +240,7 @@ def expert_context(df: DataFrame, experts: Sequence[str], *, left: str | None =
     """Row context of the experts: gap of two of them, mean magnitude, disagreement, log weight."""
 
     if not experts:
-        raise ValueError("at least one prediction column is required")
+        raise ValueError("there are no predictions to compare")
     values = [S.dbl(c) for c in experts]
     gap = S.dbl(left) - S.dbl(right) if left and right else F.lit(0.0)
     return df.withColumns(

@@ -75,7 +75,7 @@ class RankEncoder:
         """
 
         if bins < 4:
-            raise ValueError("bins must be at least 4")
+            raise ValueError("ranks are cut into 4 bins or more")
         finite = {c: F.when(S.is_finite(c), S.dbl(c)) for c in columns}
         sizes = df.agg(*[F.count(x).alias(c) for c, x in finite.items()]).first()
         long = unpivot(df, columns).where(S.is_finite("value"))
@@ -169,7 +169,7 @@ class RidgeData:
         """Penalise every coefficient but the intercept."""
 
         if alpha < 0.0:
-            raise ValueError("alpha must be non-negative")
+            raise ValueError("a penalty is 0 or more")
         penalty = alpha * np.eye(len(self.features) + 1)
         penalty[0, 0] = 0.0
         beta = solve(self.stats.g + penalty, self.stats.r)

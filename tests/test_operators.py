@@ -156,7 +156,7 @@ def test_tail_policy_validation(toy):
     with pytest.raises(ValueError):
         gates.tail_switch("a_prediction", "b_prediction", [])
     empty = gates.fit_tail_advantage(df.withColumn("weight_bucket", F.lit("q00_q50")), ["symbol_id"], base="a_prediction", candidate="b_prediction")
-    assert empty.fallback is False and empty.parameters.count() == 0
+    assert empty.default is False and empty.table.count() == 0
 
 
 def test_select_strategy_needs_a_margin(spark):
