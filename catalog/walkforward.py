@@ -415,6 +415,31 @@ def online3(f: str, outputs: dict[str, str], doubles: str) -> str:
     return f"SELECT {K}, {', '.join(f'{e} AS {n}' for n, e in outputs.items())} FROM (SELECT *, {dot3(TRIO)} AS p, greatest({LEVERAGE3}, 0e0) AS lev FROM oof JOIN {solved3(states3(1000, f), 'fold, date_id')} USING (fold, date_id)) --d:{doubles}"
 
 
+GRID = {"trio_a1000": O.Candidate(tuple(TRIO), 1000.0), "trio_a10000": O.Candidate(tuple(TRIO), 10000.0), "trail_a1000": O.Candidate((B_,), 1000.0)}
+FORGETTINGS = (1.0, 0.999, 0.995)
+
+
+def _grid_sql() -> str:
+    """Each setting's predictions scored row by row."""
+    parts = []
+    for name, c in GRID.items():
+        for f in FORGETTINGS:
+            if len(c.features) == 3:
+                source, p = f"oof JOIN {solved3(states3(int(c.alpha), f'{f}e0'), 'fold, date_id')} USING (fold, date_id)", dot3(TRIO)
+            else:
+                state = {k: dec(x, f"({c.alpha}e0 + any_value(coalesce({past}, 0e0)))", f"{f}e0") for k, x, past in (("a", "sxy", "py"), ("b", "sxx", "pp"))}
+                source, p = f"oof JOIN {past_days(state, f'JOIN {EARLIER} USING (fold)')} USING (fold, date_id)", f"{B_}*a/b"
+            parts.append(f"SELECT '{name}' AS candidate, {f}e0 AS forgetting, fold, date_id, weight, responder_6, {p} AS p FROM {source}")
+    scored = f"SELECT candidate, forgetting, fold, {comp('p')}, count(DISTINCT date_id) AS days, list_sort(list(DISTINCT date_id), 'DESC')[2] AS update_source_date FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 3"
+    return f"SELECT *, 1 - numerator/denominator AS weighted_zero_mean_r2 FROM ({scored}) --d:forgetting weight_sum numerator denominator weighted_zero_mean_r2"
+
+
+@query("rls_validation_grid", _grid_sql(), ctes=(PANEL, OOF, DAYS, DAYS3), weight_sum=3, numerator=3, denominator=3)
+def rls_validation_grid(spark, sf):
+    """Three candidates by three forgetting factors from one daily Gram, never scored on rows."""
+    return O.rls_grid(oof(spark, sf), GRID, FORGETTINGS, prior_feature=B_)
+
+
 LEVERAGE3 = " + ".join(f"h{min(i, j)}{max(i, j)}*{a}*{b}" for i, a in enumerate(TRIO) for j, b in enumerate(TRIO))
 
 

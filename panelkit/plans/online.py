@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.core import zsum
-from panelkit.operators.metrics import energy, loss
-from panelkit.operators.stats import Normal, gram, gram_exprs, solve
+from panelkit.operators.metrics import R2, energy, loss, r2, valid_rows
+from panelkit.operators.stats import MAX_GENERATED, Normal, gram, gram_exprs, solve
 from panelkit.plans.walkforward import before, by_fold, fold_sums, folds_of, grams_before, pick_column, prior_beta
 from panelkit.schema import DATE, FOLD, TARGET, WEIGHT
+from panelkit.session import stored
 
 DAY = (FOLD, DATE)
 
@@ -268,6 +270,11 @@ def with_daily_oracle(df: DataFrame, strategies: Mapping[str, str], output: str
 # --------------------------------------------------------------------------- recursive least squares
 
 
+def _fold_totals(daily: DataFrame, p: int) -> dict[str, Normal]:
+    names = [c for c in daily.columns if c not in DAY]
+    return {r[FOLD]: Normal.from_row(r, p) for r in daily.groupBy(FOLD).agg(*[F.sum(c).alias(c) for c in names]).collect()}
+
+
 def rls_states(
     df: DataFrame, features: Sequence[str], *, alpha: float, forgetting: float = 1.0, prior_feature: str | None = None, covariance: bool = False
 ) -> DataFrame:
@@ -281,10 +288,8 @@ def rls_states(
         raise ValueError("alpha must be positive")
     _forgetting(forgetting)
     folds, p = folds_of(df), len(features)
-    daily = gram(df, features, DAY)
-    names = [c for c in daily.columns if c not in DAY]
-    totals = daily.groupBy(FOLD).agg(*[F.sum(c).alias(c) for c in names]).collect()
-    past = grams_before(folds, {r[FOLD]: Normal.from_row(r, p) for r in totals}, p)
+    daily = stored(gram(df, features, DAY), "daily")
+    past = grams_before(folds, _fold_totals(daily, p), p)
     centre = alpha * prior_beta(features, prior_feature)
     starts = {f: (alpha * np.eye(p) + past[f].g, centre + past[f].r) for f in folds}
 
@@ -340,6 +345,68 @@ def with_posterior_shrink(df: DataFrame, features: Sequence[str], strengths: Map
     return rows.withColumns(added).drop("beta", "cov", "__p", "__l")
 
 
+@dataclass(frozen=True)
+class Candidate:
+    """One entry of a validation grid: its experts and the strength of its prior."""
+
+    features: tuple[str, ...]
+    alpha: float
+
+
+def rls_grid(df: DataFrame, candidates: Mapping[str, Candidate], forgettings: Sequence[float], *, prior_feature: str | None = None) -> DataFrame:
+    """Fold scores of every candidate under every forgetting factor, from one pass over the rows.
+
+    All settings read the same daily Gram over the union of the experts: a candidate's states come from its rows and
+    columns, and a day's loss under coefficients b is ``yy - 2 b'r + b'G b``, so no prediction is ever attached to a row.
+    A group of the scan is one fold of one candidate, a line a day; its settings are solved side by side. Rows with a
+    non-finite expert, target or weight don't count. Candidates without the prior expert start from zero.
+
+    Returns candidate, forgetting, fold, rows, weight_sum, numerator, denominator, the score, days and
+    update_source_date, the latest day that a state of the fold has learned from (earlier folds aside).
+    """
+
+    if not candidates or not forgettings:
+        raise ValueError("a grid needs candidates and forgetting factors")
+    for c in candidates.values():
+        if c.alpha <= 0.0 or not c.features:
+            raise ValueError("a candidate has experts and a positive alpha")
+    for value in forgettings:
+        _forgetting(value)
+    union = list(dict.fromkeys(x for c in candidates.values() for x in c.features))
+    if len(union) > MAX_GENERATED:
+        raise ValueError(f"the candidates have more than {MAX_GENERATED} experts together")
+    p = len(union)
+    daily = stored(gram(df.where(valid_rows([*union, TARGET])), union, DAY), "daily")
+    folds = folds_of(daily)
+    past = grams_before(folds, _fold_totals(daily, p), p)
+    places = {n: [union.index(x) for x in c.features] for n, c in candidates.items()}
+    keep = np.array(forgettings, float)
+
+    def scan(day_rows: pd.DataFrame) -> pd.DataFrame:
+        name, fold = day_rows["candidate"].iloc[0], day_rows[FOLD].iloc[0]
+        candidate, at = candidates[name], places[name]
+        start = past[fold].take(at)
+        precision = np.repeat((candidate.alpha * np.eye(len(at)) + start.g)[None], len(keep), 0)
+        rhs = np.repeat((candidate.alpha * prior_beta(candidate.features, prior_feature) + start.r)[None], len(keep), 0)
+        numerator, denominator, weight_sum, rows, source, seen = np.zeros(len(keep)), 0.0, 0.0, 0, None, None
+        for _, row in day_rows.sort_values(DATE).iterrows():
+            source = seen
+            beta = np.linalg.solve(precision, rhs[..., None])[..., 0]
+            day = Normal.from_row(row, p).take(at)
+            numerator += day.yy - 2.0 * beta @ day.r + np.einsum("si,ij,sj->s", beta, day.g, beta)
+            denominator, weight_sum, rows, seen = denominator + day.yy, weight_sum + day.weight_sum, rows + day.rows, row[DATE]
+            precision = keep[:, None, None] * precision + day.g
+            rhs = keep[:, None] * rhs + day.r
+        return pd.DataFrame({
+            "candidate": name, "forgetting": keep, FOLD: fold, "rows": int(rows), "weight_sum": weight_sum, "numerator": numerator,
+            "denominator": denominator, "days": len(day_rows), "update_source_date": pd.array([source] * len(keep), dtype="Int64"),
+        })
+
+    settings = daily.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in candidates])))
+    schema = f"candidate string, forgetting double, {FOLD} string, rows long, weight_sum double, numerator double, denominator double, days long, update_source_date long"
+    return settings.groupBy("candidate", FOLD).applyInPandas(scan, schema).withColumn(R2, r2())
+
+
 # Fixed risk profiles: which relative risks multiply the leverage.
 RISK_PROFILES = {
     "disagreement": ("disagreement",),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "panelkit", *, master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -41,3 +41,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A name for a new folder inside the shared one."""
 
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
+
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

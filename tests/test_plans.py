@@ -137,6 +137,35 @@ def test_rls_equals_day_loop(toy, forgetting):
     np.testing.assert_allclose(column(shrunk, "risk_rls_all_s2_prediction"), want / np.sqrt(1 + 2.0 * lev * multiplier))
 
 
+def test_grid_equals_scored_predictions(toy):
+    pdf, df = toy
+    grid = {"all": O.Candidate(tuple(XS), 2.0), "first": O.Candidate((XS[0],), 5.0), "strong": O.Candidate(tuple(reversed(XS)), 50.0)}
+    got = {(r["candidate"], r["forgetting"], r["fold"]): r for r in O.rls_grid(df, grid, [1.0, 0.9], prior_feature=XS[0]).collect()}
+    assert len(got) == len(grid) * 2 * pdf.fold.nunique()
+    for name, c in grid.items():
+        for f in (1.0, 0.9):
+            scored = M.fold_scores(O.with_rls(df, list(c.features), "p", alpha=c.alpha, forgetting=f, prior_feature=XS[0]), "p")
+            for r in scored.collect():
+                found = got[name, f, r["fold"]]
+                for k in ("rows", "weight_sum", "numerator", "denominator", M.R2):
+                    assert found[k] == pytest.approx(r[k], rel=1e-9)
+                dates = sorted(pdf[pdf.fold == r["fold"]].date_id.unique())
+                assert found["days"] == len(dates) and found["update_source_date"] == (dates[-2] if len(dates) > 1 else None)
+
+
+def test_grid_leaves_out_unusable_rows(spark, toy):
+    _, df = toy
+    grid = {"all": O.Candidate(tuple(XS), 2.0)}
+    odd = df.withColumn(XS[0], F.when(F.col("symbol_id") == 0, F.lit(None)).otherwise(F.col(XS[0])))
+    want = O.rls_grid(df.where("symbol_id != 0"), grid, [0.9]).orderBy("fold").collect()
+    assert O.rls_grid(odd, grid, [0.9]).orderBy("fold").collect() == want
+    for bad in ({}, {"a": O.Candidate((), 1.0)}, {"a": O.Candidate(tuple(XS), 0.0)}):
+        with pytest.raises(ValueError):
+            O.rls_grid(df, bad, [0.9])
+    with pytest.raises(ValueError):
+        O.rls_grid(df, grid, [1.5])
+
+
 def test_rls_audit_is_strictly_past(toy):
     _, df = toy
     audit = M.causality_audit(O.day_audit(O.rls_states(df, XS, alpha=1.0))).first()
