@@ -9,11 +9,12 @@ stage and collapse in the map-side aggregate.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
@@ -87,16 +88,43 @@ def calibration_copies(df: DataFrame, folds: Sequence[str]) -> DataFrame:
     return df.withColumn(TARGET_FOLD, F.explode(later))
 
 
-def thresholds_before(df: DataFrame, folds: Sequence[str], values: Mapping[str, Column], probs: Sequence[float], interpolation: str = "linear") -> dict[str, dict[str, list]]:
-    """Exact quantiles of the rows of all earlier folds, for every fold but the first."""
+def thresholds_before(df: DataFrame, folds: Sequence[str], values: Mapping[str, Column], probs: Sequence[float], interpolation: str = "linear", rank_error: float | None = None) -> dict[str, dict[str, list]]:
+    """Quantiles of the rows of all earlier folds, for every fold but the first: exact, or from merged sketches if a rank error is allowed."""
 
     if len(folds) < 2:
         return {}
+    if rank_error is not None:
+        return sketched_thresholds_before(df, folds, values, probs, rank_error=rank_error)
     return exact_quantiles(calibration_copies(df, folds), values, probs, by=TARGET_FOLD, interpolation=interpolation)
 
 
-def terciles_before(df: DataFrame, folds: Sequence[str], values: Mapping[str, Column]) -> dict[str, dict[str, tuple[float, float]]]:
-    found = thresholds_before(df, folds, values, [0.0, 1 / 3, 2 / 3, 1.0])
+def sketched_thresholds_before(df: DataFrame, folds: Sequence[str], values: Mapping[str, Column], probs: Sequence[float], *, rank_error: float = 0.002) -> dict[str, dict[str, list]]:
+    """Quantiles of the rows of all earlier folds within a rank error, from one scan that sees each row once.
+
+    Every fold has one mergeable sketch a column, and sketches of earlier folds are merged in the order of folds, so
+    rows are neither copied for later folds nor sorted. Of n finite values, a quantile p is one whose rank is within
+    about rank_error n of p n (at 99 % confidence); sketches draw at random, so runs may differ inside that bound. Use
+    ``thresholds_before`` where thresholds must be exact. Columns without finite values before a fold have None.
+    """
+
+    if any(not 0.0 <= p <= 1.0 for p in probs) or not 0.0 < rank_error < 1.0:
+        raise ValueError("a quantile or rank error is a share of the rows, from 0 to 1")
+    # a sketch of size k has a rank error of about 2.296 / k^0.9723
+    size = min(65_535, max(8, math.ceil((2.296 / rank_error) ** (1 / 0.9723))))
+    names = {n: f"__s{i}" for i, n in enumerate(values)}
+    own = df.groupBy(FOLD).agg(
+        *[F.kll_sketch_agg_double(F.when(S.is_finite(c), S.dbl(c)), F.lit(size)).alias(names[n]) for n, c in values.items()],
+        *[F.count(F.when(S.is_finite(c), F.lit(1))).alias(names[n] + "_n") for n, c in values.items()],
+    )
+    earlier = Window.orderBy(FOLD).rowsBetween(Window.unboundedPreceding, -1)  # a line a fold
+    merged = own.select(FOLD, *[F.kll_merge_agg_double(s, F.lit(size)).over(earlier).alias(s) for s in names.values()], *[F.sum(s + "_n").over(earlier).alias(s + "_n") for s in names.values()])
+    points = F.array(*[F.lit(float(p)) for p in probs])
+    found = merged.where(F.col(FOLD).isin(list(folds[1:]))).select(FOLD, *[F.when(F.col(s + "_n") > 0, F.kll_sketch_get_quantile_double(s, points)).alias(s) for s in names.values()])
+    return {r[FOLD]: {n: list(r[s]) if r[s] is not None else [None] * len(probs) for n, s in names.items()} for r in found.collect()}
+
+
+def terciles_before(df: DataFrame, folds: Sequence[str], values: Mapping[str, Column], rank_error: float | None = None) -> dict[str, dict[str, tuple[float, float]]]:
+    found = thresholds_before(df, folds, values, [0.0, 1 / 3, 2 / 3, 1.0], rank_error=rank_error)
     return {f: {n: tercile_edges(q[1:3], q[0], q[3]) for n, q in cols.items()} for f, cols in found.items()}
 
 
@@ -423,8 +451,11 @@ TAIL_MODES = {
 }
 
 
-def wf_residual_tail(df: DataFrame, base: str, residual: str, *, quantile: float, modes: Sequence[str], risk: str | None = None) -> Fitted:
-    """Residual-corrected prediction only where a past-fold quantile of weight, magnitude or risk is exceeded."""
+def wf_residual_tail(df: DataFrame, base: str, residual: str, *, quantile: float, modes: Sequence[str], risk: str | None = None, rank_error: float | None = None) -> Fitted:
+    """Residual-corrected prediction only where a past-fold quantile of weight, magnitude or risk is exceeded.
+
+    With a rank error the thresholds come from sketches, in one scan without copies of rows.
+    """
 
     unknown = sorted(set(modes) - set(TAIL_MODES))
     if unknown:
@@ -434,7 +465,7 @@ def wf_residual_tail(df: DataFrame, base: str, residual: str, *, quantile: float
     folds = folds_of(df)
     values = {"weight": S.dbl(WEIGHT), "abs_base": F.abs(S.dbl(base)), "disagreement": S.dbl("prediction_disagreement") if "prediction_disagreement" in df.columns else F.lit(0.0), "risk": S.dbl(risk) if risk else F.lit(0.0)}
     needed = sorted({v for m in modes for v in TAIL_MODES[m][1:]})
-    edges = thresholds_before(df, folds, {n: values[n] for n in needed}, [quantile])
+    edges = thresholds_before(df, folds, {n: values[n] for n in needed}, [quantile], rank_error=rank_error)
     added = {}
     for mode in modes:
         how, *parts = TAIL_MODES[mode]
@@ -462,15 +493,18 @@ def regime_codes(edges, prediction: str, third: str, time_bucket_size: int, symb
     return codes
 
 
-def _regime_edges(df: DataFrame, folds: Sequence[str], prediction: str, third: str):
-    return terciles_before(df, folds, {"weight": S.dbl(WEIGHT), "abs": F.abs(S.dbl(prediction)), "third": S.dbl(third)})
+def _regime_edges(df: DataFrame, folds: Sequence[str], prediction: str, third: str, rank_error: float | None = None):
+    return terciles_before(df, folds, {"weight": S.dbl(WEIGHT), "abs": F.abs(S.dbl(prediction)), "third": S.dbl(third)}, rank_error)
 
 
 def wf_regime_scale(
     df: DataFrame, prediction: str, *, third: str = "prediction_disagreement", time_bucket_size: int, min_rows: int, prior: float, symbol_mod: int | None = None,
-    output: str | None = None,
+    output: str | None = None, rank_error: float | None = None,
 ) -> Fitted:
-    """Multiplier per regime, shrunk towards the multiplier of all earlier folds."""
+    """Multiplier per regime, shrunk towards the multiplier of all earlier folds.
+
+    With a rank error the regimes' edges come from sketches of the folds instead of exact quantiles.
+    """
 
     output = output or f"{prediction}_regime_scaled_prediction"
     folds = folds_of(df)
@@ -478,7 +512,7 @@ def wf_regime_scale(
     stats = fold_sums(df, n=w * p * y, d=w * p * p)
     n, d = before(folds, stats, "n"), before(folds, stats, "d")
     default = {f: 1.0 if i == 0 or d[f] <= 0 else n[f] / d[f] for i, f in enumerate(folds)}
-    codes = regime_codes(_regime_edges(df, folds, prediction, third), prediction, third, time_bucket_size, symbol_mod)
+    codes = regime_codes(_regime_edges(df, folds, prediction, third, rank_error), prediction, third, time_bucket_size, symbol_mod)
     rows = grouped_parameter(df, folds, codes, w * p * y, w * p * p, fallback=default, min_rows=min_rows, prior=dict.fromkeys(folds, float(prior)))
     return Fitted(rows.withColumn(output, F.col("__p") * p).drop("__p"), [{"fold": f, "default": v} for f, v in default.items()])
 

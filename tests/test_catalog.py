@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 FAST = (
     "lag_join fold_summary xs_context rolling_variation shrinkage wf_convex wf_regime_scale loss_selector modulo_screen acf nested_select global_rank_bucket scan_panel scan_tags scan_fold_scores "
     "scan_summaries report_category union_vertical xs_screen interaction_screen periodogram periodogram_rows grouped_simplex sequence_window online_daily_affine dynamic_scale dynamic_rls rls_risk_shrink "
-    "wf_static_ridge wf_alpha_stack wf_ridge_stack linear_stacker shrinkage_grid wf_residual_tail stream_tumbling"
+    "wf_static_ridge wf_alpha_stack wf_ridge_stack linear_stacker shrinkage_grid wf_residual_tail stream_tumbling rls_validation_grid"
 ).split()
 
 

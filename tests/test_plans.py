@@ -137,13 +137,50 @@ def test_rls_equals_day_loop(toy, forgetting):
     np.testing.assert_allclose(column(shrunk, "risk_rls_all_s2_prediction"), want / np.sqrt(1 + 2.0 * lev * multiplier))
 
 
+@pytest.mark.parametrize("rank_error", [0.05, 0.005])
+def test_sketched_thresholds_keep_their_rank_error(spark, rank_error):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"fold": [f"f{k}" for k in rng.integers(0, 4, 40_000)], "v": np.round(rng.standard_cauchy(40_000), 2), "w": rng.normal(size=40_000)})
+    pdf.loc[pdf.fold == "f0", "w"] = np.nan
+    pdf.loc[::11, "v"] = np.inf
+    probs = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    folds = sorted(pdf.fold.unique())
+    found = WF.sketched_thresholds_before(spark.createDataFrame(pdf), folds, {"v": F.col("v"), "w": F.col("w")}, probs, rank_error=rank_error)
+    assert sorted(found) == folds[1:] and found["f1"]["w"] == [None] * len(probs)
+    for f in folds[1:]:
+        for c in "vw":
+            x = pdf[(pdf.fold < f) & np.isfinite(pdf[c])][c].to_numpy()
+            for p, q in zip(probs, found[f][c], strict=True):
+                if len(x):
+                    assert (x < q).mean() - 2 * rank_error <= p <= (x <= q).mean() + 2 * rank_error
+
+
+def test_sketches_make_no_copies_of_rows(toy, monkeypatch):
+    pdf, df = toy
+
+    def copies(*_):
+        raise AssertionError("rows were copied for later folds")
+
+    monkeypatch.setattr(WF, "calibration_copies", copies)
+    found = WF.wf_residual_tail(df, XS[0], XS[1], quantile=0.8, modes=["weight"], rank_error=0.01)
+    thresholds = {r["fold"]: r["weight"] for r in found.parameters}
+    folds = sorted(pdf.fold.unique())
+    assert sorted(thresholds) == folds[1:]
+    for f, t in thresholds.items():
+        past = pdf[pdf.fold < f].weight
+        assert (past < t).mean() - 0.02 <= 0.8 <= (past <= t).mean() + 0.02
+    for r in found.rows.toPandas().itertuples():
+        taken = r.fold in thresholds and r.weight >= thresholds[r.fold]
+        assert getattr(r, f"{XS[0]}_residual_weight_tail_prediction") == pytest.approx(getattr(r, XS[1] if taken else XS[0]))
+
+
 def test_grid_equals_scored_predictions(toy):
     pdf, df = toy
     grid = {"all": O.Candidate(tuple(XS), 2.0), "first": O.Candidate((XS[0],), 5.0), "strong": O.Candidate(tuple(reversed(XS)), 50.0)}
     got = {(r["candidate"], r["forgetting"], r["fold"]): r for r in O.rls_grid(df, grid, [1.0, 0.9], prior_feature=XS[0]).collect()}
     assert len(got) == len(grid) * 2 * pdf.fold.nunique()
     for name, c in grid.items():
-        for f in (1.0, 0.9):
+        for f in (1.0, 0.9) if name == "all" else (0.9,):
             scored = M.fold_scores(O.with_rls(df, list(c.features), "p", alpha=c.alpha, forgetting=f, prior_feature=XS[0]), "p")
             for r in scored.collect():
                 found = got[name, f, r["fold"]]
