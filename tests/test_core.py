@@ -110,3 +110,24 @@ def test_group_stats_keep_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "k int, v double")
     got = sorted((r.k or 0, r.v, r.m) for r in core.with_group_stats(df, ["k"], {"m": F.avg("v")}).collect())
     assert got == [(0, 1.0, 2.0), (0, 3.0, 2.0), (1, 5.0, 5.0)]
+
+def test_quantiles_send_no_rows_to_the_task_of_their_group(spark, monkeypatch):
+    """Joins of rows with cut points are broadcasts, also where a session broadcasts nothing by itself."""
+
+    plans, join = [], core.join_groups
+
+    def seen(*args, **kwargs):
+        out = join(*args, **kwargs)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(core, "join_groups", seen)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(1000).selectExpr("id % 2 AS g", "cast(id AS double) AS v")
+        got = core.exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5], by="g")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {0: {"v": [249.5, 499.0]}, 1: {"v": [250.5, 500.0]}}
+    assert plans and not any("SortMergeJoin" in p for p in plans)
