@@ -71,53 +71,73 @@ def view_sums(rows: DataFrame, split: str, weight: str, targets: str, n_targets:
     ``{t,v}_swy`` and ``{t,v}_swyy``.
     """
 
-    names = ["swx", "swxx", "swxy"]
-    numbers = pa.list_(pa.float64())
-    schema = pa.schema([("code", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), *((f"{t}_{n}", numbers if n == "swxy" else pa.float64()) for t in "tv" for n in names)])
-
-    def matrix(column: pa.Array, n: int) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[int, int], list] = {}
-        alone = {t: [0.0, np.zeros(n_targets), np.zeros(n_targets)] for t in "tv"}
+        totals = Totals(n_targets, make)
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                train, w = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                y, x, z, r = (matrix(part.column(k), part.num_rows) for k in range(2, 6))
-                for t, mine in (("t", train), ("v", ~train)):
-                    if not mine.any():
-                        continue
-                    wt, yt = w[mine], y[mine]
-                    wy = wt[:, None] * yt
-                    alone[t][0] += wt.sum()
-                    alone[t][1] += wy.sum(axis=0)
-                    alone[t][2] += (wy * yt).sum(axis=0)
-                    for code, a, b, *sums in make(x[mine], z[mine], r[mine], wt, wy):
-                        slot = acc.setdefault((code, int(a[0]) if b[0] >= 0 and len(a) and (a == a[0]).all() else -1), [a, b, {}])
-                        kept = slot[2].setdefault(t, [np.zeros_like(s) for s in sums])
-                        for total, s in zip(kept, sums, strict=True):
-                            total += s
-        for (code, _), (a, b, by) in acc.items():
-            zero = [np.zeros(len(a)), np.zeros(len(a)), np.zeros((len(a), n_targets))]
+            train, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            totals.add(train, w, *(matrix(batch.column(k), batch.num_rows) for k in range(2, 6)))
+        yield from totals.lines()
+
+    narrow = rows.select(F.col(split).cast("boolean"), S.dbl(weight).alias("w"), F.col(targets).alias("ys"), "x", "z", "rank")
+    return added_up(narrow.mapInArrow(partial, LINE), n_targets)
+
+
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+_NAMES = ("swx", "swxx", "swxy")
+LINE = "code int, a int, b int, " + ", ".join(f"{t}_{n} {'array<double>' if n == 'swxy' else 'double'}" for t in "tv" for n in _NAMES)
+_ARROW = pa.schema([("code", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), *((f"{t}_{n}", pa.list_(pa.float64()) if n == "swxy" else pa.float64()) for t in "tv" for n in _NAMES)])
+
+
+class Totals:
+    """Sums of all views over the rows that one task has seen."""
+
+    def __init__(self, n_targets: int, make: Callable[..., Iterator[Sums]]) -> None:
+        self.n, self.make = n_targets, make
+        self.acc: dict[tuple[int, int], list] = {}
+        self.alone = {t: [0.0, np.zeros(n_targets), np.zeros(n_targets)] for t in "tv"}
+
+    def add(self, train: np.ndarray, w: np.ndarray, y: np.ndarray, x: np.ndarray, z: np.ndarray, r: np.ndarray) -> None:
+        for at in range(0, len(w), BLOCK):
+            part = slice(at, at + BLOCK)
+            for t, mine in (("t", train[part]), ("v", ~train[part])):
+                if not mine.any():
+                    continue
+                wt, yt = w[part][mine], y[part][mine]
+                wy = wt[:, None] * yt
+                alone = self.alone[t]
+                alone[0] += wt.sum()
+                alone[1] += wy.sum(axis=0)
+                alone[2] += (wy * yt).sum(axis=0)
+                for code, a, b, *sums in self.make(x[part][mine], z[part][mine], r[part][mine], wt, wy):
+                    slot = self.acc.setdefault((code, int(a[0]) if b[0] >= 0 and len(a) and (a == a[0]).all() else -1), [a, b, {}])
+                    kept = slot[2].setdefault(t, [np.zeros_like(s) for s in sums])
+                    for total, s in zip(kept, sums, strict=True):
+                        total += s
+
+    def lines(self) -> Iterator[pa.RecordBatch]:
+        for (code, _), (a, b, by) in self.acc.items():
+            zero = [np.zeros(len(a)), np.zeros(len(a)), np.zeros((len(a), self.n))]
             got = {t: by.get(t, zero) for t in "tv"}
             columns = {"code": [code] * len(a), "a": a, "b": b}
-            columns |= {f"{t}_{n}": (s.tolist() if n == "swxy" else s) for t in "tv" for n, s in zip(names, got[t], strict=True)}
-            yield pa.RecordBatch.from_pydict(columns, schema=schema)
+            columns |= {f"{t}_{n}": (s.tolist() if n == "swxy" else s) for t in "tv" for n, s in zip(_NAMES, got[t], strict=True)}
+            yield pa.RecordBatch.from_pydict(columns, schema=_ARROW)
         for t in "tv":
-            sw, swy, swyy = alone[t]
+            sw, swy, swyy = self.alone[t]
             line = {"code": [-1], "a": [0 if t == "t" else 1], "b": [-1], "t_swx": [sw], "t_swxx": [0.0], "t_swxy": [swy.tolist()], "v_swx": [0.0], "v_swxx": [0.0], "v_swxy": [swyy.tolist()]}
-            yield pa.RecordBatch.from_pydict(line, schema=schema)
+            yield pa.RecordBatch.from_pydict(line, schema=_ARROW)
 
-    narrow = rows.select(F.col(split).cast("boolean"), S.dbl(weight).alias("w"), F.col(targets).alias("ys"), "x", "z", "rank")
-    kinds = "code int, a int, b int, " + ", ".join(f"{t}_{n} {'array<double>' if n == 'swxy' else 'double'}" for t in "tv" for n in names)
-    lines = narrow.mapInArrow(partial, kinds)
-    plain = [F.sum(f"{t}_{n}").alias(f"{t}_{n}") for t in "tv" for n in names[:2]]
+
+def added_up(lines: DataFrame, n_targets: int) -> tuple[DataFrame, dict]:
+    """The tasks' lines added up: what ``view_sums`` returns."""
+
+    plain = [F.sum(f"{t}_{n}").alias(f"{t}_{n}") for t in "tv" for n in _NAMES[:2]]
     wide = [F.array(*[F.sum(F.col(f"{t}_swxy")[k]) for k in range(n_targets)]).alias(f"{t}_swxy") for t in "tv"]
-    path = new_folder(rows.sparkSession, "view-sums")
+    path = new_folder(lines.sparkSession, "view-sums")
     lines.groupBy("code", "a", "b").agg(*plain, *wide).write.parquet(path)
-    sums = rows.sparkSession.read.parquet(path)
+    sums = lines.sparkSession.read.parquet(path)
     alone = {}
     for line in sums.where("code = -1").collect():
         t = "tv"[line["a"]]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
-from panelkit.operators.blocks import pair_views, single_views, view_sums
+from panelkit.operators.blocks import LINE, Totals, added_up, matrix, pair_views, single_views, view_sums
 from panelkit.operators.core import exact_quantiles, join_groups, ordered_counts, ratio, with_group_stats, with_halo, zsum
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
@@ -25,6 +25,7 @@ from panelkit.operators.sampling import bijection, row_index
 from panelkit.operators.stats import normal_stats, standardizer, z_expr
 from panelkit.operators.xsection import z_and_rank
 from panelkit.schema import DATE, KEYS, SYMBOL, TARGET, TIME, WEIGHT
+from panelkit.session import stored
 
 # Fixed view names.
 VIEWS = ("z", "rank", "sign", "abs_z", "square_z", "positive_indicator", "top05_indicator", "bottom05_indicator", "signed_tail05")
@@ -76,8 +77,8 @@ def with_fit(sums: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- views
 
 
-def base_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) -> DataFrame:
-    """Long table ``feature, x, z, rank`` with train-only imputation, scaling and ranks.
+def wide_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) -> DataFrame:
+    """Columns ``__x_f``, ``__z_f`` and ``__r_f`` in place of each feature f: train-only imputation, scaling and ranks.
 
     Train rows rank among themselves, validation rows get the share of train values not above them.
     """
@@ -95,20 +96,40 @@ def base_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) ->
     # filling with the mean leaves the mean alone and dilutes the variance by the share of missing rows
     spread = {c: (row[f"s_{c}"] or 0.0) * math.sqrt(row[f"k_{c}"] / n) if n else 0.0 for c in features}
     scale = {c: v if v > 0 else 1.0 for c, v in spread.items()}
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.coalesce(x, F.lit(fill[c])).alias("x"), ((F.coalesce(x, F.lit(fill[c])) - F.lit(fill[c])) / F.lit(scale[c])).alias("z"))
-        for c, x in filled.items()
-    ]
-    long = df.withColumn("__e", F.explode(F.array(*entries))).select("*", "__e.*").drop("__e", *features)
-    if not ranks:
-        return long
+    wide = df.select(*[c for c in df.columns if c not in features], *[F.coalesce(x, F.lit(fill[c])).alias(f"__x_{c}") for c, x in filled.items()])
+    if ranks:
+        wide = _with_ranks(wide, features, n)
+    z = {c: (F.col(f"__x_{c}") - F.lit(fill[c])) / F.lit(scale[c]) for c in features}
+    return wide.withColumns({f"__z_{c}": e for c, e in z.items()})
+
+
+#: Largest number of distinct values of a feature whose ranks are sent to all tasks.
+RANK_VALUES = 1_000_000
+
+
+def _with_ranks(wide: DataFrame, features: Sequence[str], n: int) -> DataFrame:
+    """Ranks of filled features from their counted values: the rows stay where they are unless a feature has very many values."""
+
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__x_{c}").alias("x")) for c in features])
+    long = wide.select(IS_TRAIN, F.explode(entries).alias("e")).select(IS_TRAIN, "e.*")
     counts = ordered_counts(long, ["feature"], "x", counted=F.col(IS_TRAIN))
-    table = counts.select("feature", F.col("__v").alias("x"), "n", "cum")
-    ranked = long.join(table, ["feature", "x"])
-    own = (F.col("cum") - (F.col("n") + 1) / 2) / F.lit(float(max(n - 1, 1))) - 0.5
-    reference = F.col("cum") / F.lit(float(max(n, 1))) - 0.5
-    value = F.when(F.col(IS_TRAIN), own).otherwise(reference) if n > 1 else F.lit(0.0)
-    return ranked.withColumn("rank", value).drop("n", "cum")
+    own = (F.col("cum") - (F.col("n") + 1) / 2) / F.lit(float(max(n - 1, 1))) - 0.5 if n > 1 else F.lit(0.0)
+    reference = F.col("cum") / F.lit(float(max(n, 1))) - 0.5 if n > 1 else F.lit(0.0)
+    counts = stored(counts.select("feature", "__v", own.alias("__own"), reference.alias("__reference")), "value-ranks")
+    values = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()}
+    for c in features:
+        table = counts.where(F.col("feature") == c).select(F.col("__v").alias(f"__x_{c}"), "__own", "__reference")
+        wide = wide.join(F.broadcast(table) if values.get(c, 0) <= RANK_VALUES else table, f"__x_{c}")
+        wide = wide.withColumn(f"__r_{c}", F.when(F.col(IS_TRAIN), F.col("__own")).otherwise(F.col("__reference"))).drop("__own", "__reference")
+    return wide
+
+
+def base_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) -> DataFrame:
+    """Long table ``feature, x, z, rank`` of the columns that ``wide_views`` makes."""
+
+    wide, names = wide_views(df, features, ranks=ranks), {"x": "x", "z": "z"} | ({"rank": "r"} if ranks else {})
+    entries = [F.struct(F.lit(c).alias("feature"), *[F.col(f"__{k}_{c}").alias(n) for n, k in names.items()]) for c in features]
+    return wide.select(*[c for c in df.columns if c not in features], F.explode(F.array(*entries)).alias("__e")).select("*", "__e.*").drop("__e")
 
 
 def transform_views(df: DataFrame, features: Sequence[str], views: Sequence[str] = VIEWS) -> DataFrame:
@@ -251,10 +272,8 @@ def feature_arrays(df: DataFrame, features: Sequence[str], *columns: str) -> Dat
     """
 
     keep = [*KEYS, WEIGHT, TARGET, IS_TRAIN, *columns]
-    base = base_views(df.where(valid_rows([TARGET])).select(*keep, *features), features)
-    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
-    wide = base.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in keep[len(KEYS) :]], F.sort_array(F.collect_list(F.struct(place.alias("k"), "x", "z", "rank"))).alias("__v"))
-    return wide.select(*keep, *[F.col(f"__v.{c}").alias(c) for c in ("x", "z", "rank")])
+    wide = wide_views(df.where(valid_rows([TARGET])).select(*keep, *features), features)
+    return wide.select(*keep, *[F.array(*[F.col(f"__{k}_{f}") for f in features]).alias(n) for n, k in (("x", "x"), ("z", "z"), ("rank", "r"))])
 
 
 def _single(features: Sequence[str], views: Sequence[str], edges: Mapping[str, dict]):
@@ -318,6 +337,81 @@ def xs_screen(df: DataFrame, features: Sequence[str], groupings: Mapping[str, Se
 # --------------------------------------------------------------------------- null targets
 
 
+def _placer(block_size: int):
+    """Positions that a null of whole rows, blocks or a shift gives to positions i of 0..n-1."""
+
+    def place(i: np.ndarray, kind: str, seed: int, n: int) -> np.ndarray:
+        if kind == "iid":
+            return bijection(i, n, seed)
+        if kind == "circular":
+            return (i + 1 + seed * 7919 % max(1, n - 1)) % n
+        blocks = -(-n // block_size)
+        to = bijection(np.arange(blocks), blocks, seed)
+        # the last block is short: those placed after it move up
+        return to[i // block_size] * block_size - np.where(to[i // block_size] > to[-1], blocks * block_size - n, 0) + i % block_size
+
+    return place
+
+
+def _date_shifts(rows: DataFrame, dated: Sequence[tuple[int, str, int]], split: str) -> DataFrame:
+    """By how much the rows of each date move in each slot: only the calendar is ordered."""
+
+    dates = rows.groupBy(split, DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("__m"))
+    own = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(int(seed)).alias("seed")) for k, _, seed in dated])
+    order = Window.partitionBy(split, "slot").orderBy(F.xxhash64(F.col(DATE).cast("long"), "seed"), DATE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dates.select(split, DATE, "first", "__m", F.explode(own).alias("s")).select(split, DATE, "first", "__m", "s.slot", "s.seed")
+    return starts.withColumn("shift", F.coalesce(F.sum("__m").over(order), F.lit(0)) - F.col("first"))
+
+
+#: Positions of a stretch of rows that meet their null targets in one task, and rows that a task packs at once.
+STRETCH, PACKED = 65_536, 1_000_000
+
+
+def packed_nulls(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes: Mapping[int, int], *, split: str, block_size: int = 2048) -> DataFrame:
+    """The null targets of ``null_positions`` by stretch of positions: ``split, stretch, slot, at, y``.
+
+    A line holds what one task sends to one stretch in one slot: places in it (16-bit) and values, as bytes.
+    """
+
+    if unknown := sorted({k for _, k, _ in slots} - set(NULL_KINDS)):
+        raise ValueError(f"no null target is made by {', '.join(unknown)}")
+    dated = sorted(s for s in slots if s[1] == "date")
+    column, place = {s[0]: k for k, s in enumerate(dated)}, _placer(block_size)
+    y = rows.select(F.col(split).cast("int").alias(split), F.col("i").cast("long").alias("i"), DATE, S.dbl(TARGET).alias("y"))
+    shifts = F.array().cast("array<long>")
+    if dated:
+        table = _date_shifts(rows, dated, split).groupBy(F.col(split).cast("int").alias(split), DATE)
+        table = table.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "shift"))), lambda e: e["shift"]).alias("shifts"))
+        y, shifts = y.join(F.broadcast(table), [split, DATE]), F.col("shifts")
+    names = [split, "stretch", "slot", "at", "y"]
+
+    def send(part: np.ndarray, i: np.ndarray, value: np.ndarray, shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for which, n in sizes.items():
+            mine = part == which
+            for slot, kind, seed in slots if mine.any() else ():
+                p = i[mine] + shift[mine, column[slot]] if kind == "date" else place(i[mine], kind, seed + which, n)
+                order = np.argsort(p, kind="stable")
+                p, v = p[order], value[mine][order]
+                first = np.flatnonzero(np.r_[True, np.diff(p // STRETCH) > 0])
+                cuts = list(zip(first, np.r_[first[1:], len(p)], strict=True))
+                at = (p % STRETCH).astype(np.uint16)
+                columns = [np.full(len(cuts), which, np.int32), p[first] // STRETCH, np.full(len(cuts), slot, np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([at[a:b].tobytes() for a, b in cuts]), pa.array([v[a:b].tobytes() for a, b in cuts])], names=names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), matrix(batch.column(3), batch.num_rows) if batch.num_rows else np.zeros((0, len(dated)), np.int64)])
+            n += batch.num_rows
+            if n >= PACKED:
+                yield from send(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from send(*map(np.concatenate, zip(*held, strict=True)))
+
+    return y.select(split, "i", "y", shifts.alias("shifts")).mapInArrow(pack, f"{split} int, stretch long, slot int, at binary, y binary")
+
+
 def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes: Mapping[int, int], *, split: str, block_size: int = 2048) -> DataFrame:
     """Where each null target sends each row: ``split, slot, p, null_y`` for rows with a position ``i`` in their split.
 
@@ -329,16 +423,7 @@ def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes
         raise ValueError(f"no null target is made by {', '.join(unknown)}")
     y = rows.select(split, F.col("i").cast("long").alias("i"), DATE, S.dbl(TARGET).alias("null_y"))
     dated, free = ([s for s in slots if (s[1] == "date") == own] for own in (True, False))
-
-    def place(i: np.ndarray, kind: str, seed: int, n: int) -> np.ndarray:
-        if kind == "iid":
-            return bijection(i, n, seed)
-        if kind == "circular":
-            return (i + 1 + seed * 7919 % max(1, n - 1)) % n
-        blocks = -(-n // block_size)
-        to = bijection(np.arange(blocks), blocks, seed)
-        # the last block is short: those placed after it move up
-        return to[i // block_size] * block_size - np.where(to[i // block_size] > to[-1], blocks * block_size - n, 0) + i % block_size
+    place = _placer(block_size)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,11 +437,7 @@ def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes
     schema = f"{split} int, slot int, p long, null_y double"
     parts = [y.withColumn(split, F.col(split).cast("int")).mapInArrow(move, schema)] if free else []
     if dated:
-        dates = rows.groupBy(split, DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("__m"))
-        own = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(int(seed)).alias("seed")) for k, _, seed in dated])
-        order = Window.partitionBy(split, "slot").orderBy(F.xxhash64(F.col(DATE).cast("long"), "seed"), DATE).rowsBetween(Window.unboundedPreceding, -1)
-        starts = dates.select(split, DATE, "first", "__m", F.explode(own).alias("s")).select(split, DATE, "first", "__m", "s.slot", "s.seed")
-        starts = starts.withColumn("shift", F.coalesce(F.sum("__m").over(order), F.lit(0)) - F.col("first"))
+        starts = _date_shifts(rows, dated, split)
         moved = y.join(starts.select(split, DATE, "slot", "shift"), [split, DATE])
         parts.append(moved.select(F.col(split).cast("int").alias(split), "slot", (F.col("i") + F.col("shift")).cast("long").alias("p"), "null_y"))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -372,16 +453,21 @@ def null_targets(indexed: DataFrame, kind: str, *, seed: int, rows: int, block_s
     return null_positions(whole, [(0, kind, seed)], {0: rows}, split="__s", block_size=block_size).select(F.col("p").alias("i"), "null_y")
 
 
-def with_null_targets(df: DataFrame, slots: Sequence[tuple[int, str, int]], *, block_size: int = 2048) -> DataFrame:
-    """df with an array ``null_ys`` of null targets, one per slot; train and validation rows are permuted separately."""
+def _split_positions(df: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """df with its split (``__s``, 0 for train) and the position ``i`` of each row in it, and the rows of each split."""
 
     # train rows come first in the index, so that validation positions are the rest
-    valid = (~F.col(IS_TRAIN)).cast("int")
-    indexed = row_index(df.withColumn("__s", valid), ["__s", *KEYS], "i")
+    indexed = row_index(df.withColumn("__s", (~F.col(IS_TRAIN)).cast("int")), ["__s", *KEYS], "i")
     n_train = df.where(F.col(IS_TRAIN)).count()
     n_valid = df.where(~F.col(IS_TRAIN)).count()
-    rows = indexed.withColumn("i", F.when(F.col(IS_TRAIN), F.col("i")).otherwise(F.col("i") - n_train))
-    moved = null_positions(rows, slots, {0: n_train, 1: n_valid}, split="__s", block_size=block_size)
+    return indexed.withColumn("i", F.when(F.col(IS_TRAIN), F.col("i")).otherwise(F.col("i") - n_train)), {0: n_train, 1: n_valid}
+
+
+def with_null_targets(df: DataFrame, slots: Sequence[tuple[int, str, int]], *, block_size: int = 2048) -> DataFrame:
+    """df with an array ``null_ys`` of null targets, one per slot; train and validation rows are permuted separately."""
+
+    rows, sizes = _split_positions(df)
+    moved = null_positions(rows, slots, sizes, split="__s", block_size=block_size)
     held = moved.groupBy("__s", F.col("p").alias("i")).agg(F.sort_array(F.collect_list(F.struct("slot", "null_y"))).alias("__y"))
     return rows.join(held, ["__s", "i"]).withColumn("null_ys", F.transform("__y", lambda e: e["null_y"])).drop("__y", "__s", "i")
 
@@ -397,13 +483,32 @@ def null_screen(
     """
 
     slots = [(k * runs + run, kind, seed + 1000 * run + k) for k, kind in enumerate(kinds) for run in range(runs)]
-    rows = feature_arrays(with_null_targets(df.where(valid_rows([TARGET])), slots, block_size=block_size), features, "null_ys")
+    rows, sizes = _split_positions(df.where(valid_rows([TARGET])).select(*KEYS, WEIGHT, TARGET, IS_TRAIN, *features))
+    rows = stored(rows, "indexed")
+    rows = stored(feature_arrays(rows, features, "__s", "i"), "indexed-views")
+    packed = packed_nulls(rows, slots, sizes, split="__s", block_size=block_size)
     if pairs:
         make, names, shown = pair_views(_PAIRS), ["left", "right", "interaction"], INTERACTIONS
     else:
         edges = _edges(df, features) if any("05" in v for v in views) else {}
         make, names, shown = single_views(_single(features, views, edges)), ["feature", "transform"], tuple(views)
-    sums, alone = view_sums(rows, IS_TRAIN, WEIGHT, "null_ys", len(slots), make)
+    place = rows.select("__s", F.floor(F.col("i") / STRETCH).cast("long").alias("stretch"), (F.col("i") % STRETCH).cast("int").alias("at"), S.dbl(WEIGHT).alias("w"), "x", "z", "rank")
+    count = len(slots)
+
+    def meet(own: pa.Table, sent: pa.Table) -> pa.Table:
+        totals = Totals(count, make)
+        ys = np.empty((STRETCH, count))
+        for slot, at, y in zip(*(sent.column(c).to_pylist() for c in ("slot", "at", "y")), strict=True):
+            ys[np.frombuffer(at, np.uint16), slot] = np.frombuffer(y)
+        n = own.num_rows
+        at, w = (own.column(c).to_numpy() for c in ("at", "w"))
+        x, z, r = (matrix(own.column(c).combine_chunks(), n) for c in ("x", "z", "rank"))
+        train = np.full(n, n > 0 and own.column("__s")[0].as_py() == 0)
+        totals.add(train, w, ys[at], x, z, r)
+        return pa.Table.from_batches(totals.lines())
+
+    keys = ["__s", "stretch"]
+    sums, alone = added_up(place.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(meet, LINE), count)
     labels = F.array(*[F.struct(F.lit(kind).alias("null_kind"), F.lit(k % runs).alias("run"), F.lit(alone["v_swyy"][k]).alias("swyy")) for k, kind, _ in slots])
     scored = _named(sums, features, shown, names).select(*names, "t_swxx", "v_swxx", F.posexplode(F.arrays_zip("t_swxy", "v_swxy", labels.alias("label"))).alias("k", "e"))
     e = F.col("e")

@@ -564,3 +564,18 @@ def test_periodogram_in_blocks(toy, block):
         np.testing.assert_allclose(mine.power, power[best])
         np.testing.assert_allclose(mine.power_share, power[best] / power.sum())
         np.testing.assert_allclose(mine.period_rows, len(x) / best)
+
+
+def test_packed_nulls_carry_the_null_targets(spark, toy, monkeypatch):
+    """Every stretch gets the targets that the plain positions give, for all kinds."""
+
+    monkeypatch.setattr(screens, "STRETCH", 64)
+    df = screens.split_frame(toy[1], 14)
+    rows, sizes = screens._split_positions(df)
+    slots = [(k, kind, 5 + k) for k, kind in enumerate(screens.NULL_KINDS)]
+    want = {(r["__s"], r["slot"], r["p"]): r["null_y"] for r in screens.null_positions(rows, slots, sizes, split="__s", block_size=32).collect()}
+    got = {}
+    for r in screens.packed_nulls(rows, slots, sizes, split="__s", block_size=32).collect():
+        for at, y in zip(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["y"]), strict=True):
+            got[r["__s"], r["slot"], r["stretch"] * 64 + int(at)] = y
+    assert got == want and len(got) == 4 * 360
