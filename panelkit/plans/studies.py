@@ -22,6 +22,7 @@ from panelkit.operators.stats import Normal, gram, linear_expr, solve
 from panelkit.operators.xsection import batch_state
 from panelkit.plans.experts import pls_coefficients
 from panelkit.schema import DATE, KEYS, TARGET, WEIGHT
+from panelkit.session import stored
 
 
 def clock_inputs(df: DataFrame, features: Sequence[str], *, windows: Sequence[int] = (64,), max_time_id: int = 967) -> DataFrame:
@@ -50,7 +51,8 @@ def clock_tournament(
         "weight_bucket": S.quantile_bucket(WEIGHT, weight_thresholds(calibration), S.WEIGHT_LABELS),
         "ensemble_abs_bucket": S.quantile_bucket(F.abs(S.dbl(base)), abs_thresholds(calibration, [base])[base]),
     }
-    cal, val = calibration.withColumns(marks), validation.withColumns(marks)
+    # read by every clock and strategy, so that what made the clock inputs runs once
+    cal, val = stored(calibration.withColumns(marks), "calibration"), stored(validation.withColumns(marks), "validation")
     parts = [candidate_scores(val, {"base": base}, by=["weight_bucket"])]
     for clock in clocks:
         source, mode = CLOCKS[clock]
@@ -141,7 +143,7 @@ def residual_mining(df: DataFrame, features: Sequence[str], views: Sequence[str]
     beta = fitted[best["model"]]
     base = F.lit(float(beta[0])) + linear_expr([f"rank_{f}" for f in features], beta[1:])
     residual = table.select(*KEYS, (S.dbl(TARGET) - base).alias("__resid"))
-    rows = df.join(residual, list(KEYS))
+    rows = stored(df.join(residual, list(KEYS)), "residuals")
     long = transform_views(rows, features, views)
     fits = with_fit(fit_sums(long, ["feature", "transform"], y="__resid"))
     valid = df.where(~F.col(IS_TRAIN))
