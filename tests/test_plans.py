@@ -579,3 +579,19 @@ def test_packed_nulls_carry_the_null_targets(spark, toy, monkeypatch):
         for at, y in zip(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["y"]), strict=True):
             got[r["__s"], r["slot"], r["stretch"] * 64 + int(at)] = y
     assert got == want and len(got) == 4 * 360
+
+
+def test_typical_evidence_holds_when_sums_change_between_reads(spark):
+    """Sums of doubles differ in their last bits from read to read, here by a random part of 1e-12."""
+    import random
+
+    from panelkit.operators import calibrate
+
+    jitter = F.udf(lambda e: e * (1.0 + 1e-12 * random.SystemRandom().random()), "double")
+    names = ["rw_01", "rw_02", "rw_03", "rw_04"]
+    rows = spark.createDataFrame([(f, g, float(1 + g * g)) for f in names for g in range(16)], "fold string, g int, e double")
+    evidence = jitter("e")
+    for _ in range(3):
+        found = WF._typical_before(rows, names, lambda fold: {"g": F.col("g")}, evidence)
+        assert [found[f] for f in names] == pytest.approx([0.0, *[k * (1 + 49 + 1 + 64) / 2 for k in (1, 2, 3)]], rel=1e-9)
+        assert calibrate._typical(rows, ["g"], evidence) == pytest.approx(4 * (1 + 49 + 1 + 64) / 2, rel=1e-9)
