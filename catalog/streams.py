@@ -126,6 +126,10 @@ def stream_lag_attach(spark, sf):
     return spark.read.parquet(f"{root}/out").select(*KEYS, serving.TARGET_LAG)
 
 
+#: Neighbouring symbols that share a state group of the keyed streams.
+SYMBOLS = 256
+
+
 @contextmanager
 def rocksdb(spark):
     """Keyed state of the streams inside is kept in RocksDB."""
@@ -169,7 +173,7 @@ def stream_feature_cache(spark, sf):
     again = rows.where((F.col("kind") == "lag") & F.col("date_id").between(last - 24, last - 10))
     with rocksdb(spark):
         for source in deliver(spark, [first, second.unionByName(old).unionByName(again), again.unionByName(old)], root):
-            run_into(state.training_rows(state.with_event_time(source), EXPERTS, delay="30 days"), root)
+            run_into(state.training_rows(state.with_event_time(source), EXPERTS, delay="30 days", symbols=SYMBOLS), root)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -204,7 +208,7 @@ def stream_late_duplicates(spark, sf):
     third = due.where(date > last - SECOND).unionByName(rows.where(date.isin(last - HELD_BACK, last - LOST, last - AGAIN[1])))
     with rocksdb(spark):
         for source in deliver(spark, [first, second, third], root):
-            run_into(state.delivery_verdicts(state.with_event_time(source), delay="5 days"), root)
+            run_into(state.delivery_verdicts(state.with_event_time(source), delay="5 days", symbols=SYMBOLS), root)
     return spark.read.parquet(f"{root}/out")
 
 

@@ -53,119 +53,166 @@ def _timed(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("event_time", delay).withColumn("event_ms", F.unix_millis("event_time")).drop("event_time")
 
 
-class DeliveryRules(StatefulProcessor):
-    """Verdict on each delivered date of one (time, symbol).
+#: A (time, symbol) of a block that has no date yet.
+NONE = -(2**62)
 
-    State is the latest date and, while the watermark has not passed them, the dates taken; a timer at a date's event time
-    forgets it, since later copies of it are late anyway.
+
+class SymbolBlock(StatefulProcessor):
+    """State of a block of neighbouring symbols at one time: a packed entry per event time, and one date a symbol.
+
+    A date and the place of its symbol in the block are one code, date * symbols + place. One timer a block waits for the
+    oldest entry, so that calls of the state store go with blocks and event times and not with rows.
     """
 
-    def __init__(self, columns: Sequence[str]) -> None:
-        self.columns = list(columns)
+    #: Packed fields of an entry besides its codes, and how long after its event time it is kept.
+    width, keep_ms = 0, 1
+
+    def __init__(self, symbols: int) -> None:
+        self.symbols = symbols
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "date long")
-        self.taken = handle.getMapState("taken", "event_ms long", "date long")
+        self.dates = handle.getValueState("dates", "packed binary")
+        self.entries = handle.getMapState("entries", "event_ms long", "codes binary, fields binary")
+
+    def places(self, rows: pd.DataFrame) -> np.ndarray:
+        return np.mod(rows[SYMBOL].fillna(0).to_numpy(np.int64), self.symbols)
+
+    def read(self) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The date of each place, and the codes and fields of each event time."""
+
+        dates = np.frombuffer(self.dates.get()[0], np.int64).copy() if self.dates.exists() else np.full(self.symbols, NONE)
+        held = {}
+        for k, v in self.entries.iterator():
+            codes = np.frombuffer(v[0], np.int64)
+            held[int(k[0])] = codes, np.frombuffer(v[1]).reshape(len(codes), self.width) if self.width else np.empty((len(codes), 0))
+        return dates, held
+
+    def write(self, event_ms: int, codes: np.ndarray, fields: np.ndarray) -> None:
+        self.entries.updateValue((int(event_ms),), (codes.astype(np.int64).tobytes(), fields.astype(np.float64).tobytes()))
+
+    def wait(self, event_times) -> None:
+        if len(event_times):
+            self.handle.registerTimer(int(min(event_times)) + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        times = [int(k[0]) for k in self.entries.keys()]
+        for t in times:
+            if t + self.keep_ms <= mark:
+                self.entries.removeKey((t,))
+        self.wait([t for t in times if t + self.keep_ms > mark])
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _by_blocks(timed: DataFrame, symbols: int):
+    return timed.withColumn("__block", S.int_bucket(SYMBOL, symbols)).groupBy(TIME, "__block")
+
+
+class DeliveryRules(SymbolBlock):
+    """Verdict on each delivered date of each (time, symbol) of a block.
+
+    State is the latest date of each symbol and, while the watermark has not passed them, the dates taken; they are
+    forgotten behind it, since later copies of them are late anyway.
+    """
+
+    def __init__(self, columns: Sequence[str], symbols: int = 1) -> None:
+        super().__init__(symbols)
+        self.columns = list(columns)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        todo = pd.concat(list(rows)).sort_values([DATE, "event_ms"], kind="stable")
-        dates, times = todo[DATE].to_numpy(np.int64), todo["event_ms"].to_numpy(np.int64)
-        late = times < timers.getCurrentWatermarkInMs()
-        known = np.fromiter((v[0] for _, v in self.taken.iterator()), np.int64)
-        last = self.latest.get()[0] if self.latest.exists() else None
-        again = np.isin(dates, known) | pd.Series(np.where(late, -1 - np.arange(len(dates)), dates)).duplicated().to_numpy()
-        stale = np.zeros(len(dates), bool) if last is None else dates < last
+        todo = pd.concat(list(rows))
+        todo = todo.assign(__at=self.places(todo)).sort_values(["__at", DATE, "event_ms"], kind="stable")
+        dates, times, at = (todo[c].to_numpy(np.int64) for c in (DATE, "event_ms", "__at"))
+        latest, held = self.read()
+        codes, late = dates * self.symbols + at, times < timers.getCurrentWatermarkInMs()
+        again = np.isin(codes, np.concatenate([np.empty(0, np.int64), *[c for c, _ in held.values()]]))
+        again[~late] |= pd.Series(codes[~late]).duplicated().to_numpy()
+        stale = dates < latest[at]
         new = np.flatnonzero(~(late | again | stale))
-        before = np.r_[-1 if last is None else last, dates[new][:-1]] if len(new) else dates[:0]
+        fresh = np.r_[True, at[new][1:] != at[new][:-1]] if len(new) else np.zeros(0, bool)
+        before = np.where(fresh, latest[at[new]], np.r_[NONE, dates[new][:-1]] if len(new) else dates[:0])
         gap = np.zeros(len(dates), bool)
         gap[new] = (dates[new] > before + 1) & (before >= 0)
         verdict = np.select([late, again, stale, gap], ["late", "repeated", "stale", "gap"], "taken")
-        for k in new:
-            self.taken.updateValue((int(times[k]),), (int(dates[k]),))
-            self.handle.registerTimer(int(times[k]))
+        for t, own in pd.Series(codes[new]).groupby(times[new]):
+            self.write(t, np.concatenate([held[t][0], own]) if t in held else own.to_numpy(), np.empty(0))
         if len(new):
-            self.latest.update((int(dates[new[-1]]),))
+            # dates of a symbol rise, so the last one stays
+            latest[at[new]] = dates[new]
+            self.dates.update((latest.tobytes(),))
+            self.wait(times[new])
         yield todo[self.columns].assign(verdict=verdict)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.taken.removeKey((expiredTimerInfo.getExpiryTimeInMs(),))
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
 
-def delivery_verdicts(stream: DataFrame, *, delay: str = "1 day") -> DataFrame:
+def delivery_verdicts(stream: DataFrame, *, delay: str = "1 day", symbols: int = 1) -> DataFrame:
     """Every row of a stream of panel rows with ``event_time``, and a ``verdict`` on its date for its (time, symbol).
 
     ``taken``: the first delivery of a date later than all before; ``gap``: the same, but not the day after the last one;
     ``repeated``: a date taken before (or earlier in this micro-batch); ``stale``: a date never taken, but not later than
     the last one taken; ``late``: its event time is behind the watermark. Nothing is dropped: rows that are not taken are a
-    side output, told apart by the verdict. Needs the RocksDB state store.
+    side output, told apart by the verdict. ``symbols`` neighbouring symbols share a state group, which changes no
+    verdict; a stream keeps the number it began with. Needs the RocksDB state store.
     """
 
     timed = _timed(stream, delay)
     columns = [c for c in stream.columns if c != "event_time"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema if f.name != "event_time")
-    return timed.groupBy(TIME, SYMBOL).transformWithStateInPandas(DeliveryRules(columns), outputStructType=f"{kinds}, verdict string", outputMode="Append", timeMode="EventTime")
+    return _by_blocks(timed, symbols).transformWithStateInPandas(DeliveryRules(columns, symbols), outputStructType=f"{kinds}, verdict string", outputMode="Append", timeMode="EventTime")
 
 
-class FeatureCache(StatefulProcessor):
-    """Features of one (time, symbol) by date, until the lag of exactly the next date turns them into a training row.
+class FeatureCache(SymbolBlock):
+    """Features of each (time, symbol) of a block by date, until the lag of exactly the next date makes a training row.
 
-    A date's first row stays and a lag counts once, so repeated rows change nothing; a timer drops features that no lag
-    has asked for when the watermark passes the next date.
+    A date's first row stays and a lag counts once, so repeated rows change nothing; features that no lag has asked for
+    are dropped when the watermark passes the next date.
     """
 
-    def __init__(self, features: Sequence[str], day_ms: int = 86_400_000) -> None:
-        self.features, self.day_ms = list(features), day_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        fields = ", ".join(f"f{i} double" for i in range(len(self.features)))
-        self.cache = handle.getMapState("cache", "event_ms long", f"date long, weight double, {fields}")
-        self.done = handle.getValueState("done", "date long")
+    def __init__(self, features: Sequence[str], day_ms: int = 86_400_000, symbols: int = 1) -> None:
+        super().__init__(symbols)
+        self.features, self.width, self.keep_ms = list(features), 1 + len(features), day_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         todo = pd.concat(list(rows))
-        names = ["event_ms", DATE, WEIGHT, *self.features]
-        held = pd.DataFrame([(k[0], *v) for k, v in self.cache.iterator()], columns=names)
-        done = self.done.get()[0] if self.done.exists() else -(2**62)
-        mark = timers.getCurrentWatermarkInMs()
-        fresh = todo.loc[(todo["kind"] == "test") & (todo["event_ms"] + self.day_ms > mark) & (todo[DATE] >= done), names]
-        known = pd.concat([held, fresh]).drop_duplicates(DATE).astype({DATE: "int64", "event_ms": "int64"}) if len(held) else fresh.drop_duplicates(DATE)
-        lags = todo.loc[(todo["kind"] == "lag") & (todo[DATE] > done), [DATE, TARGET_LAG]].drop_duplicates(DATE)
-        met = known.assign(**{DATE: known[DATE] + 1}).merge(lags, on=DATE)
-        reached = max(done, int(lags[DATE].max())) if len(lags) else done
+        todo = todo.assign(__code=todo[DATE].to_numpy(np.int64) * self.symbols + self.places(todo))
+        done, entries = self.read()
+        names, n = [WEIGHT, *self.features], self.symbols
+        open_, test = todo[DATE].to_numpy(np.int64) - done[todo["__code"] % n], (todo["kind"] == "test").to_numpy()
+        in_time = (todo["event_ms"] + self.keep_ms > timers.getCurrentWatermarkInMs()).to_numpy()
+        fresh = todo.loc[test & in_time & (open_ >= 0), ["event_ms", "__code", *names]]
+        held = [pd.DataFrame(v, columns=names).assign(event_ms=t, __code=c) for t, (c, v) in entries.items()]
+        known = pd.concat([*held, fresh])[list(fresh.columns)].drop_duplicates("__code").astype({"event_ms": "int64", "__code": "int64"} | dict.fromkeys(names, "float64"))
+        lags = todo.loc[(todo["kind"] == "lag").to_numpy() & (open_ > 0), ["__code", TARGET_LAG]].drop_duplicates("__code")
+        met = known.assign(__code=known["__code"] + n).merge(lags, on="__code")
+        if len(lags):
+            np.maximum.at(done, lags["__code"].to_numpy() % n, lags["__code"].to_numpy() // n)
+            self.dates.update((done.tobytes(),))
         # a lag of date d uses up all features before d
-        left = known[known[DATE] >= reached]
-        for k in set(held["event_ms"]) - set(left["event_ms"]):
-            self.cache.removeKey((int(k),))
-        for row in left[~left["event_ms"].isin(held["event_ms"])].itertuples(index=False):
-            self.cache.updateValue((int(row[0]),), (int(row[1]), *map(float, row[2:])))
-            self.handle.registerTimer(int(row[0]) + self.day_ms)
-        if reached > done:
-            self.done.update((reached,))
+        left = known[(known["__code"] // n).to_numpy() >= done[known["__code"] % n]]
+        kept = {int(t): part for t, part in left.groupby("event_ms", sort=False)}
+        for t in entries.keys() - kept.keys():
+            self.entries.removeKey((t,))
+        added = [t for t, part in kept.items() if t not in entries or not np.array_equal(entries[t][0], part["__code"])]
+        for t in added:
+            self.write(t, kept[t]["__code"].to_numpy(), kept[t][names].to_numpy())
+        self.wait(added)
         if len(met):
-            met = met.assign(**{TIME: int(key[0]), SYMBOL: int(key[1])}).rename(columns={TARGET_LAG: TARGET}).sort_values(DATE)
-            yield met[[*KEYS, WEIGHT, *self.features, TARGET]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.cache.removeKey((expiredTimerInfo.getExpiryTimeInMs() - self.day_ms,))
-        yield from ()
-
-    def close(self) -> None:
-        pass
+            code = met["__code"].to_numpy()
+            out = met.assign(**{DATE: code // n, TIME: int(key[0]), SYMBOL: int(key[1]) * n + code % n}).rename(columns={TARGET_LAG: TARGET})
+            yield out.sort_values([SYMBOL, DATE])[[*KEYS, *names, TARGET]]
 
 
-def training_rows(stream: DataFrame, features: Sequence[str], *, delay: str = "1 day") -> DataFrame:
-    """Training rows from interleaved test and lag rows with ``event_time``, state per (time, symbol) in RocksDB.
+def training_rows(stream: DataFrame, features: Sequence[str], *, delay: str = "1 day", symbols: int = 1) -> DataFrame:
+    """Training rows from interleaved test and lag rows with ``event_time``, state per (time, block of symbols) in RocksDB.
 
     A lag of date d meets the features of date d - 1. Lags sent twice give one row, a lag older than the last one none;
-    older or repeated test rows don't overwrite. Needs ``spark.sql.streaming.stateStore.providerClass`` set to the
+    older or repeated test rows don't overwrite. ``symbols`` neighbouring symbols share a state group, which changes no
+    row; a stream keeps the number it began with. Needs ``spark.sql.streaming.stateStore.providerClass`` set to the
     RocksDB provider.
     """
 
     schema = f"{DATE} long, {TIME} long, {SYMBOL} long, {WEIGHT} double, " + ", ".join(f"{c} double" for c in features) + f", {TARGET} double"
-    return _timed(stream, delay).groupBy(TIME, SYMBOL).transformWithStateInPandas(FeatureCache(features), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return _by_blocks(_timed(stream, delay), symbols).transformWithStateInPandas(FeatureCache(features, symbols=symbols), outputStructType=schema, outputMode="Append", timeMode="EventTime")

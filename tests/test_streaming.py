@@ -214,3 +214,27 @@ def test_tumbling_windows_close_with_the_watermark(spark, tmp_path):
     assert [closed(p) for p in seen] == [[0, 1, 2], [2, 3], [3, 4, 5]]
     assert {(r[0], r[1]) for r in seen[2]} == {(3, 1), (4, 2), (5, 1)}
     assert held[-1] <= 3 < held[0]
+
+
+@pytest.mark.parametrize("kind", ["verdicts", "cache"])
+def test_neighbouring_symbols_share_state_entries(spark, rocksdb, tmp_path, kind):
+    """Results don't depend on the blocks, and state entries go with blocks and dates, not with symbols."""
+    from panelkit.streaming.state import delivery_verdicts, training_rows
+
+    symbols = range(-20, 130)
+    if kind == "verdicts":
+        dates = lambda s: [5, 6, 6] if s % 3 else [5, 7]
+        rows = [(d, 0, s, float(s)) for s in symbols for d in dates(s)]
+        seen, held = drain(spark, lambda q: delivery_verdicts(q, delay="3 days", symbols=50), [rows, [(7, 0, s, float(s)) for s in symbols]], "date_id int, time_id int, symbol_id int, weight double", str(tmp_path))
+        first = [(5, 0, s, float(s), "taken") for s in symbols] + [(6, 0, s, float(s), v) for s in symbols if s % 3 for v in ("taken", "repeated")] + [(7, 0, s, float(s), "gap") for s in symbols if not s % 3]
+        assert [sorted(part) for part in seen] == [sorted(first), sorted((7, 0, s, float(s), "taken" if s % 3 else "repeated") for s in symbols)]
+    else:
+        schema = f"date_id int, time_id int, symbol_id int, weight double, a double, kind string, {TARGET_LAG} double"
+        test = lambda d, s: (d, 0, s, 1.0, float(100 * d + s), "test", None)
+        lag = lambda d, s: (d, 0, s, None, None, "lag", float(s))
+        parts = [[test(d, s) for s in symbols for d in (5, 6)] + [lag(6, s) for s in symbols if s % 3], [lag(d, s) for s in symbols for d in (6, 7)]]
+        seen, held = drain(spark, lambda q: training_rows(q, ["a"], delay="3 days", symbols=50), parts, schema, str(tmp_path))
+        row = lambda d, s: (d, 0, s, 1.0, float(100 * (d - 1) + s), float(s))
+        want = [[row(6, s) for s in symbols if s % 3], [row(7, s) for s in symbols] + [row(6, s) for s in symbols if not s % 3]]
+        assert [sorted(part) for part in seen] == [sorted(part) for part in want]
+    assert max(held) < len(symbols)
