@@ -131,3 +131,10 @@ def test_quantiles_send_no_rows_to_the_task_of_their_group(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got == {0: {"v": [249.5, 499.0]}, 1: {"v": [250.5, 500.0]}}
     assert plans and not any("SortMergeJoin" in p for p in plans)
+
+
+def test_cells_of_values_are_compiled_comparisons(spark):
+    rows = spark.createDataFrame([(v, [1.0, 1.0, 2.5, 4.0]) for v in (0.5, 1.0, 1.5, 2.5, 3.0, 4.0, 9.0)], "v double, cuts array<double>")
+    out = rows.select("v", core.cell_of("v", "cuts", 4).alias("cell"))
+    assert [r.cell for r in out.orderBy("v").collect()] == [0, 0, 2, 2, 3, 3, 4]
+    assert "lambda" not in out._jdf.queryExecution().toString()
