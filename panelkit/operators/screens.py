@@ -618,40 +618,66 @@ def periodogram(df: DataFrame, *, top_k: int = 10, by: Sequence[str] = (SYMBOL,)
     """Strongest nonzero frequencies of each group's series.
 
     The series is the mean per ``order`` value (a date by default; date and time give the raw rows of a unique key). Fourier
-    sums are additive: a task transforms a block of consecutive rows, padded and turned to its place in the series, and
-    Spark adds up the blocks, so that no group has to fit a task. Series under four values have none.
+    sums are additive: a task transforms blocks of consecutive rows, padded and turned to their place in the series, and adds
+    up those of one stretch of the series; Spark adds up the stretches, so that no group has to fit a task. A series that
+    lies in one stretch sends its strongest frequencies and its total alone. Series under four values have none.
     """
 
     if top_k <= 0:
         raise ValueError("top_k must be positive")
     by, order = list(by), list(order)
     x = S.dbl(TARGET) if value is None else value
-    series = df.select(*by, *order, x.alias("x")).where(S.is_finite("x")).groupBy(*by, *order).agg(F.avg("x").alias("x"))
-    # numbered by parts of the first order column, so that a long series isn't numbered in one task
-    parts = row_index(series.withColumn("__part", F.floor(F.col(order[0]) / dates_per_part)), [*by, "__part", *order], "__i", levels=len(by) + 1)
-    numbered = with_group_stats(parts, by, {"__n": F.count(F.lit(1)), "__mean": F.avg("x"), "__first": F.min("__i")})
-    rows = numbered.where("__n >= 4").select(*by, (F.col("x") - F.col("__mean")).alias("x"), (F.col("__i") - F.col("__first")).alias("j"), F.col("__n").alias("n"))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, start = int(pdf["n"].iloc[0]), int(pdf["j"].min())
-        held = np.zeros(min(block, n - start))
-        held[pdf["j"].to_numpy() - start] = pdf["x"].to_numpy()
-        k = np.arange(n // 2 + 1)
-        f = np.fft.rfft(held, n) * np.exp(-2j * np.pi * (k * start % n) / n)
-        out = pd.DataFrame({"k": k[1:].astype(np.int32), "re": f.real[1:], "im": f.imag[1:], "n": n})
-        for c in reversed(by):
-            out.insert(0, c, [pdf[c].iloc[0]] * len(out))
-        return out
-
-    pieces = rows.withColumn("__block", F.floor(F.col("j") / block)).groupBy(*by, "__block").applyInPandas(transform, f"{kinds}, k int, re double, im double, n long")
-    sums = pieces.groupBy(*by, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.first("n").alias("n"))
-    power = sums.select(*by, "k", "n", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
-    total = power.groupBy(*by).agg(F.sum("power").alias("__all"))
-    strongest = Window.partitionBy(*by).orderBy(F.desc("power"), "k")
-    best = power.withColumn("__r", F.row_number().over(strongest)).where(F.col("__r") <= top_k)
+    rows = df.select(*by, *order, x.alias("x"), F.floor(F.col(order[0]) / dates_per_part).alias("__part")).where(S.is_finite("x"))
+    # parts of a series: its values in order as one array; rows are shuffled once and the parts are read twice
+    means = rows.repartition(*by, "__part").groupBy(*by, "__part", *order).agg(F.avg("x").alias("x"))
+    held = F.sort_array(F.collect_list(F.struct(*order, "x")))
+    parts = stored(means.groupBy(*by, "__part").agg(held.alias("v"), F.sum("x").alias("__s")).select(*by, "__part", F.size("v").cast("long").alias("__c"), "__s", F.col("v.x").alias("x")), "series")
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    before = F.sum("__c").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
+    n = F.sum("__c").over(whole)
+    places = parts.select(*by, "__part", before.alias("start"), n.alias("n"), (F.sum("__s").over(whole) / n).alias("mean")).where("n >= 4")
+    stretch = F.floor(F.col("start") / max(block, FOURIER_BLOCK)).alias("__stretch")
+    pieces = join_groups(parts, places, [*by, "__part"], "inner").groupBy(*by, stretch).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("start").alias("start"), F.flatten(F.sort_array(F.collect_list(F.struct("start", "x")))["x"]).alias("x")
+    )
+    kinds = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], "n long, k int, re double, im double, total double"])
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, n, mean, start in zip(batch.column("x"), *[batch.column(c).to_numpy() for c in ("n", "mean", "start")], strict=True):
+                sums = _fourier_sums(x.values.to_numpy() - mean, int(n), int(start), block)
+                found.append(_strongest(sums, int(n), top_k) if len(x) == n else (np.arange(1, len(sums) + 1), sums, np.nan))
+            sent = np.repeat(np.arange(len(found)), [len(k) for k, *_ in found])
+            held = batch.select([*by, "n"]).take(pa.array(sent))
+            f = np.concatenate([f for _, f, _ in found])
+            total = pa.array(np.array([t for *_, t in found])[sent], from_pandas=True)
+            k = pa.array(np.concatenate([k for k, *_ in found]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*held.columns, k, pa.array(f.real), pa.array(f.imag), total], names=[*by, "n", "k", "re", "im", "total"])
+
+    sums = pieces.mapInArrow(transform, kinds).groupBy(*by, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.first("n").alias("n"), F.max("total").alias("total"))
+    power = sums.select(*by, "k", "n", "total", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
+    strongest = whole.orderBy(F.desc("power"), "k")
+    best = power.withColumns({"__all": F.coalesce("total", F.sum("power").over(whole)), "__r": F.row_number().over(strongest)}).where(F.col("__r") <= top_k)
     share = F.when(F.col("__all") > 0, F.col("power") / F.col("__all")).otherwise(0.0)
-    return join_groups(best, total, by).select(*by, F.col("k").alias("frequency_index"), (F.col("k") / F.col("n")).alias("frequency"), (F.col("n") / F.col("k")).alias("period_rows"), "power", share.alias("power_share"))
+    return best.select(*by, F.col("k").alias("frequency_index"), (F.col("k") / F.col("n")).alias("frequency"), (F.col("n") / F.col("k")).alias("period_rows"), "power", share.alias("power_share"))
+
+
+def _fourier_sums(x: np.ndarray, n: int, start: int, block: int) -> np.ndarray:
+    """Fourier sums 1..n/2 of a series of n values, out of its values from ``start`` on, a block at a time."""
+
+    k, sums = np.arange(n // 2 + 1), np.zeros(n // 2 + 1, complex)
+    for at in range(0, len(x), block):
+        sums += np.fft.rfft(x[at : at + block], n) * np.exp(-2j * np.pi * (k * (start + at) % n) / n)
+    return sums[1:]
+
+
+def _strongest(sums: np.ndarray, n: int, top_k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The ``top_k`` strongest frequencies, their sums, and the power of all."""
+
+    power = (sums.real * sums.real + sums.imag * sums.imag) / n
+    at = np.lexsort((np.arange(len(sums)), -power))[:top_k]
+    return at + 1, sums[at], power.sum()
 
 
 def hill_table(df: DataFrame, k: int, *, value: Column | None = None) -> DataFrame:

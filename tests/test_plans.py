@@ -595,3 +595,21 @@ def test_typical_evidence_holds_when_sums_change_between_reads(spark):
         found = WF._typical_before(rows, names, lambda fold: {"g": F.col("g")}, evidence)
         assert [found[f] for f in names] == pytest.approx([0.0, *[k * (1 + 49 + 1 + 64) / 2 for k in (1, 2, 3)]], rel=1e-9)
         assert calibrate._typical(rows, ["g"], evidence) == pytest.approx(4 * (1 + 49 + 1 + 64) / 2, rel=1e-9)
+
+
+def test_periodogram_reads_blocks_once_and_adds_up_stretches(toy, monkeypatch):
+    """Blocks of a series are no groups of their own, and what they send is read once; a long series is several stretches."""
+
+    monkeypatch.setattr(screens, "FOURIER_BLOCK", 16)
+    pdf, df = toy
+    found = screens.periodogram(df, top_k=3, order=["date_id", "time_id"], block=5, dates_per_part=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+    got = found.toPandas()
+    for s, rows in pdf.sort_values(["date_id", "time_id"]).groupby("symbol_id"):
+        x = rows.responder_6.to_numpy()
+        power = np.abs(np.fft.rfft(x - x.mean()))[1:] ** 2 / len(x)
+        best = np.argsort(-power)[:3]
+        mine = got[got.symbol_id == s].sort_values("power", ascending=False)
+        assert mine.frequency_index.tolist() == (best + 1).tolist()
+        np.testing.assert_allclose(mine.power_share, power[best] / power.sum())
