@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.blocks import LINE, Totals, added_up, matrix, pair_views, single_views, view_sums
-from panelkit.operators.core import exact_quantiles, join_groups, ordered_counts, ratio, with_group_stats, with_halo, zsum
+from panelkit.operators.core import BLOCK_ROWS, exact_quantiles, hot_groups, join_groups, ordered_counts, ratio, with_group_stats, with_halo, zsum
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
 from panelkit.operators.sampling import bijection, row_index
 from panelkit.operators.stats import normal_stats, standardizer, z_expr
-from panelkit.operators.xsection import z_and_rank
 from panelkit.schema import DATE, KEYS, SYMBOL, TARGET, TIME, WEIGHT
 from panelkit.session import stored
 
@@ -318,20 +317,39 @@ def interaction_screen(df: DataFrame, features: Sequence[str], *, details: bool
     return out.select("left", "right", "interaction", "alpha", "valid_r2", "valid_corr") if details else out
 
 
-def xs_screen(df: DataFrame, features: Sequence[str], groupings: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Fit cross-sectional z-scores and ranks of each grouping, computed inside each split."""
+def xs_screen(df: DataFrame, features: Sequence[str], groupings: Mapping[str, Sequence[str]], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fit cross-sectional z-scores and ranks of each grouping, computed inside each split.
 
+    Both are functions of the group and the value, so rows collapse to sums per value before ranks are counted; a group
+    of more than ``block_rows`` rows is cut into blocks of values. No task holds the rows of a group.
+    """
+
+    y, w = S.dbl(TARGET), S.dbl(WEIGHT)
+    counts = F.when(valid_rows([TARGET]), w)
+    sums = {"sw": counts, "swy": counts * y, "swyy": counts * y * y}
+    entries = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), S.dbl(f).alias("x")) for f in features])).alias("e")
     parts = []
     for name, groups in groupings.items():
-        cut = z_and_rank(df, features, [IS_TRAIN, *groups], name)
-        entries = [
-            F.struct(F.lit(f).alias("feature"), F.lit(name).alias("grouping"), F.lit(t).alias("transform"), F.col(f"{f}_{t}_{name}").alias("phi"))
-            for f in features
-            for t in ("cs_z", "cs_rank")
-        ]
-        parts.append(cut.select(IS_TRAIN, WEIGHT, TARGET, F.explode(F.array(*entries)).alias("e")).select(IS_TRAIN, WEIGHT, TARGET, "e.*"))
-    long = reduce(lambda a, b: a.unionByName(b), parts)
-    return with_fit(fit_sums(long, ["feature", "grouping", "transform"])).select("feature", "grouping", "transform", "alpha", "valid_r2", "valid_corr")
+        keys = [IS_TRAIN, *groups]
+        long = df.select(*keys, *[c.alias(n) for n, c in sums.items()], entries).select("e.*", *keys, *sums)
+        hot = [(f, *g) for g in hot_groups(df, keys, block_rows) for f in features]
+        cells = ordered_counts(long, ["feature", *keys], "x", hot=hot, sums=list(sums))
+        moments = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("m"), F.col(f"s_{f}").alias("s")) for f in features])).alias("e")
+        stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for f in features for n, c in ((f"m_{f}", F.avg(S.dbl(f))), (f"s_{f}", F.stddev_samp(S.dbl(f))))])
+        placed = join_groups(cells, stats.select(*keys, "rows", moments).select(*keys, "rows", "e.*"), ["feature", *keys], "inner")
+        z = (F.col("__v") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
+        rank = (F.col("cum") - (F.col("n") - 1) / 2 - 1.0) / F.when(F.col("rows") > 1, F.col("rows") - 1).otherwise(1) - 0.5
+        # missing values have both views at 0
+        missing = long.where("x is null").groupBy("feature", IS_TRAIN).agg(*[F.sum(n).alias(n) for n in sums])
+        both = placed.select("feature", IS_TRAIN, *sums, z.alias("cs_z"), rank.alias("cs_rank"))
+        both = both.unionByName(missing.withColumns({"cs_z": F.lit(0.0), "cs_rank": F.lit(0.0)}))
+        views = F.explode(F.array(*[F.struct(F.lit(t).alias("transform"), F.col(t).alias("phi")) for t in ("cs_z", "cs_rank")])).alias("e")
+        parts.append(both.select("feature", IS_TRAIN, F.lit(name).alias("grouping"), *sums, views).select("feature", IS_TRAIN, "grouping", *sums, "e.*"))
+    cells = reduce(lambda a, b: a.unionByName(b), parts).where(S.is_finite("phi"))
+    phi = F.col("phi")
+    terms = {n: F.col(n) for n in sums} | {"swx": F.col("sw") * phi, "swxx": F.col("sw") * phi * phi, "swxy": F.col("swy") * phi}
+    both = [zsum(F.when(cond, c)).alias(f"{tag}_{n}") for tag, cond in (("t", F.col(IS_TRAIN)), ("v", ~F.col(IS_TRAIN))) for n, c in terms.items()]
+    return with_fit(cells.groupBy("feature", "grouping", "transform").agg(*both)).select("feature", "grouping", "transform", "alpha", "valid_r2", "valid_corr")
 
 
 # --------------------------------------------------------------------------- null targets

@@ -613,3 +613,26 @@ def test_periodogram_reads_blocks_once_and_adds_up_stretches(toy, monkeypatch):
         mine = got[got.symbol_id == s].sort_values("power", ascending=False)
         assert mine.frequency_index.tolist() == (best + 1).tolist()
         np.testing.assert_allclose(mine.power_share, power[best] / power.sum())
+
+
+def test_xs_screen_ranks_values_not_rows(toy):
+    """No window runs over the rows of a group; groups cut into blocks of values, and missing values, change nothing."""
+
+    pdf, df = toy
+    split = screens.split_frame(df, 12)
+    groupings = {"date": ["date_id"], "all": ["fold"]}
+    whole, cut = (screens.xs_screen(split, ["feature_00", "feature_01"], groupings, block_rows=b) for b in (5_000_000, 10))
+    assert "rank(" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    got, same = (t.toPandas().sort_values(["feature", "grouping", "transform"]).reset_index(drop=True) for t in (whole, cut))
+    np.testing.assert_allclose(got[["alpha", "valid_r2", "valid_corr"]], same[["alpha", "valid_r2", "valid_corr"]], rtol=1e-9, atol=1e-12)
+    train = pdf.date_id < 12
+    for r in got.itertuples():
+        g = pdf.groupby([train, groupings[r.grouping][0]])[r.feature]
+        if r.transform == "cs_z":
+            phi = g.transform(lambda v: (v - v.mean()) / v.std()).fillna(0)
+        else:
+            phi = g.transform(lambda v: (v.rank() - 1) / (len(v) - 1) - 0.5).fillna(0)
+        t, v = pdf[train], pdf[~train]
+        a = (t.weight * phi[train] * t.responder_6).sum() / (t.weight * phi[train] ** 2).sum()
+        assert r.alpha == pytest.approx(a)
+        assert r.valid_r2 == pytest.approx(1 - (v.weight * (v.responder_6 - a * phi[~train]) ** 2).sum() / (v.weight * v.responder_6**2).sum())
