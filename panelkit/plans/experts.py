@@ -23,6 +23,7 @@ from panelkit.operators.profiles import unpivot
 from panelkit.operators.sampling import hash_sample
 from panelkit.operators.stats import Normal, linear_expr, normal_stats, solve, standardizer
 from panelkit.schema import FOLD, TARGET, WEIGHT, number_tag
+from panelkit.session import stored
 
 
 def stacker_columns(df: DataFrame, left: str, right: str, ensemble: str) -> DataFrame:
@@ -307,31 +308,75 @@ def oof_collect(df: DataFrame, fold: Fold, features: Sequence[str], *, n_folds:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Bins of a feature and, as in Spark's own trees, rows that their cut points come from.
+BINS, CUT_ROWS = 32, 10_000
+
+
 def gbt_expert(
     train: DataFrame, valid: DataFrame, features: Sequence[str], *, seeds: Sequence[int] = (17,), fraction: float = 1.0, residual_of: str | None = None,
     trees: int = 20, depth: int = 3, step: float = 0.1, output: str = "gbt_prediction",
 ) -> DataFrame:
-    """Boosted trees on a hash sample, averaged over seeds; optionally on the residual of a base prediction."""
+    """Boosted trees on a hash sample, averaged over seeds; optionally on the residual of a base prediction.
+
+    A tree sees a row's bins alone, so rows with equal bins are one row with their mean label and summed weight: splits
+    and leaves of squared error are those of all rows, and each tree reads bins, not rows.
+    """
 
     if not seeds:
         raise ValueError("seeds must not be empty")
-    assembler = VectorAssembler(inputCols=[f"__f_{c}" for c in features], outputCol="__x")
-
-    def vectors(rows: DataFrame) -> DataFrame:
-        return assembler.transform(rows.withColumns({f"__f_{c}": S.filled(c) for c in features}))
-
     label = S.dbl(TARGET) - S.dbl(residual_of) if residual_of else S.dbl(TARGET)
-    out = vectors(valid)
-    members = []
+    out, members = valid, []
     for seed in seeds:
         sample = hash_sample(train, fraction, seed) if fraction < 1.0 else train
-        data = vectors(sample).select("__x", label.alias("__y"), S.dbl(WEIGHT).alias("__w"))
-        model = GBTRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol=f"__m{seed}", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(data)
-        out = model.transform(out)
+        cuts = _cut_points(sample, features, label, seed)
+        codes = [f"__f_{c}" for c in features]
+        # a bucketizer's bins begin with their cut point, those of trees end with it; a feature of one value is one bin
+        edges = {c: [-math.inf, *(np.nextafter(cuts[c], math.inf).tolist() or [0.0]), math.inf] for c in features}
+        bins = Bucketizer(splitsArray=list(edges.values()), inputCols=[f"__v_{c}" for c in features], outputCols=codes)
+
+        def coded(t: DataFrame) -> DataFrame:
+            placed = bins.transform(t.withColumns({f"__v_{c}": S.filled(c) for c in features})).drop(*[f"__v_{c}" for c in features])
+            return placed.withColumns({c: F.col(c) + 1.0 for c in codes})
+
+        assembler = VectorAssembler(inputCols=codes, outputCol="__x")
+        rows = coded(sample).select(*codes, label.alias("__y"), S.dbl(WEIGHT).alias("__w"))
+        cells = rows.groupBy(*codes).agg(F.sum(F.col("__w") * F.col("__y")).alias("__wy"), F.sum("__w").alias("__w")).where("__w > 0")
+        data = assembler.transform(stored(cells, "bins")).select("__x", (F.col("__wy") / F.col("__w")).alias("__y"), "__w")
+        # codes are few: so many bins are allowed that each boundary of codes is a split
+        model = GBTRegressor(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol=f"__m{seed}", maxIter=trees, maxDepth=depth, stepSize=step, maxBins=BINS * BINS, seed=seed).fit(data)
+        out = model.transform(assembler.transform(coded(out))).drop("__x", *codes)
         members.append(F.col(f"__m{seed}"))
     mean = S.total(members) / float(len(members))
     base = S.dbl(residual_of) if residual_of else F.lit(0.0)
-    return out.withColumn(output, base + mean).drop("__x", *[f"__f_{c}" for c in features], *[f"__m{s}" for s in seeds])
+    return out.withColumn(output, base + mean).drop(*[f"__m{s}" for s in seeds])
+
+
+def _cut_points(rows: DataFrame, features: Sequence[str], label: Column, seed: int) -> dict[str, list[float]]:
+    """Cut points of about equal weight between the values of each feature, out of about ``CUT_ROWS`` rows (all, if fewer)."""
+
+    bad = ~F.coalesce(S.is_finite(label) & S.is_finite(WEIGHT) & (S.dbl(WEIGHT) >= 0), F.lit(False))
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if(bad)).first()
+    if n == 0 or n_bad:
+        raise ValueError(f"training rows: {n}, of these without a finite target or weight: {n_bad}")
+    some = rows if n <= CUT_ROWS else hash_sample(rows, CUT_ROWS / n, seed + 1)
+    held = np.array(some.select(S.dbl(WEIGHT), *[S.filled(c) for c in features]).collect(), float)
+    return {c: _weighted_cuts(held[:, i + 1], held[:, 0]) for i, c in enumerate(features)}
+
+
+def _weighted_cuts(values: np.ndarray, weights: np.ndarray) -> list[float]:
+    distinct, at = np.unique(values, return_inverse=True)
+    middle = (distinct[:-1] + distinct[1:]) / 2.0
+    if len(distinct) <= BINS:
+        return middle.tolist()
+    total = np.cumsum(np.bincount(at, weights))
+    cuts, stride = [], total[-1] / BINS
+    target = stride
+    # a cut before the value that would go further past the target than the values so far stay below it
+    for i, m in enumerate(middle):
+        if abs(total[i] - target) < abs(total[i + 1] - target):
+            cuts.append(float(m))
+            target += stride
+    return cuts
 
 
 def pca_geometry(df: DataFrame, features: Sequence[str], *, k: int = 3, fit_on: DataFrame | None = None) -> tuple[DataFrame, list[float]]:

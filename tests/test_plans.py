@@ -636,3 +636,31 @@ def test_xs_screen_ranks_values_not_rows(toy):
         a = (t.weight * phi[train] * t.responder_6).sum() / (t.weight * phi[train] ** 2).sum()
         assert r.alpha == pytest.approx(a)
         assert r.valid_r2 == pytest.approx(1 - (v.weight * (v.responder_6 - a * phi[~train]) ** 2).sum() / (v.weight * v.responder_6**2).sum())
+
+
+def test_boosted_trees_fit_bins_not_rows(toy, monkeypatch):
+    """The fit gets one row for equal bins, and predicts what Spark's trees on all rows predict."""
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    seen = []
+
+    class Counted(GBTRegressor):
+        def fit(self, data):
+            seen.append(data.count())
+            return super().fit(data)
+
+    monkeypatch.setattr(E, "GBTRegressor", Counted)
+    df = toy[1].withColumn("feature_00", F.round("feature_00", 2))
+    rows = df.unionByName(df.withColumns({"symbol_id": F.col("symbol_id") + 6, "responder_6": F.col("responder_6") + F.col("feature_00")}))
+    train, valid, features = rows.where("date_id < 14"), rows.where("date_id >= 14"), ["feature_00", "feature_01"]
+    got = E.gbt_expert(train, valid, features, seeds=[17])
+    assert len(seen) == 1 and seen[0] <= train.count() / 2
+    x = VectorAssembler(inputCols=["f0", "f1"], outputCol="x")
+    train, valid = (x.transform(t.withColumns({"f0": F.col("feature_00"), "f1": F.coalesce("feature_01", F.lit(0.0))})) for t in (train, valid))
+    plain = GBTRegressor(featuresCol="x", labelCol="responder_6", weightCol="weight", maxIter=20, maxDepth=3, stepSize=0.1, seed=17).fit(train).transform(valid)
+    keys = ["date_id", "time_id", "symbol_id"]
+    both = got.select(*keys, "gbt_prediction").toPandas().merge(plain.select(*keys, "prediction").toPandas(), on=keys)
+    assert len(both) == valid.count()
+    np.testing.assert_allclose(both.gbt_prediction, both.prediction, rtol=1e-9)
