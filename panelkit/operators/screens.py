@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.blocks import LINE, Totals, added_up, matrix, pair_views, single_views, view_sums
-from panelkit.operators.core import BLOCK_ROWS, exact_quantiles, hot_groups, join_groups, ordered_counts, ratio, with_group_stats, with_halo, zsum
+from panelkit.operators.core import BLOCK_ROWS, exact_quantiles, hot_groups, join_groups, order_statistics, ordered_counts, ratio, running_counts, wanted_ranks, with_group_stats, with_halo, zsum
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
 from panelkit.operators.sampling import bijection, row_index
@@ -82,6 +82,20 @@ def wide_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) ->
     Train rows rank among themselves, validation rows get the share of train values not above them.
     """
 
+    n, fill, scale = _filling(df, features)
+    wide = df.select(*[c for c in df.columns if c not in features], *[_filled(c, fill[c]).alias(f"__x_{c}") for c in features])
+    if ranks:
+        wide = _with_ranks(wide, features, n)
+    return wide.withColumns({f"__z_{c}": (F.col(f"__x_{c}") - F.lit(fill[c])) / F.lit(scale[c]) for c in features})
+
+
+def _filled(feature: str, fill: float) -> Column:
+    return F.coalesce(F.when(S.is_finite(feature), S.dbl(feature)), F.lit(fill))
+
+
+def _filling(df: DataFrame, features: Sequence[str]) -> tuple[int, dict[str, float], dict[str, float]]:
+    """Train rows, and of each feature the train mean that fills it and its scale once filled."""
+
     filled = {c: F.when(S.is_finite(c), S.dbl(c)) for c in features}
     train = F.col(IS_TRAIN)
     row = df.agg(
@@ -94,12 +108,7 @@ def wide_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) ->
     fill = {c: row[f"m_{c}"] if row[f"m_{c}"] is not None else 0.0 for c in features}
     # filling with the mean leaves the mean alone and dilutes the variance by the share of missing rows
     spread = {c: (row[f"s_{c}"] or 0.0) * math.sqrt(row[f"k_{c}"] / n) if n else 0.0 for c in features}
-    scale = {c: v if v > 0 else 1.0 for c, v in spread.items()}
-    wide = df.select(*[c for c in df.columns if c not in features], *[F.coalesce(x, F.lit(fill[c])).alias(f"__x_{c}") for c, x in filled.items()])
-    if ranks:
-        wide = _with_ranks(wide, features, n)
-    z = {c: (F.col(f"__x_{c}") - F.lit(fill[c])) / F.lit(scale[c]) for c in features}
-    return wide.withColumns({f"__z_{c}": e for c, e in z.items()})
+    return n, fill, {c: v if v > 0 else 1.0 for c, v in spread.items()}
 
 
 #: Largest number of distinct values of a feature whose ranks are sent to all tasks.
@@ -109,12 +118,7 @@ RANK_VALUES = 1_000_000
 def _with_ranks(wide: DataFrame, features: Sequence[str], n: int) -> DataFrame:
     """Ranks of filled features from their counted values: the rows stay where they are unless a feature has very many values."""
 
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__x_{c}").alias("x")) for c in features])
-    long = wide.select(IS_TRAIN, F.explode(entries).alias("e")).select(IS_TRAIN, "e.*")
-    counts = ordered_counts(long, ["feature"], "x", counted=F.col(IS_TRAIN))
-    own = (F.col("cum") - (F.col("n") + 1) / 2) / F.lit(float(max(n - 1, 1))) - 0.5 if n > 1 else F.lit(0.0)
-    reference = F.col("cum") / F.lit(float(max(n, 1))) - 0.5 if n > 1 else F.lit(0.0)
-    counts = stored(counts.select("feature", "__v", own.alias("__own"), reference.alias("__reference")), "value-ranks")
+    counts = _value_ranks(wide, features, n)
     values = {r["feature"]: r["count"] for r in counts.groupBy("feature").count().collect()}
     for c in features:
         table = counts.where(F.col("feature") == c).select(F.col("__v").alias(f"__x_{c}"), "__own", "__reference")
@@ -123,6 +127,20 @@ def _with_ranks(wide: DataFrame, features: Sequence[str], n: int) -> DataFrame:
     return wide
 
 
+def _value_ranks(wide: DataFrame, features: Sequence[str], n: int, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Each filled value ``__v`` of a feature with its rank among the train rows (``__own``), the one it gets outside of them
+    (``__reference``), its train rows ``n``, and sums over its rows. Rows are read once; only their values are put in order."""
+
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__x_{c}").alias("__v")) for c in features])
+    sums = sums or {}
+    long = wide.select(IS_TRAIN, *[c.alias(k) for k, c in sums.items()], F.explode(entries).alias("e")).select(IS_TRAIN, *sums, "e.*")
+    cells = stored(long.groupBy("feature", "__v").agg(F.count_if(IS_TRAIN).alias("n"), *[F.sum(k).alias(k) for k in sums]), "values")
+    counts = running_counts(cells, cells, ["feature"], hot_groups(cells, ["feature"]))
+    own = (F.col("cum") - (F.col("n") + 1) / 2) / F.lit(float(max(n - 1, 1))) - 0.5 if n > 1 else F.lit(0.0)
+    reference = F.col("cum") / F.lit(float(max(n, 1))) - 0.5 if n > 1 else F.lit(0.0)
+    return stored(counts.select("feature", "__v", "n", own.alias("__own"), reference.alias("__reference"), *sums), "value-ranks")
+
+
 def base_views(df: DataFrame, features: Sequence[str], *, ranks: bool = True) -> DataFrame:
     """Long table ``feature, x, z, rank`` of the columns that ``wide_views`` makes."""
 
@@ -161,43 +179,183 @@ def transform_views(df: DataFrame, features: Sequence[str], views: Sequence[str]
 def univariate_screen(df: DataFrame, features: Sequence[str], views: Sequence[str] = VIEWS, *, details: bool = True, bins: int = 10) -> DataFrame:
     """Fit, R2, correlation and (with ``details``) tail means and binned information of every view."""
 
-    long = transform_views(df, features, views)
-    fits = with_fit(fit_sums(long, ["feature", "transform"]))
-    fits = fits.select("feature", "transform", "alpha", "train_r2", "valid_r2", "train_corr", "valid_corr")
+    shown = ["feature", "transform", "alpha", "train_r2", "valid_r2", "train_corr", "valid_corr"]
     if not details:
-        return fits
-    tails = _tail_and_information(long, ["feature", "transform"], bins)
-    wide = tails.groupBy("feature", "transform").agg(
+        return with_fit(fit_sums(transform_views(df, features, views), ["feature", "transform"])).select(*shown)
+    sums = _screen_sums(df, features, views, bins)
+    by = ["feature", "transform"]
+    alone = sums.where("xb < 0")
+    terms = _terms("", "", "")
+    both = [zsum(F.when(cond, F.col(n))).alias(f"{tag}_{n}") for tag, cond in (("t", F.col(IS_TRAIN)), ("v", ~F.col(IS_TRAIN))) for n in terms]
+    fits = with_fit(alone.groupBy(*by).agg(F.sum("n").alias("rows"), *both).where("rows > 0")).select(*shown)
+    mean = {t: F.coalesce(ratio(F.col(f"{t}wy"), F.col(f"{t}w")), F.lit(0.0)) for t in "lh"}
+    tails = alone.select(*by, IS_TRAIN, mean["l"].alias("tail_low_mean"), mean["h"].alias("tail_high_mean"), (mean["h"] - mean["l"]).alias("tail_spread"))
+    known = _information(sums.where("xb >= 0"), [*by, IS_TRAIN]).select(*by, IS_TRAIN, "binned_mi")
+    tails = tails.join(known, [*by, IS_TRAIN])
+    wide = tails.groupBy(*by).agg(
         *[
             F.max(F.when(F.col(IS_TRAIN) == flag, F.col(c))).alias(f"{name}_{c}")
             for flag, name in ((True, "train"), (False, "valid"))
             for c in ("tail_low_mean", "tail_high_mean", "tail_spread", "binned_mi")
         ]
     )
-    return fits.join(wide, ["feature", "transform"])
+    return fits.join(wide, by)
 
 
-def _tail_and_information(long: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
-    """Tail means of the target and mutual information per view and split."""
+_FIT_NAMES, _TAIL_NAMES = ("sw", "swx", "swy", "swxx", "swyy", "swxy"), ("lw", "lwy", "hw", "hwy")
 
-    keyed = long.withColumn("__k", F.concat_ws("\u0001", *by, F.col(IS_TRAIN).cast("string")))
+
+def _screen_sums(df: DataFrame, features: Sequence[str], views: Sequence[str], bins: int) -> DataFrame:
+    """What a screen needs of each view and split, as a small written table ``feature, transform, is_train, xb, yb``.
+
+    Lines of a cell of bins hold its rows ``n``; the line with xb = -1 holds the sums of the fit and of the tails, and as n
+    the rows that the fit counts. A view is a monotone function of the filled value or of the size of its z-score: the order
+    statistics of these two give those of all views, and sums with ranks come from sums per value. No row is made per view.
+    """
+
+    if unknown := sorted(set(views) - set(VIEWS)):
+        raise ValueError(f"unknown transform: {unknown}")
+    n, fill, scale = _filling(df, features)
+    w, y, valid = S.dbl(WEIGHT), S.dbl(TARGET), valid_rows([TARGET])
+    x = {f: F.col(f"__x_{f}") for f in features}
+    z = {f: (x[f] - F.lit(fill[f])) / F.lit(scale[f]) for f in features}
+    wide = df.select(IS_TRAIN, w.alias("w"), y.alias("y"), valid.alias("valid"), *[_filled(f, fill[f]).alias(f"__x_{f}") for f in features])
     probs = [0.05, 0.95, *[i / bins for i in range(1, bins)]]
-    phi = exact_quantiles(keyed, {"phi": F.col("phi")}, probs, by="__k")
-    one = keyed.where(F.col("__k").isin(*_one_view(phi)))
-    target = exact_quantiles(one, {"y": S.dbl(TARGET)}, probs[2:], by="__k")
-    y_edges = {k.rsplit("\u0001", 1)[1]: sorted(set(v["y"])) for k, v in target.items()}
-    rows = [(k, v["phi"][0], v["phi"][1], sorted(set(v["phi"][2:])), y_edges[k.rsplit("\u0001", 1)[1]]) for k, v in phi.items()]
-    edges = long.sparkSession.createDataFrame(rows, "__k string, low double, high double, xe array<double>, ye array<double>")
-    # one line per view and split
-    cut = keyed.join(F.broadcast(edges), "__k")
-    w, y = S.dbl(WEIGHT), S.dbl(TARGET)
-    low, high = F.col("phi") <= F.col("low"), F.col("phi") >= F.col("high")
-    code = {n: F.size(F.filter(e, lambda v: v <= F.col(c))) for n, e, c in (("xb", "xe", "phi"), ("yb", "ye", TARGET))}
-    cells = cut.groupBy(*by, IS_TRAIN, code["xb"].alias("xb"), code["yb"].alias("yb")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[zsum(F.when(c, e)).alias(f"{t}{k}") for t, c in (("l", low), ("h", high)) for k, e in (("w", w), ("wy", w * y))],
-    )
-    return _information(cells, [*by, IS_TRAIN])
+    sizes = {f"a_{f}": F.abs(z[f]) for f in features} if {"abs_z", "square_z"} & set(views) else {}
+    found = order_statistics(wide, {"y": F.col("y"), **{f"x_{f}": x[f] for f in features}, **sizes}, probs, IS_TRAIN)
+    near = {part: {f: got[f"x_{f}"] for f in features} for part, got in found.items()}
+    edges = {f: [lo + (hi - lo) * share for lo, hi, share in near[True][f][:2]] if True in near else [math.nan, math.nan] for f in features}
+    # rows of each split, and those in the lower tail: the only view that falls while the value rises has two values
+    tails = [F.count_if(x[f] <= F.lit(edges[f][0])).alias(f"l_{f}") for f in features]
+    rows = {r[IS_TRAIN]: r.asDict() for r in wide.groupBy(IS_TRAIN).agg(F.count(F.lit(1)).alias("n"), *tails).collect()}
+    ranked = _value_ranks(wide, features, n, _rank_terms()) if "rank" in views else None
+    cuts = _view_cuts(features, views, found, rows, edges, fill, scale, probs)
+    if ranked is not None:
+        cuts |= _rank_cuts(ranked, near)
+    y_edges = {part: sorted({lo + (hi - lo) * share for lo, hi, share in got["y"][2:]}) if got["y"][0] else [] for part, got in found.items()}
+    code = reduce(lambda c, part: c.when(F.col(IS_TRAIN) == part, S.edge_code("y", y_edges[part])), y_edges, F.when(F.lit(False), F.lit(0)))
+    base = wide.select(
+        IS_TRAIN, F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce(F.col("w") * F.col("y"), F.lit(0.0)).alias("wy"), F.when(F.col("valid"), F.col("y")).otherwise(0.0).alias("y"),
+        "valid", F.coalesce(code, F.lit(0)).alias("yb"), F.array(*x.values()).alias("x"),
+    )
+    m, s = (np.array([d[f] for f in features]) for d in (fill, scale))
+    # in place of its rank a value stands itself, with the cuts of the ranks brought back to values
+    functions = dict(zip(views, _single(features, views, {f: {"x": e} for f, e in edges.items()}), strict=True)) | {"rank": lambda x, z, r: x}
+    names, splits = ["feature", "transform", IS_TRAIN, "xb", "yb", "n", *_TAIL_NAMES, *_FIT_NAMES], list(rows)
+    schema = f"feature string, transform string, {IS_TRAIN} boolean, xb int, yb int, " + ", ".join(f"{c} double" for c in names[5:])
+    order = [(f, v) for f in features for v in views]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = {(part, *fv): np.zeros((bins + 1, bins + 1)) for part in splits for fv in order}
+        alone = {key: np.zeros(11) for key in cells}
+        for batch in batches:
+            split, w, wy, y, ok, yb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            x = matrix(batch.column(6), batch.num_rows)
+            for part in splits:
+                mine = split == part
+                if not mine.any():
+                    continue
+                own, ws, wys, ys, oks, ybs = x[mine], w[mine], wy[mine], y[mine], ok[mine], yb[mine]
+                zs, wf = (own - m) / s, np.where(oks, ws, 0.0)
+                for v in views:
+                    phis = functions[v](own, zs, None)
+                    for k, f in enumerate(features):
+                        phi, key = phis[:, k], (part, f, v)
+                        below, above, bounds = cuts[key]
+                        low, high = phi <= below if v != "rank" else phi < below, phi >= above
+                        cells[key] += np.bincount(np.searchsorted(bounds, phi, side="right") * (bins + 1) + ybs, minlength=(bins + 1) ** 2).reshape(bins + 1, -1)
+                        fit = np.zeros(6)
+                        if v != "rank":
+                            finite = np.isfinite(phi)
+                            counted, phi = np.where(finite, wf, 0.0), np.where(finite, phi, 0.0)
+                            wx = counted * phi
+                            fit = np.array([counted.sum(), wx.sum(), counted @ ys, wx @ phi, (counted * ys) @ ys, wx @ ys])
+                        alone[key] += [float((oks & finite).sum()) if v != "rank" else 0.0, ws[low].sum(), wys[low].sum(), ws[high].sum(), wys[high].sum(), *fit]
+        lines = [(f, v, part, -1, -1, *alone[part, f, v]) for part, f, v in cells]
+        for part, f, v in cells:
+            xb, yb = np.nonzero(cells[part, f, v])
+            lines += [(f, v, part, int(a), int(b), cells[part, f, v][a, b], *[0.0] * 10) for a, b in zip(xb, yb, strict=True)]
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), *[pa.float64()] * 11], strict=True)], names=names)
+
+    lines = base.mapInArrow(partial, schema)
+    if ranked is not None:
+        lines = lines.unionByName(_rank_sums(ranked, names))
+    return stored(lines.groupBy(*names[:5]).agg(*[F.sum(c).alias(c) for c in names[5:]]), "screen-sums")
+
+
+def _view_cuts(
+    features: Sequence[str], views: Sequence[str], found: Mapping[bool, dict], rows: Mapping[bool, dict], edges: Mapping[str, list], fill: Mapping[str, float], scale: Mapping[str, float], probs: Sequence[float]
+) -> dict:
+    """Tail bounds and bin edges ``{(split, feature, view): (low, high, edges)}`` of the views without ranks."""
+
+    cuts = {}
+    for part, got in found.items():
+        total = rows[part]["n"]
+        for f in features:
+            one = dict(zip(views, _single([f], views, {f: {"x": edges[f]}}), strict=True))
+            for v in views:
+                if v == "rank":
+                    continue
+                if v == "bottom05_indicator":
+                    first = total - rows[part][f"l_{f}"]
+                    triples = [(float(k >= first), float(k2 >= first), share) for k, k2, share in wanted_ranks(total, probs, "linear")]
+                elif v in ("abs_z", "square_z"):
+                    triples = [(a, b, share) if v == "abs_z" else (a * a, b * b, share) for a, b, share in got[f"a_{f}"]]
+                else:
+                    ends = np.array([[q[0], q[1]] for q in got[f"x_{f}"]])
+                    at = one[v](ends.reshape(-1, 1), (ends.reshape(-1, 1) - fill[f]) / scale[f], None).reshape(-1, 2)
+                    triples = [(float(a), float(b), q[2]) for (a, b), q in zip(at, got[f"x_{f}"], strict=True)]
+                q = [lo + (hi - lo) * share for lo, hi, share in triples]
+                cuts[part, f, v] = (q[0], q[1], np.array(sorted(set(q[2:]))))
+    return cuts
+
+
+def _rank_terms() -> dict[str, Column]:
+    """Sums per value that give the rank's sums: weights, weighted targets and counted rows of both splits."""
+
+    w, y, train = F.col("w"), F.col("y"), F.col(IS_TRAIN)
+    terms = {"k": F.lit(1.0), "sw": w, "swy": w * y, "swyy": w * y * y}
+    return {f"{t}_{n}": F.when(F.col("valid") & cond, c).otherwise(0.0) for t, cond in (("t", train), ("v", ~train)) for n, c in terms.items()}
+
+
+def _rank_sums(ranked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The fit's sums of the rank view, a line for each feature and split."""
+
+    parts = []
+    for t, part, r in (("t", True, F.col("__own")), ("v", False, F.col("__reference"))):
+        sw, swy = F.col(f"{t}_sw"), F.col(f"{t}_swy")
+        terms = {"n": F.col(f"{t}_k"), "sw": sw, "swx": sw * r, "swy": swy, "swxx": sw * r * r, "swyy": F.col(f"{t}_swyy"), "swxy": swy * r}
+        # a split without rows has no line
+        sums = ranked.groupBy("feature").agg(*[F.sum(c).alias(k) for k, c in terms.items()]).where("n > 0")
+        fixed = {"transform": F.lit("rank"), IS_TRAIN: F.lit(part), "xb": F.lit(-1), "yb": F.lit(-1)} | {c: F.lit(0.0) for c in _TAIL_NAMES}
+        parts.append(sums.withColumns(fixed).select(*names))
+    return parts[0].unionByName(parts[1])
+
+
+def _rank_cuts(ranked: DataFrame, near: Mapping[bool, dict]) -> dict:
+    """Tail bounds and bin edges of the rank view as values: a rank is at or above an edge where its value is at or above the cut."""
+
+    spark = ranked.sparkSession
+    asked = sorted({(f, float(e)) for got in near.values() for f, qs in got.items() for q in qs for e in q[:2]})
+    wanted = F.broadcast(spark.createDataFrame(asked, "feature string, __v double"))
+    ranks = {(r["feature"], r["__v"]): (r["__own"], r["__reference"]) for r in ranked.join(wanted, ["feature", "__v"], "left_semi").collect()}
+    keyed = []
+    for part, got in near.items():
+        for f, qs in got.items():
+            ends = [(ranks[f, lo][0 if part else 1], ranks[f, hi][0 if part else 1], share) for lo, hi, share in qs]
+            q = [lo + (hi - lo) * share for lo, hi, share in ends]
+            keyed += [(f, part, 0, q[0], True), (f, part, 1, q[1], False), *[(f, part, 2, e, False) for e in sorted(set(q[2:]))]]
+    table = F.broadcast(spark.createDataFrame(keyed, "feature string, part boolean, role int, edge double, strict boolean"))
+    rank = F.when(F.col("part"), F.col("__own")).otherwise(F.col("__reference"))
+    reached = (~F.col("part") | (F.col("n") > 0)) & F.when(F.col("strict"), rank > F.col("edge")).otherwise(rank >= F.col("edge"))
+    first = ranked.join(table, "feature").groupBy("feature", "part", "role", "edge").agg(F.min(F.when(reached, F.col("__v"))).alias("at")).collect()
+    cuts = {}
+    for part, got in near.items():
+        for f in got:
+            mine = {role: sorted(math.inf if r["at"] is None else r["at"] for r in first if (r["feature"], r["part"], r["role"]) == (f, part, role)) for role in (0, 1, 2)}
+            cuts[part, f, "rank"] = (mine[0][0], mine[1][0], np.array(mine[2]))
+    return cuts
 
 
 def _information(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -214,15 +372,6 @@ def _information(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _one_view(phi: Mapping[str, dict]) -> list[str]:
-    """One key per split: all views of a split share the target."""
-
-    picked: dict[str, str] = {}
-    for k in sorted(phi):
-        picked.setdefault(k.rsplit("\u0001", 1)[1], k)
-    return list(picked.values())
-
-
 def binned_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """Mutual information of two columns over quantile bins with distinct edges."""
 

@@ -297,6 +297,52 @@ def test_univariate_screen_matches_numpy(toy):
             assert r.valid_binned_mi == pytest.approx(information(pv, yv)), (f, name)
 
 
+def test_univariate_screen_reads_ties_and_odd_rows_without_a_row_per_view(toy, monkeypatch):
+    """Few values, empty ones and rows that don't count; nothing is expanded by view."""
+
+    def expanded(*_, **__):
+        raise AssertionError("rows are expanded by view")
+
+    monkeypatch.setattr(screens, "transform_views", expanded)
+    pdf, df = toy
+    coarse = F.when(F.col("symbol_id") != 4, F.round("feature_00", 0))
+    odd = df.withColumns({"feature_00": coarse, "weight": F.when(F.col("time_id") * 6 + F.col("symbol_id") != 7, F.col("weight"))})
+    got = {r.transform: r for r in screens.univariate_screen(screens.split_frame(odd, 14), ["feature_00"]).collect()}
+    pdf = pdf.assign(feature_00=np.where(pdf.symbol_id != 4, np.round(pdf.feature_00), np.nan), counts=pdf.time_id * 6 + pdf.symbol_id != 7)
+    train, valid = pdf[pdf.date_id < 14], pdf[pdf.date_id >= 14]
+    for name, phis in views_of(train.feature_00.to_numpy(), valid.feature_00.to_numpy()).items():
+        r = got[name]
+        (kt, pt), (kv, pv) = ((part.counts.to_numpy(), phi) for part, phi in zip((train, valid), phis, strict=True))
+        y, w = train.responder_6.to_numpy(), train.weight.to_numpy()
+        assert r.alpha == pytest.approx((w * pt * y)[kt].sum() / (w * pt * pt)[kt].sum()), name
+        for split, part, phi, k in (("train", train, pt, kt), ("valid", valid, pv, kv)):
+            y, w = part.responder_6.to_numpy(), part.weight.to_numpy()
+            assert r[f"{split}_binned_mi"] == pytest.approx(information(phi, y)), (name, split)
+            lo, hi = np.quantile(phi, [0.05, 0.95])
+            assert r[f"{split}_tail_low_mean"] == pytest.approx(np.average(y[k & (phi <= lo)], weights=w[k & (phi <= lo)])), (name, split)
+            assert r[f"{split}_tail_high_mean"] == pytest.approx(np.average(y[k & (phi >= hi)], weights=w[k & (phi >= hi)])), (name, split)
+
+
+@pytest.mark.parametrize("max_values", [3, 200_000])
+def test_order_statistics_of_many_columns(spark, max_values):
+    """Ties, missing values, an empty column and cells cut into blocks."""
+    from panelkit.operators.core import order_statistics
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.random(3000) < 0.3, "a": rng.normal(size=3000), "b": rng.integers(0, 4, 3000).astype(float)})
+    pdf.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("e", F.lit(None).cast("double"))
+    probs = [0.0, 0.05, 0.5, 0.77, 1.0]
+    got = order_statistics(df, {c: F.col(c) for c in "abe"}, probs, "g", max_values=max_values)
+    for g, part in pdf.groupby("g"):
+        for c in "ab":
+            v = part[c].dropna().to_numpy()
+            low, high = (np.quantile(v, probs, method=m) for m in ("lower", "higher"))
+            assert [q[0] for q in got[g][c]] == low.tolist() and all(q[1] == h or q[2] == 0 for q, h in zip(got[g][c], high, strict=True))
+            assert [lo + (hi - lo) * s for lo, hi, s in got[g][c]] == pytest.approx(np.quantile(v, probs))
+        assert got[g]["e"] == [None] * 5
+
+
 def test_interactions_match_numpy(toy):
     pdf, df = toy
     got = {r.interaction: r for r in screens.interaction_screen(screens.split_frame(df, 14), ["feature_00", "feature_01"]).collect()}
