@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
 from panelkit.operators.blocks import LINE, Totals, added_up, matrix, pair_views, single_views, view_sums
 from panelkit.operators.core import BLOCK_ROWS, exact_quantiles, hot_groups, join_groups, order_statistics, ordered_counts, ratio, running_counts, wanted_ranks, with_group_stats, with_halo, zsum
+from panelkit.operators.layout import Layout, lay_out
 from panelkit.operators.metrics import valid_rows
 from panelkit.operators.profiles import unpivot
 from panelkit.operators.sampling import bijection, row_index
@@ -438,11 +439,11 @@ def _single(features: Sequence[str], views: Sequence[str], edges: Mapping[str, d
     return [known[v] for v in views]
 
 
-def _edges(df: DataFrame, features: Sequence[str]) -> dict:
-    """5 % and 95 % quantiles of each feature's train values, missing ones filled in."""
+def _edges(wide: DataFrame, features: Sequence[str]) -> dict:
+    """5 % and 95 % quantiles of each filled feature's train values."""
 
-    long = base_views(df.where(valid_rows([TARGET])).select(IS_TRAIN, *features), features, ranks=False)
-    return exact_quantiles(long.where(F.col(IS_TRAIN)).select("feature", "x"), {"x": F.col("x")}, [0.05, 0.95], by="feature")
+    found = order_statistics(wide, {f: F.col(f) for f in features}, [0.05, 0.95], "__s").get(0, {})
+    return {f: {"x": [lo + (hi - lo) * share for lo, hi, share in q]} for f, q in found.items()}
 
 
 def _named(sums: DataFrame, features: Sequence[str], kinds: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -523,7 +524,8 @@ def _placer(block_size: int):
 def _date_shifts(rows: DataFrame, dated: Sequence[tuple[int, str, int]], split: str) -> DataFrame:
     """By how much the rows of each date move in each slot: only the calendar is ordered."""
 
-    dates = rows.groupBy(split, DATE).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("__m"))
+    before = Window.partitionBy(split).orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)
+    dates = rows.groupBy(split, DATE).agg(F.count(F.lit(1)).alias("__m")).withColumn("first", F.coalesce(F.sum("__m").over(before), F.lit(0)))
     own = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(int(seed)).alias("seed")) for k, _, seed in dated])
     order = Window.partitionBy(split, "slot").orderBy(F.xxhash64(F.col(DATE).cast("long"), "seed"), DATE).rowsBetween(Window.unboundedPreceding, -1)
     starts = dates.select(split, DATE, "first", "__m", F.explode(own).alias("s")).select(split, DATE, "first", "__m", "s.slot", "s.seed")
@@ -579,6 +581,112 @@ def packed_nulls(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes:
     return y.select(split, "i", "y", shifts.alias("shifts")).mapInArrow(pack, f"{split} int, stretch long, slot int, at binary, y binary")
 
 
+@lru_cache(maxsize=64)
+def _moved_runs(kind: str, seed: int, n: int, block_size: int) -> np.ndarray:
+    """Runs of positions that a null of blocks or a shift moves as they are: (first place, first position, rows), by place."""
+
+    if kind == "circular":
+        by = (1 + seed * 7919 % max(1, n - 1)) % n
+        return np.array([run for run in ((0, n - by, by), (by, 0, n - by)) if run[2]])
+    first = np.arange(0, n, block_size)
+    runs = np.column_stack([_placer(block_size)(first, "block", seed, n), first, np.minimum(block_size, n - first)])
+    return runs[np.argsort(runs[:, 0])]
+
+
+#: Cells that the values of a feature are ranked in, at least; and rows of a cell above that.
+RANK_CELLS, RANK_ROWS = 1_000, 500_000
+
+
+class PlacedRanks:
+    """Ranks of the rows of a layout: train rows among themselves, others by the share of train values not above them.
+
+    Cuts at quantiles make cells of each feature's values. Rows that hold a cut itself, so also any frequent value, get their
+    rank where they are; the others go to their cell as bytes, are put in order there and go back to their stretch. No cell
+    grows with a value's frequency, and no table of values is made.
+    """
+
+    def __init__(self, laid: Layout, n: int, cuts: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.laid, self.n, self.cuts = laid, n, cuts
+        # train rows inside cell j stand at 2 j, those on its upper cut at 2 j + 1
+        self.before = [np.r_[0, np.cumsum(c)[:-1]] for c in counts]
+        self.on_cut = [(self.rank(b[1::2] + c[1::2], c[1::2], 0), self.rank(b[1::2] + c[1::2], c[1::2], 1)) for b, c in zip(self.before, counts, strict=True)]
+
+    @classmethod
+    def of(cls, laid: Layout, wide: DataFrame, features: Sequence[str], n: int) -> PlacedRanks:
+        cells = max(RANK_CELLS, sum(laid.sizes.values()) // RANK_ROWS)
+        probs = [k / cells for k in range(cells + 1)]
+        row = wide.agg(*[F.percentile_approx(f, probs, 10 * cells).alias(f"q{k}") for k, f in enumerate(features)]).first()
+        cuts = [np.unique(row[f"q{k}"] or []) for k in range(len(features))]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for which, start, end in laid.read(batches):
+                if which == 0:
+                    x = laid.rows(which, start, end)[:, 1:]
+                    for k, c in enumerate(cuts):
+                        j = np.searchsorted(c, x[:, k])
+                        held = np.bincount(2 * j + (np.append(c, np.nan)[j] == x[:, k]))
+                        at = np.flatnonzero(held)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["k", "at", "n"])
+
+        counts = [np.zeros(2 * len(c) + 2, np.int64) for c in cuts]
+        for r in laid.stretches(wide.sparkSession).mapInArrow(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
+            counts[r["k"]][r["at"]] = r["n"]
+        return cls(laid, n, cuts, counts)
+
+    def rank(self, cum: np.ndarray, n: np.ndarray, which: int) -> np.ndarray:
+        if self.n <= 1:
+            return np.zeros(len(cum))
+        return (cum - (n + 1) / 2) / float(self.n - 1) - 0.5 if which == 0 else cum / float(self.n) - 0.5
+
+    def at_cuts(self, x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of rows whose value is a cut, and the cells of the others (-1 for those ranked)."""
+
+        out, cell = np.zeros(x.shape), np.empty(x.shape, np.int64)
+        for k, c in enumerate(self.cuts):
+            j = np.searchsorted(c, x[:, k])
+            known = np.append(c, np.nan)[j] == x[:, k]
+            out[known, k] = self.on_cut[k][which][j[known]]
+            cell[:, k] = np.where(known, -1, j)
+        return out, cell
+
+    def lines(self, spark: SparkSession) -> DataFrame:
+        """The ranks of rows between cuts, by stretch: ``__s, stretch, slot, at, y`` with slot -1 for the first feature, -2 for the next."""
+
+        laid, names = self.laid, ["__s", "stretch", "slot", "cell", "at", "y"]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for which, start, end in laid.read(batches):
+                x = laid.rows(which, start, end)[:, 1:]
+                _, cells = self.at_cuts(x, which)
+                for k in range(x.shape[1]):
+                    order = np.argsort(cells[:, k], kind="stable")
+                    order = order[cells[order, k] >= 0]
+                    if not len(order):
+                        continue
+                    cell, at, v = cells[order, k], order.astype(np.uint16), x[order, k]
+                    first = np.flatnonzero(np.r_[True, np.diff(cell) > 0])
+                    ends = list(zip(first, np.r_[first[1:], len(cell)], strict=True))
+                    columns = [[which] * len(ends), [start // laid.stretch_rows] * len(ends), [-1 - k] * len(ends), cell[first], [at[a:b].tobytes() for a, b in ends], [v[a:b].tobytes() for a, b in ends]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        def order(sent: pa.Table) -> pa.Table:
+            k, cell = -1 - sent.column("slot")[0].as_py(), sent.column("cell")[0].as_py()
+            held = [np.frombuffer(v) for v in sent.column("y").to_pylist()]
+            sizes = [len(v) for v in held]
+            train = np.repeat(sent.column("__s").to_numpy() == 0, sizes)
+            found, at = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(at, weights=train, minlength=len(found)).astype(np.int64)
+            cum = self.before[k][2 * cell] + np.cumsum(n)
+            ranks = np.where(train, self.rank(cum, n, 0)[at], self.rank(cum, n, 1)[at])
+            ends = np.cumsum(sizes)
+            values = pa.array([ranks[b - m : b].tobytes() for b, m in zip(ends, sizes, strict=True)], pa.binary())
+            return sent.select(["__s", "stretch", "slot", "at"]).append_column("y", values)
+
+        sent = laid.stretches(spark).mapInArrow(send, "__s int, stretch long, slot int, cell int, at binary, y binary")
+        return sent.groupBy("slot", "cell").applyInArrow(order, "__s int, stretch long, slot int, at binary, y binary")
+
+
 def null_positions(rows: DataFrame, slots: Sequence[tuple[int, str, int]], sizes: Mapping[int, int], *, split: str, block_size: int = 2048) -> DataFrame:
     """Where each null target sends each row: ``split, slot, p, null_y`` for rows with a position ``i`` in their split.
 
@@ -645,37 +753,54 @@ def null_screen(
     """Best validation R2 over all views when the target is replaced by each null target, per kind and run.
 
     Views are those of single features, or with ``pairs`` the six of each pair. One plan holds all kinds and runs: the null
-    targets of a row are one array, and the sums of a view against all of them come from the same block products. Rows whose
-    target or weight can't count are left out before.
+    targets of a row are one array, and the sums of a view against all of them come from the same block products. Rows lie in
+    files in the order of their positions: blocks, dates and shifts are read from there as runs, and only the targets of
+    ``iid`` nulls are shuffled. Rows whose target or weight can't count are left out before.
     """
 
+    if unknown := sorted(set(kinds) - set(NULL_KINDS)):
+        raise ValueError(f"no null target is made by {', '.join(unknown)}")
     slots = [(k * runs + run, kind, seed + 1000 * run + k) for k, kind in enumerate(kinds) for run in range(runs)]
-    rows, sizes = _split_positions(df.where(valid_rows([TARGET])).select(*KEYS, WEIGHT, TARGET, IS_TRAIN, *features))
-    rows = stored(rows, "indexed")
-    rows = stored(feature_arrays(rows, features, "__s", "i"), "indexed-views")
-    packed = packed_nulls(rows, slots, sizes, split="__s", block_size=block_size)
+    df = df.where(valid_rows([TARGET])).select(*KEYS, WEIGHT, TARGET, IS_TRAIN, *features)
+    n, fill, scale = _filling(df, features)
+    wide = df.select(*KEYS, (~F.col(IS_TRAIN)).cast("int").alias("__s"), S.dbl(WEIGHT).alias("w"), S.dbl(TARGET).alias("y"), *[_filled(f, fill[f]).alias(f) for f in features])
     if pairs:
         make, names, shown = pair_views(_PAIRS), ["left", "right", "interaction"], INTERACTIONS
     else:
-        edges = _edges(df, features) if any("05" in v for v in views) else {}
+        edges = _edges(wide, features) if any("05" in v for v in views) else {}
         make, names, shown = single_views(_single(features, views, edges)), ["feature", "transform"], tuple(views)
-    place = rows.select("__s", F.floor(F.col("i") / STRETCH).cast("long").alias("stretch"), (F.col("i") % STRETCH).cast("int").alias("at"), S.dbl(WEIGHT).alias("w"), "x", "z", "rank")
-    count = len(slots)
+    laid = lay_out(wide, ["w", *features], "y", split="__s", stretch_rows=STRETCH)
+    dated = [slot for slot in slots if slot[1] == "date"]
+    moves: dict = {}
+    for r in _date_shifts(wide, dated, "__s").collect() if dated else ():
+        moves.setdefault((r["slot"], r["__s"]), []).append((r["first"] + r["shift"], r["first"], r["__m"]))
+    moves = {key: np.array(sorted(of)) for key, of in moves.items()}
+    ranks = PlacedRanks.of(laid, wide, features, n)
+    count, free = len(slots), [slot for slot in slots if slot[1] == "iid"]
+    middle, spread = (np.array([of[f] for f in features]) for of in (fill, scale))
 
     def meet(own: pa.Table, sent: pa.Table) -> pa.Table:
         totals = Totals(count, make)
-        ys = np.empty((STRETCH, count))
-        for slot, at, y in zip(*(sent.column(c).to_pylist() for c in ("slot", "at", "y")), strict=True):
-            ys[np.frombuffer(at, np.uint16), slot] = np.frombuffer(y)
-        n = own.num_rows
-        at, w = (own.column(c).to_numpy() for c in ("at", "w"))
-        x, z, r = (matrix(own.column(c).combine_chunks(), n) for c in ("x", "z", "rank"))
-        train = np.full(n, n > 0 and own.column("__s")[0].as_py() == 0)
-        totals.add(train, w, ys[at], x, z, r)
+        for which, stretch in zip(own.column("__s").to_pylist(), own.column("stretch").to_pylist(), strict=True):
+            start, end = laid.stretch(which, stretch)
+            ys, rows = np.empty((end - start, count)), laid.rows(which, start, end)
+            w, x = rows[:, 0], np.ascontiguousarray(rows[:, 1:])
+            r, _ = ranks.at_cuts(x, which)
+            for slot, at, value in zip(*(sent.column(c).to_pylist() for c in ("slot", "at", "y")), strict=True):
+                (ys[:, slot] if slot >= 0 else r[:, -1 - slot])[np.frombuffer(at, np.uint16)] = np.frombuffer(value)
+            with laid.targets(which) as targets:
+                for slot, kind, seed in slots:
+                    if kind != "iid":
+                        runs_of = moves[slot, which] if kind == "date" else _moved_runs(kind, seed + which, laid.sizes[which], block_size)
+                        ys[:, slot] = targets.gather(runs_of, start, end)
+            totals.add(np.full(len(w), which == 0), w, ys, x, (x - middle) / spread, r)
         return pa.Table.from_batches(totals.lines())
 
     keys = ["__s", "stretch"]
-    sums, alone = added_up(place.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(meet, LINE), count)
+    lines = packed_nulls(laid.target_rows(df.sparkSession, "__s"), free, laid.sizes, split="__s", block_size=block_size).unionByName(ranks.lines(df.sparkSession))
+    places = laid.stretches(df.sparkSession)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), places.count() // 8)
+    sums, alone = added_up(places.repartition(parts, *keys).groupBy(*keys).cogroup(lines.repartition(parts, *keys).groupBy(*keys)).applyInArrow(meet, LINE), count)
     labels = F.array(*[F.struct(F.lit(kind).alias("null_kind"), F.lit(k % runs).alias("run"), F.lit(alone["v_swyy"][k]).alias("swyy")) for k, kind, _ in slots])
     scored = _named(sums, features, shown, names).select(*names, "t_swxx", "v_swxx", F.posexplode(F.arrays_zip("t_swxy", "v_swxy", labels.alias("label"))).alias("k", "e"))
     e = F.col("e")

@@ -425,6 +425,39 @@ def test_null_screen_against_numpy(toy, pairs):
         assert best[tuple(row)[3:]] == pytest.approx(row.best_valid_r2)
 
 
+@pytest.mark.parametrize("pairs", [False, True])
+def test_null_screen_shuffles_iid_targets_only_and_reads_the_others_as_runs(toy, monkeypatch, pairs):
+    """Many stretches, files and rank cells give what one stretch gives; a feature of few values sends no ranks."""
+
+    df = screens.split_frame(toy[1].withColumn("feature_02", F.floor("feature_00").cast("double")), 14)
+    run = lambda: {(r.null_kind, r.run): r for r in screens.null_screen(df, ["feature_00", "feature_01", "feature_02"], pairs=pairs, runs=2, block_size=50).collect()}
+    want, packed, sent = run(), screens.packed_nulls, []
+    monkeypatch.setattr(screens, "packed_nulls", lambda rows, slots, *a, **b: sent.extend(s[1] for s in slots) or packed(rows, slots, *a, **b))
+    monkeypatch.setattr(screens, "STRETCH", 64)
+    monkeypatch.setattr(screens, "RANK_CELLS", 8)
+    got = run()
+    assert sent == ["iid", "iid"] and got.keys() == want.keys()
+    for key, r in got.items():
+        assert r.best_valid_r2 == pytest.approx(want[key].best_valid_r2) and tuple(r)[3:] == tuple(want[key])[3:], key
+
+
+def test_layout_reads_runs_across_files(toy):
+    from panelkit.operators.layout import lay_out
+
+    pdf, df = toy
+    laid = lay_out(df.withColumn("__s", (F.col("date_id") >= 14).cast("int")), ["weight", "feature_00"], "responder_6", split="__s", stretch_rows=50)
+    pdf = pdf.sort_values(KEYS)
+    for which, part in ((0, pdf[pdf.date_id < 14]), (1, pdf[pdf.date_id >= 14])):
+        n = len(part)
+        assert laid.sizes[which] == n and len(laid.names[which]) > 1
+        np.testing.assert_array_equal(laid.rows(which, 3, n - 2), part[["weight", "feature_00"]].to_numpy()[3 : n - 2])
+        runs = screens._moved_runs("block", 5, n, 16)
+        assert runs[:, 2].sum() == n and runs[0, 0] == 0 and (np.diff(runs[:, 0]) == runs[:-1, 2]).all()
+        with laid.targets(which) as targets:
+            moved = np.concatenate([part.responder_6.to_numpy()[i : i + m] for _, i, m in runs])
+            np.testing.assert_array_equal(targets.gather(runs, 7, n - 9), moved[7 : n - 9])
+
+
 def test_like_features_make_no_view(spark, toy):
     _, df = toy
     twin = screens.split_frame(df.withColumn("feature_02", F.col("feature_00")), 14)
